@@ -78,12 +78,11 @@ def status() -> Column:
 
 def symbol_index(records: DataFrame) -> DataFrame:
     """One row per symbol: (repo_id, path, language, kind, pos, name)."""
-    singular = {"functions": "function", "classes": "class", "imports": "import"}
-    per_kind = [
-        F.transform(
-            F.col(kind),
-            lambda name, pos, label=label: F.struct(F.lit(label).alias("kind"), pos.alias("pos"), name.alias("name")),
-        )
-        for kind, label in singular.items()
-    ]
-    return records.select("repo_id", "path", "language", F.inline(F.concat(*per_kind)))
+    found = F.concat(_labelled("functions", "function"), _labelled("classes", "class"), _labelled("imports", "import"))
+    return records.select("repo_id", "path", "language", F.inline(found))
+
+
+def _labelled(kind: str, label: str) -> Column:
+    return F.transform(
+        kind, lambda name, pos: F.struct(F.lit(label).alias("kind"), pos.alias("pos"), name.alias("name"))
+    )

@@ -67,7 +67,9 @@ def analyze(
 
     kept = within_limit(files, options.max_extract_bytes)
     listing = stored("listing", kept.select("repo_id", "path", "bytes"))
-    considered = capped(listing, options.max_files, directories)
+    considered = listing
+    if options.max_files is not None:
+        considered = stored("considered", capped(listing, options.max_files, directories))
     records = file_records(kept, options)
     if options.max_files is not None:
         records = records.join(considered.select("repo_id", "path"), ["repo_id", "path"], "left_semi")

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-MEMBER = "struct<ordinal int, path string, is_dir boolean, bytes bigint>"
-MEMBER_LISTING = f"members array<{MEMBER}>, error string"
+from pyspark.sql import types as T
+
+MEMBER = T.StructType(
+    [
+        T.StructField("ordinal", T.IntegerType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("is_dir", T.BooleanType()),
+        T.StructField("bytes", T.LongType()),
+    ]
+)
+MEMBER_LISTING = T.StructType([T.StructField("members", T.ArrayType(MEMBER)), T.StructField("error", T.StringType())])
 
 ARCHIVES = "path string, modificationTime timestamp, length bigint, content binary"
 EXTRACTED = "repo_id string, path string, is_dir boolean, bytes bigint, content binary, error string"
 LISTED = "repo_id string, path string, uri string, is_dir boolean, bytes bigint"
 FILES = "repo_id string, path string, bytes bigint, content binary"
 
-PYTHON_SYMBOLS = "functions array<string>, classes array<string>, imports array<string>, error string"
+PYTHON_SYMBOLS = T.StructType(
+    [T.StructField(kind, T.ArrayType(T.StringType())) for kind in ("functions", "classes", "imports")]
+    + [T.StructField("error", T.StringType())]
+)
 
 PACKAGE_JSON = (
     "name string, version string, description string, dependencies map<string,string>, "
