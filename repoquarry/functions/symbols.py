@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repoquarry.functions.patterns import java_pattern
 from repoquarry.schemas import PYTHON_SYMBOLS
 
 # The patterns that define a symbol; each captures one name.
@@ -28,8 +29,6 @@ JAVA_FUNCTIONS = [r"(?:public|private|protected)?\s*\w+\s+(\w+)\s*\([^)]*\)\s*\{
 JAVA_CLASSES = [r"(?:public\s+)?class\s+(\w+)"]
 JAVA_IMPORTS = [r"import\s+([\w.]+)"]
 
-# Unicode classes, and only a line feed ends a line.
-_FLAGS = "(?Ud)"
 # A pattern that opens with a word can only match from the head of a word or where the last match
 # ended. Saying so keeps the search linear in texts with very long words or blank runs.
 _WORD_HEAD = r"(?:\G|(?<!\w)(?=\w))"
@@ -39,7 +38,7 @@ _OPENS_WITH_WORD = {JS_FUNCTIONS[2], JAVA_FUNCTIONS[0]}
 def _captures(source: Column, patterns: list[str]) -> Column:
     """Distinct captured names in sorted order."""
     found = [
-        F.regexp_extract_all(source, F.lit(_FLAGS + (_WORD_HEAD if p in _OPENS_WITH_WORD else "") + p), F.lit(1))
+        F.regexp_extract_all(source, F.lit(java_pattern(_WORD_HEAD + p if p in _OPENS_WITH_WORD else p)), F.lit(1))
         for p in patterns
     ]
     return F.array_sort(F.array_distinct(reduce(lambda a, b: F.concat(a, b), found)))
@@ -88,7 +87,8 @@ def read_python(raw: bytes | None, extended: bool = False) -> tuple:
 def python_symbols(content: Column, extended: bool = False) -> Column:
     """Struct of the symbols of Python files; null content yields empty lists.
 
-    Runs as one Arrow-batched job beside the native columns, so the files are read once.
+    Runs as one Arrow-batched job beside the native columns, so the files are read once. It is marked
+    as not deterministic to keep Spark from parsing again below a filter on its result.
     """
 
     @F.pandas_udf(PYTHON_SYMBOLS)
@@ -98,4 +98,4 @@ def python_symbols(content: Column, extended: bool = False) -> Column:
             rows = [read_python(raw, extended) for raw in files]
         return pd.DataFrame(rows, columns=["functions", "classes", "imports", "error"])
 
-    return parse(content)
+    return parse.asNondeterministic()(content)

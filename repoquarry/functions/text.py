@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space of Unicode plus the four separators that str.strip() also removes.
-_SPACE = r"[\s\x1C-\x1F]"
+from repoquarry.functions.patterns import SPACE
+
 # The line boundaries of str.splitlines().
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
@@ -31,11 +31,11 @@ def decode_utf8(content: Column) -> Column:
 
 def rstrip(text: Column) -> Column:
     # The look-behind starts each attempt at the head of a run, so long inner runs stay linear.
-    return F.regexp_replace(text, rf"(?U)(?<!{_SPACE}){_SPACE}++\z", "")
+    return F.regexp_replace(text, rf"(?U)(?<!{SPACE}){SPACE}++\z", "")
 
 
 def strip(text: Column) -> Column:
-    return rstrip(F.regexp_replace(text, rf"(?U)\A{_SPACE}++", ""))
+    return rstrip(F.regexp_replace(text, rf"(?U)\A{SPACE}++", ""))
 
 
 def lines(text: Column, limit: int | None = None) -> Column:

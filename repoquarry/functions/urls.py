@@ -7,6 +7,7 @@ from urllib.parse import uses_params
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from repoquarry.functions.patterns import java_pattern
 from repoquarry.functions.text import strip
 
 # Accepted URL forms (matched without regard to case), the message for all others, and
@@ -22,7 +23,7 @@ FALLBACK_NAME = "repo"
 
 def is_repository_url(url: Column) -> Column:
     cleaned = strip(url)
-    matches = [cleaned.rlike(f"(?iU){form}") for form in URL_FORMS]
+    matches = [cleaned.rlike(java_pattern(form, ignore_case=True)) for form in URL_FORMS]
     return matches[0] | matches[1] | matches[2]
 
 

@@ -56,9 +56,10 @@ def scan_cap(files: DataFrame, max_files: int, directories: DataFrame | None = N
 
 
 def with_directories(leaves: DataFrame) -> DataFrame:
-    """``leaves(repo_id, path, is_dir)`` and every directory above them, each once."""
-    above = leaves.select("repo_id", F.explode(ancestors(F.col("path"))).alias("path"), F.lit(True).alias("is_dir"))
-    return leaves.unionByName(above).distinct()
+    """``leaves(repo_id, path, is_dir)`` and every directory above them, each once, in one pass."""
+    own = F.array(F.struct("path", "is_dir"))
+    above = F.transform(ancestors(F.col("path")), lambda d: F.struct(d.alias("path"), F.lit(True).alias("is_dir")))
+    return leaves.select("repo_id", F.inline(F.concat(own, above))).distinct()
 
 
 def capped(files: DataFrame, max_files: int | None, directories: DataFrame | None = None) -> DataFrame:

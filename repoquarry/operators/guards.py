@@ -18,11 +18,12 @@ def oversize_repositories(files: DataFrame, max_bytes: int) -> DataFrame:
     return repo_sizes(files).where(F.col("bytes") > max_bytes).withColumn("error", reason)
 
 
-def within_limit(files: DataFrame, max_bytes: int) -> DataFrame:
-    """Files of repositories within the limit, without those below ``.git``.
+def within_limit(files: DataFrame, too_large: DataFrame) -> DataFrame:
+    """Files of all repositories but ``too_large``, without those below ``.git``.
 
-    Repositories above the limit are few rows of one key each. Spark broadcasts them while they stay
-    under its threshold and otherwise joins by shuffle, where adaptive execution splits hot keys.
+    ``too_large`` holds one row per refused repository. Pass it as a stored table where ``files``
+    carry contents: Spark then knows its size and broadcasts it while it is below its threshold, so
+    contents are not shuffled. Above it the join shuffles, and adaptive execution splits hot keys.
     """
-    too_large = oversize_repositories(files, max_bytes).select("repo_id")
-    return files.where(~F.startswith("path", F.lit(".git/"))).join(too_large, "repo_id", "left_anti")
+    outside = files.where(~F.startswith("path", F.lit(".git/")))
+    return outside.join(too_large.select("repo_id"), "repo_id", "left_anti")

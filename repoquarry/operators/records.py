@@ -22,16 +22,16 @@ def file_records(files: DataFrame, options: ScanOptions = ScanOptions(), extract
     """
     extractors = REGEX_EXTRACTORS if extractors is None else extractors
     language = F.col("language")
-    kept = F.when(F.col("skipped").isNull(), F.col("content"))
+    skipped = oversize_mark(F.col("bytes"), options.max_file_bytes)
     routed = (
         parseable_files(files)
         .select(
             "repo_id",
             "path",
             "bytes",
-            "content",
             language_of(F.col("path")).alias("language"),
-            oversize_mark(F.col("bytes"), options.max_file_bytes).alias("skipped"),
+            skipped.alias("skipped"),
+            F.when(skipped.isNull(), F.col("content")).alias("content"),
         )
         .select(
             "repo_id",
@@ -39,8 +39,8 @@ def file_records(files: DataFrame, options: ScanOptions = ScanOptions(), extract
             "bytes",
             "language",
             "skipped",
-            F.when(language == "python", kept).alias("raw"),
-            F.when(language != "python", decode_utf8(kept)).alias("source"),
+            F.when(language == "python", F.col("content")).alias("raw"),
+            F.when(language != "python", decode_utf8(F.col("content"))).alias("source"),
         )
     )
     columns = {kind: F.when(language == "python", F.col(f"python.{kind}")) for kind in KINDS}

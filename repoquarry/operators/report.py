@@ -78,9 +78,15 @@ def repo_profiles(
     largest = largest_files(considered, options.largest_files).groupBy("repo_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "path", "bytes"))).alias("largest")
     )
+    scanned = records.where(F.col("status") == "scanned").select(
+        "repo_id",
+        "path",
+        "language",
+        *[F.slice(F.col(kind), 1, options.report_names).alias(kind) for kind in ("classes", "functions")],
+    )
     key_files = (
         first_per_key(
-            records.where(F.col("status") == "scanned"),
+            scanned,
             ["repo_id"],
             in_walk_order(),
             options.report_key_files,
@@ -183,7 +189,7 @@ def report_sections(generated_at: datetime, options: ReportOptions = ReportOptio
         F.concat(
             _texts("", KEY_FILES),
             F.coalesce(
-                F.flatten(F.transform(key_files, lambda f: _key_file(f, options.report_names))),
+                F.flatten(F.transform(key_files, _key_file)),
                 F.array().cast("array<string>"),
             ),
         ),
@@ -192,10 +198,9 @@ def report_sections(generated_at: datetime, options: ReportOptions = ReportOptio
     ]
 
 
-def _key_file(file: Column, names: int) -> Column:
+def _key_file(file: Column) -> Column:
     def listed(column: str, label: str) -> Column:
-        shown = F.array_join(F.slice(file[column], 1, names), ", ")
-        return F.when(F.size(file[column]) > 0, F.concat(F.lit(label), shown))
+        return F.when(F.size(file[column]) > 0, F.concat(F.lit(label), F.array_join(file[column], ", ")))
 
     return F.array_compact(
         F.array(

@@ -66,8 +66,9 @@ def bullet_lines(names: int = 6) -> Column:
 
 def bullet_summaries(records: DataFrame, limit: int = 20, names: int = 6) -> DataFrame:
     """The first ``limit`` file records of every repository as bullets: (repo_id, summary)."""
-    shown = first_per_key(records, ["repo_id"], in_walk_order(), limit, spread=["path"])
-    blocks = F.array_sort(F.collect_list(F.struct("rank", bullet_lines(names).alias("lines"))))
+    described = records.select("repo_id", "path", bullet_lines(names).alias("lines"))
+    shown = first_per_key(described, ["repo_id"], in_walk_order(), limit, spread=["path"])
+    blocks = F.array_sort(F.collect_list(F.struct("rank", "lines")))
     listed = shown.groupBy("repo_id").agg(F.flatten(F.transform(blocks, lambda b: b["lines"])).alias("lines"))
     rest = records.groupBy("repo_id").agg((F.count("*") - limit).alias("rest"))
     more = F.when(F.col("rest") > 0, more_line(F.col("rest")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions.paths import stem
 from repoquarry.operators.files import capped
-from repoquarry.operators.guards import within_limit
+from repoquarry.operators.guards import oversize_repositories, within_limit
 from repoquarry.operators.manifests import root_manifests
 from repoquarry.operators.records import file_records, symbol_index
 from repoquarry.operators.report import INSTRUCTIONS, prompts, repo_profiles, reports
@@ -17,7 +17,15 @@ from repoquarry.operators.requests import unique_names
 from repoquarry.operators.stats import by_language, import_usage, largest_files, repo_stats
 from repoquarry.operators.tree import tree_lines
 from repoquarry.options import ReportOptions, ScanOptions
-from repoquarry.sources.archives import directories_of, extracted, files_of, read_archives
+from repoquarry.sources.archives import (
+    directories_of,
+    extracted,
+    files_of,
+    list_uploads,
+    read_archives,
+    refused_uploads,
+)
+from repoquarry.sources.shared import materialize
 
 # Arrow batches for jobs whose rows are whole files or whole archives; Spark also limits their bytes.
 SESSION_SETTINGS = {
@@ -31,18 +39,21 @@ SESSION_SETTINGS = {
 def ingest(spark: SparkSession, folder: str, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Entries of all archives below ``folder``, each under a repository name of its own.
 
-    Names come from the listing alone. Only the archives that had to be renamed are joined to the
-    contents, a side that Spark broadcasts while it is small.
+    Names and refusals by name or size come from the listing alone; a refused upload takes no name.
+    Only archives that had to be renamed are joined to contents, as a stored table that Spark
+    broadcasts while it is small.
     """
-    archives = read_archives(spark, folder)
-    listing = archives.select("path", "modificationTime", stem(F.col("path")).alias("name"))
-    renamed = (
-        unique_names(listing, arrival="modificationTime", tie="path")
-        .where(F.col("unique_name") != F.col("name"))
-        .select("path", "unique_name")
+    uploads = list_uploads(spark, folder)
+    refused = refused_uploads(uploads, options)
+    taken = uploads.join(refused, "path", "left_anti").withColumn("name", stem(F.col("path")))
+    unique = unique_names(taken, arrival="modificationTime", tie="path")
+    renamed = materialize(
+        unique.where(F.col("unique_name") != F.col("name")).select("path", "unique_name"), "renamed-archives"
     )
-    named = archives.join(renamed, "path", "left")
-    return extracted(named, options, F.coalesce("unique_name", stem(F.col("path"))))
+    archives = read_archives(spark, folder, options.max_upload_bytes).join(renamed, "path", "left")
+    entries = extracted(archives, options, F.coalesce("unique_name", stem(F.col("path"))))
+    errors = refused.select(stem(F.col("path")).alias("repo_id"), "path", "error")
+    return entries.unionByName(errors, allowMissingColumns=True)
 
 
 def analyze(
@@ -65,7 +76,8 @@ def analyze(
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    kept = within_limit(files, options.max_extract_bytes)
+    too_large = stored("refused_repositories", oversize_repositories(files, options.max_extract_bytes))
+    kept = within_limit(files, too_large)
     listing = stored("listing", kept.select("repo_id", "path", "bytes"))
     considered = listing
     if options.max_files is not None:
@@ -77,6 +89,7 @@ def analyze(
     manifests = stored("manifests", root_manifests(kept, options.strip_top_level))
     profiles = stored("profiles", repo_profiles(listing, records, manifests, report, considered))
     return {
+        "refused_repositories": too_large,
         "listing": listing,
         "file_records": records,
         "manifests": manifests,
@@ -104,5 +117,5 @@ def analyze_archives(
     ingest(spark, source, options).write.mode("overwrite").parquet(f"{folder}/entries")
     entries = spark.read.parquet(f"{folder}/entries")
     tables = analyze(files_of(entries), folder, generated_at, options, report, directories_of(entries))
-    tables["rejected"] = entries.where(F.col("error").isNotNull()).select("repo_id", "error")
+    tables["refused_archives"] = entries.where(F.col("error").isNotNull()).select("repo_id", "path", "error")
     return tables

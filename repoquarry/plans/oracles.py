@@ -249,7 +249,7 @@ def _symbols(columns: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "s1_archive_scan": f"WITH {_ARCHIVES} SELECT string_split(path, '/')[-1] AS archive, CAST(length AS BIGINT) AS length, CASE WHEN zip THEN '' ELSE {_NOT_ZIP} END AS error FROM d JOIN len USING (doc_id)",
+    "s1_archive_scan": f"WITH {_ARCHIVES} SELECT string_split(path, '/')[-1] AS archive, CASE WHEN zip THEN CAST(length AS BIGINT) ELSE 0 END AS length, zip AS whole, CASE WHEN zip THEN '' ELSE {_NOT_ZIP} END AS error FROM d JOIN len USING (doc_id)",
     "s2_upload_guard": f"WITH {_ARCHIVES} SELECT path, CASE WHEN NOT zip THEN {_NOT_ZIP} WHEN length > {fx.MAX_UPLOAD_BYTES} THEN 'Upload too large: ' || printf('%.2f', length / 1048576.0::DOUBLE) || ' MB. Maximum allowed: {fx.MAX_UPLOAD_BYTES / 1048576:.2f} MB.' ELSE '' END AS error FROM d JOIN len USING (doc_id)",
     "s3_archive_members": f"WITH {_ARCHIVES} SELECT archive, CAST(ordinal AS INT) AS ordinal, name AS path, is_dir, bytes FROM m WHERE zip",
     "s4_path_guard": f"WITH {_ARCHIVES} SELECT archive, bool_or(unsafe) AS unsafe FROM m WHERE zip GROUP BY archive",

@@ -50,9 +50,10 @@ def _joined(names):
 def s1_archive_scan(spark, sf):
     folder = new_folder(spark, "uploads")
     write_blobs(fx.archives(spark, sf), folder).agg(F.sum("bytes")).collect()
-    scanned = ar.read_archives(spark, folder)
-    refused = ar.upload_rejection(F.col("path"), F.col("length"))
-    return scanned.select(paths.basename(F.col("path")).alias("archive"), "length", F.coalesce(refused, F.lit("")).alias("error"))
+    name = paths.basename(F.col("path")).alias("archive")
+    read = ar.read_archives(spark, folder).select(name, "length", (F.octet_length("content") == F.col("length")).alias("whole"), F.lit("").alias("error"))
+    refused = ar.refused_uploads(ar.list_uploads(spark, folder))
+    return read.unionByName(refused.select(name, F.lit(0).cast("bigint").alias("length"), F.lit(False).alias("whole"), "error"))
 
 
 @query
@@ -124,9 +125,9 @@ def s11_repo_size_guard(spark, sf):
     # Every 17th file lies below .git, which counts for the limit and is then removed.
     inside = F.when(F.col("file_id") % 17 == 0, F.concat(F.lit(".git/"), "path")).otherwise(F.col("path"))
     files = fx.files(spark, sf).drop("content").withColumn("path", inside)
-    kept = guards.within_limit(files, fx.MAX_REPO_BYTES).select("repo_id", "path", F.lit("").alias("error"))
-    refused = guards.oversize_repositories(files, fx.MAX_REPO_BYTES).select("repo_id", F.lit("").alias("path"), "error")
-    return kept.unionByName(refused)
+    too_large = materialize(guards.oversize_repositories(files, fx.MAX_REPO_BYTES), "too-large")
+    kept = guards.within_limit(files, too_large).select("repo_id", "path", F.lit("").alias("error"))
+    return kept.unionByName(too_large.select("repo_id", F.lit("").alias("path"), "error"))
 
 
 @query
@@ -444,10 +445,14 @@ def m10_pom_head(spark, sf):
 
 
 def _profiles(spark, sf):
-    """Profiles over all files; the records are written once and read by every part."""
+    return report.repo_profiles(*_stored_parts(spark, sf))
+
+
+def _stored_parts(spark, sf):
+    """Listing, records and manifests. The last two are read by several parts, so they are written first."""
+    listing = fx.files(spark, sf).select("repo_id", "path", "bytes")
     records = materialize(_records(spark, sf), "file-records")
-    files = fx.files(spark, sf).select("repo_id", "path", "bytes")
-    return report.repo_profiles(files, records, fx.manifests(spark, sf))
+    return listing, records, materialize(manifests.root_manifests(fx.manifests(spark, sf)), "manifests")
 
 
 @query
@@ -479,27 +484,20 @@ def r5_report_lines(spark, sf):
 @query
 def r6_key_files(spark, sf):
     options = ReportOptions(report_key_files=3, report_names=1)
-    records = materialize(_records(spark, sf), "file-records")
-    files = fx.files(spark, sf).select("repo_id", "path", "bytes")
-    profiles = report.repo_profiles(files, records, fx.manifests(spark, sf), options)
+    profiles = report.repo_profiles(*_stored_parts(spark, sf), options)
     lines = report.report_lines(profiles, GENERATED_AT, options)
     return lines.where(F.col("section") == 8).select("repo_id", "line_no", "line")
 
 
 @query
 def r7_overview(spark, sf):
-    lines = report.report_lines(_profiles_without(spark, sf, "README.md", "readme.txt"), GENERATED_AT)
+    listing, records, found = _stored_parts(spark, sf)
+    # Repositories with an even number go without a README.
+    found = found.where(~(F.col("repo_id").rlike("[02468]$") & F.col("path").isin(manifests.README_NAMES)))
+    lines = report.report_lines(report.repo_profiles(listing, records, found), GENERATED_AT)
     return lines.where((F.col("section") == 1) & (F.col("line_no") < 3)).select("repo_id", "line_no", "line")
 
 
-def _profiles_without(spark, sf, *names):
-    """Profiles where repositories whose number is even have none of ``names``."""
-    records = materialize(_records(spark, sf), "file-records")
-    files = fx.files(spark, sf).select("repo_id", "path", "bytes")
-    kept = fx.manifests(spark, sf).where(~(F.col("repo_id").rlike("[02468]$") & F.col("path").isin(*names)))
-    return report.repo_profiles(files, records, kept)
-
-
 @query
 def r8_prompt(spark, sf):
     return report.prompts(_profiles(spark, sf), "Describe the repository.")

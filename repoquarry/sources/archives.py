@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.functions.numbers import mib_text
@@ -28,18 +28,44 @@ INVALID_PATH = "Invalid path in ZIP file: %s"
 EXTRACT_TOO_LARGE = "Zip too large after extraction: %s MB. Maximum allowed: %s MB."
 INVALID_ZIP = "Invalid ZIP file: %s"
 
+ZIP_GLOB = "*.[zZ][iI][pP]"
+
 _BATCH_BYTES = 16 * 1024 * 1024
 
 
+def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below ``folder`` as (path, modificationTime, length); nothing is opened."""
+    return _binary(spark.read, folder).select("path", "modificationTime", "length")
+
+
 def read_archives(spark: SparkSession, folder: str, max_upload_bytes: int | None = None) -> DataFrame:
-    """Files below ``folder`` as (path, modificationTime, length, content).
+    """ZIP files below ``folder`` as (path, modificationTime, length, content).
 
-    A size limit given here reaches the scan, and larger files are never read.
+    Names are tested by the scan and the size limit is pushed into it, so other files are never read.
+    Like every file source of Spark it leaves out names that start with ``_`` or ``.``; archives under
+    such names are found by ``sources.directories``.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = _binary(spark.read.option("pathGlobFilter", ZIP_GLOB), folder)
     return found if max_upload_bytes is None else found.where(F.col("length") <= max_upload_bytes)
 
 
+def _binary(reader: DataFrameReader, folder: str) -> DataFrame:
+    return reader.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+
+
+def archives_of(files: DataFrame) -> DataFrame:
+    """Archives among ``files(repo_id, path, bytes, content)`` read from a directory listing."""
+    return files.where(F.endswith(F.lower("path"), F.lit(".zip"))).select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.col("bytes").alias("length"), "content"
+    )
+
+
+def refused_uploads(uploads: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """(path, error) of uploads refused by name or size alone."""
+    refused = uploads.withColumn("error", upload_rejection(F.col("path"), F.col("length"), options))
+    return refused.where(F.col("error").isNotNull()).select("path", "error")
+
+
 def upload_rejection(path: Column, length: Column, options: ScanOptions = ScanOptions()) -> Column:
     """Why an upload is refused by its name or size; null if it is not."""
     limit = F.lit(options.max_upload_bytes)
@@ -48,6 +74,7 @@ def upload_rejection(path: Column, length: Column, options: ScanOptions = ScanOp
     )
 
 
+# Not deterministic to Spark, so that a filter on the verdict does not list the members twice.
 @F.pandas_udf(MEMBER_LISTING)
 def _list_members(content: pd.Series) -> pd.DataFrame:
     def one(raw):
@@ -72,7 +99,7 @@ def with_members(archives: DataFrame, options: ScanOptions = ScanOptions()) -> D
     """
     refused = upload_rejection(F.col("path"), F.col("length"), options)
     checked = archives.withColumn("refused", refused)
-    listed = checked.withColumn("listing", _list_members(F.when(F.col("refused").isNull(), F.col("content"))))
+    listed = checked.withColumn("listing", _list_members.asNondeterministic()(F.when(F.col("refused").isNull(), F.col("content"))))
     return listed.withColumns(
         {"members": F.col("listing.members"), "error": F.coalesce("refused", "listing.error")}
     ).drop("refused", "listing")
@@ -128,8 +155,9 @@ def rejected_archives(archives: DataFrame, options: ScanOptions = ScanOptions())
 def extracted(archives: DataFrame, options: ScanOptions = ScanOptions(), repo_id: Column | None = None) -> DataFrame:
     """Entries of all archives: (repo_id, path, is_dir, bytes, content, error).
 
-    A refused archive, or one that fails while it is read, yields a single row with ``error``. An
-    archive's entries are held until all have been read, which the extraction limit bounds.
+    A refused archive, or one that fails while it is read, yields a single row with its own path and
+    the ``error``. An archive's entries are held until all have been read, which the extraction limit
+    bounds.
     """
     repo_id = stem(F.col("path")) if repo_id is None else repo_id
     judged = with_verdict(archives, options)
@@ -139,8 +167,7 @@ def extracted(archives: DataFrame, options: ScanOptions = ScanOptions(), repo_id
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        repo_ids, _, errors, contents = batch.columns
-        for repo_id, error, content in zip(repo_ids, errors, contents, strict=True):
+        for repo_id, path, error, content in zip(*batch.columns, strict=True):
             name, reason = repo_id.as_py(), error.as_py()
             entries = []
             if reason is None:
@@ -149,7 +176,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 except Exception as problem:
                     reason = INVALID_ZIP % problem
             if reason is not None:
-                entries = [(None, False, None, None)]
+                entries = [(path.as_py(), False, None, None)]
             for chunk in _chunks(entries):
                 rows = [(name, *entry, reason) for entry in chunk]
                 yield pa.record_batch(list(zip(*rows, strict=True)), schema=_EXTRACTED)

@@ -14,7 +14,7 @@ from repoquarry.functions.paths import stem
 from repoquarry.operators.records import file_records
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import ARCHIVES
-from repoquarry.sources.archives import extracted, files_of
+from repoquarry.sources.archives import ZIP_GLOB, extracted, files_of
 
 
 def archive_stream(spark: SparkSession, folder: str, max_archives_per_batch: int = 1000) -> DataFrame:
@@ -22,6 +22,7 @@ def archive_stream(spark: SparkSession, folder: str, max_archives_per_batch: int
         spark.readStream.format("binaryFile")
         .schema(ARCHIVES)
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", ZIP_GLOB)
         .option("maxFilesPerTrigger", max_archives_per_batch)
         .load(folder)
     )
