@@ -24,7 +24,7 @@ FALLBACK_NAME = "repo"
 def is_repository_url(url: Column) -> Column:
     cleaned = strip(url)
     matches = [cleaned.rlike(java_pattern(form, ignore_case=True)) for form in URL_FORMS]
-    return matches[0] | matches[1] | matches[2]
+    return F.coalesce(matches[0] | matches[1] | matches[2], F.lit(False))
 
 
 def url_error(url: Column) -> Column:

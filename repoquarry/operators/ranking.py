@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,28 +32,31 @@ def first_per_key(
     return df.withColumn(rank, F.row_number().over(by_key)).where(F.col(rank) <= n)
 
 
-def rank_within(df: DataFrame, key: str, arrival: str, tie: str, rank: str = "rank") -> DataFrame:
+def rank_within(
+    df: DataFrame, key: str, arrival: str, tie: str, rank: str = "rank", ranges: int = 200
+) -> DataFrame:
     """Numbers all rows of every key from 0 by (``arrival``, ``tie``), for keys of any size.
 
     Arrival values are cut into ranges at approximate quantiles. Each (key, range) is ranked on its
     own and shifted by the number of earlier rows of the key, so no task holds a whole key. The
     quantiles only balance the work; the ranks are exact whatever they are.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clock = F.col(arrival).cast("double")
-    cuts = df.agg(
-        F.percentile_approx(clock, [i / parts for i in range(1, parts)], F.lit(1000)).alias("cuts")
-    ).first()["cuts"] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda cut: cut < clock)))
+    quantiles = F.percentile_approx(clock, [i / ranges for i in range(1, ranges)], F.lit(10 * ranges))
+    cuts = sorted(set(df.agg(quantiles.alias("cuts")).first()["cuts"] or []))
+    number = reduce(lambda chain, i: chain.when(clock <= cuts[i], i), range(len(cuts)), F.when(clock.isNull(), -1))
+    ranged = df.withColumn("_range", number.otherwise(len(cuts)))
     sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(
+        F.col(key).alias("_key"),
+        F.col("_range").alias("_part"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+    )
     inside = Window.partitionBy(key, "_range").orderBy(arrival, tie)
     return (
         ranged.withColumn(rank, F.row_number().over(inside) - 1)
-        .join(offsets, [key, "_range"])
+        .join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_part")))
         .withColumn(rank, F.col(rank) + F.col("_before"))
-        .drop("_range", "_before")
+        .drop("_range", "_key", "_part", "_before")
     )

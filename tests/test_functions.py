@@ -128,6 +128,11 @@ def test_repository_name(spark):
     assert [evaluated(spark, [v], urls.repository_name)[0] for v in list(GOOD_URLS)[:3]] == ["repo"] * 3
 
 
+def test_missing_url(spark):
+    assert evaluated(spark, [None, ""], urls.is_repository_url) == [False, False]
+    assert evaluated(spark, [None, ""], urls.repository_name) == ["repo", "repo"]
+
+
 def test_strict_name_keeps_inner_git(spark):
     values = ["https://github.com/o/u.github.io", "https://github.com/o/u.git.git"]
     assert evaluated(spark, values, lambda v: urls.repository_name(v, strict=True)) == ["u.github.io", "u.git"]

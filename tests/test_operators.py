@@ -69,6 +69,11 @@ def test_rank_within_equals_plain_sort(spark, spread):
     assert rows(found, "k", "rank", "t", "i") == expected
 
 
+def test_rank_within_keeps_missing_keys_and_times(spark):
+    df = spark.createDataFrame([(None, 1, 0), (None, None, 1), ("a", None, 2), (None, 2, 3)], "k string, t int, i int")
+    assert sorted((r["i"], r["rank"]) for r in rank_within(df, "k", "t", "i").collect()) == [(0, 1), (1, 0), (2, 0), (3, 2)]
+
+
 def test_rank_within_splits_a_hot_key(spark):
     hot = spark.range(1000).select(F.expr("if(id >= 0, 'hot', 'cold')").alias("k"), "id")
     exchanged = [line for line in plan(rank_within(hot, "k", "id", "id")).splitlines() if "Window [row_number" in line]
