@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repoquarry.functions.patterns import SPACE
+# All white space of Unicode as str.strip() sees it; it lies below U+3001.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-# The line boundaries of str.splitlines().
-_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+# The line boundaries of str.splitlines(): those of Unicode and three information separators.
+_LINE_END = r"\R|[\x1C-\x1E]"
 
 _REPLACEMENT = "\ufffd"
 _ESCAPE = "\uf8ff"
@@ -30,12 +33,11 @@ def decode_utf8(content: Column) -> Column:
 
 
 def rstrip(text: Column) -> Column:
-    # The look-behind starts each attempt at the head of a run, so long inner runs stay linear.
-    return F.regexp_replace(text, rf"(?U)(?<!{SPACE}){SPACE}++\z", "")
+    return F.rtrim(text, F.lit(_SPACES))
 
 
 def strip(text: Column) -> Column:
-    return rstrip(F.regexp_replace(text, rf"(?U)\A{SPACE}++", ""))
+    return F.trim(text, F.lit(_SPACES))
 
 
 def lines(text: Column, limit: int | None = None) -> Column:
@@ -43,12 +45,21 @@ def lines(text: Column, limit: int | None = None) -> Column:
 
     The limit also stops the splitting, so a head of a long text costs only that head.
     """
-    parts = F.split(text, _LINE_END, -1 if limit is None else limit + 1)
-    count = F.size(parts)
-    count = F.when(F.element_at(parts, -1) == "", count - 1).otherwise(count)
-    if limit is not None:
-        count = F.least(count, F.lit(limit))
-    return F.slice(parts, F.lit(1), count)
+
+    def without_empty_end(parts: Column) -> Column:
+        count = F.when(F.element_at(parts, -1) == "", F.size(parts) - 1).otherwise(F.size(parts))
+        return F.slice(parts, F.lit(1), count if limit is None else F.least(count, F.lit(limit)))
+
+    return computed_once(F.split(text, _LINE_END, -1 if limit is None else limit + 1), without_empty_end)
+
+
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``value`` is costly and used more than once.
+
+    Generators and conditional branches do not share common parts of an expression; a variable of a
+    lambda function is computed once.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def head_lines(text: Column, n: int) -> Column:

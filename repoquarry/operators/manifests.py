@@ -64,13 +64,14 @@ def packages(manifests: DataFrame) -> DataFrame:
 
     Texts that are not one JSON object, and empty objects, count as no file.
     """
-    text = read_text(F.col("content"))
+    texts = preferred(manifests, PACKAGE_NAMES).select("repo_id", read_text(F.col("content")).alias("text"))
     # Wrapped in a list, so that text after the object makes it invalid.
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT_JSON)
-    one_object = (F.size(wrapped) == 1) & (F.size(F.get(wrapped, F.lit(0))) > 0)
-    keys = F.map_keys(F.get(wrapped, F.lit(0)))
-    parsed = preferred(manifests, PACKAGE_NAMES).select("repo_id", text.alias("text"), keys.alias("keys"), one_object.alias("valid"))
-    read = parsed.where("valid").select("repo_id", "keys", F.from_json("text", PACKAGE_JSON, _STRICT_JSON).alias("p"))
+    wrapped = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<map<string,string>>", _STRICT_JSON)
+    objects = texts.withColumn("objects", wrapped).where(F.size("objects") == 1)
+    given = objects.select("repo_id", "text", F.map_keys(F.get("objects", F.lit(0))).alias("keys"))
+    read = given.where(F.size("keys") > 0).select(
+        "repo_id", "keys", F.from_json("text", PACKAGE_JSON, _STRICT_JSON).alias("p")
+    )
     return read.select(
         "repo_id",
         *[_field(name).alias(name) for name in ("name", "version", "description")],

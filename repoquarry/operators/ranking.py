@@ -33,7 +33,13 @@ def first_per_key(
 
 
 def rank_within(
-    df: DataFrame, key: str, arrival: str, tie: str, rank: str = "rank", ranges: int = 200
+    df: DataFrame,
+    key: str,
+    arrival: str,
+    tie: str,
+    rank: str = "rank",
+    rows_per_range: int = 1_000_000,
+    max_ranges: int = 200,
 ) -> DataFrame:
     """Numbers all rows of every key from 0 by (``arrival``, ``tie``), for keys of any size.
 
@@ -42,8 +48,12 @@ def rank_within(
     quantiles only balance the work; the ranks are exact whatever they are.
     """
     clock = F.col(arrival).cast("double")
-    quantiles = F.percentile_approx(clock, [i / ranges for i in range(1, ranges)], F.lit(10 * ranges))
-    cuts = sorted(set(df.agg(quantiles.alias("cuts")).first()["cuts"] or []))
+    grid = [i / max_ranges for i in range(1, max_ranges)]
+    counted = df.agg(
+        F.count("*").alias("n"), F.percentile_approx(clock, grid, F.lit(10 * max_ranges)).alias("cuts")
+    ).first()
+    ranges = min(max_ranges, counted["n"] // rows_per_range + 1)
+    cuts = sorted({counted["cuts"][i * max_ranges // ranges - 1] for i in range(1, ranges)} if counted["cuts"] else set())
     number = reduce(lambda chain, i: chain.when(clock <= cuts[i], i), range(len(cuts)), F.when(clock.isNull(), -1))
     ranged = df.withColumn("_range", number.otherwise(len(cuts)))
     sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))

@@ -61,7 +61,8 @@ def test_first_per_key_equals_plain_sort_when_one_key_is_hot(spark):
 def test_rank_within_equals_plain_sort(spark, spread):
     pick = random.Random(2)
     data = [("hot" if i % 3 else f"k{i % 5}", pick.randint(0, spread), i) for i in range(500)]
-    found = rank_within(spark.createDataFrame(data, "k string, t int, i int").repartition(5), "k", "t", "i")
+    df = spark.createDataFrame(data, "k string, t int, i int").repartition(5)
+    found = rank_within(df, "k", "t", "i", rows_per_range=7)
     groups = defaultdict(list)
     for k, t, i in data:
         groups[k].append((t, i))
@@ -71,7 +72,7 @@ def test_rank_within_equals_plain_sort(spark, spread):
 
 def test_rank_within_keeps_missing_keys_and_times(spark):
     df = spark.createDataFrame([(None, 1, 0), (None, None, 1), ("a", None, 2), (None, 2, 3)], "k string, t int, i int")
-    assert sorted((r["i"], r["rank"]) for r in rank_within(df, "k", "t", "i").collect()) == [(0, 1), (1, 0), (2, 0), (3, 2)]
+    assert sorted((r["i"], r["rank"]) for r in rank_within(df, "k", "t", "i", rows_per_range=1).collect()) == [(0, 1), (1, 0), (2, 0), (3, 2)]
 
 
 def test_rank_within_splits_a_hot_key(spark):
