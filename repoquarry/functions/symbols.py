@@ -44,7 +44,10 @@ def _captures(source: Column, patterns: list[str]) -> Column:
     return F.array_sort(F.array_distinct(reduce(lambda a, b: F.concat(a, b), found)))
 
 
-def regex_extractor(functions: list[str], classes: list[str], imports: list[str]) -> Callable[[Column], dict]:
+Extractor = Callable[[Column], dict[str, Column]]
+
+
+def regex_extractor(functions: list[str], classes: list[str], imports: list[str]) -> Extractor:
     """An extractor for a language described by patterns with one capture group each."""
     patterns = {"functions": functions, "classes": classes, "imports": imports}
     return lambda source: {kind: _captures(source, p) for kind, p in patterns.items()}
@@ -54,7 +57,7 @@ javascript_symbols = regex_extractor(JS_FUNCTIONS, JS_CLASSES, JS_IMPORTS)
 java_symbols = regex_extractor(JAVA_FUNCTIONS, JAVA_CLASSES, JAVA_IMPORTS)
 
 # Language -> extractor over the text. TypeScript is read as JavaScript. Python has its own job.
-REGEX_EXTRACTORS: dict[str, Callable[[Column], dict]] = {
+REGEX_EXTRACTORS: dict[str, Extractor] = {
     "javascript": javascript_symbols,
     "typescript": javascript_symbols,
     "java": java_symbols,

@@ -22,27 +22,31 @@ MANIFEST_NAMES = README_NAMES + PACKAGE_NAMES + REQUIREMENTS_NAMES + POM_NAMES
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 
 
-def root_manifests(files: DataFrame, strip_top_level: bool = False) -> DataFrame:
+def is_manifest(path: Column, strip_top_level: bool = False) -> Column:
+    """Whether ``path`` may name a manifest: at the root or, with ``strip_top_level``, one folder below."""
+    if not strip_top_level:
+        return path.isin(MANIFEST_NAMES)
+    return basename(path).isin(MANIFEST_NAMES) & (depth(path) <= 1)
+
+
+def root_manifests(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Manifest files at the root: (repo_id, path, content).
 
-    ``strip_top_level`` looks below the one folder that wraps a whole repository.
+    Given the whole ``listing``, the one folder that wraps all files of a repository is removed first.
     """
-    if not strip_top_level:
-        return files.where(F.col("path").isin(MANIFEST_NAMES)).select("repo_id", "path", "content")
+    if listing is None:
+        return files.where(is_manifest(F.col("path"))).select("repo_id", "path", "content")
     top = F.substring_index("path", "/", 1)
     wrapped = (
-        files.groupBy("repo_id")
+        listing.groupBy("repo_id")
         .agg(F.min(top).alias("top"), F.max(top).alias("last"), F.min(depth(F.col("path"))).alias("above"))
         .where((F.col("top") == F.col("last")) & (F.col("above") > 0))
         .select("repo_id", "top")
     )
-    found = files.where((depth(F.col("path")) <= 1) & basename(F.col("path")).isin(MANIFEST_NAMES))
+    found = files.where(is_manifest(F.col("path"), strip_top_level=True))
     inside = F.coalesce(F.substr("path", F.length("top") + 2), F.col("path"))
-    return (
-        found.join(wrapped, "repo_id", "left")
-        .select("repo_id", inside.alias("path"), "content")
-        .where(F.col("path").isin(MANIFEST_NAMES))
-    )
+    unwrapped = found.join(wrapped, "repo_id", "left").select("repo_id", inside.alias("path"), "content")
+    return unwrapped.where(is_manifest(F.col("path")))
 
 
 def preferred(manifests: DataFrame, names: list[str]) -> DataFrame:

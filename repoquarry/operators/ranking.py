@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repoquarry.sources.shared import materialize
+
 
 def first_per_key(
     df: DataFrame,
@@ -33,29 +33,18 @@ def first_per_key(
 
 
 def rank_within(
-    df: DataFrame,
-    key: str,
-    arrival: str,
-    tie: str,
-    rank: str = "rank",
-    rows_per_range: int = 1_000_000,
-    max_ranges: int = 200,
+    df: DataFrame, key: str, arrival: str, tie: str, rank: str = "rank", ranges: int | None = None
 ) -> DataFrame:
     """Numbers all rows of every key from 0 by (``arrival``, ``tie``), for keys of any size.
 
-    Arrival values are cut into ranges at approximate quantiles. Each (key, range) is ranked on its
-    own and shifted by the number of earlier rows of the key, so no task holds a whole key. The
-    quantiles only balance the work; the ranks are exact whatever they are.
+    Rows are laid out in ranges of (key, arrival, tie) and stored with the number of their range, so a
+    hot key, even one with a single arrival time, spans many ranges. Each (key, range) is ranked on
+    its own and shifted by the rows of the key in earlier ranges. Stored range numbers are the same
+    for every reader, which a repeated sampling would not promise.
     """
-    clock = F.col(arrival).cast("double")
-    grid = [i / max_ranges for i in range(1, max_ranges)]
-    counted = df.agg(
-        F.count("*").alias("n"), F.percentile_approx(clock, grid, F.lit(10 * max_ranges)).alias("cuts")
-    ).first()
-    ranges = min(max_ranges, counted["n"] // rows_per_range + 1)
-    cuts = sorted({counted["cuts"][i * max_ranges // ranges - 1] for i in range(1, ranges)} if counted["cuts"] else set())
-    number = reduce(lambda chain, i: chain.when(clock <= cuts[i], i), range(len(cuts)), F.when(clock.isNull(), -1))
-    ranged = df.withColumn("_range", number.otherwise(len(cuts)))
+    order = [F.col(key), F.col(arrival), F.col(tie)]
+    laid_out = df.repartitionByRange(*([ranges] if ranges else []), *order)
+    ranged = materialize(laid_out.withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -70,3 +59,22 @@ def rank_within(
         .withColumn(rank, F.col(rank) + F.col("_before"))
         .drop("_range", "_key", "_part", "_before")
     )
+
+
+def sum_below(df: DataFrame, key: str, position: str, value: Column, total: str, width: int = 1_000_000) -> DataFrame:
+    """Adds ``total``: the sum of ``value`` over the key's rows at lower positions.
+
+    Positions are distinct within a key. Rows are summed within blocks of ``width`` positions, and the
+    totals of earlier blocks are added, so no task holds all rows of a key.
+    """
+    blocks = df.withColumn("_block", F.floor(F.col(position) / width)).withColumn("_value", value)
+    within = Window.partitionBy(key, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy(key, "_block").agg(F.sum("_value").alias("_sum"))
+    offsets = totals.select(key, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    return (
+        blocks.withColumn(total, F.coalesce(F.sum("_value").over(within), F.lit(0)))
+        .join(offsets, [key, "_block"])
+        .withColumn(total, F.col(total) + F.col("_before"))
+        .drop("_block", "_value", "_before")
+    )

@@ -5,43 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions.languages import language_of
-from repoquarry.functions.symbols import REGEX_EXTRACTORS, python_symbols
+from repoquarry.functions.languages import PARSEABLE_LANGUAGES, is_parseable, language_of
+from repoquarry.functions.symbols import REGEX_EXTRACTORS, Extractor, python_symbols
 from repoquarry.functions.text import decode_utf8
 from repoquarry.operators.files import oversize_mark, parseable_files
+from repoquarry.operators.manifests import is_manifest
 from repoquarry.options import ScanOptions
 
 KINDS = ["functions", "classes", "imports"]
 
 
-def file_records(files: DataFrame, options: ScanOptions = ScanOptions(), extractors: dict | None = None) -> DataFrame:
+def file_records(
+    files: DataFrame, options: ScanOptions = ScanOptions(), extractors: dict[str, Extractor] | None = None
+) -> DataFrame:
     """Symbols of every parseable file, in one pass and without a shuffle.
 
     Content above the size limit is dropped by its size before it is decoded. Python files go to the
-    Arrow job as bytes, all others to regular expressions as text; a row carries only one of the two.
+    Arrow job as bytes, all others to regular expressions as text.
     """
+    return _extracted(parseable_files(files), options, extractors).drop("manifest")
+
+
+def records_and_manifests(
+    files: DataFrame, options: ScanOptions = ScanOptions(), extractors: dict[str, Extractor] | None = None
+) -> DataFrame:
+    """File records and, as further rows with ``manifest`` content, possible manifests.
+
+    For a job that needs both, this reads all contents once instead of twice. Store the result, then
+    split it with ``records_of`` and ``manifests_of``.
+    """
+    wanted = is_parseable(F.col("path")) | is_manifest(F.col("path"), options.strip_top_level)
+    return _extracted(files.where(wanted), options, extractors)
+
+
+def records_of(scanned: DataFrame) -> DataFrame:
+    return scanned.where(F.col("language").isin(PARSEABLE_LANGUAGES)).drop("manifest")
+
+
+def manifests_of(scanned: DataFrame) -> DataFrame:
+    """Possible manifests as files(repo_id, path, content)."""
+    return scanned.where(F.col("manifest").isNotNull()).select("repo_id", "path", F.col("manifest").alias("content"))
+
+
+def _extracted(files: DataFrame, options: ScanOptions, extractors: dict[str, Extractor] | None) -> DataFrame:
     extractors = REGEX_EXTRACTORS if extractors is None else extractors
     language = F.col("language")
     skipped = oversize_mark(F.col("bytes"), options.max_file_bytes)
-    routed = (
-        parseable_files(files)
-        .select(
-            "repo_id",
-            "path",
-            "bytes",
-            language_of(F.col("path")).alias("language"),
-            skipped.alias("skipped"),
-            F.when(skipped.isNull(), F.col("content")).alias("content"),
-        )
-        .select(
-            "repo_id",
-            "path",
-            "bytes",
-            "language",
-            "skipped",
-            F.when(language == "python", F.col("content")).alias("raw"),
-            F.when(language != "python", decode_utf8(F.col("content"))).alias("source"),
-        )
+    manifest = F.when(is_manifest(F.col("path"), options.strip_top_level), F.col("content"))
+    routed = files.select(
+        "repo_id",
+        "path",
+        "bytes",
+        language_of(F.col("path")).alias("language"),
+        skipped.alias("skipped"),
+        F.when(skipped.isNull(), F.col("content")).alias("kept"),
+        manifest.alias("manifest"),
+    )
+    split = routed.select(
+        "repo_id",
+        "path",
+        "bytes",
+        "language",
+        "skipped",
+        "manifest",
+        F.when(language == "python", F.col("kept")).alias("raw"),
+        F.when(language.isin(list(extractors)), decode_utf8(F.col("kept"))).alias("source"),
     )
     columns = {kind: F.when(language == "python", F.col(f"python.{kind}")) for kind in KINDS}
     for extractor in dict.fromkeys(extractors.values()):
@@ -49,7 +77,7 @@ def file_records(files: DataFrame, options: ScanOptions = ScanOptions(), extract
         for kind, names in extractor(F.col("source")).items():
             columns[kind] = columns[kind].when(language.isin(spoken), names)
     return (
-        routed.withColumn("python", python_symbols(F.col("raw"), options.extended_python))
+        split.withColumn("python", python_symbols(F.col("raw"), options.extended_python))
         .select(
             "repo_id",
             "path",
@@ -58,6 +86,7 @@ def file_records(files: DataFrame, options: ScanOptions = ScanOptions(), extract
             F.col("python.error").alias("error"),
             "skipped",
             "bytes",
+            "manifest",
         )
         .withColumn("status", status())
     )

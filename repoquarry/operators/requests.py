@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions.urls import is_repository_url, repository_name, url_error
-from repoquarry.operators.ranking import rank_within
+from repoquarry.operators.ranking import rank_within, sum_below
 from repoquarry.sources.shared import materialize
 
 
@@ -61,7 +61,10 @@ def _with_suffix(ranked: DataFrame, suffix: Column) -> DataFrame:
 
 
 def _contests(ranked: DataFrame, came: Column) -> DataFrame:
-    """Requested names ``child`` that are the ``j``-th variant of another requested name ``parent``."""
+    """Requested names ``child`` that are the ``j``-th variant of another requested name ``parent``.
+
+    No suffix ever exceeds the number of requests, so variants beyond it are not contested.
+    """
     names = ranked.groupBy("_name").agg(F.min(came).alias("first"))
     variant = r"(?s)^(.*)_([1-9][0-9]*)\z"
     children = names.where(F.col("_name").rlike(variant)).select(
@@ -72,7 +75,8 @@ def _contests(ranked: DataFrame, came: Column) -> DataFrame:
         F.lit(False).alias("child_wins"),
         F.lit(False).alias("child_loses"),
     )
-    return children.join(names.select(F.col("_name").alias("parent")), "parent", "left_semi")
+    reachable = children.where(F.col("j") <= ranked.count())
+    return reachable.join(names.select(F.col("_name").alias("parent")), "parent", "left_semi")
 
 
 def _settle(contests: DataFrame, ranked: DataFrame, came: Column) -> DataFrame:
@@ -81,12 +85,10 @@ def _settle(contests: DataFrame, ranked: DataFrame, came: Column) -> DataFrame:
     ``claim`` is the rank of the parent's request that reaches the name; it competes with the first
     request for the name itself.
     """
-    below = Window.partitionBy("parent").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    passed = F.coalesce(F.sum(F.col("child_wins").cast("bigint")).over(below), F.lit(0))
     lost = contests.where("child_loses").select(F.col("child").alias("parent"), F.lit(1).alias("lost"))
+    known = contests.select("parent", "child", "j", "first", "child_wins", "child_loses")
     claims = (
-        contests.select("parent", "child", "j", "first", "child_wins", "child_loses")
-        .withColumn("passed", passed)
+        sum_below(known, "parent", "j", F.col("child_wins").cast("bigint"), "passed")
         .join(lost, "parent", "left")
         .withColumn("claim", F.col("j") - F.col("passed") - F.coalesce("lost", F.lit(0)))
     )

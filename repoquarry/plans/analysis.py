@@ -11,7 +11,7 @@ from repoquarry.functions.paths import stem
 from repoquarry.operators.files import capped
 from repoquarry.operators.guards import oversize_repositories, within_limit
 from repoquarry.operators.manifests import root_manifests
-from repoquarry.operators.records import file_records, symbol_index
+from repoquarry.operators.records import manifests_of, records_and_manifests, records_of, symbol_index
 from repoquarry.operators.report import INSTRUCTIONS, prompts, repo_profiles, reports
 from repoquarry.operators.requests import unique_names
 from repoquarry.operators.stats import by_language, import_usage, largest_files, repo_stats
@@ -67,8 +67,8 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """Write every table below ``folder`` and return them by name.
 
-    ``files`` should be a stored table. Its contents are read once for records and once, filtered by
-    name, for manifests; everything else works on names, sizes and the written records.
+    ``files`` should be a stored table. Contents are read once, for records and manifests together;
+    everything else works on names, sizes and the tables written before.
     """
     spark = files.sparkSession
 
@@ -79,14 +79,13 @@ def analyze(
     too_large = stored("refused_repositories", oversize_repositories(files, options.max_extract_bytes))
     kept = within_limit(files, too_large)
     listing = stored("listing", kept.select("repo_id", "path", "bytes"))
-    considered = listing
+    scanned = stored("scanned", records_and_manifests(kept, options))
+    manifests = root_manifests(manifests_of(scanned), listing if options.strip_top_level else None)
+    considered, records = listing, records_of(scanned)
     if options.max_files is not None:
         considered = stored("considered", capped(listing, options.max_files, directories))
-    records = file_records(kept, options)
-    if options.max_files is not None:
         records = records.join(considered.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     records = stored("file_records", records)
-    manifests = stored("manifests", root_manifests(kept, options.strip_top_level))
     profiles = stored("profiles", repo_profiles(listing, records, manifests, report, considered))
     return {
         "refused_repositories": too_large,

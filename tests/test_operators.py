@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from repoquarry.functions.symbols import JAVA_CLASSES, REGEX_EXTRACTORS, regex_extractor
 from repoquarry.operators import files as fo
 from repoquarry.operators import guards, layout, manifests, requests, stats, summaries, tree
-from repoquarry.operators.ranking import first_per_key, rank_within
-from repoquarry.operators.records import file_records, symbol_index
+from repoquarry.operators.ranking import first_per_key, rank_within, sum_below
+from repoquarry.operators.records import (
+    file_records,
+    manifests_of,
+    records_and_manifests,
+    records_of,
+    symbol_index,
+)
 from repoquarry.options import ScanOptions
 
 MIB = 1024 * 1024
@@ -57,12 +63,12 @@ def test_first_per_key_equals_plain_sort_when_one_key_is_hot(spark):
     assert rows(found, "k", "rank", "v", "i") == expected
 
 
-@pytest.mark.parametrize("spread", [1, 50, 10_000])
+@pytest.mark.parametrize("spread", [0, 1, 50, 10_000])
 def test_rank_within_equals_plain_sort(spark, spread):
     pick = random.Random(2)
     data = [("hot" if i % 3 else f"k{i % 5}", pick.randint(0, spread), i) for i in range(500)]
     df = spark.createDataFrame(data, "k string, t int, i int").repartition(5)
-    found = rank_within(df, "k", "t", "i", rows_per_range=7)
+    found = rank_within(df, "k", "t", "i", ranges=7)
     groups = defaultdict(list)
     for k, t, i in data:
         groups[k].append((t, i))
@@ -72,14 +78,25 @@ def test_rank_within_equals_plain_sort(spark, spread):
 
 def test_rank_within_keeps_missing_keys_and_times(spark):
     df = spark.createDataFrame([(None, 1, 0), (None, None, 1), ("a", None, 2), (None, 2, 3)], "k string, t int, i int")
-    assert sorted((r["i"], r["rank"]) for r in rank_within(df, "k", "t", "i", rows_per_range=1).collect()) == [(0, 1), (1, 0), (2, 0), (3, 2)]
+    assert sorted((r["i"], r["rank"]) for r in rank_within(df, "k", "t", "i", ranges=3).collect()) == [(0, 1), (1, 0), (2, 0), (3, 2)]
 
 
 def test_rank_within_splits_a_hot_key(spark):
-    hot = spark.range(1000).select(F.expr("if(id >= 0, 'hot', 'cold')").alias("k"), "id")
-    exchanged = [line for line in plan(rank_within(hot, "k", "id", "id")).splitlines() if "Window [row_number" in line]
-    assert exchanged
-    assert all("_range" in line for line in exchanged)
+    hot = spark.range(1000).select(F.lit("hot").alias("k"), F.lit(1).alias("t"), "id")
+    ranked = rank_within(hot, "k", "t", "id", ranges=6)
+    [folder] = {path.rpartition("/")[0] for path in ranked.inputFiles()}
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy("_range").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 400
+    assert rows(ranked, "rank", "id") == [(i, i) for i in range(1000)]
+
+
+@pytest.mark.parametrize("width", [1, 10, 1000])
+def test_sum_below_equals_a_running_sum(spark, width):
+    pick = random.Random(4)
+    data = [("a", p, pick.randint(0, 3)) for p in pick.sample(range(200), 60)] + [("b", 5, 1)]
+    df = spark.createDataFrame(data, "k string, p bigint, v int")
+    expected = sorted((k, p, sum(v for j, q, v in data if (j, q) < (k, p) and j == k)) for k, p, _ in data)
+    assert rows(sum_below(df, "k", "p", F.col("v"), "total", width), "k", "p", "total") == expected
 
 
 # Unique names
@@ -232,6 +249,24 @@ def test_extended_python_and_own_extractor(spark):
     assert (found["B.java"]["classes"], found["B.java"]["imports"]) == (["B"], ["B"])
 
 
+@pytest.mark.parametrize("strip", [False, True])
+def test_records_and_manifests_come_from_one_pass(spark, strip):
+    contents = {
+        ("r", "a.py"): b"def f(): pass",
+        ("r", "README"): b"\xfftext",
+        ("r", "top/pom.xml"): b"<p/>",
+        ("r", "x.go"): b"",
+        ("r", "package.json"): b"{" + b" " * 50 + b"}",
+    }
+    files = files_table(spark, contents)
+    options = ScanOptions(max_file_bytes=40, strip_top_level=strip)
+    scanned = records_and_manifests(files, options)
+    assert rows(records_of(scanned)) == rows(file_records(files, options))
+    found = {r["path"]: bytes(r["content"]) for r in manifests_of(scanned).collect()}
+    names = {"README", "package.json"} | ({"top/pom.xml"} if strip else set())
+    assert found == {path: raw for (_, path), raw in contents.items() if path in names}
+
+
 def test_symbol_index_keeps_order_and_repeats(spark):
     files = files_table(spark, {("r", "a.py"): b"def g(): pass\ndef g(): pass\nclass C: pass\nimport z\n"})
     found = rows(symbol_index(file_records(files)), "kind", "pos", "name")
@@ -413,7 +448,7 @@ def test_wrapping_folder_can_be_removed(spark):
     }
     files = files_table(spark, contents)
     assert rows(manifests.root_manifests(files), "repo_id", "path") == [("plain", "README.md")]
-    found = rows(manifests.root_manifests(files, strip_top_level=True), "repo_id", "path")
+    found = rows(manifests.root_manifests(files, listing=files), "repo_id", "path")
     assert found == [("plain", "README.md"), ("wrapped", "README.md")]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.operators import files as fo
 from repoquarry.operators import guards, manifests, stats, tree
-from repoquarry.operators.records import file_records, symbol_index
+from repoquarry.operators.records import file_records, records_and_manifests, symbol_index
 from repoquarry.operators.summaries import bullet_summaries
 from repoquarry.sources import archives as ar
 
@@ -71,6 +71,13 @@ def test_python_files_are_parsed_once(files):
         assert plan(df).count("ArrowEvalPython") == 1
 
 
+def test_records_and_manifests_read_contents_once(files):
+    text = plan(records_and_manifests(files))
+    assert text.count("FileScan") == 1
+    assert text.count("ArrowEvalPython") == 1
+    assert exchanges(records_and_manifests(files)) == []
+
+
 def test_archives_are_listed_once(spark):
     archives = spark.createDataFrame([("a.zip", 1, bytearray(b"x"))], "path string, length bigint, content binary")
     for df in (ar.rejected_archives(archives), ar.with_verdict(archives), ar.extracted(archives)):
