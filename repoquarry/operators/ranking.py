@@ -71,10 +71,14 @@ def sum_below(df: DataFrame, key: str, position: str, value: Column, total: str,
     within = Window.partitionBy(key, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocks.groupBy(key, "_block").agg(F.sum("_value").alias("_sum"))
-    offsets = totals.select(key, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    offsets = totals.select(
+        F.col(key).alias("_key"),
+        F.col("_block").alias("_part"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+    )
     return (
         blocks.withColumn(total, F.coalesce(F.sum("_value").over(within), F.lit(0)))
-        .join(offsets, [key, "_block"])
+        .join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_part")))
         .withColumn(total, F.col(total) + F.col("_before"))
-        .drop("_block", "_value", "_before")
+        .drop("_block", "_value", "_key", "_part", "_before")
     )

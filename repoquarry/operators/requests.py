@@ -31,77 +31,89 @@ def unique_names(requests: DataFrame, name: str = "name", arrival: str = "req_id
     """Adds ``unique_name``: the first of ``x``, ``x_1``, ``x_2``, ... no earlier request has taken.
 
     Almost always the suffix is the rank of the request among those for the same name. It is larger
-    where other requests name ``x_3`` itself: the request that came first holds such a contested
-    name, and the loser moves one on, as do all later requests for the loser's name. These shifts
-    decide who competes for the next contested name, so a small table of contests is settled in
+    where other requests name ``x_3`` itself: whichever request comes first holds such a contested
+    name, and the loser moves one on, as do all later requests for the loser's name. Those shifts
+    decide which request competes for the next contested name, so the table of contests is settled in
     rounds until nothing changes. A contest depends only on those of lower suffixes and of shorter
     names, which is why the rounds end, and end in the one right answer.
     """
-    ranked = materialize(rank_within(requests.withColumn("_name", F.col(name)), "_name", arrival, tie), "ranked-names")
-    came = F.struct(F.col(arrival).alias("at"), F.col(tie).alias("tie"))
-    contests = materialize(_contests(ranked, came), "name-contests")
+    asked = requests.withColumn("_name", F.col(name))
+    ranked = materialize(rank_within(asked, "_name", arrival, tie), "ranked-names")
+    times = ranked.select("_name", F.col(arrival).alias("at"), F.col(tie).alias("tie"))
+    contests = materialize(_contests(times), "name-contests")
     if contests.isEmpty():
         return _with_suffix(ranked, F.col("rank"))
-    settled = materialize(_settle(contests, ranked, came), "name-contests")
+    settled = materialize(_with_earlier_requests(contests, times), "name-contests")
     while not settled.where("changed").isEmpty():
-        settled = materialize(_settle(settled, ranked, came), "name-contests")
+        settled = materialize(_settle(settled), "name-contests")
 
-    passed = settled.where("child_wins").groupBy(F.col("parent").alias("_name")).agg(F.collect_list("claim").alias("_passed"))
-    lost = settled.where("child_loses").select(F.col("child").alias("_name"), F.lit(1).alias("_lost"))
-    joined = ranked.join(passed, "_name", "left").join(lost, "_name", "left")
-    passed_slots = F.when(F.col("_passed").isNull(), 0).otherwise(
-        F.size(F.filter("_passed", lambda claim: claim <= F.col("rank")))
-    )
-    return _with_suffix(joined, F.col("rank") + passed_slots + F.coalesce("_lost", F.lit(0)))
+    passed = settled.where("child_wins").groupBy("parent", "claim").agg(F.count("*").alias("_passed"))
+    lost = settled.where(~F.col("child_wins")).select(F.col("child").alias("_name"), F.lit(1).alias("_lost"))
+    claims = passed.withColumnsRenamed({"parent": "_name", "claim": "rank"})
+    shifted = ranked.join(claims, ["_name", "rank"], "left").withColumn("_passed", F.coalesce("_passed", F.lit(0)))
+    shifted = sum_below(shifted, "_name", "rank", F.col("_passed"), "_below").join(lost, "_name", "left")
+    suffix = F.col("rank") + F.col("_below") + F.col("_passed") + F.coalesce("_lost", F.lit(0))
+    return _with_suffix(shifted, suffix)
 
 
 def _with_suffix(ranked: DataFrame, suffix: Column) -> DataFrame:
     chosen = F.when(suffix == 0, F.col("_name")).otherwise(F.concat_ws("_", "_name", suffix))
-    return ranked.withColumn("unique_name", chosen).drop("_name", "rank", "_passed", "_lost")
+    return ranked.withColumn("unique_name", chosen).drop("_name", "rank", "_passed", "_below", "_lost")
 
 
-def _contests(ranked: DataFrame, came: Column) -> DataFrame:
+def _contests(times: DataFrame) -> DataFrame:
     """Requested names ``child`` that are the ``j``-th variant of another requested name ``parent``.
 
-    No suffix ever exceeds the number of requests, so variants beyond it are not contested.
+    ``at`` and ``tie`` are those of the first request for the child. No suffix ever exceeds the number
+    of requests, so variants beyond it are not contested.
     """
-    names = ranked.groupBy("_name").agg(F.min(came).alias("first"))
+    names = times.groupBy("_name").agg(F.min(F.struct("at", "tie")).alias("first"))
     variant = r"(?s)^(.*)_([1-9][0-9]*)\z"
     children = names.where(F.col("_name").rlike(variant)).select(
-        F.col("_name").alias("child"),
-        "first",
         F.regexp_extract("_name", variant, 1).alias("parent"),
         F.regexp_extract("_name", variant, 2).try_cast("bigint").alias("j"),
-        F.lit(False).alias("child_wins"),
-        F.lit(False).alias("child_loses"),
+        F.col("_name").alias("child"),
+        "first.*",
     )
-    reachable = children.where(F.col("j") <= ranked.count())
+    reachable = children.where(F.col("j") <= times.count())
     return reachable.join(names.select(F.col("_name").alias("parent")), "parent", "left_semi")
 
 
-def _settle(contests: DataFrame, ranked: DataFrame, came: Column) -> DataFrame:
-    """One round: the holder of each contested name, given the outcomes of the round before.
+def _with_earlier_requests(contests: DataFrame, times: DataFrame) -> DataFrame:
+    """Adds ``earlier``, the number of requests for the parent before the child's first, and a first guess.
 
-    ``claim`` is the rank of the parent's request that reaches the name; it competes with the first
-    request for the name itself.
+    It is the child's rank among those requests and all rival children, less its rank among the rivals.
     """
-    lost = contests.where("child_loses").select(F.col("child").alias("parent"), F.lit(1).alias("lost"))
-    known = contests.select("parent", "child", "j", "first", "child_wins", "child_loses")
-    claims = (
-        sum_below(known, "parent", "j", F.col("child_wins").cast("bigint"), "passed")
-        .join(lost, "parent", "left")
-        .withColumn("claim", F.col("j") - F.col("passed") - F.coalesce("lost", F.lit(0)))
+    rivals = contests.select("parent", "at", "tie", "child")
+    parents = times.join(contests.select(F.col("parent").alias("_name")).distinct(), "_name", "left_semi")
+    asked = parents.select(F.col("_name").alias("parent"), "at", "tie", F.lit(None).cast("string").alias("child"))
+    among_all = rank_within(asked.unionByName(rivals), "parent", "at", "tie", "all").where(F.col("child").isNotNull())
+    among_rivals = rank_within(rivals, "parent", "at", "tie", "others")
+    earlier = among_all.join(among_rivals.select("child", "others"), "child").select(
+        "child", (F.col("all") - F.col("others")).alias("earlier")
+    )
+    guess = F.col("j") >= F.col("earlier")
+    return contests.select("parent", "j", "child").join(earlier, "child").select(
+        "parent", "j", "child", "earlier", F.col("j").alias("claim"), guess.alias("child_wins"), F.lit(True).alias("changed")
     )
-    rivals = ranked.select(F.col("_name").alias("parent"), F.col("rank").alias("claim"), came.alias("rival"))
-    wins = F.coalesce(F.col("first") < F.col("rival"), F.lit(True))
-    loses = F.coalesce(F.col("first") > F.col("rival"), F.lit(False))
-    return claims.join(rivals, ["parent", "claim"], "left").select(
+
+
+def _settle(contests: DataFrame) -> DataFrame:
+    """One round: the holder of each contested name, given the outcomes of the round before.
+
+    ``claim`` is the rank of the parent's request that reaches the name. The child wins if that
+    request comes after its own first one, or if there is no such request.
+    """
+    lost = contests.where(~F.col("child_wins")).select(F.col("child").alias("parent"), F.lit(1).alias("lost"))
+    summed = sum_below(contests, "parent", "j", F.col("child_wins").cast("bigint"), "passed")
+    claim = F.col("j") - F.col("passed") - F.coalesce("lost", F.lit(0))
+    wins = claim >= F.col("earlier")
+    return summed.join(lost, "parent", "left").select(
         "parent",
-        "child",
         "j",
-        "first",
-        "claim",
+        "child",
+        "earlier",
+        claim.alias("claim"),
         wins.alias("child_wins"),
-        loses.alias("child_loses"),
-        ((wins != F.col("child_wins")) | (loses != F.col("child_loses"))).alias("changed"),
+        (wins != F.col("child_wins")).alias("changed"),
     )
