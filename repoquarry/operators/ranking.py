@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from repoquarry.sources.shared import materialize
 
+# Rows of one key that even the tasks of a very large job may each send to a single task.
+_FEW = 100
+
 
 def first_per_key(
     df: DataFrame,
@@ -17,14 +20,15 @@ def first_per_key(
     spread: list[str] | None = None,
     salts: int = 64,
 ) -> DataFrame:
-    """The first ``n`` rows of every key, numbered from 1 in ``rank``.
+    """The first ``n`` rows of every key, numbered from 1 in ``rank``; ``order`` is total within a key.
 
-    With ``spread``, rows are first cut to ``n`` within (key, hash of ``spread``), so a hot key is
-    sorted by many tasks and the last step sees at most ``n * salts`` rows of it. The result is the
-    same: a row among the first ``n`` of a key is among the first ``n`` of its share. ``order`` must
-    be total within a key.
+    Spark cuts every map task's rows of a key to ``n`` before the shuffle, so for small ``n`` a hot key
+    stays small. For larger ``n`` rows are first cut to ``n`` within (key, hash of ``spread``): a hot key
+    is then sorted by many tasks, and the last step sees at most ``n * salts`` rows of it. The result is
+    the same, as a row among the first ``n`` of a key is among the first ``n`` of its share.
     """
-    if spread:
+    cut_early = min(_FEW, int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")))
+    if spread and n > cut_early:
         share = F.pmod(F.xxhash64(*spread), F.lit(salts))
         by_share = Window.partitionBy(*keys, share).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(by_share)).where(F.col(rank) <= n).drop(rank)

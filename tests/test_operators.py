@@ -51,15 +51,16 @@ def random_repositories(seed, skewed=True):
 # Ranking
 
 
-def test_first_per_key_equals_plain_sort_when_one_key_is_hot(spark):
+@pytest.mark.parametrize("n", [4, 150])
+def test_first_per_key_equals_plain_sort_when_one_key_is_hot(spark, n):
     pick = random.Random(1)
     data = [("hot" if i % 3 else f"k{i % 7}", pick.randint(0, 40), i) for i in range(600)]
     df = spark.createDataFrame(data, "k string, v int, i int").repartition(6)
-    found = first_per_key(df, ["k"], [F.desc("v"), F.asc("i")], 4, spread=["i"], salts=5)
+    found = first_per_key(df, ["k"], [F.desc("v"), F.asc("i")], n, spread=["i"], salts=5)
     groups = defaultdict(list)
     for k, v, i in data:
         groups[k].append((-v, i))
-    expected = sorted((k, r + 1, -v, i) for k, g in groups.items() for r, (v, i) in enumerate(sorted(g)[:4]))
+    expected = sorted((k, r + 1, -v, i) for k, g in groups.items() for r, (v, i) in enumerate(sorted(g)[:n]))
     assert rows(found, "k", "rank", "v", "i") == expected
 
 
@@ -153,7 +154,7 @@ def walk_entries(paths):
     return sorted(entries.items(), key=lambda e: [part.encode() for part in e[0]])
 
 
-@pytest.mark.parametrize("limit", [1, 5, 20, 1000])
+@pytest.mark.parametrize("limit", [1, 5, 20, 110, 1000])
 def test_scan_cap_counts_directories(spark, limit):
     repos = random_repositories(3)
     found = fo.scan_cap(paths_table(spark, repos), limit)
@@ -340,7 +341,7 @@ def listing(paths, limit, directories=()):
     return lines[:limit] + ["... (truncated)"] if len(lines) >= limit else lines
 
 
-@pytest.mark.parametrize("limit", [1, 7, 30, 500])
+@pytest.mark.parametrize("limit", [1, 7, 30, 105, 500])
 def test_tree_equals_a_walk(spark, limit):
     repos = random_repositories(5)
     found = defaultdict(list)
