@@ -5,9 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = Path(__file__).parent.parent
-sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
+# Only the driver sees the package, as on a cluster.
+sys.path.insert(0, str(Path(__file__).parent.parent))
+os.chdir("/")
 
 SF_DIR = "/root/testdata/sf0.001"
 
