@@ -36,19 +36,22 @@ def first_per_key(
     return df.withColumn(rank, F.row_number().over(by_key)).where(F.col(rank) <= n)
 
 
-def rank_within(
-    df: DataFrame, key: str, arrival: str, tie: str, rank: str = "rank", ranges: int | None = None
-) -> DataFrame:
-    """Numbers all rows of every key from 0 by (``arrival``, ``tie``), for keys of any size.
+def laid_out_in_ranges(df: DataFrame, key: str, arrival: str, tie: str, ranges: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of (key, arrival, tie), with the number of each row's range in ``_range``.
 
-    Rows are laid out in ranges of (key, arrival, tie) and stored with the number of their range, so a
-    hot key, even one with a single arrival time, spans many ranges. Each (key, range) is ranked on
-    its own and shifted by the rows of the key in earlier ranges. Stored range numbers are the same
-    for every reader, which a repeated sampling would not promise.
+    A hot key, even one with a single arrival time, spans many ranges. Stored numbers are the same for
+    every reader, which a repeated sampling would not promise.
     """
     order = [F.col(key), F.col(arrival), F.col(tie)]
-    laid_out = df.repartitionByRange(*([ranges] if ranges else []), *order)
-    ranged = materialize(laid_out.withColumn("_range", F.spark_partition_id()), "ranges")
+    ranged = df.repartitionByRange(*([ranges] if ranges else []), *order)
+    return materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def rank_in_ranges(ranged: DataFrame, key: str, arrival: str, tie: str, rank: str = "rank") -> DataFrame:
+    """Numbers all rows of every key from 0 by (``arrival``, ``tie``), for keys of any size.
+
+    Each (key, range) is ranked on its own and shifted by the rows of the key in earlier ranges.
+    """
     sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -65,6 +68,13 @@ def rank_within(
     )
 
 
+def rank_within(
+    df: DataFrame, key: str, arrival: str, tie: str, rank: str = "rank", ranges: int | None = None
+) -> DataFrame:
+    """``rank_in_ranges`` of a table that is not laid out yet."""
+    return rank_in_ranges(laid_out_in_ranges(df, key, arrival, tie, ranges), key, arrival, tie, rank)
+
+
 def sum_below(df: DataFrame, key: str, position: str, value: Column, total: str, width: int = 1_000_000) -> DataFrame:
     """Adds ``total``: the sum of ``value`` over the key's rows at lower positions.
 

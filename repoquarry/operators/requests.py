@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions.urls import is_repository_url, repository_name, url_error
-from repoquarry.operators.ranking import rank_within, sum_below
+from repoquarry.operators.ranking import laid_out_in_ranges, rank_in_ranges, rank_within, sum_below
 from repoquarry.sources.shared import materialize
 
 
@@ -37,13 +37,13 @@ def unique_names(requests: DataFrame, name: str = "name", arrival: str = "req_id
     rounds until nothing changes. A contest depends only on those of lower suffixes and of shorter
     names, which is why the rounds end, and end in the one right answer.
     """
-    asked = requests.withColumn("_name", F.col(name))
-    ranked = materialize(rank_within(asked, "_name", arrival, tie), "ranked-names")
-    times = ranked.select("_name", F.col(arrival).alias("at"), F.col(tie).alias("tie"))
-    contests = materialize(_contests(times), "name-contests")
+    ranged = laid_out_in_ranges(requests.withColumn("_name", F.col(name)), "_name", arrival, tie)
+    ranked = rank_in_ranges(ranged, "_name", arrival, tie)
+    times = ranged.select("_name", F.col(arrival).alias("at"), F.col(tie).alias("tie"))
+    contests = _contests(times)
     if contests.isEmpty():
         return _with_suffix(ranked, F.col("rank"))
-    settled = materialize(_with_earlier_requests(contests, times), "name-contests")
+    settled = materialize(_with_earlier_requests(materialize(contests, "name-contests"), times), "name-contests")
     while not settled.where("changed").isEmpty():
         settled = materialize(_settle(settled), "name-contests")
 
