@@ -41,12 +41,28 @@ KEY_FILES = "## Key Files and Structure"
 SETUP = "## Setup Instructions"
 SETUP_TEXT = "*Setup instructions would be extracted from README or inferred from project structure.*"
 FOOTER = "*This report was automatically generated.*"
+LANGUAGE_LINE = "- **%s:** %d files"
+LARGEST_LINE = "- `%s` (%s KB)"
+LANGUAGES_LINE = "**Languages:** "
+KEY_FILE_LINE = "### `%s`"
+KEY_FILE_LABELS = {"language": "- **Language:** ", "classes": "- **Classes:** ", "functions": "- **Functions:** "}
+
+SUMMARY_COUNTS = ["total_considered", "scanned", "skipped"]
+SUMMARY_LANGUAGES = "by_language: "
+SUMMARY_LARGEST = "largest_files:"
+SUMMARY_LARGEST_LINE = "  - %s (%s KB)"
 
 PROMPT_STATISTICS = "\n---\n## Repository Statistics:"
 PROMPT_FILES = "\n---\n## Code Structure Analysis:"
 PROMPT_README = "\n---\n## Existing README Content (Full):"
 PROMPT_PACKAGE = "\n---\n## Package.json Information (Full Details):"
+PACKAGE_LABELS = {"name": "Name: ", "version": "Version: ", "description": "Description: "}
+DEPENDENCIES_LINE = "\nDependencies with versions (%d total):"
+DEV_DEPENDENCIES_LINE = "\nDev Dependencies with versions (%d total):"
+DEPENDENCY_LINE = "  - %s: %s"
+ENGINES_LINE = "\nRequired Engine Versions: "
 PROMPT_REQUIREMENTS = "\n---\n## Python Dependencies (Full List with Versions):"
+REQUIREMENTS_LINE = "Total dependencies: %d"
 PROMPT_POM = "\n---\n## Maven Configuration (pom.xml - Full Content):"
 PROMPT_END = "\n---\n## Generate the documentation report now."
 
@@ -114,16 +130,14 @@ def repo_profiles(
 
 def stats_summary() -> Column:
     """Statistics of a profile row as lines of text; errors are not part of it."""
-    counts = [F.format_string(f"{c}: %d", F.col(c)) for c in ("total_considered", "scanned", "skipped")]
+    counts = [F.format_string(f"{c}: %d", F.col(c)) for c in SUMMARY_COUNTS]
     pairs = F.transform("languages", lambda x: F.concat_ws(":", x["language"], x["n_files"]))
-    largest = F.transform(
-        "largest", lambda x: F.concat(F.lit("  - "), x["path"], F.lit(" ("), kib_text(x["bytes"]), F.lit(" KB)"))
-    )
+    largest = F.transform("largest", lambda x: F.format_string(SUMMARY_LARGEST_LINE, x["path"], kib_text(x["bytes"])))
     return F.concat_ws(
         "\n",
         *counts,
-        F.concat(F.lit("by_language: "), F.array_join(pairs, ", ")),
-        F.concat(F.lit("largest_files:\n"), F.array_join(largest, "\n")),
+        F.concat(F.lit(SUMMARY_LANGUAGES), F.array_join(pairs, ", ")),
+        F.concat(F.lit(SUMMARY_LARGEST + "\n"), F.array_join(largest, "\n")),
     )
 
 
@@ -158,18 +172,18 @@ def report_sections(generated_at: datetime, options: ReportOptions = ReportOptio
         _if_any(
             languages,
             _texts("", LANGUAGES),
-            F.transform(languages, lambda x: F.format_string("- **%s:** %d files", x["language"], x["n_files"])),
+            F.transform(languages, lambda x: F.format_string(LANGUAGE_LINE, x["language"], x["n_files"])),
         ),
         _if_any(
             largest,
             _texts("", LARGEST),
-            F.transform(largest, lambda x: F.format_string("- `%s` (%s KB)", x["path"], kib_text(x["bytes"]))),
+            F.transform(largest, lambda x: F.format_string(LARGEST_LINE, x["path"], kib_text(x["bytes"]))),
         ),
         F.concat(
             _texts("", STACK),
             F.when(
                 F.size(languages) > 0,
-                _texts(F.concat(F.lit("**Languages:** "), F.array_join(F.transform(languages, lambda x: x["language"]), ", "))),
+                _texts(F.concat(F.lit(LANGUAGES_LINE), F.array_join(F.transform(languages, lambda x: x["language"]), ", "))),
             ).otherwise(F.array().cast("array<string>")),
         ),
         F.when(
@@ -199,18 +213,14 @@ def report_sections(generated_at: datetime, options: ReportOptions = ReportOptio
 
 
 def _key_file(file: Column) -> Column:
-    def listed(column: str, label: str) -> Column:
-        return F.when(F.size(file[column]) > 0, F.concat(F.lit(label), F.array_join(file[column], ", ")))
-
-    return F.array_compact(
-        F.array(
-            F.lit(""),
-            F.format_string("### `%s`", file["path"]),
-            F.concat(F.lit("- **Language:** "), file["language"]),
-            listed("classes", "- **Classes:** "),
-            listed("functions", "- **Functions:** "),
-        )
-    )
+    """Lines of one key file; labels of empty lists are left out."""
+    labels = {kind: F.lit(label) for kind, label in KEY_FILE_LABELS.items()}
+    lists = [
+        F.when(F.size(file[kind]) > 0, F.concat(labels[kind], F.array_join(file[kind], ", ")))
+        for kind in ("classes", "functions")
+    ]
+    language = F.concat(labels["language"], file["language"])
+    return F.array_compact(F.array(F.lit(""), F.format_string(KEY_FILE_LINE, file["path"]), language, *lists))
 
 
 def report_lines(
@@ -241,19 +251,15 @@ def prompts(
     node = F.concat_ws(
         "\n",
         F.lit(PROMPT_PACKAGE),
-        F.concat(F.lit("Name: "), package["name"]),
-        F.concat(F.lit("Version: "), package["version"]),
-        F.concat(F.lit("Description: "), package["description"]),
-        _versions("\nDependencies with versions (%d total):", package["dependencies"], options.prompt_dependencies),
-        _versions(
-            "\nDev Dependencies with versions (%d total):", package["dev_dependencies"], options.prompt_dev_dependencies
-        ),
-        F.concat(F.lit("\nRequired Engine Versions: "), package["engines"]),
+        *[F.concat(F.lit(label), package[field]) for field, label in PACKAGE_LABELS.items()],
+        _versions(DEPENDENCIES_LINE, package["dependencies"], options.prompt_dependencies),
+        _versions(DEV_DEPENDENCIES_LINE, package["dev_dependencies"], options.prompt_dev_dependencies),
+        F.concat(F.lit(ENGINES_LINE), package["engines"]),
     )
     python = F.concat_ws(
         "\n",
         F.lit(PROMPT_REQUIREMENTS),
-        F.format_string("Total dependencies: %d", F.size(requirements)),
+        F.format_string(REQUIREMENTS_LINE, F.size(requirements)),
         F.array_join(F.slice(requirements, 1, options.prompt_requirements), "\n"),
     )
     text = F.concat_ws(
@@ -273,12 +279,9 @@ def prompts(
 
 
 def _versions(title: str, entries: Column, n: int) -> Column:
-    rows = F.transform(
-        F.slice(entries, 1, n), lambda e: F.concat(F.lit("  - "), e["name"], F.lit(": "), e["version"])
-    )
-    return F.when(
-        F.size(entries) > 0, F.concat_ws("\n", F.format_string(title, F.size(entries)), F.array_join(rows, "\n"))
-    )
+    rows = F.transform(F.slice(entries, 1, n), lambda e: F.format_string(DEPENDENCY_LINE, e["name"], e["version"]))
+    text = F.concat_ws("\n", F.format_string(title, F.size(entries)), F.array_join(rows, "\n"))
+    return F.when(F.size(entries) > 0, text)
 
 
 def prompt_previews(prompts: DataFrame, chars: int = 2000) -> DataFrame:

@@ -11,6 +11,12 @@ from repoquarry.operators.ranking import first_per_key
 # Wording of the summaries.
 NO_FILES = "(no files parsed)"
 MORE_FILES = "... and %d more files"
+LANGUAGE = " | Language: "
+SKIPPED = "  Skipped: "
+ERROR = "  Error: "
+TEXT_LABELS = {"functions": "  Functions: ", "classes": "  Classes: ", "imports": "  Imports: "}
+BULLET_LABELS = {"functions": "  - functions: ", "classes": "  - classes: ", "imports": "  - imports: "}
+BADGES = {"skipped": "(skipped)", "error": "(error)"}
 
 
 def in_walk_order() -> list[Column]:
@@ -24,18 +30,13 @@ def named(names: Column, label: str, n: int) -> Column:
 
 def text_summaries(records: DataFrame, names: int = 10) -> DataFrame:
     """Multi-line summary of every file record: (repo_id, path, summary)."""
-    found = F.concat_ws(
-        "\n",
-        named(F.col("functions"), "  Functions: ", names),
-        named(F.col("classes"), "  Classes: ", names),
-        named(F.col("imports"), "  Imports: ", names),
-    )
+    found = F.concat_ws("\n", *[named(F.col(kind), label, names) for kind, label in TEXT_LABELS.items()])
     details = (
-        F.when(F.col("skipped").isNotNull(), F.concat(F.lit("  Skipped: "), F.col("skipped")))
-        .when(F.col("error").isNotNull(), F.concat(F.lit("  Error: "), F.col("error")))
+        F.when(F.col("skipped").isNotNull(), F.concat(F.lit(SKIPPED), F.col("skipped")))
+        .when(F.col("error").isNotNull(), F.concat(F.lit(ERROR), F.col("error")))
         .when(found != "", found)
     )
-    head = F.concat(F.col("path"), F.lit(" | Language: "), F.col("language"))
+    head = F.concat(F.col("path"), F.lit(LANGUAGE), F.col("language"))
     return records.select("repo_id", "path", F.concat_ws("\n", head, details).alias("summary"))
 
 
@@ -53,15 +54,10 @@ def more_line(rest: Column) -> Column:
 
 def bullet_lines(names: int = 6) -> Column:
     """Lines that describe one file record."""
-    badge = F.when(F.col("status") == "skipped", "(skipped)").when(F.col("status") == "error", "(error)").otherwise("")
-    return F.array_compact(
-        F.array(
-            F.concat(F.lit("- "), F.col("path"), F.lit(" ["), F.col("language"), F.lit("] "), badge),
-            named(F.col("functions"), "  - functions: ", names),
-            named(F.col("classes"), "  - classes: ", names),
-            named(F.col("imports"), "  - imports: ", names),
-        )
-    )
+    status = F.col("status")
+    badge = F.when(status == "skipped", BADGES["skipped"]).when(status == "error", BADGES["error"]).otherwise("")
+    head = F.format_string("- %s [%s] %s", "path", "language", badge)
+    return F.array_compact(F.array(head, *[named(F.col(kind), label, names) for kind, label in BULLET_LABELS.items()]))
 
 
 def bullet_summaries(records: DataFrame, limit: int = 20, names: int = 6) -> DataFrame:

@@ -19,7 +19,7 @@ from repoquarry.sources.blobs import as_uri
 _BATCH_BYTES = 16 * 1024 * 1024
 
 
-def list_directories(roots: DataFrame, split_levels: int = 2) -> DataFrame:
+def list_directories(roots: DataFrame, split_levels: int = 2, tasks: int | None = None) -> DataFrame:
     """Entries below every root: (repo_id, path, uri, is_dir, bytes), from ``roots(repo_id, root)``.
 
     The first ``split_levels`` levels are listed one at a time, and the directories found are spread
@@ -30,10 +30,18 @@ def list_directories(roots: DataFrame, split_levels: int = 2) -> DataFrame:
         "repo_id", F.lit("").alias("path"), F.col("root").alias("uri"), F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("bytes")
     )
     for level in range(split_levels + 1):
-        entries = entries.repartition("uri").mapInArrow(_lister(level, deep=level == split_levels), LISTED)
+        entries = _spread(entries, tasks).mapInArrow(_lister(level, deep=level == split_levels), LISTED)
     return entries
 
 
+def _spread(entries: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows spread by location over a fixed number of tasks.
+
+    Without a number Spark would merge tasks by the size of these short rows, not of what they name.
+    """
+    return entries.repartition(tasks or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uri")
+
+
 def _lister(level: int, deep: bool):
     """Passes entries through and adds what lies inside the directories found at ``level``."""
 
@@ -68,18 +76,14 @@ def _inside(row: dict, deep: bool) -> Iterator[dict]:
             }
 
 
-def read_contents(listed: DataFrame) -> DataFrame:
+def read_contents(listed: DataFrame, tasks: int | None = None) -> DataFrame:
     """``files(repo_id, path, bytes, content)`` of listed files.
 
     Filter the listing by name and size first: what is filtered out is never opened. Rows are spread
     by location before reading, so no task holds all files of a repository.
     """
-    return (
-        listed.where(~F.col("is_dir"))
-        .select("repo_id", "path", "uri", "bytes")
-        .repartition("uri")
-        .mapInArrow(_read, FILES)
-    )
+    files = listed.where(~F.col("is_dir")).select("repo_id", "path", "uri", "bytes")
+    return _spread(files, tasks).mapInArrow(_read, FILES)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,12 +113,10 @@ def test_url_validation(spark):
 
 
 def expected_name(url):
-    url = url.strip().rstrip("/").replace(".git", "")
-    if url.startswith("git@"):
-        parts = url.split(":")[-1].split("/")
-    else:
-        parts = urlparse(url).path.strip("/").split("/")
-    return parts[-1] if len(parts) >= 2 else "repo"
+    bare = "".join(url.strip().rstrip("/").split(".git"))
+    path = bare.rpartition(":")[2] if bare[:4] == "git@" else urlparse(bare).path.strip("/")
+    _, slash, last = path.rpartition("/")
+    return last if slash else "repo"
 
 
 def test_repository_name(spark):

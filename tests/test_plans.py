@@ -11,6 +11,7 @@ from repoquarry.operators import guards, manifests, stats, tree
 from repoquarry.operators.records import file_records, records_and_manifests, symbol_index
 from repoquarry.operators.summaries import bullet_summaries
 from repoquarry.sources import archives as ar
+from repoquarry.sources.directories import list_directories, read_contents
 
 
 @pytest.fixture(scope="module")
@@ -102,6 +103,13 @@ def test_first_rows_are_cut_before_the_shuffle_and_hot_keys_are_spread(files, bu
     assert bool(re.search(r"Exchange hashpartitioning\(repo_id#\d+L?, _w0#\d+L?, ", text)) == salted
 
 
+def test_directory_work_is_not_merged_by_the_size_of_its_rows(spark):
+    roots = spark.createDataFrame([("r", "/tmp")], "repo_id string, root string")
+    text = plan(read_contents(list_directories(roots, 1, tasks=7), tasks=9))
+    assert text.count("REPARTITION_BY_NUM") == 3
+    assert text.count(", 7)") == 2 and text.count(", 9)") == 1
+
+
 def test_manifest_names_reach_the_scan(files):
     text = plan(manifests.root_manifests(files))
     assert re.search(r"PushedFilters: \[[^\]]*In\(path", text)
