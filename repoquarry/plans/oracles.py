@@ -326,3 +326,4 @@ ORACLES: dict[str, str] = {
     "l3_line_kinds": f"WITH {_MD_LINES} SELECT doc_id, pos, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '# ') THEN 'title' WHEN starts_with(line, '## ') THEN 'section' WHEN starts_with(line, '### ') THEN 'subsection' WHEN starts_with(line, '- ') THEN 'bullet' ELSE 'text' END AS kind, CASE WHEN starts_with(line, '# ') THEN trim(line[3:]) WHEN starts_with(line, '## ') THEN trim(line[4:]) WHEN starts_with(line, '### ') THEN trim(line[5:]) WHEN starts_with(line, '- ') THEN '- ' || trim(line[3:]) ELSE line END AS text FROM mw",
     "l4_plain_lines": rf"SELECT doc_id, pos, substring(l[pos + 1], 1, 100) AS line FROM (SELECT doc_id, l, CAST(unnest(range(least(300, len(l)))) AS INT) AS pos FROM (SELECT doc_id, {_lines('t')} AS l FROM (SELECT doc_id, regexp_replace(text, '[^\n -~]', ' ', 'g') AS t FROM ({fx.MARKDOWN}) x) y) z) w",
 }
+ORACLES["s7_stream_ingest"] = ORACLES["s7_extracted_files"]

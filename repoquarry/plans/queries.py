@@ -15,10 +15,12 @@ from repoquarry.operators import guards, layout, manifests, report, requests, st
 from repoquarry.operators.records import file_records, symbol_index
 from repoquarry.options import ReportOptions, ScanOptions
 from repoquarry.plans import fixtures as fx
+from repoquarry.schemas import EXTRACTED
 from repoquarry.sources import archives as ar
 from repoquarry.sources.blobs import write_blobs
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
+from repoquarry.streaming.ingest import archive_stream, ingest_new_archives
 
 SCAN = ScanOptions(
     max_upload_bytes=fx.MAX_UPLOAD_BYTES, max_extract_bytes=fx.MAX_EXTRACT_BYTES, max_file_bytes=fx.MAX_FILE_BYTES
@@ -94,6 +96,17 @@ def s7_extracted_files(spark, sf):
     return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
 
 
+@query
+def s7_stream_ingest(spark, sf):
+    """The same files as a stream picks them up from a folder, in several batches."""
+    source, folder, checkpoint = (new_folder(spark, name) for name in ("uploads", "ingested", "stream"))
+    write_blobs(fx.archives(spark, sf), source).agg(F.sum("bytes")).collect()
+    arriving = archive_stream(spark, source, max_archives_per_batch=4000)
+    ingest_new_archives(arriving, folder, checkpoint, MEMBERS).awaitTermination()
+    entries = spark.read.schema(EXTRACTED).parquet(f"{folder}/entries")
+    return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
+
+
 @query
 def s8_directory_scan(spark, sf):
     folder = new_folder(spark, "trees")
