@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,11 +25,12 @@ LANGUAGE_BY_EXTENSION = {
 }
 PARSEABLE_LANGUAGES = ["python", "javascript", "typescript", "java"]
 
+UNKNOWN = "unknown"
+
 CODE_EXTENSIONS = list(LANGUAGE_BY_EXTENSION)
-PARSEABLE_EXTENSIONS = [e for e, name in LANGUAGE_BY_EXTENSION.items() if name in PARSEABLE_LANGUAGES]
 
 
-def language_of(path: Column, default: str = "unknown") -> Column:
+def language_of(path: Column, default: str = UNKNOWN) -> Column:
     """Language named by the extension of ``path``; a literal map, so no join is planned."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_BY_EXTENSION.items() for x in pair])
     return F.coalesce(table[suffix(path)], F.lit(default))
@@ -37,8 +40,9 @@ def is_code(path: Column) -> Column:
     return suffix(path).isin(CODE_EXTENSIONS)
 
 
-def is_parseable(path: Column) -> Column:
-    return suffix(path).isin(PARSEABLE_EXTENSIONS)
+def is_parseable(path: Column, languages: Iterable[str] = PARSEABLE_LANGUAGES) -> Column:
+    known = set(languages)
+    return suffix(path).isin([e for e, name in LANGUAGE_BY_EXTENSION.items() if name in known])
 
 
 def ends_like_code(path: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions.languages import PARSEABLE_LANGUAGES, is_parseable, language_of
+from repoquarry.functions.languages import UNKNOWN, is_parseable, language_of
 from repoquarry.functions.symbols import REGEX_EXTRACTORS, Extractor, python_symbols
 from repoquarry.functions.text import decode_utf8
-from repoquarry.operators.files import oversize_mark, parseable_files
+from repoquarry.operators.files import oversize_mark
 from repoquarry.operators.manifests import is_manifest
 from repoquarry.options import ScanOptions
 
@@ -16,30 +16,30 @@ KINDS = ["functions", "classes", "imports"]
 
 
 def file_records(
-    files: DataFrame, options: ScanOptions = ScanOptions(), extractors: dict[str, Extractor] | None = None
+    files: DataFrame, options: ScanOptions = ScanOptions(), extractors: dict[str, Extractor] = REGEX_EXTRACTORS
 ) -> DataFrame:
-    """Symbols of every parseable file, in one pass and without a shuffle.
+    """Symbols of every file in Python or a language of ``extractors``, in one pass and without a shuffle.
 
     Content above the size limit is dropped by its size before it is decoded. Python files go to the
     Arrow job as bytes, all others to regular expressions as text.
     """
-    return _extracted(parseable_files(files), options, extractors).drop("manifest")
+    return _extracted(files.where(_is_read(extractors)), options, extractors).drop("manifest")
 
 
 def records_and_manifests(
-    files: DataFrame, options: ScanOptions = ScanOptions(), extractors: dict[str, Extractor] | None = None
+    files: DataFrame, options: ScanOptions = ScanOptions(), extractors: dict[str, Extractor] = REGEX_EXTRACTORS
 ) -> DataFrame:
     """File records and, as further rows with ``manifest`` content, possible manifests.
 
     For a job that needs both, this reads all contents once instead of twice. Store the result, then
     split it with ``records_of`` and ``manifests_of``.
     """
-    wanted = is_parseable(F.col("path")) | is_manifest(F.col("path"), options.strip_top_level)
+    wanted = _is_read(extractors) | is_manifest(F.col("path"), options.strip_top_level)
     return _extracted(files.where(wanted), options, extractors)
 
 
 def records_of(scanned: DataFrame) -> DataFrame:
-    return scanned.where(F.col("language").isin(PARSEABLE_LANGUAGES)).drop("manifest")
+    return scanned.where(F.col("language") != UNKNOWN).drop("manifest")
 
 
 def manifests_of(scanned: DataFrame) -> DataFrame:
@@ -47,8 +47,11 @@ def manifests_of(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("manifest").isNotNull()).select("repo_id", "path", F.col("manifest").alias("content"))
 
 
-def _extracted(files: DataFrame, options: ScanOptions, extractors: dict[str, Extractor] | None) -> DataFrame:
-    extractors = REGEX_EXTRACTORS if extractors is None else extractors
+def _is_read(extractors: dict[str, Extractor]) -> Column:
+    return is_parseable(F.col("path"), ["python", *extractors])
+
+
+def _extracted(files: DataFrame, options: ScanOptions, extractors: dict[str, Extractor]) -> DataFrame:
     language = F.col("language")
     skipped = oversize_mark(F.col("bytes"), options.max_file_bytes)
     manifest = F.when(is_manifest(F.col("path"), options.strip_top_level), F.col("content"))

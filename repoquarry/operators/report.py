@@ -154,6 +154,11 @@ def _if_any(values: Column, *parts: Column) -> Column:
     return F.when(F.size(values) > 0, F.concat(*parts))
 
 
+def _or_none(lines: Column) -> Column:
+    """``lines``, or no line in place of null."""
+    return F.coalesce(lines, F.array().cast("array<string>"))
+
+
 def report_sections(generated_at: datetime, options: ReportOptions = ReportOptions()) -> list[Column]:
     """Line arrays of the report over a profile row; null where a section is absent."""
     readme = F.col("readme")
@@ -162,6 +167,7 @@ def report_sections(generated_at: datetime, options: ReportOptions = ReportOptio
     languages, largest, requirements, key_files = (
         F.col(c) for c in ("languages", "largest", "requirements", "key_files")
     )
+    names = F.array_join(F.transform(languages, lambda x: x["language"]), ", ")
     dependencies = F.transform(
         F.slice(F.col("package.dependencies"), 1, options.report_node_dependencies), lambda d: d["name"]
     )
@@ -179,34 +185,17 @@ def report_sections(generated_at: datetime, options: ReportOptions = ReportOptio
             _texts("", LARGEST),
             F.transform(largest, lambda x: F.format_string(LARGEST_LINE, x["path"], kib_text(x["bytes"]))),
         ),
-        F.concat(
-            _texts("", STACK),
-            F.when(
-                F.size(languages) > 0,
-                _texts(F.concat(F.lit(LANGUAGES_LINE), F.array_join(F.transform(languages, lambda x: x["language"]), ", "))),
-            ).otherwise(F.array().cast("array<string>")),
-        ),
+        F.concat(_texts("", STACK), _or_none(_if_any(languages, _texts(F.concat(F.lit(LANGUAGES_LINE), names))))),
         F.when(
             F.col("package").isNotNull(),
-            F.concat(
-                _texts("", NODE),
-                F.when(F.size(dependencies) > 0, _texts(F.array_join(dependencies, ", "))).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            ),
+            F.concat(_texts("", NODE), _or_none(_if_any(dependencies, _texts(F.array_join(dependencies, ", "))))),
         ),
         _if_any(
             requirements,
             _texts("", PYTHON),
             F.transform(F.slice(requirements, 1, options.report_requirements), lambda r: F.concat(F.lit("- "), r)),
         ),
-        F.concat(
-            _texts("", KEY_FILES),
-            F.coalesce(
-                F.flatten(F.transform(key_files, _key_file)),
-                F.array().cast("array<string>"),
-            ),
-        ),
+        F.concat(_texts("", KEY_FILES), _or_none(F.flatten(F.transform(key_files, _key_file)))),
         _texts("", SETUP, "", SETUP_TEXT),
         _texts("", "---", FOOTER),
     ]

@@ -204,6 +204,14 @@ def test_previews_know_other_text(spark):
 # Records
 
 
+def test_a_language_is_added_by_its_extractor(spark):
+    files = files_table(spark, {("r", "m.go"): b'import "fmt"\nfunc main() {}', ("r", "n.rs"): b"fn f() {}"})
+    go = regex_extractor([r"func\s+(\w+)"], [r"type\s+(\w+)"], [r'import\s+"([^"]+)"'])
+    found = rows(file_records(files, extractors=REGEX_EXTRACTORS | {"go": go}), "path", "language", "functions", "imports")
+    assert found == [("m.go", "go", ["main"], ["fmt"])]
+    assert rows(file_records(files)) == []
+
+
 def test_records_of_edge_files(spark):
     contents = {
         ("r", "exact.py"): b"#" * MIB,
