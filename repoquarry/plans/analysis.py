@@ -22,9 +22,12 @@ from repoquarry.sources.archives import (
     extracted,
     files_of,
     list_uploads,
+    listed_uploads,
     read_archives,
+    read_listed,
     refused_uploads,
 )
+from repoquarry.sources.directories import list_directories
 from repoquarry.sources.shared import materialize
 
 # Arrow batches for jobs whose rows are whole files or whole archives; Spark also limits their bytes.
@@ -36,22 +39,29 @@ SESSION_SETTINGS = {
 }
 
 
-def ingest(spark: SparkSession, folder: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+def ingest(
+    spark: SparkSession, folder: str, options: ScanOptions = ScanOptions(), every_name: bool = False
+) -> DataFrame:
     """Entries of all archives below ``folder``, each under a repository name of its own.
 
     Names and refusals by name or size come from the listing alone; a refused upload takes no name.
     Only archives that had to be renamed are joined to contents, as a stored table that Spark
-    broadcasts while it is small.
+    broadcasts while it is small. ``every_name`` lists the folder in tasks instead of by Spark's file
+    source, which leaves out empty files and names that start with ``_`` or ``.``.
     """
-    uploads = list_uploads(spark, folder)
+    if every_name:
+        roots = spark.createDataFrame([("uploads", folder)], "repo_id string, root string")
+        listed = materialize(list_directories(roots), "uploads")
+        uploads, archives = listed_uploads(listed), read_listed(listed, options.max_upload_bytes)
+    else:
+        uploads, archives = list_uploads(spark, folder), read_archives(spark, folder, options.max_upload_bytes)
     refused = refused_uploads(uploads, options)
     taken = uploads.join(refused, "path", "left_anti").withColumn("name", stem(F.col("path")))
     unique = unique_names(taken, arrival="modificationTime", tie="path")
     renamed = materialize(
         unique.where(F.col("unique_name") != F.col("name")).select("path", "unique_name"), "renamed-archives"
     )
-    archives = read_archives(spark, folder, options.max_upload_bytes).join(renamed, "path", "left")
-    entries = extracted(archives, options, F.coalesce("unique_name", stem(F.col("path"))))
+    entries = extracted(archives.join(renamed, "path", "left"), options, F.coalesce("unique_name", stem(F.col("path"))))
     errors = refused.select(stem(F.col("path")).alias("repo_id"), "path", "error")
     return entries.unionByName(errors, allowMissingColumns=True)
 
@@ -111,9 +121,10 @@ def analyze_archives(
     generated_at: datetime,
     options: ScanOptions = ScanOptions(),
     report: ReportOptions = ReportOptions(),
+    every_name: bool = False,
 ) -> dict[str, DataFrame]:
     """``analyze`` for a folder of archives; also writes the extracted entries and the rejections."""
-    ingest(spark, source, options).write.mode("overwrite").parquet(f"{folder}/entries")
+    ingest(spark, source, options, every_name).write.mode("overwrite").parquet(f"{folder}/entries")
     entries = spark.read.parquet(f"{folder}/entries")
     tables = analyze(files_of(entries), folder, generated_at, options, report, directories_of(entries))
     tables["refused_archives"] = entries.where(F.col("error").isNotNull()).select("repo_id", "path", "error")

@@ -20,6 +20,7 @@ from repoquarry.functions.numbers import mib_text
 from repoquarry.functions.paths import basename, stem
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import EXTRACTED, MEMBER_LISTING
+from repoquarry.sources.directories import read_contents
 
 # Reasons for rejecting an archive.
 NOT_ZIP = "Only .zip files are supported."
@@ -42,8 +43,8 @@ def read_archives(spark: SparkSession, folder: str, max_upload_bytes: int | None
     """ZIP files below ``folder`` as (path, modificationTime, length, content).
 
     Names are tested by the scan and the size limit is pushed into it, so other files are never read.
-    Like every file source of Spark it leaves out names that start with ``_`` or ``.``; archives under
-    such names are found by ``sources.directories``.
+    Like every file source of Spark it leaves out empty files and names that start with ``_`` or ``.``;
+    ``read_listed`` finds those too.
     """
     found = _binary(spark.read.option("pathGlobFilter", ZIP_GLOB), folder)
     return found if max_upload_bytes is None else found.where(F.col("length") <= max_upload_bytes)
@@ -53,9 +54,18 @@ def _binary(reader: DataFrameReader, folder: str) -> DataFrame:
     return reader.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def archives_of(files: DataFrame) -> DataFrame:
-    """Archives among ``files(repo_id, path, bytes, content)`` read from a directory listing."""
-    return files.where(F.endswith(F.lower("path"), F.lit(".zip"))).select(
+def listed_uploads(listed: DataFrame) -> DataFrame:
+    """``list_uploads`` of entries that ``sources.directories`` has listed."""
+    files = listed.where(~F.col("is_dir"))
+    return files.select("path", F.col("modified").alias("modificationTime"), F.col("bytes").alias("length"))
+
+
+def read_listed(listed: DataFrame, max_upload_bytes: int | None = None) -> DataFrame:
+    """``read_archives`` of entries that ``sources.directories`` has listed, whatever their names."""
+    wanted = listed.where(F.endswith(F.lower("path"), F.lit(".zip")))
+    if max_upload_bytes is not None:
+        wanted = wanted.where(F.col("bytes") <= max_upload_bytes)
+    return read_contents(wanted).select(
         "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.col("bytes").alias("length"), "content"
     )
 

@@ -20,14 +20,19 @@ _BATCH_BYTES = 16 * 1024 * 1024
 
 
 def list_directories(roots: DataFrame, split_levels: int = 2, tasks: int | None = None) -> DataFrame:
-    """Entries below every root: (repo_id, path, uri, is_dir, bytes), from ``roots(repo_id, root)``.
+    """Entries below every root: (repo_id, path, uri, is_dir, bytes, modified), from ``roots(repo_id, root)``.
 
     The first ``split_levels`` levels are listed one at a time, and the directories found are spread
     over all tasks before each goes deeper, so one very large repository is listed by many tasks.
     Only names and sizes move.
     """
     entries = roots.select(
-        "repo_id", F.lit("").alias("path"), F.col("root").alias("uri"), F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("bytes")
+        "repo_id",
+        F.lit("").alias("path"),
+        F.col("root").alias("uri"),
+        F.lit(True).alias("is_dir"),
+        F.lit(0).cast("bigint").alias("bytes"),
+        F.lit(None).cast("timestamp").alias("modified"),
     )
     for level in range(split_levels + 1):
         entries = _spread(entries, tasks).mapInArrow(_lister(level, deep=level == split_levels), LISTED)
@@ -73,6 +78,7 @@ def _inside(row: dict, deep: bool) -> Iterator[dict]:
                 "uri": f"{uri.rstrip('/')}/{below}",
                 "is_dir": info.type == pafs.FileType.Directory,
                 "bytes": info.size or 0,
+                "modified": info.mtime,
             }
 
 
@@ -104,6 +110,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _LISTED = pa.schema(
-    [("repo_id", pa.string()), ("path", pa.string()), ("uri", pa.string()), ("is_dir", pa.bool_()), ("bytes", pa.int64())]
+    [
+        ("repo_id", pa.string()),
+        ("path", pa.string()),
+        ("uri", pa.string()),
+        ("is_dir", pa.bool_()),
+        ("bytes", pa.int64()),
+        ("modified", pa.timestamp("us", "UTC")),
+    ]
 )
 _FILES = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("content", pa.binary())])

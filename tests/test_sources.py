@@ -163,11 +163,17 @@ def test_directory_scan_finds_everything(spark, trees, levels):
     assert directories == [("r", d) for d in expected]
 
 
-def test_archives_under_hidden_names_can_be_listed(spark, tmp_path):
-    (tmp_path / "_x.zip").write_bytes(GOOD)
-    roots = spark.createDataFrame([("uploads", str(tmp_path))], "repo_id string, root string")
-    archives = ar.archives_of(read_contents(list_directories(roots)))
-    assert rows(ar.extracted(archives), "repo_id").count(("_x",)) == 5
+def test_archives_under_every_name_can_be_listed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, raw in {"_x.zip": GOOD, ".y.ZIP": GOOD, "in/_x.zip": GOOD, "empty.zip": b"", "b.tar": b"", "big.zip": bytes(9000)}.items():
+        (tmp_path / name).write_bytes(raw)
+    found = ingest(spark, str(tmp_path), ScanOptions(max_upload_bytes=8000), every_name=True)
+    assert rows(found.where("error IS NULL").groupBy("repo_id").count()) == [(".y", 5), ("_x", 5), ("_x_1", 5)]
+    assert rows(found.where("error IS NOT NULL"), "repo_id", "path", "error") == [
+        ("b", "b.tar", "Only .zip files are supported."),
+        ("big", "big.zip", "Upload too large: 0.01 MB. Maximum allowed: 0.01 MB."),
+        ("empty", "empty.zip", "Invalid ZIP file: File is not a zip file"),
+    ]
 
 
 def test_blobs_round_trip(spark, tmp_path):
