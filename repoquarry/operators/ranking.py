@@ -18,18 +18,20 @@ def first_per_key(
     n: int,
     rank: str = "rank",
     spread: list[str] | None = None,
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of every key, numbered from 1 in ``rank``; ``order`` is total within a key.
 
     Spark cuts every map task's rows of a key to ``n`` before the shuffle, so for small ``n`` a hot key
     stays small. For larger ``n`` rows are first cut to ``n`` within (key, hash of ``spread``): a hot key
-    is then sorted by many tasks, and the last step sees at most ``n * salts`` rows of it. The result is
+    is then sorted by many tasks, and the last step sees at most ``n`` rows of each share. The result is
     the same, as a row among the first ``n`` of a key is among the first ``n`` of its share.
     """
-    cut_early = min(_FEW, int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")))
-    if spread and n > cut_early:
-        share = F.pmod(F.xxhash64(*spread), F.lit(salts))
+    cut_early = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if spread and n > min(_FEW, cut_early):
+        # Beyond Spark's threshold map tasks do not cut, so a hot key needs more shares.
+        shares = salts or (64 if n <= cut_early else 1024)
+        share = F.pmod(F.xxhash64(*spread), F.lit(shares))
         by_share = Window.partitionBy(*keys, share).orderBy(*order)
         df = df.withColumn(rank, F.row_number().over(by_share)).where(F.col(rank) <= n).drop(rank)
     by_key = Window.partitionBy(*keys).orderBy(*order)

@@ -76,35 +76,42 @@ MAX_REPO_BYTES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one with fewer splits than cores is spread, which large tables never need."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it has fewer splits than that, which large tables never have."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
-def _derived(spark: SparkSession, sf_dir: str, source: str, sql: str) -> DataFrame:
-    table(spark, sf_dir, source).createOrReplaceTempView(source)
-    return spark.sql(sql)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def _derived(source: DataFrame, name: str, sql: str) -> DataFrame:
+    source.createOrReplaceTempView(name)
+    return source.sparkSession.sql(sql)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(file_id, repo_id, path, bytes, content)."""
-    df = _derived(spark, sf_dir, "documents", FILES)
+    df = _derived(documents(spark, sf_dir), "documents", FILES)
     size = F.octet_length("content").cast("bigint")
     return df.select("file_id", "repo_id", "path", size.alias("bytes"), F.col("content").cast("binary").alias("content"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _derived(spark, sf_dir, "documents", MANIFESTS)
+    df = _derived(table(spark, sf_dir, "documents"), "documents", MANIFESTS)
     return df.select("repo_id", "path", F.col("content").cast("binary").alias("content"))
 
 
 def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "pages", URL_REQUESTS)
+    return _derived(table(spark, sf_dir, "pages"), "pages", URL_REQUESTS)
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "documents", MARKDOWN)
+    return _derived(documents(spark, sf_dir), "documents", MARKDOWN)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -142,7 +149,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.when(F.col("doc_id") % 10 == 9, ".tar").when(F.col("doc_id") % 10 == 8, ".ZIP").otherwise(".zip")
     content = _zip_of.asNondeterministic()("doc_id", "text")
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(F.concat(F.lit("uploads/a"), F.col("doc_id"), ending).alias("path"), content.alias("content"))
         .select("path", F.lit(0).cast("timestamp").alias("modificationTime"), F.octet_length("content").cast("bigint").alias("length"), "content")
     )

@@ -124,7 +124,7 @@ def s9_text_decode(spark, sf):
     # Lone bytes, a genuine replacement character and a cut sequence after every third text.
     tail = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF41C328EFBFBDE28242"))).otherwise(F.unhex(F.lit("")))
     raw = F.concat(F.col("text").cast("binary"), tail)
-    decoded = fx.table(spark, sf, "documents").select("doc_id", text.decode_utf8(raw).alias("source"))
+    decoded = fx.documents(spark, sf).select("doc_id", text.decode_utf8(raw).alias("source"))
     return decoded.select("doc_id", F.length("source").alias("n_chars"), F.md5("source").alias("digest"))
 
 
@@ -534,12 +534,12 @@ def r10_report_files(spark, sf):
 
 @query
 def l1_sanitize(spark, sf):
-    return layout.sanitized(fx.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return layout.sanitized(fx.documents(spark, sf).select("doc_id", "text"), "text")
 
 
 @query
 def l2_soft_wrap(spark, sf):
-    return layout.wrapped(fx.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return layout.wrapped(fx.documents(spark, sf).select("doc_id", "text"), "text")
 
 
 @query

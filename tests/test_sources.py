@@ -14,6 +14,7 @@ from repoquarry.plans.analysis import SESSION_SETTINGS, analyze_archives, ingest
 from repoquarry.sources import archives as ar
 from repoquarry.sources.blobs import as_uri, write_blobs
 from repoquarry.sources.directories import list_directories, read_contents
+from repoquarry.sources.shared import materialize, new_folder
 from repoquarry.streaming.ingest import archive_stream, ingest_new_archives
 
 LIMITS = ScanOptions(max_upload_bytes=5000, max_extract_bytes=1000)
@@ -176,6 +177,14 @@ def test_archives_under_every_name_can_be_listed(spark, tmp_path):
     ]
 
 
+def test_tables_are_kept_in_the_folder_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    stored = materialize(spark.range(3).withColumn("x", F.lit("a")), "t")
+    assert all(path.startswith(f"file://{named}/t-") for path in stored.inputFiles())
+    assert new_folder(spark, "t") != new_folder(spark, "t")
+    assert rows(stored) == [(0, "a"), (1, "a"), (2, "a")]
+
+
 def test_blobs_round_trip(spark, tmp_path):
     data = [("a/_b.bin", bytearray(b"\x00\x01")), (".c", bytearray(b""))]
     written = write_blobs(spark.createDataFrame(data, "path string, content binary"), str(tmp_path))
