@@ -32,6 +32,9 @@ INVALID_ZIP = "Invalid ZIP file: %s"
 ZIP_GLOB = "*.[zZ][iI][pP]"
 
 _BATCH_BYTES = 16 * 1024 * 1024
+# A header may declare up to 2**64 bytes. Sizes are cut here so that their sum stays a valid number;
+# any such archive is far above a sensible limit all the same.
+_LARGEST_DECLARED = 2**40
 
 
 def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +99,8 @@ def _list_members(content: pd.Series) -> pd.DataFrame:
         except Exception as problem:  # a broken archive is a value, not a failed job
             return None, INVALID_ZIP % problem
         return [
-            {"ordinal": i, "path": m.filename, "is_dir": m.is_dir(), "bytes": m.file_size} for i, m in enumerate(infos)
+            {"ordinal": i, "path": m.filename, "is_dir": m.is_dir(), "bytes": min(m.file_size, _LARGEST_DECLARED)}
+            for i, m in enumerate(infos)
         ], None
 
     return pd.DataFrame([one(raw) for raw in content], columns=["members", "error"])

@@ -1,6 +1,7 @@
 """Archives, directory trees, streams and the whole job."""
 
 import io
+import struct
 import warnings
 import zipfile
 from datetime import datetime
@@ -107,6 +108,27 @@ def test_damaged_members_reject_the_whole_archive(spark):
     assert error.startswith("Invalid ZIP file: ")
 
 
+def declaring(*sizes):
+    """An archive whose directory declares these sizes for empty members."""
+    local, central = b"", b""
+    for i, size in enumerate(sizes):
+        name, extra = f"f{i}".encode(), struct.pack("<HHQ", 1, 8, size)
+        fields = struct.pack("<HHHHHIIIHH", 20, 0, 0, 0, 33, 0, 0, 0xFFFFFFFF, len(name), len(extra))
+        central += b"PK\x01\x02" + struct.pack("<H", 20) + fields + struct.pack("<HHHII", 0, 0, 0, 0, len(local)) + name + extra
+        local += b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 20, 0, 0, 0, 33, 0, 0, 0, len(name), 0) + name
+    end = struct.pack("<HHHHIIH", 0, 0, len(sizes), len(sizes), len(central), len(local), 0)
+    return local + central + b"PK\x05\x06" + end
+
+
+def test_absurd_declared_sizes_reject_only_their_archive(spark):
+    uploads = {"huge.zip": declaring(2**64 - 1, 2**63, 2**63), "odd.zip": declaring(10), "good.zip": GOOD}
+    entries = ar.extracted(literal_archives(spark, uploads))
+    [(repo, error)] = rows(entries.where("error IS NOT NULL"), "repo_id", "error")
+    assert repo == "huge"
+    assert error.startswith("Zip too large after extraction: ")
+    assert rows(entries.where("repo_id = 'odd'"), "path", "bytes") == [("f0", 0)]
+
+
 def test_large_entries_are_sent_in_several_batches(spark, monkeypatch):
     big = zipped(*[(f"f{i}", bytes(3 * 1024 * 1024)) for i in range(12)])
     entries = ar.files_of(ar.extracted(literal_archives(spark, {"big.zip": big})))
