@@ -93,4 +93,5 @@ def previews(files: DataFrame, preview_chars: int = 500 * 1024) -> DataFrame:
     """Text of every code file; of files above the limit in bytes, that many leading characters."""
     text = universal_newlines(decode_utf8(F.col("content")))
     head = F.when(F.col("bytes") > preview_chars, F.substring(text, 1, preview_chars)).otherwise(text)
-    return viewer_files(files).select("repo_id", "path", language_of(F.col("path"), "text").alias("language"), head.alias("preview"))
+    language = language_of(F.col("path"), "text")
+    return viewer_files(files).select("repo_id", "path", language.alias("language"), head.alias("preview"))

@@ -101,11 +101,8 @@ def _entries(pairs: Column) -> Column:
         F.array_distinct(names), lambda name: F.element_at(F.filter(entries, lambda e: e["name"] == name), -1)
     )
     repeated = F.size(F.array_distinct(names)) < F.size(names)
-    return F.coalesce(F.when(repeated, unique).otherwise(entries), F.filter(entries, lambda _: F.lit(False)), _no_entries())
-
-
-def _no_entries() -> Column:
-    return F.array().cast("array<struct<name:string,version:string>>")
+    nothing = F.array().cast("array<struct<name:string,version:string>>")
+    return F.coalesce(F.when(repeated, unique).otherwise(entries), nothing)
 
 
 def dependency_rows(packages: DataFrame, column: str, n: int) -> DataFrame:

@@ -100,17 +100,9 @@ def repo_profiles(
         "language",
         *[F.slice(F.col(kind), 1, options.report_names).alias(kind) for kind in ("classes", "functions")],
     )
-    key_files = (
-        first_per_key(
-            scanned,
-            ["repo_id"],
-            in_walk_order(),
-            options.report_key_files,
-            spread=["path"],
-        )
-        .groupBy("repo_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "path", "language", "classes", "functions"))).alias("key_files"))
-    )
+    first = first_per_key(scanned, ["repo_id"], in_walk_order(), options.report_key_files, spread=["path"])
+    described = F.struct("rank", "path", "language", "classes", "functions")
+    key_files = first.groupBy("repo_id").agg(F.array_sort(F.collect_list(described)).alias("key_files"))
     package = m.packages(manifests).select("repo_id", F.struct("*").alias("package"))
     parts = [
         repo_stats(records),

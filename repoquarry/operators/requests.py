@@ -94,7 +94,13 @@ def _with_earlier_requests(contests: DataFrame, times: DataFrame) -> DataFrame:
     )
     guess = F.col("j") >= F.col("earlier")
     return contests.select("parent", "j", "child").join(earlier, "child").select(
-        "parent", "j", "child", "earlier", F.col("j").alias("claim"), guess.alias("child_wins"), F.lit(True).alias("changed")
+        "parent",
+        "j",
+        "child",
+        "earlier",
+        F.col("j").alias("claim"),
+        guess.alias("child_wins"),
+        F.lit(True).alias("changed"),
     )
 
 

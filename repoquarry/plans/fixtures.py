@@ -98,7 +98,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(file_id, repo_id, path, bytes, content)."""
     df = _derived(documents(spark, sf_dir), "documents", FILES)
     size = F.octet_length("content").cast("bigint")
-    return df.select("file_id", "repo_id", "path", size.alias("bytes"), F.col("content").cast("binary").alias("content"))
+    content = F.col("content").cast("binary")
+    return df.select("file_id", "repo_id", "path", size.alias("bytes"), content.alias("content"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,5 +152,10 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         documents(spark, sf_dir)
         .select(F.concat(F.lit("uploads/a"), F.col("doc_id"), ending).alias("path"), content.alias("content"))
-        .select("path", F.lit(0).cast("timestamp").alias("modificationTime"), F.octet_length("content").cast("bigint").alias("length"), "content")
+        .select(
+            "path",
+            F.lit(0).cast("timestamp").alias("modificationTime"),
+            F.octet_length("content").cast("bigint").alias("length"),
+            "content",
+        )
     )

@@ -53,9 +53,11 @@ def s1_archive_scan(spark, sf):
     folder = new_folder(spark, "uploads")
     write_blobs(fx.archives(spark, sf), folder).agg(F.sum("bytes")).collect()
     name = paths.basename(F.col("path")).alias("archive")
-    read = ar.read_archives(spark, folder).select(name, "length", (F.octet_length("content") == F.col("length")).alias("whole"), F.lit("").alias("error"))
+    whole = F.octet_length("content") == F.col("length")
+    read = ar.read_archives(spark, folder).select(name, "length", whole.alias("whole"), F.lit("").alias("error"))
     refused = ar.refused_uploads(ar.list_uploads(spark, folder))
-    return read.unionByName(refused.select(name, F.lit(0).cast("bigint").alias("length"), F.lit(False).alias("whole"), "error"))
+    unread = [F.lit(0).cast("bigint").alias("length"), F.lit(False).alias("whole")]
+    return read.unionByName(refused.select(name, *unread, "error"))
 
 
 @query
@@ -169,7 +171,7 @@ def u2_repo_name(spark, sf):
 @query
 def u3_request_split(spark, sf):
     asked = fx.url_requests(spark, sf)
-    taken = requests.accepted(asked).select("req_id", "url", F.lit("accepted").alias("outcome"), F.lit("").alias("error"))
+    taken = requests.accepted(asked).withColumns({"outcome": F.lit("accepted"), "error": F.lit("")})
     refused = requests.rejected(asked).select("req_id", "url", F.lit("rejected").alias("outcome"), "error")
     return taken.unionByName(refused)
 

@@ -113,7 +113,8 @@ def with_members(archives: DataFrame, options: ScanOptions = ScanOptions()) -> D
     """
     refused = upload_rejection(F.col("path"), F.col("length"), options)
     checked = archives.withColumn("refused", refused)
-    listed = checked.withColumn("listing", _list_members.asNondeterministic()(F.when(F.col("refused").isNull(), F.col("content"))))
+    opened = F.when(F.col("refused").isNull(), F.col("content"))
+    listed = checked.withColumn("listing", _list_members.asNondeterministic()(opened))
     return listed.withColumns(
         {"members": F.col("listing.members"), "error": F.coalesce("refused", "listing.error")}
     ).drop("refused", "listing")
@@ -176,7 +177,8 @@ def extracted(archives: DataFrame, options: ScanOptions = ScanOptions(), repo_id
     repo_id = stem(F.col("path")) if repo_id is None else repo_id
     judged = with_verdict(archives, options)
     opened = F.when(F.col("error").isNull(), F.col("content"))
-    return judged.select(repo_id.alias("repo_id"), "path", "error", opened.alias("content")).mapInArrow(_extract, EXTRACTED)
+    opening = judged.select(repo_id.alias("repo_id"), "path", "error", opened.alias("content"))
+    return opening.mapInArrow(_extract, EXTRACTED)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,8 @@ def ingest_new_archives(
         entries = f"{folder}/entries/batch={batch_id}"
         extracted(batch, options, repo_id).write.mode("overwrite").parquet(entries)
         stored = batch.sparkSession.read.parquet(entries)
-        file_records(files_of(stored), options).write.mode("overwrite").parquet(f"{folder}/file_records/batch={batch_id}")
+        records = file_records(files_of(stored), options)
+        records.write.mode("overwrite").parquet(f"{folder}/file_records/batch={batch_id}")
 
     return (
         archives.writeStream.foreachBatch(write)
