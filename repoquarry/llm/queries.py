@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repoquarry.llm.bpe import encode_decode
 from repoquarry.llm.sharding import shard_by_bytes
+from repoquarry.llm.warc import read_warc, write_warc
+from repoquarry.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +29,13 @@ def op1_bpe_encode_decode(spark, sf):
     return encode_decode(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op6_warc_writer(spark, sf):
+    folder = new_folder(spark, "warc")
+    write_warc(_table(spark, sf, "pages"), folder)
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op9_sharding(spark, sf):
     return shard_by_bytes(_table(spark, sf, "documents"))
