@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from repoquarry.llm.bpe import encode_decode
+from repoquarry.llm.html import extract_text
 from repoquarry.llm.sharding import shard_by_bytes
 from repoquarry.llm.warc import read_warc, write_warc
 from repoquarry.sources.shared import new_folder
@@ -39,3 +40,8 @@ def op6_warc_writer(spark, sf):
 @query
 def op9_sharding(spark, sf):
     return shard_by_bytes(_table(spark, sf, "documents"))
+
+
+@query
+def op10_html_extraction(spark, sf):
+    return extract_text(_table(spark, sf, "pages"))
