@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repoquarry.llm.bpe import encode_decode
 from repoquarry.llm.html import extract_text
+from repoquarry.llm.quality import fit_quality, score_quality
 from repoquarry.llm.sharding import shard_by_bytes
+from repoquarry.llm.toxicity import fit_toxicity, score_toxicity
 from repoquarry.llm.warc import read_warc, write_warc
 from repoquarry.sources.shared import new_folder
 
@@ -30,6 +32,18 @@ def op1_bpe_encode_decode(spark, sf):
     return encode_decode(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_toxicity(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf, "labels")))
+
+
+@query
+def op4_quality_classifier(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf, "labels")))
+
+
 @query
 def op6_warc_writer(spark, sf):
     folder = new_folder(spark, "warc")

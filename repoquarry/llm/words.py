@@ -18,8 +18,10 @@ SLICE_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SEPARATOR = np.zeros(256, dtype=bool)
-_SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+WHITE_SPACE = np.zeros(256, dtype=bool)
+WHITE_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Everything in ASCII but letters and digits.
+NO_LETTERS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 # Words beyond this many bytes (base64 blobs and the like) are hashed one by one.
 _LONG = 128
@@ -54,10 +56,10 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, list
 class Words:
     """Words of some texts: ``starts``, ``ends`` in ``data`` and, per text, ``bounds`` into them."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], separator: np.ndarray = WHITE_SPACE):
         joined = b"\n".join(texts) + b"\n" + bytes(8)
         self.data = _LOWER[np.frombuffer(joined, dtype=np.uint8)]
-        word = ~_SEPARATOR[self.data[:-8]]
+        word = ~separator[self.data[:-8]]
         edges = np.flatnonzero(word[1:] != word[:-1]) + 1
         if word[0]:
             edges = np.concatenate(([0], edges))
@@ -66,11 +68,21 @@ class Words:
         self.text_starts = np.concatenate(([0], np.cumsum(lengths + 1)))
         self.bounds = np.searchsorted(self.starts, self.text_starts)
 
+    def prefix_hashes(self, width: int) -> np.ndarray:
+        """One hash per word of its first ``width`` (at most 8) bytes; of shorter words, of all."""
+        short = np.minimum(self.ends - self.starts, width)
+        part = self._eights()[self.starts] & _MASKS[short]
+        return mix(part ^ constants(width, 11)[-1])
+
+    def _eights(self) -> np.ndarray:
+        """The eight bytes from each place on as a number."""
+        return np.ndarray(len(self.data) - 7, dtype="<u8", buffer=self.data.tobytes(), strides=(1,))
+
     def hashes(self) -> np.ndarray:
         """One 64-bit hash per word."""
         lengths = self.ends - self.starts
         out = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        eights = np.ndarray(len(self.data) - 7, dtype="<u8", buffer=self.data.tobytes(), strides=(1,))
+        eights = self._eights()
         for chunk in range((_LONG + 7) // 8):
             left = lengths - 8 * chunk
             which = slice(None) if chunk == 0 else np.flatnonzero(left > 0)
