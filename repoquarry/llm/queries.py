@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from repoquarry.llm.bpe import encode_decode
+from repoquarry.llm.embeddings import near_duplicates
 from repoquarry.llm.html import extract_text
 from repoquarry.llm.quality import fit_quality, score_quality
 from repoquarry.llm.sharding import shard_by_bytes
@@ -51,6 +52,11 @@ def op6_warc_writer(spark, sf):
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op8_embedding_near_dedup(spark, sf):
+    return near_duplicates(_table(spark, sf, "embeddings"))
+
+
 @query
 def op9_sharding(spark, sf):
     return shard_by_bytes(_table(spark, sf, "documents"))
