@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from repoquarry.llm import minhash
 from repoquarry.llm.bpe import encode_decode
 from repoquarry.llm.embeddings import near_duplicates
 from repoquarry.llm.html import extract_text
@@ -39,6 +40,11 @@ def op2_toxicity(spark, sf):
     return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf, "labels")))
 
 
+@query
+def op3_minhash_near_dedup(spark, sf):
+    return minhash.near_duplicates(_table(spark, sf, "documents"))
+
+
 @query
 def op4_quality_classifier(spark, sf):
     docs = _table(spark, sf, "documents")
