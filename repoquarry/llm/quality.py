@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoquarry.llm.sums import summed
 from repoquarry.llm.toxicity import is_held_out
 from repoquarry.llm.words import Words, mix, slices
 from repoquarry.sources.shared import materialize
@@ -26,7 +27,6 @@ WIDTHS = (2.0, 5.0)
 RIDGE = 1.0
 # Scores are calibrated on so many bins at most.
 BINS = 2048
-_BLOCK = 32
 
 # Classes of bytes: 1 upper case, 2 lower case, 3 digits, 4 sentence marks, 5 symbols, 6 beyond ASCII, 7 line ends.
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -143,35 +143,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, STATISTICS)
 
 
-def _summed(rows: DataFrame, partial, width: int) -> np.ndarray:
-    """Sum over all partitions of the matrix that ``partial`` makes of one, ``width`` numbers a row.
-
-    Partitions send their matrix in blocks of rows; a task adds up the blocks of one place as they
-    arrive. The driver receives one matrix.
-    """
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = partial(batches)
-        if total is not None:
-            parts = [total[i : i + _BLOCK].tobytes() for i in range(0, len(total), _BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["block", "part"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(part, dtype="<f8")
-                sums[block] = sums[block] + values if block in sums else values
-        if sums:
-            parts = pa.array([s.tobytes() for s in sums.values()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), parts], ["block", "part"])
-
-    sent = rows.mapInArrow(blocks, "block int, part binary")
-    found = sent.repartition("block").mapInArrow(added, "block int, part binary").collect()
-    parts = [np.frombuffer(r.part, dtype="<f8") for r in sorted(found, key=lambda r: r.block)]
-    return np.concatenate(parts).reshape(-1, width) if parts else np.zeros((0, width))
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> Quality:
     """Learns from all labelled texts outside of the held-out fold.
 
@@ -196,7 +167,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
             total += np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)])
         return total
 
-    sums = _summed(rows, moments, 2 * STATISTICS + 1).sum(axis=0)
+    sums = summed(rows, moments, 2 * STATISTICS + 1).sum(axis=0)
     n = max(1.0, sums[0])
     mean = sums[1 : STATISTICS + 1] / n
     scale = np.sqrt(np.maximum(sums[STATISTICS + 1 :] / n - mean**2, 0))
@@ -213,7 +184,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
                 total += z.T @ np.hstack([z, y[:, None]])
         return total
 
-    equations = _summed(rows, normal, width + 1)
+    equations = summed(rows, normal, width + 1)
     if not len(equations) or not equations.any():
         equations = np.zeros((width, width + 1))
     penalty = RIDGE * np.eye(width)

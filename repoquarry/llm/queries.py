@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from repoquarry.llm import minhash
 from repoquarry.llm.bpe import encode_decode
+from repoquarry.llm.decontaminate import benchmark_items, fit_space, leaks
 from repoquarry.llm.embeddings import near_duplicates
 from repoquarry.llm.html import extract_text
 from repoquarry.llm.quality import fit_quality, score_quality
@@ -58,6 +59,12 @@ def op6_warc_writer(spark, sf):
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op7_benchmark_decontamination(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return leaks(docs, fit_space(docs), benchmark_items(_table(spark, sf, "benchmark")))
+
+
 @query
 def op8_embedding_near_dedup(spark, sf):
     return near_duplicates(_table(spark, sf, "embeddings"))
