@@ -13,6 +13,7 @@ from repoquarry.llm.decontaminate import benchmark_items, fit_space, leaks
 from repoquarry.llm.embeddings import near_duplicates
 from repoquarry.llm.html import extract_text
 from repoquarry.llm.quality import fit_quality, score_quality
+from repoquarry.llm.secrets import fit_detector, scan
 from repoquarry.llm.sharding import shard_by_bytes
 from repoquarry.llm.toxicity import fit_toxicity, score_toxicity
 from repoquarry.llm.warc import read_warc, write_warc
@@ -52,6 +53,12 @@ def op4_quality_classifier(spark, sf):
     return score_quality(docs, fit_quality(docs, _table(spark, sf, "labels")))
 
 
+@query
+def op5_secret_scans(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return scan(docs, fit_detector(docs))
+
+
 @query
 def op6_warc_writer(spark, sf):
     folder = new_folder(spark, "warc")
