@@ -2,8 +2,8 @@
 
 The network sees a candidate with the text around it. It is trained in numpy on labelled findings: what
 the patterns accept are positives, candidates that no pattern touches and ordinary words are negatives.
-Its outputs are calibrated on findings kept aside, and the threshold is the highest one that still
-reaches the wanted recall there. Findings of the patterns always stay; the network adds spans.
+Its outputs are calibrated on findings kept aside; the threshold excludes nearly all negatives there but
+never goes above the one that still reaches the wanted recall. Findings of the patterns always stay; the network adds spans.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ _OTHER, _NOTHING, _SYMBOLS = 128, 129, 130
 # Findings the network is trained on at most, of either label; a fifth of them calibrates.
 MOST_FINDINGS = 4000
 RECALL = 0.98
+# Share of held-back negatives that the threshold must exclude where the recall allows it.
+QUIET = 0.999
 _EMBEDDING, _KERNEL, _FILTERS = 12, 5, 24
 _SEED = 5
 
@@ -225,10 +227,11 @@ def fit_detector(docs: DataFrame) -> Detector:
     network.train(x[~aside], y[~aside])
     logits = network.logits(x[aside])
     slope, shift = calibration(logits, y[aside])
-    sure = 1 / (1 + np.exp(-(slope * logits[y[aside] == 1] + shift)))
-    threshold = float(np.sort(sure)[int((1 - RECALL) * len(sure))])
-    # Where even that many findings look like negatives, a candidate must at least be likelier a secret.
-    return Detector(network, slope, shift, max(threshold, 0.5))
+    sure = 1 / (1 + np.exp(-np.clip(slope * logits + shift, -50, 50)))
+    found, other = np.sort(sure[y[aside] == 1]), np.sort(sure[y[aside] == 0])
+    reached = float(found[int((1 - RECALL) * len(found))])
+    # As low as nearly no negative allows, never above what the recall asks for.
+    return Detector(network, slope, shift, min(reached, max(0.5, float(other[int(QUIET * (len(other) - 1))]))))
 
 
 def _joined(spans: list[tuple[int, int, int]], last: int) -> str:
