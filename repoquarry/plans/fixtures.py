@@ -65,6 +65,9 @@ SELECT doc_id, concat('# Doc ', CAST(doc_id AS STRING), '  ', chr(10), '## ', la
  '- item  ', chr(10), '  - inner', chr(10), chr(10), '# ', text) AS text FROM documents
 """
 
+# Beginnings of names that hidden-file rules, URIs or globs would read in another way.
+ODD_NAMES = ["f", "_f", ".f", "a b", "é", "x#", "a%20b", "100%", "q?", "[id]"]
+
 # Limits low enough for every branch to be taken on the smallest tables.
 MAX_FILE_BYTES = 8192
 MAX_FILES = 20

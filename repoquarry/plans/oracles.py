@@ -256,7 +256,7 @@ ORACLES: dict[str, str] = {
     "s5_zip_bomb_guard": f"WITH {_ARCHIVES} SELECT archive, CAST(sum(bytes) AS BIGINT) AS declared, sum(bytes) > {fx.MAX_EXTRACT_BYTES} AS too_large FROM m WHERE zip GROUP BY archive",
     "s6_bad_archives": f"WITH {_ARCHIVES} SELECT path, CASE WHEN NOT zip THEN {_NOT_ZIP} WHEN junk THEN 'Invalid ZIP file: File is not a zip file' ELSE bad.error END AS error FROM d LEFT JOIN bad USING (doc_id) WHERE NOT zip OR junk OR bad.error IS NOT NULL",
     "s7_extracted_files": f"WITH {_ARCHIVES} SELECT 'a' || doc_id AS repo_id, path, arg_max(bytes, ordinal) AS bytes, md5(arg_max(content, ordinal)) AS digest FROM (SELECT *, CASE WHEN ordinal = 7 THEN 'src/sub/late.py' ELSE name END AS path FROM m WHERE zip AND NOT is_dir AND doc_id NOT IN (SELECT doc_id FROM bad)) x GROUP BY doc_id, path",
-    "s8_directory_scan": f"WITH {_F} SELECT repo_id, replace(path, '/f', CASE file_id % 5 WHEN 0 THEN '/_f' WHEN 1 THEN '/.f' ELSE '/f' END) AS path, bytes, md5(content) AS digest FROM f WHERE language IS NOT NULL",
+    "s8_directory_scan": f"WITH {_F} SELECT repo_id, replace(path, '/f', '/' || {fx.ODD_NAMES}[file_id % {len(fx.ODD_NAMES)} + 1]) AS path, bytes, md5(content) AS digest FROM f WHERE language IS NOT NULL",
     "s9_text_decode": "SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN 'A(' || chr(65533) || 'B' ELSE '' END AS t FROM documents) x",
     "s10_repo_size": f"WITH {_F} SELECT repo_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM f GROUP BY repo_id",
     "s11_repo_size_guard": f"WITH {_F}, z AS (SELECT repo_id, sum(bytes) AS n FROM f GROUP BY repo_id) SELECT repo_id, path, '' AS error FROM f JOIN z USING (repo_id) WHERE n <= {fx.MAX_REPO_BYTES} AND file_id % 17 <> 0 UNION ALL SELECT repo_id, '', 'Repository too large: ' || printf('%.2f', n / 1048576.0::DOUBLE) || ' MB. Maximum allowed: {fx.MAX_REPO_BYTES / 1048576:.2f} MB.' FROM z WHERE n > {fx.MAX_REPO_BYTES}",

@@ -112,7 +112,8 @@ def s7_stream_ingest(spark, sf):
 @query
 def s8_directory_scan(spark, sf):
     folder = new_folder(spark, "trees")
-    mark = F.when(F.col("file_id") % 5 == 0, "/_f").when(F.col("file_id") % 5 == 1, "/.f").otherwise("/f")
+    marks = F.array(*map(F.lit, fx.ODD_NAMES))
+    mark = F.concat(F.lit("/"), F.element_at(marks, (F.col("file_id") % len(fx.ODD_NAMES) + 1).cast("int")))
     files = fx.files(spark, sf).withColumn("path", F.replace(F.col("path"), F.lit("/f"), mark))
     placed = files.select(F.concat_ws("/", "repo_id", "path").alias("path"), "content")
     write_blobs(placed, folder).agg(F.sum("bytes")).collect()

@@ -16,7 +16,10 @@ MEMBER_LISTING = T.StructType([T.StructField("members", T.ArrayType(MEMBER)), T.
 
 ARCHIVES = "path string, modificationTime timestamp, length bigint, content binary"
 EXTRACTED = "repo_id string, path string, is_dir boolean, bytes bigint, content binary, error string"
-LISTED = "repo_id string, path string, uri string, is_dir boolean, bytes bigint, modified timestamp"
+LISTED = (
+    "repo_id string, path string, system string, place string, is_dir boolean, bytes bigint, modified timestamp, "
+    "listed boolean"
+)
 FILES = "repo_id string, path string, bytes bigint, content binary"
 
 PYTHON_SYMBOLS = T.StructType(

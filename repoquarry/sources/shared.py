@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """Folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary folder serves a local session; on a cluster it is an error, as
+    executors would write to disks of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="repoquarry-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -26,8 +33,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Used where several consumers need the same expensive rows. The lineage is cut, a lost executor
     costs a re-read, and each consumer still prunes columns, which an RDD checkpoint would not allow.
+    The table is removed when the application ends.
     """
     spark = df.sparkSession
     folder = new_folder(spark, label)
     df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(folder)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from repoquarry.options import ScanOptions
 from repoquarry.plans.analysis import SESSION_SETTINGS, analyze_archives, ingest
 from repoquarry.sources import archives as ar
-from repoquarry.sources.blobs import as_uri, write_blobs
+from repoquarry.sources.blobs import opened, opened_scheme, qualified, write_blobs
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
 from repoquarry.streaming.ingest import archive_stream, ingest_new_archives
@@ -164,6 +164,13 @@ def trees(tmp_path):
         "r/pkg/__init__.py": b"\xff\x00",
         "r/pkg/deep/er/est/f.js": b"js",
         "s/only.py": b"s",
+        "s/a b.py": b"1",
+        "s/a%20b.py": b"2",
+        "s/é [id]/100%.py": b"3",
+        "s/x#1.py": b"4",
+        "s/x": b"5",
+        "s/q?.py": b"6",
+        "s/a:b.gz": b"7",
     }
     for path, raw in contents.items():
         target = tmp_path / path
@@ -174,16 +181,17 @@ def trees(tmp_path):
     return tmp_path, contents
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2, 6])
-def test_directory_scan_finds_everything(spark, trees, levels):
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_directory_scan_finds_everything(spark, trees, most):
     root, contents = trees
-    roots = spark.createDataFrame([(name, str(root / name)) for name in "rst"], "repo_id string, root string")
-    listed = list_directories(roots, levels)
+    named = [("r", f"file:{root}/r"), ("s", f"file://{root}/s/"), ("t", f"{root}/t")]
+    roots = spark.createDataFrame(named, "repo_id string, root string")
+    listed = list_directories(roots, most)
     files = {f"{r['repo_id']}/{r['path']}": bytes(r["content"]) for r in read_contents(listed).collect()}
     assert files == contents
     directories = rows(listed.where("is_dir"), "repo_id", "path")
     expected = ["empty", "empty/inner", "pkg", "pkg/deep", "pkg/deep/er", "pkg/deep/er/est"]
-    assert directories == [("r", d) for d in expected]
+    assert directories == [*(("r", d) for d in expected), ("s", "é [id]")]
 
 
 def test_archives_under_every_name_can_be_listed(spark, tmp_path):
@@ -208,12 +216,21 @@ def test_tables_are_kept_in_the_folder_the_session_names(spark):
 
 
 def test_blobs_round_trip(spark, tmp_path):
-    data = [("a/_b.bin", bytearray(b"\x00\x01")), (".c", bytearray(b""))]
-    written = write_blobs(spark.createDataFrame(data, "path string, content binary"), str(tmp_path))
-    assert rows(written) == [(".c", 0), ("a/_b.bin", 2)]
-    assert (tmp_path / "a/_b.bin").read_bytes() == b"\x00\x01"
-    assert as_uri("file:/x") == "file:///x"
-    assert as_uri("s3://b/x") == "s3://b/x"
+    data = [("a/_b.bin", bytearray(b"\x00\x01")), (".c", bytearray(b"")), ("100% #1?.py", bytearray(b"x"))]
+    folder = tmp_path / "in put%20"
+    written = write_blobs(spark.createDataFrame(data, "path string, content binary"), str(folder))
+    assert rows(written) == [(".c", 0), ("100% #1?.py", 1), ("a/_b.bin", 2)]
+    assert (folder / "a/_b.bin").read_bytes() == b"\x00\x01"
+    assert (folder / "100% #1?.py").read_bytes() == b"x"
+
+
+def test_folders_are_opened_by_scheme(spark):
+    assert qualified(spark, "/x y") == "file:///x y"
+    assert opened("file:/x%20y")[1] == opened("file:///x%20y")[1] == "/x%20y"
+    assert opened_scheme("s3a://bucket/a b/c") == "s3"
+    for other in ("wasbs://c@a/x", "dbfs:/x"):
+        with pytest.raises(ValueError, match="cannot open"):
+            qualified(spark, other)
 
 
 def test_stream_takes_each_archive_once(spark, tmp_path):
