@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.llm.sharding import shard_by_bytes
-from repoquarry.sources.blobs import as_uri
+from repoquarry.sources.blobs import opened, qualified
 
 # Payload bytes per shard, and compressed bytes after which a shard starts its next file.
 SHARD_BYTES = 32 << 20
@@ -136,10 +136,10 @@ def write_warc(
         "shard", F.col("page_id").asc_nulls_last(), "digest", F.col("note").desc()
     )
     dealt = dealt.select("shard", "page_id", "digest", "note", "first", "url", "payload")
-    root_uri = as_uri(folder)
+    place = qualified(pages.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(root_uri)
+        system, root = opened(place)
         number, parts, size, count, files = None, [], 0, 0, 0
         noted, first, copy = None, None, 0
 
@@ -220,10 +220,10 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     One task reads a file record by record. ``payload_bytes`` and ``payload_digest`` are of the full
     payload for both types. A block or payload that differs from its digest is an error.
     """
-    root_uri = as_uri(folder)
+    place = qualified(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pafs.FileSystem.from_uri(root_uri)
+        system, root = opened(place)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
@@ -257,7 +257,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     yield _record_batch(rows)
 
     files = spark.read.schema(_MANIFEST).parquet(f"{folder.rstrip('/')}/manifest").select("file")
-    return files.repartition(F.col("file")).mapInArrow(read, _RECORDS)
+    # As many tasks as files: Spark would merge them by the size of the manifest's rows.
+    return files.repartition(max(1, files.count()), "file").mapInArrow(read, _RECORDS)
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
