@@ -15,4 +15,4 @@ def kib_text(size: Column, digits: int = 1) -> Column:
 
 
 def mib_text(size: Column) -> Column:
-    return F.format_string("%.2f", F.bround(size / F.lit(1048576.0), 2))
+    return F.format_string("%.2f", F.bround(size.cast("double") / F.lit(1048576.0), 2))

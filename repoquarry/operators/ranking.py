@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from repoquarry.sources.shared import materialize
 
-# Rows of one key that even the tasks of a very large job may each send to a single task.
-_FEW = 100
+# Parts that the rows of a key are cut in before they meet.
+_SHARES = 256
 
 
 def first_per_key(
@@ -18,24 +18,20 @@ def first_per_key(
     n: int,
     rank: str = "rank",
     spread: list[str] | None = None,
-    salts: int | None = None,
+    shares: int = _SHARES,
 ) -> DataFrame:
     """The first ``n`` rows of every key, numbered from 1 in ``rank``; ``order`` is total within a key.
 
-    Spark cuts every map task's rows of a key to ``n`` before the shuffle, so for small ``n`` a hot key
-    stays small. For larger ``n`` rows are first cut to ``n`` within (key, hash of ``spread``): a hot key
-    is then sorted by many tasks, and the last step sees at most ``n`` rows of each share. The result is
-    the same, as a row among the first ``n`` of a key is among the first ``n`` of its share.
+    Rows are always cut to ``n`` within (key, hash of ``spread``) first, so a hot key is sorted by many
+    tasks and the last step sees at most ``n`` rows of each share. The result is the same, as a row among
+    the first ``n`` of a key is among the first ``n`` of its share. Without ``spread`` all columns but
+    the keys are hashed; columns in it must tell the rows of a key apart.
     """
-    cut_early = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if spread and n > min(_FEW, cut_early):
-        # Beyond Spark's threshold map tasks do not cut, so a hot key needs more shares.
-        shares = salts or (64 if n <= cut_early else 1024)
-        share = F.pmod(F.xxhash64(*spread), F.lit(shares))
-        by_share = Window.partitionBy(*keys, share).orderBy(*order)
-        df = df.withColumn(rank, F.row_number().over(by_share)).where(F.col(rank) <= n).drop(rank)
+    share = F.pmod(F.xxhash64(*(spread or [c for c in df.columns if c not in keys])), F.lit(shares))
+    by_share = Window.partitionBy(*keys, share).orderBy(*order)
+    cut = df.withColumn(rank, F.row_number().over(by_share)).where(F.col(rank) <= n).drop(rank)
     by_key = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(by_key)).where(F.col(rank) <= n)
+    return cut.withColumn(rank, F.row_number().over(by_key)).where(F.col(rank) <= n)
 
 
 def laid_out_in_ranges(df: DataFrame, key: str, arrival: str, tie: str, ranges: int | None = None) -> DataFrame:

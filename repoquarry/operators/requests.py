@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +36,10 @@ def unique_names(requests: DataFrame, name: str = "name", arrival: str = "req_id
     Almost always the suffix is the rank of the request among those for the same name. It is larger
     where other requests name ``x_3`` itself: whichever request comes first holds such a contested
     name, and the loser moves one on, as do all later requests for the loser's name. Those shifts
-    decide which request competes for the next contested name, so the table of contests is settled in
-    rounds until nothing changes. A contest depends only on those of lower suffixes and of shorter
-    names, which is why the rounds end, and end in the one right answer.
+    decide which request competes for the next contested name. A contest depends only on those of
+    lower suffixes and on the one for its parent's own name, so the contests of a parent are decided in
+    one ordered pass, and parents are settled by the number of suffixes in their names: as many rounds
+    as the longest chain ``x_1_2_3`` of contested names has, however many names are contested.
     """
     ranged = laid_out_in_ranges(requests.withColumn("_name", F.col(name)), "_name", arrival, tie)
     ranked = rank_in_ranges(ranged, "_name", arrival, tie)
@@ -43,10 +47,8 @@ def unique_names(requests: DataFrame, name: str = "name", arrival: str = "req_id
     contests = _contests(times)
     if contests.isEmpty():
         return _with_suffix(ranked, F.col("rank"))
-    settled = materialize(_with_earlier_requests(materialize(contests, "name-contests"), times), "name-contests")
-    while not settled.where("changed").isEmpty():
-        settled = materialize(_settle(settled), "name-contests")
-
+    contests = materialize(_with_earlier_requests(materialize(contests, "name-contests"), times), "name-contests")
+    settled = _settled(contests)
     passed = settled.where("child_wins").groupBy("parent", "claim").agg(F.count("*").alias("_passed"))
     lost = settled.where(~F.col("child_wins")).select(F.col("child").alias("_name"), F.lit(1).alias("_lost"))
     claims = passed.withColumnsRenamed({"parent": "_name", "claim": "rank"})
@@ -64,8 +66,7 @@ def _with_suffix(ranked: DataFrame, suffix: Column) -> DataFrame:
 def _contests(times: DataFrame) -> DataFrame:
     """Requested names ``child`` that are the ``j``-th variant of another requested name ``parent``.
 
-    ``at`` and ``tie`` are those of the first request for the child. No suffix ever exceeds the number
-    of requests, so variants beyond it are not contested.
+    ``at`` and ``tie`` are those of the first request for the child.
     """
     names = times.groupBy("_name").agg(F.min(F.struct("at", "tie")).alias("first"))
     variant = r"(?s)^(.*)_([1-9][0-9]*)\z"
@@ -75,12 +76,12 @@ def _contests(times: DataFrame) -> DataFrame:
         F.col("_name").alias("child"),
         "first.*",
     )
-    reachable = children.where(F.col("j") <= times.count())
-    return reachable.join(names.select(F.col("_name").alias("parent")), "parent", "left_semi")
+    # No number of requests reaches a suffix beyond a bigint.
+    return children.where(F.col("j").isNotNull()).join(names.select(F.col("_name").alias("parent")), "parent", "left_semi")
 
 
 def _with_earlier_requests(contests: DataFrame, times: DataFrame) -> DataFrame:
-    """Adds ``earlier``, the number of requests for the parent before the child's first, and a first guess.
+    """Adds ``earlier``, the number of requests for the parent before the child's first.
 
     It is the child's rank among those requests and all rival children, less its rank among the rivals.
     """
@@ -92,34 +93,48 @@ def _with_earlier_requests(contests: DataFrame, times: DataFrame) -> DataFrame:
     earlier = among_all.join(among_rivals.select("child", "others"), "child").select(
         "child", (F.col("all") - F.col("others")).alias("earlier")
     )
-    guess = F.col("j") >= F.col("earlier")
-    return contests.select("parent", "j", "child").join(earlier, "child").select(
-        "parent",
-        "j",
-        "child",
-        "earlier",
-        F.col("j").alias("claim"),
-        guess.alias("child_wins"),
-        F.lit(True).alias("changed"),
-    )
+    return contests.select("parent", "j", "child").join(earlier, "child").select("parent", "j", "child", "earlier")
 
 
-def _settle(contests: DataFrame) -> DataFrame:
-    """One round: the holder of each contested name, given the outcomes of the round before.
+def _settled(contests: DataFrame) -> DataFrame:
+    """Adds ``claim``, the rank of the parent's request that reaches the name, and ``child_wins``.
 
-    ``claim`` is the rank of the parent's request that reaches the name. The child wins if that
-    request comes after its own first one, or if there is no such request.
+    The child wins if that request comes after its own first one, or if there is no such request.
+    Names with the fewest suffixes come first, as a parent that lost its own name starts one later.
     """
-    lost = contests.where(~F.col("child_wins")).select(F.col("child").alias("parent"), F.lit(1).alias("lost"))
-    summed = sum_below(contests, "parent", "j", F.col("child_wins").cast("bigint"), "passed")
-    claim = F.col("j") - F.col("passed") - F.coalesce("lost", F.lit(0))
-    wins = claim >= F.col("earlier")
-    return summed.join(lost, "parent", "left").select(
-        "parent",
-        "j",
-        "child",
-        "earlier",
-        claim.alias("claim"),
-        wins.alias("child_wins"),
-        (wins != F.col("child_wins")).alias("changed"),
-    )
+    suffixes = F.regexp_extract("child", r"(?:_[1-9][0-9]*)+\z", 0)
+    leveled = contests.withColumn("level", F.size(F.split(suffixes, "_")) - 1)
+    done: DataFrame | None = None
+    # As many numbers as there are suffixes in the longest name.
+    for (at,) in sorted(leveled.select("level").distinct().collect()):
+        here = leveled.where(F.col("level") == at)
+        if done is None:
+            here = here.withColumn("lost", F.lit(0))
+        else:
+            lost = done.where(~F.col("child_wins")).select(F.col("child").alias("parent"), F.lit(1).alias("lost"))
+            here = here.join(lost, "parent", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+        ordered = here.select("parent", "j", "child", "earlier", "lost")
+        ordered = ordered.repartition("parent").sortWithinPartitions("parent", "j")
+        found = materialize(ordered.mapInArrow(_in_turn, _SETTLED), "name-contests")
+        done = found if done is None else done.unionByName(found)
+    return done
+
+
+_SETTLED = "parent string, j bigint, child string, earlier bigint, claim bigint, child_wins boolean"
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides sorted contests one after another; of each parent only the number of winners is held."""
+    at, passed = None, 0
+    for batch in batches:
+        claims, wins = [], []
+        columns = [batch.column(c).to_pylist() for c in ("parent", "j", "earlier", "lost")]
+        for parent, j, earlier, lost in zip(*columns, strict=True):
+            if parent != at:
+                at, passed = parent, 0
+            claims.append(j - passed - lost)
+            wins.append(claims[-1] >= earlier)
+            passed += wins[-1]
+        kept = [batch.column(c) for c in ("parent", "j", "child", "earlier")]
+        names = ["parent", "j", "child", "earlier", "claim", "child_wins"]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(claims, pa.int64()), pa.array(wins, pa.bool_())], names)

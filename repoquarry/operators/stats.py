@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoquarry.functions.languages import LANGUAGE_BY_EXTENSION, language_of
+from repoquarry.functions.languages import language_of
 from repoquarry.functions.numbers import kib
 from repoquarry.functions.paths import walk_key
 from repoquarry.operators.files import code_files, parseable_files, viewer_files
@@ -39,8 +39,8 @@ def by_language(files: DataFrame) -> DataFrame:
 
 def language_distribution(languages: DataFrame) -> DataFrame:
     """Languages of every repository in display order: most files first."""
-    order = [F.desc("n_files"), F.asc("language")]
-    return first_per_key(languages, ["repo_id"], order, n=len(LANGUAGE_BY_EXTENSION))
+    by_files = Window.partitionBy("repo_id").orderBy(F.desc("n_files"), F.asc("language"))
+    return languages.withColumn("rank", F.row_number().over(by_files))
 
 
 def language_list(files: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ MIB = 1024 * 1024
 class ScanOptions:
     """Limits of ingest and scanning.
 
-    ``max_files`` counts every directory entry met in walk order, not only code files; ``None``
-    scans the whole repository. ``extended_python`` also reports async functions, ``from`` imports
+    ``max_files`` counts every directory entry met in walk order, not only code files; without it
+    the whole repository is scanned. ``drop_git`` leaves out what lies in ``.git``, as for clones. ``extended_python`` also reports async functions, ``from`` imports
     and every alias; ``strict_names`` strips ``.git`` only at the end of a URL; ``strip_top_level``
     removes the single wrapping folder many archives have before root-level manifests are looked up.
     """
@@ -21,7 +21,8 @@ class ScanOptions:
     max_upload_bytes: int = 100 * MIB
     max_extract_bytes: int = 200 * MIB
     max_file_bytes: int = MIB
-    max_files: int | None = 300
+    max_files: int | None = None
+    drop_git: bool = False
     extended_python: bool = False
     strict_names: bool = False
     strip_top_level: bool = False

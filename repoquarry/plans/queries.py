@@ -69,7 +69,8 @@ def s2_upload_guard(spark, sf):
 @query
 def s3_archive_members(spark, sf):
     listed = ar.with_members(fx.archives(spark, sf), MEMBERS)
-    return listed.select(F.col("path").alias("archive"), F.inline("members"))
+    members = listed.select(F.col("path").alias("archive"), F.inline("members"))
+    return members.withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
 @query
@@ -83,7 +84,7 @@ def s5_zip_bomb_guard(spark, sf):
     listed = ar.with_members(fx.archives(spark, sf), MEMBERS).where(F.col("members").isNotNull())
     size = ar.declared_bytes(F.col("members"))
     return listed.select(
-        F.col("path").alias("archive"), size.alias("declared"), (size > MEMBERS.max_extract_bytes).alias("too_large")
+        F.col("path").alias("archive"), size.cast("bigint").alias("declared"), (size > MEMBERS.max_extract_bytes).alias("too_large")
     )
 
 

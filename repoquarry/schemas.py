@@ -9,7 +9,8 @@ MEMBER = T.StructType(
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("path", T.StringType()),
         T.StructField("is_dir", T.BooleanType()),
-        T.StructField("bytes", T.LongType()),
+        # Headers declare sizes as unsigned 64-bit numbers.
+        T.StructField("bytes", T.DecimalType(20, 0)),
     ]
 )
 MEMBER_LISTING = T.StructType([T.StructField("members", T.ArrayType(MEMBER)), T.StructField("error", T.StringType())])

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -32,9 +33,6 @@ INVALID_ZIP = "Invalid ZIP file: %s"
 ZIP_GLOB = "*.[zZ][iI][pP]"
 
 _BATCH_BYTES = 16 * 1024 * 1024
-# A header may declare up to 2**64 bytes. Sizes are cut here so that their sum stays a valid number;
-# any such archive is far above a sensible limit all the same.
-_LARGEST_DECLARED = 2**40
 
 
 def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +97,7 @@ def _list_members(content: pd.Series) -> pd.DataFrame:
         except Exception as problem:  # a broken archive is a value, not a failed job
             return None, INVALID_ZIP % problem
         return [
-            {"ordinal": i, "path": m.filename, "is_dir": m.is_dir(), "bytes": min(m.file_size, _LARGEST_DECLARED)}
+            {"ordinal": i, "path": m.filename, "is_dir": m.is_dir(), "bytes": Decimal(m.file_size)}
             for i, m in enumerate(infos)
         ], None
 
@@ -120,6 +118,13 @@ def with_members(archives: DataFrame, options: ScanOptions = ScanOptions()) -> D
     ).drop("refused", "listing")
 
 
+_SUM = "decimal(38,0)"
+
+
+def _no_bytes() -> Column:
+    return F.lit(0).cast(_SUM)
+
+
 def leaves_target(path: Column) -> Column:
     """Whether a member name is absolute or climbs above the folder it is extracted to."""
     climb = F.aggregate(
@@ -138,21 +143,22 @@ def has_unsafe_path(members: Column) -> Column:
 
 
 def declared_bytes(members: Column) -> Column:
-    return F.aggregate(members, F.lit(0).cast("bigint"), lambda total, m: total + m["bytes"])
+    """Sum of the declared sizes; a header may declare up to 2**64 bytes."""
+    return F.aggregate(members, _no_bytes(), lambda total, m: (total + m["bytes"]).cast(_SUM))
 
 
 def members_rejection(members: Column, options: ScanOptions = ScanOptions()) -> Column:
     """Why an archive is refused by its members, the first offending member deciding; null if it is not."""
-    limit = F.lit(options.max_extract_bytes).cast("bigint")
+    limit = F.lit(options.max_extract_bytes).cast(_SUM)
 
     def step(state: Column, m: Column) -> Column:
-        total = state["total"] + m["bytes"]
+        total = (state["total"] + m["bytes"]).cast(_SUM)
         reason = F.when(leaves_target(m["path"]), F.format_string(INVALID_PATH, m["path"])).when(
             total > limit, F.format_string(EXTRACT_TOO_LARGE, mib_text(total), mib_text(limit))
         )
         return F.struct(total.alias("total"), F.coalesce(state["reason"], reason).alias("reason"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(None).cast("string").alias("reason"))
+    start = F.struct(_no_bytes().alias("total"), F.lit(None).cast("string").alias("reason"))
     return F.aggregate(members, start, step)["reason"]
 
 

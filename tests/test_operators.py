@@ -56,7 +56,7 @@ def test_first_per_key_equals_plain_sort_when_one_key_is_hot(spark, n):
     pick = random.Random(1)
     data = [("hot" if i % 3 else f"k{i % 7}", pick.randint(0, 40), i) for i in range(600)]
     df = spark.createDataFrame(data, "k string, v int, i int").repartition(6)
-    found = first_per_key(df, ["k"], [F.desc("v"), F.asc("i")], n, spread=["i"], salts=5)
+    found = first_per_key(df, ["k"], [F.desc("v"), F.asc("i")], n, spread=["i"], shares=5)
     groups = defaultdict(list)
     for k, v, i in data:
         groups[k].append((-v, i))
@@ -143,6 +143,23 @@ def test_unique_names_equal_taking_turns(spark, seed):
     assert unique(spark, names) == names_in_turn(names)
 
 
+def test_rounds_follow_the_depth_of_names_not_their_number(spark, monkeypatch):
+    tables = []
+    kept = requests.materialize
+    monkeypatch.setattr(requests, "materialize", lambda df, label: tables.append(label) or kept(df, label))
+    counts = []
+    for suffixes in (6, 24):
+        names = ["x"] + [n for j in range(1, suffixes, 2) for n in (f"x_{j}", f"x_{j + 1}", "x")]
+        tables.clear()
+        assert unique(spark, names) == names_in_turn(names)
+        counts.append(len(tables))
+    assert counts[0] == counts[1]
+    tables.clear()
+    deep = ["x_1_1", "x", "x_1", "x", "x_1_1_1", "x_1", "x"]
+    assert unique(spark, deep) == names_in_turn(deep)
+    assert len(tables) == counts[0] + 2
+
+
 # Files
 
 

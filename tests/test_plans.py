@@ -88,20 +88,20 @@ def test_archives_are_listed_once(spark):
 
 
 @pytest.mark.parametrize(
-    ("build", "salted"),
+    "build",
     [
-        (stats.largest_files, False),
-        (lambda f: bullet_summaries(file_records(f), 20), False),
-        (lambda f: fo.scan_cap(f, 20), False),
-        (lambda f: fo.scan_cap(f, 300), True),
-        (lambda f: tree.tree_lines(f, 500), True),
-        (lambda f: stats.largest_files(f, 5000), True),
+        lambda f: stats.largest_files(f, 5),
+        lambda f: stats.largest_files(f, 300),
+        lambda f: stats.largest_files(f, 5000),
+        lambda f: bullet_summaries(file_records(f), 20),
+        lambda f: fo.scan_cap(f, 20),
+        lambda f: tree.tree_lines(f, 500),
     ],
 )
-def test_first_rows_are_cut_before_the_shuffle_and_hot_keys_are_spread(files, build, salted):
+def test_hot_keys_are_cut_in_shares_for_every_number_of_rows(files, build):
     text = plan(build(files))
     assert ("WindowGroupLimit" in text and ", Partial" in text) or "5000" in text
-    assert bool(re.search(r"Exchange hashpartitioning\(repo_id#\d+L?, _w0#\d+L?, ", text)) == salted
+    assert re.search(r"Exchange hashpartitioning\(repo_id#\d+L?, _w0#\d+L?, ", text)
 
 
 def test_directory_work_is_not_merged_by_the_size_of_its_rows(spark):

@@ -125,7 +125,12 @@ def test_absurd_declared_sizes_reject_only_their_archive(spark):
     entries = ar.extracted(literal_archives(spark, uploads))
     [(repo, error)] = rows(entries.where("error IS NOT NULL"), "repo_id", "error")
     assert repo == "huge"
-    assert error.startswith("Zip too large after extraction: ")
+    assert error.startswith("Zip too large after extraction: 17592186044416.00 MB")
+    listed = ar.with_members(literal_archives(spark, uploads)).where("path = 'huge.zip'")
+    assert [int(b) for b, in rows(listed.select(F.inline("members")), "bytes")] == [2**63, 2**63, 2**64 - 1]
+    assert listed.select(ar.declared_bytes(F.col("members"))).head()[0] == 2**65 - 1
+    wide = ar.extracted(literal_archives(spark, {"wide.zip": declaring(2**41)}), ScanOptions(max_extract_bytes=2**40))
+    assert "2097152.00 MB. Maximum allowed: 1048576.00 MB." in rows(wide, "error")[0][0]
     assert rows(entries.where("repo_id = 'odd'"), "path", "bytes") == [("f0", 0)]
 
 
