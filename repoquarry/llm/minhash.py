@@ -130,19 +130,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that are in different components, near enough, and not met at an earlier place."""
+    """Pairs of a tile that are in different components, near enough, and not met at an earlier place.
+
+    Shingles that no other member has lie outside of every intersection and inside of every union, so
+    they bound the similarity of a pair from above; pairs whose bound is too low are not links.
+    """
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows)
         if len(table) < 2:
             return None
         ids = table.column("id")
-        component, block, lead = (np.array(table.column(c).to_pylist()) for c in ("component", "block", "is_lead"))
+        component, block = (np.array(table.column(c).to_pylist()) for c in ("component", "block"))
         low, high, place = (table.column(c)[0].as_py() for c in ("low", "high", "place"))
         marks = _signatures(table.column("signature"))
-        i, j = np.nonzero((component[:, None] != component[None, :]) & ~lead[:, None] & ~lead[None, :])
+        i, j = np.nonzero(component[:, None] != component[None, :])
         use = i < j if low == high else (block[i] == low) & (block[j] == high)
         i, j = i[use], j[use]
+        own, shared = (np.array(table.column(c).to_pylist()) for c in ("own", "shared"))
+        most, least = np.minimum(shared[i], shared[j]), own[i] + own[j] + np.maximum(shared[i], shared[j])
+        use = 100 * most >= PERCENT * least
+        i, j = i[use], j[use]
         far, first = first_place(marks[i], marks[j])
         use = (far <= FARTHEST) & (first == place)
         return pa.RecordBatch.from_arrays([ids.take(pa.array(i[use])).combine_chunks(), ids.take(pa.array(j[use])).combine_chunks()], ["a", "b"])
@@ -165,14 +173,33 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            found = np.frombuffer(batch.column(1)[row].as_py(), "<i8")
+            ids = batch.column(0).slice(row, 1).take(pa.array(np.zeros(len(found), dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found)], ["id", "shingle"])
+
+
+def _own_shingles(sets: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """(id, own, shared): how many shingles of a set no other, and some other, of the sets of ``ids`` has."""
+    chosen = sets.join(ids, "id", "left_semi")
+    seen = chosen.mapInArrow(_exploded, f"id {kind}, shingle bigint").groupBy("shingle")
+    single = seen.agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    sizes = chosen.select("id", (F.length("shingles") / 8).cast("bigint").alias("size"))
+    counted = sizes.join(own, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"), "size")
+    return counted.select("id", "own", (F.col("size") - F.col("own")).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Texts with equal shingle sets are one class, represented by its smallest id. Members of a bucket of
     the index are first compared with the bucket's smallest id; where that leaves several components in
-    a bucket, pairs across components are compared in tiles of ``TILE`` members, each pair at the first
-    place where it meets. So links within a large group are not enumerated, and no pair that could
-    still join two components is left out.
+    a bucket, pairs across components are compared in tiles of ``TILE`` members, each at the first
+    place where it meets, unless shingles of their own already keep them below the threshold. So links
+    within a large group are not enumerated, and no pair that could still join two components is left out.
 
     A text with fewer words than a shingle is one shingle; null texts and texts without words have an
     empty set, no links and their own id. Rows without an id are not linked and have no component.
@@ -202,7 +229,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = open_.where("x <> y").select("key", "place")
     blocks = F.ceil(F.col("members") / TILE).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    tiled = again.join(open_, ["key", "place"]).join(classes.select("id", "signature"), "id")
+    opened = materialize(again.join(open_, ["key", "place"]), "open-buckets")
+    own = _own_shingles(sets, opened.where("id <> lead").select("id").distinct(), kind)
+    tiled = opened.where("id <> lead").join(classes.select("id", "signature"), "id").join(own, "id")
     tiled = tiled.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     parts = ["key", "place", "low", "high"]
     tiled = tiled.select(
@@ -213,7 +242,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "block",
         "id",
         "component",
-        (F.col("id") == F.col("lead")).alias("is_lead"),
+        "own",
+        "shared",
         "signature",
     )
     dealt = tiled.repartition(*parts).sortWithinPartitions(*parts)
