@@ -5,10 +5,12 @@ Operators that need no text read no ``content``; the column may be absent for th
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions.languages import ends_like_code, is_code, is_parseable, language_of
+from repoquarry.functions.languages import PARSEABLE_LANGUAGES, ends_like_code, is_code, is_parseable, language_of
 from repoquarry.functions.numbers import kib_text
 from repoquarry.functions.paths import ancestors, raw_suffix, walk_key
 from repoquarry.functions.text import decode_utf8, universal_newlines
@@ -23,9 +25,9 @@ def code_files(files: DataFrame) -> DataFrame:
     return files.where(is_code(F.col("path")))
 
 
-def parseable_files(files: DataFrame) -> DataFrame:
+def parseable_files(files: DataFrame, languages: Iterable[str] = PARSEABLE_LANGUAGES) -> DataFrame:
     """Files in a language that symbols are extracted from."""
-    return files.where(is_parseable(F.col("path")))
+    return files.where(is_parseable(F.col("path"), languages))
 
 
 def with_language(files: DataFrame, default: str = "unknown") -> DataFrame:
@@ -62,12 +64,20 @@ def with_directories(leaves: DataFrame) -> DataFrame:
     return leaves.select("repo_id", F.inline(F.concat(own, above))).distinct()
 
 
+def cap_ends(files: DataFrame, max_files: int, directories: DataFrame | None = None) -> DataFrame:
+    """The last file, in walk order, that the scan cap keeps of every repository: (repo_id, end)."""
+    kept = scan_cap(files, max_files, directories).where(~F.col("is_dir"))
+    return kept.groupBy("repo_id").agg(F.max(walk_key(F.col("path"))).alias("end"))
+
+
+def before_end(files: DataFrame, ends: DataFrame) -> DataFrame:
+    """Files up to the ``end`` of their repository. One short row per repository joins the files."""
+    return files.join(ends, "repo_id").where(walk_key(F.col("path")) <= F.col("end")).select(*files.columns)
+
+
 def capped(files: DataFrame, max_files: int | None, directories: DataFrame | None = None) -> DataFrame:
     """Files among the first ``max_files`` entries of their repository; all files if None."""
-    if max_files is None:
-        return files
-    kept = scan_cap(files, max_files, directories).where(~F.col("is_dir"))
-    return files.join(kept, ["repo_id", "path"], "left_semi")
+    return files if max_files is None else before_end(files, cap_ends(files, max_files, directories))
 
 
 def viewer_files(files: DataFrame) -> DataFrame:
@@ -77,7 +87,7 @@ def viewer_files(files: DataFrame) -> DataFrame:
 
 def file_metrics(files: DataFrame) -> DataFrame:
     """Size, extension and number of code files shown beside each code file."""
-    shown = viewer_files(files)
+    shown = viewer_files(files).select("repo_id", "path", "bytes")
     totals = shown.groupBy("repo_id").agg(F.count("*").alias("total_files"))
     extension = raw_suffix(F.col("path"))
     return shown.join(totals, "repo_id").select(

@@ -18,12 +18,13 @@ def oversize_repositories(files: DataFrame, max_bytes: int) -> DataFrame:
     return repo_sizes(files).where(F.col("bytes") > max_bytes).withColumn("error", reason)
 
 
-def within_limit(files: DataFrame, too_large: DataFrame) -> DataFrame:
-    """Files of all repositories but ``too_large``, without those below ``.git``.
+def within_limit(files: DataFrame, too_large: DataFrame, drop_git: bool = True) -> DataFrame:
+    """Files, directories or names of all repositories but ``too_large``; without ``.git`` as clones are kept.
 
     ``too_large`` holds one row per refused repository. Pass it as a stored table where ``files``
     carry contents: Spark then knows its size and broadcasts it while it is below its threshold, so
     contents are not shuffled. Above it the join shuffles, and adaptive execution splits hot keys.
     """
-    outside = files.where(~F.startswith("path", F.lit(".git/")))
-    return outside.join(too_large.select("repo_id"), "repo_id", "left_anti")
+    if drop_git:
+        files = files.where(~F.startswith("path", F.lit(".git/")) & (F.col("path") != ".git"))
+    return files.join(too_large.select("repo_id"), "repo_id", "left_anti")

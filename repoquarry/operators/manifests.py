@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions.paths import basename, depth
-from repoquarry.functions.text import lines, read_text, strip
-from repoquarry.operators.ranking import first_per_key
+from repoquarry.functions.text import head_lines, lines, read_text, strip
 from repoquarry.schemas import PACKAGE_JSON
 
 # File names in order of precedence, and the text for a missing field.
@@ -50,17 +49,23 @@ def root_manifests(files: DataFrame, listing: DataFrame | None = None) -> DataFr
 
 
 def preferred(manifests: DataFrame, names: list[str]) -> DataFrame:
-    """The first of ``names`` that each repository has; a repository holds each name at most once."""
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path"))
+    """The first of ``names`` that each repository has; a repository holds each name at most once.
+
+    The choice is made on names alone; one number per repository then joins the files.
+    """
     found = manifests.where(F.col("path").isin(names))
     if len(names) == 1:
         return found
-    return first_per_key(found, ["repo_id"], [order], 1).drop("rank")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path")).alias("_place")
+    chosen = found.groupBy("repo_id").agg(F.min(place).alias("_place"))
+    return found.withColumn("_place", place).join(chosen, ["repo_id", "_place"], "left_semi").drop("_place")
 
 
-def readmes(manifests: DataFrame) -> DataFrame:
-    """README text per repository: (repo_id, path, readme)."""
-    return preferred(manifests, README_NAMES).select("repo_id", "path", read_text(F.col("content")).alias("readme"))
+def readmes(manifests: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """README text per repository: (repo_id, path, readme), cut to its first lines where it is read."""
+    text = read_text(F.col("content"))
+    cut = manifests.withColumn("readme", text if max_lines is None else head_lines(text, max_lines)).drop("content")
+    return preferred(cut, README_NAMES).select("repo_id", "path", "readme")
 
 
 def packages(manifests: DataFrame) -> DataFrame:

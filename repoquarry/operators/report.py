@@ -6,12 +6,14 @@ repository, and each section is an array expression over that row.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoquarry.functions.languages import PARSEABLE_LANGUAGES
 from repoquarry.functions.numbers import kib_text
 from repoquarry.functions.text import head_lines, lines
 from repoquarry.operators import manifests as m
@@ -19,6 +21,7 @@ from repoquarry.operators.ranking import first_per_key
 from repoquarry.operators.stats import by_language, largest_files, repo_stats
 from repoquarry.operators.summaries import NO_FILES, bullet_summaries, in_walk_order
 from repoquarry.options import ReportOptions
+from repoquarry.sources.blobs import write_blobs
 
 # Headings and wording of the report and of the prompt.
 TITLE = "# Project Documentation"
@@ -79,16 +82,19 @@ def repo_profiles(
     manifests: DataFrame,
     options: ReportOptions = ReportOptions(),
     considered: DataFrame | None = None,
+    repositories: DataFrame | None = None,
+    languages: Iterable[str] = PARSEABLE_LANGUAGES,
 ) -> DataFrame:
     """One row per repository with everything a report or prompt needs.
 
-    ``considered`` are the files under a scan cap, if there is one; ``files`` give the repositories.
+    ``considered`` are the files under a scan cap, if there is one. ``repositories`` names all that get a
+    row, also those without files; by default ``files`` give them.
 
     Lists are cut to what is shown before they are collected. ``records`` is read more than once, so
     callers pass it from a table rather than from the extraction itself.
     """
     considered = files if considered is None else considered
-    languages = by_language(considered).groupBy("repo_id").agg(
+    counts = by_language(considered, languages).groupBy("repo_id").agg(
         F.array_sort(F.collect_list(F.struct("language", "n_files"))).alias("languages")
     )
     largest = largest_files(considered, options.largest_files).groupBy("repo_id").agg(
@@ -106,16 +112,16 @@ def repo_profiles(
     package = m.packages(manifests).select("repo_id", F.struct("*").alias("package"))
     parts = [
         repo_stats(records),
-        languages,
+        counts,
         largest,
         key_files,
         bullet_summaries(records, options.prompt_files, options.bullet_names).withColumnRenamed("summary", "bullets"),
-        m.readmes(manifests).select("repo_id", "readme"),
+        m.readmes(manifests, max(options.report_readme_lines, options.prompt_readme_lines)).select("repo_id", "readme"),
         package,
         m.requirements(manifests),
         m.poms(manifests, options.pom_chars),
     ]
-    every = files.select("repo_id").distinct()
+    every = (files if repositories is None else repositories).select("repo_id").distinct()
     joined = reduce(lambda left, part: left.join(part, "repo_id", "left"), parts, every)
     return joined.fillna(0, list(STATISTIC_LABELS)).fillna(NO_FILES, ["bullets"])
 
@@ -272,14 +278,13 @@ def prompt_previews(prompts: DataFrame, chars: int = 2000) -> DataFrame:
     return prompts.select("repo_id", cut.alias("preview"))
 
 
-def write_reports(reports: DataFrame, folder: str, one_folder_each: bool = False) -> None:
-    """Write reports with their file names as a Parquet table, or as one text folder per repository.
+def write_reports(reports: DataFrame, folder: str, as_files: bool = False) -> None:
+    """Write reports with their file names as a Parquet table, or each as a Markdown file of that name.
 
-    The table suits any number of repositories; text folders are for a set small enough to browse.
+    The table suits any number of repositories; files are for a set small enough to browse.
     """
-    if one_folder_each:
-        reports.select("file_name", F.col("report").alias("value")).write.partitionBy("file_name").option(
-            "lineSep", "\n"
-        ).text(folder)
+    if as_files:
+        named = reports.select(F.col("file_name").alias("path"), F.col("report").alias("content"))
+        write_blobs(named, folder).write.format("noop").mode("overwrite").save()
     else:
         reports.write.parquet(folder)

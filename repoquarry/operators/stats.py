@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repoquarry.functions.languages import language_of
+from repoquarry.functions.languages import PARSEABLE_LANGUAGES, language_of
 from repoquarry.functions.numbers import kib
 from repoquarry.functions.paths import walk_key
 from repoquarry.operators.files import code_files, parseable_files, viewer_files
 from repoquarry.operators.ranking import first_per_key
 
 
-def repo_stats(records: DataFrame) -> DataFrame:
-    """Files considered, scanned, skipped and failed per repository."""
+def repo_stats(records: DataFrame, repositories: DataFrame | None = None) -> DataFrame:
+    """Files considered, scanned, skipped and failed per repository; ``repositories`` adds those without any."""
     state = F.col("status")
-    return records.groupBy("repo_id").agg(
+    found = records.groupBy("repo_id").agg(
         F.count("*").alias("total_considered"),
         F.count_if(state == "scanned").alias("scanned"),
         F.count_if(state == "skipped").alias("skipped"),
         F.count_if(state == "error").alias("errors"),
     )
+    if repositories is None:
+        return found
+    return repositories.select("repo_id").distinct().join(found, "repo_id", "left").fillna(0)
 
 
-def total_considered(files: DataFrame) -> DataFrame:
-    """Number of file records per repository, from paths alone."""
-    return parseable_files(files).groupBy("repo_id").agg(F.count("*").alias("total_considered"))
+def total_considered(files: DataFrame, languages: Iterable[str] = PARSEABLE_LANGUAGES) -> DataFrame:
+    """Number of file records per repository, from paths alone; ``languages`` are those that are read."""
+    return parseable_files(files, languages).groupBy("repo_id").agg(F.count("*").alias("total_considered"))
 
 
-def by_language(files: DataFrame) -> DataFrame:
+def by_language(files: DataFrame, languages: Iterable[str] = PARSEABLE_LANGUAGES) -> DataFrame:
     """Files per language, skipped and failed ones included, from paths alone."""
     return (
-        parseable_files(files)
+        parseable_files(files, languages)
         .groupBy("repo_id", language_of(F.col("path")).alias("language"))
         .agg(F.count("*").alias("n_files"))
     )
@@ -43,10 +48,10 @@ def language_distribution(languages: DataFrame) -> DataFrame:
     return languages.withColumn("rank", F.row_number().over(by_files))
 
 
-def language_list(files: DataFrame) -> DataFrame:
+def language_list(files: DataFrame, languages: Iterable[str] = PARSEABLE_LANGUAGES) -> DataFrame:
     """Distinct languages of every repository as one text."""
     names = F.array_sort(F.collect_set(language_of(F.col("path"))))
-    return parseable_files(files).groupBy("repo_id").agg(F.array_join(names, ", ").alias("languages"))
+    return parseable_files(files, languages).groupBy("repo_id").agg(F.array_join(names, ", ").alias("languages"))
 
 
 def largest_files(files: DataFrame, k: int = 5) -> DataFrame:
@@ -58,10 +63,10 @@ def largest_files(files: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def file_counts(files: DataFrame) -> DataFrame:
+def file_counts(files: DataFrame, languages: Iterable[str] = PARSEABLE_LANGUAGES) -> DataFrame:
     """Code files listed by the viewer and files analysed, per repository."""
     listed = viewer_files(files).groupBy("repo_id").agg(F.count("*").alias("code_files"))
-    analysed = total_considered(files).withColumnRenamed("total_considered", "analysed_files")
+    analysed = total_considered(files, languages).withColumnRenamed("total_considered", "analysed_files")
     joined = listed.join(analysed, "repo_id", "full")
     return joined.select("repo_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("code_files", "analysed_files")])
 

@@ -7,10 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.functions.paths import stem
-from repoquarry.operators.files import capped
+from repoquarry.functions.paths import walk_key
+from repoquarry.functions.symbols import REGEX_EXTRACTORS, Extractor
+from repoquarry.operators.files import before_end, cap_ends
 from repoquarry.operators.guards import oversize_repositories, within_limit
-from repoquarry.operators.manifests import root_manifests
+from repoquarry.operators.manifests import is_manifest, root_manifests
 from repoquarry.operators.records import manifests_of, records_and_manifests, records_of, symbol_index
 from repoquarry.operators.report import INSTRUCTIONS, prompts, repo_profiles, reports
 from repoquarry.operators.requests import unique_names
@@ -18,17 +19,16 @@ from repoquarry.operators.stats import by_language, import_usage, largest_files,
 from repoquarry.operators.tree import tree_lines
 from repoquarry.options import ReportOptions, ScanOptions
 from repoquarry.sources.archives import (
+    accepted_uploads,
     directories_of,
-    extracted,
     files_of,
     list_uploads,
     listed_uploads,
-    read_archives,
-    read_listed,
-    refused_uploads,
+    opened_entries,
+    refused_entries,
+    repositories_of,
 )
 from repoquarry.sources.directories import list_directories
-from repoquarry.sources.shared import materialize
 
 # Arrow batches for jobs whose rows are whole files or whole archives; Spark also limits their bytes.
 SESSION_SETTINGS = {
@@ -45,25 +45,17 @@ def ingest(
     """Entries of all archives below ``folder``, each under a repository name of its own.
 
     Names and refusals by name or size come from the listing alone; a refused upload takes no name.
-    Only archives that had to be renamed are joined to contents, as a stored table that Spark
-    broadcasts while it is small. ``every_name`` lists the folder in tasks instead of by Spark's file
-    source, which leaves out empty files and names that start with ``_`` or ``.``.
+    Names are joined to the listing, and only then are archives opened, so no join moves contents.
+    ``every_name`` lists the folder in tasks instead of by Spark's file source, which leaves out empty
+    files and names that start with ``_`` or ``.``.
     """
     if every_name:
         roots = spark.createDataFrame([("uploads", folder)], "repo_id string, root string")
-        listed = materialize(list_directories(roots), "uploads")
-        uploads, archives = listed_uploads(listed), read_listed(listed, options.max_upload_bytes)
+        uploads = listed_uploads(list_directories(roots))
     else:
-        uploads, archives = list_uploads(spark, folder), read_archives(spark, folder, options.max_upload_bytes)
-    refused = refused_uploads(uploads, options)
-    taken = uploads.join(refused, "path", "left_anti").withColumn("name", stem(F.col("path")))
-    unique = unique_names(taken, arrival="modificationTime", tie="path")
-    renamed = materialize(
-        unique.where(F.col("unique_name") != F.col("name")).select("path", "unique_name"), "renamed-archives"
-    )
-    entries = extracted(archives.join(renamed, "path", "left"), options, F.coalesce("unique_name", stem(F.col("path"))))
-    errors = refused.select(stem(F.col("path")).alias("repo_id"), "path", "error")
-    return entries.unionByName(errors, allowMissingColumns=True)
+        uploads = list_uploads(spark, folder)
+    named = unique_names(accepted_uploads(uploads, options), arrival="modificationTime", tie="path")
+    return opened_entries(named, options).unionByName(refused_entries(uploads, options), allowMissingColumns=True)
 
 
 def analyze(
@@ -74,30 +66,46 @@ def analyze(
     report: ReportOptions = ReportOptions(),
     directories: DataFrame | None = None,
     instructions: str = INSTRUCTIONS,
+    repositories: DataFrame | None = None,
+    extractors: dict[str, Extractor] = REGEX_EXTRACTORS,
 ) -> dict[str, DataFrame]:
     """Write every table below ``folder`` and return them by name.
 
     ``files`` should be a stored table. Contents are read once, for records and manifests together;
-    everything else works on names, sizes and the tables written before.
+    everything else works on names, sizes and the tables written before. ``repositories`` names all
+    repositories, so those without a file get a listing, statistics and a report too; by default
+    ``files`` and ``directories`` give them. ``extractors`` name the languages read beside Python, in records
+    and in statistics alike.
     """
-    spark = files.sparkSession
+    spark, languages = files.sparkSession, ["python", *extractors]
 
     def stored(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     too_large = stored("refused_repositories", oversize_repositories(files, options.max_extract_bytes))
-    kept = within_limit(files, too_large)
+    kept = within_limit(files, too_large, options.drop_git)
     listing = stored("listing", kept.select("repo_id", "path", "bytes"))
-    scanned = stored("scanned", records_and_manifests(kept, options))
-    manifests = root_manifests(manifests_of(scanned), listing if options.strip_top_level else None)
-    considered, records = listing, records_of(scanned)
+    if directories is not None:
+        directories = stored("directories", within_limit(directories, too_large, options.drop_git))
+    if repositories is None:
+        known = files if directories is None else files.select("repo_id").unionByName(directories.select("repo_id"))
+        repositories = known.select("repo_id")
+    named = repositories.select("repo_id").distinct()
+    every = stored("repositories", named.join(too_large.select("repo_id"), "repo_id", "left_anti"))
+    considered = listing
     if options.max_files is not None:
-        considered = stored("considered", capped(listing, options.max_files, directories))
-        records = records.join(considered.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-    records = stored("file_records", records)
-    profiles = stored("profiles", repo_profiles(listing, records, manifests, report, considered))
+        ends = stored("scan_ends", cap_ends(listing, options.max_files, directories))
+        considered = stored("considered", before_end(listing, ends))
+        # What lies beyond the cap is not parsed; manifests are looked up in the whole repository.
+        manifest = is_manifest(F.col("path"), options.strip_top_level)
+        kept = kept.join(ends, "repo_id", "left").where(manifest | (walk_key(F.col("path")) <= F.col("end"))).drop("end")
+    scanned = stored("scanned", records_and_manifests(kept, options, extractors))
+    manifests = root_manifests(manifests_of(scanned), listing if options.strip_top_level else None)
+    records = stored("file_records", records_of(scanned))
+    profiles = stored("profiles", repo_profiles(listing, records, manifests, report, considered, every, languages))
     return {
+        "repositories": every,
         "refused_repositories": too_large,
         "listing": listing,
         "file_records": records,
@@ -105,10 +113,10 @@ def analyze(
         "profiles": profiles,
         "symbol_index": stored("symbol_index", symbol_index(records)),
         "import_usage": stored("import_usage", import_usage(records)),
-        "repo_stats": stored("repo_stats", repo_stats(records)),
-        "by_language": stored("by_language", by_language(considered)),
+        "repo_stats": stored("repo_stats", repo_stats(records, every)),
+        "by_language": stored("by_language", by_language(considered, languages)),
         "largest_files": stored("largest_files", largest_files(considered, report.largest_files)),
-        "tree": stored("tree", tree_lines(listing, report.tree_entries, directories)),
+        "tree": stored("tree", tree_lines(listing, report.tree_entries, directories, every)),
         "reports": stored("reports", reports(profiles, generated_at, report)),
         "prompts": stored("prompts", prompts(profiles, instructions, report)),
     }
@@ -126,6 +134,14 @@ def analyze_archives(
     """``analyze`` for a folder of archives; also writes the extracted entries and the rejections."""
     ingest(spark, source, options, every_name).write.mode("overwrite").parquet(f"{folder}/entries")
     entries = spark.read.parquet(f"{folder}/entries")
-    tables = analyze(files_of(entries), folder, generated_at, options, report, directories_of(entries))
+    tables = analyze(
+        files_of(entries),
+        folder,
+        generated_at,
+        options,
+        report,
+        directories_of(entries),
+        repositories=repositories_of(entries),
+    )
     tables["refused_archives"] = entries.where(F.col("error").isNotNull()).select("repo_id", "path", "error")
     return tables

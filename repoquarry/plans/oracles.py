@@ -298,9 +298,10 @@ ORACLES: dict[str, str] = {
     "a7_file_counts": f"WITH {_F} SELECT repo_id, CAST(count_if(language IS NOT NULL AND path NOT LIKE '%.PY') AS BIGINT) AS code_files, CAST(count_if(language IN ('python', 'javascript', 'typescript', 'java')) AS BIGINT) AS analysed_files FROM f GROUP BY repo_id",
     "a8_language_list": f"WITH {_F} SELECT repo_id, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages FROM p GROUP BY repo_id",
     "a9_import_usage": f"WITH {_REC} SELECT module, count(*) AS n_files, count(DISTINCT repo_id) AS n_repos FROM (SELECT repo_id, path, unnest(imports) AS module FROM r) x GROUP BY module",
+    "a10_added_language": f"WITH {_F}, g AS (SELECT repo_id, language, count(*) AS n_files FROM f WHERE language IN ('python', 'javascript', 'typescript', 'java', 'go') GROUP BY ALL) SELECT repo_id, language, n_files, n_files AS n_records, CAST(sum(n_files) OVER (PARTITION BY repo_id) AS BIGINT) AS total_considered FROM g",
     "t1_tree": f"WITH {_F}, {_tree('f', 1000)} SELECT repo_id, pos, line FROM tr",
     "t2_tree_cut": f"WITH {_F}, {_tree('f', fx.MAX_ENTRIES)} SELECT repo_id, pos, line FROM tr",
-    "t3_tree_empty": f"WITH {_F}, chosen AS (SELECT * FROM f WHERE path LIKE 'src/es/%' AND file_id % 3 = 0), {_tree('chosen', fx.MAX_ENTRIES)} SELECT repo_id, coalesce(pos, 1) AS pos, coalesce(line, '(empty or invalid repository)') AS line FROM (SELECT DISTINCT repo_id FROM f) e LEFT JOIN tr USING (repo_id)",
+    "t3_tree_empty": f"WITH {_F}, {_tree('f', fx.MAX_ENTRIES)} SELECT repo_id, coalesce(pos, 1) AS pos, coalesce(line, '(empty or invalid repository)') AS line FROM (SELECT DISTINCT repo_id FROM f UNION SELECT repo_id || '-empty' FROM f) e LEFT JOIN tr USING (repo_id)",
     "m1_readme_pick": f"WITH {_MAN}, {_README} SELECT repo_id, path, md5(readme) AS digest FROM rd",
     "m2_head_lines": f"SELECT doc_id, CAST(length(head) AS INT) AS n_chars, md5(head) AS digest, short FROM (SELECT doc_id, array_to_string({_lines('text')}[1:50], chr(10)) AS head, array_to_string({_lines('text')}[1:2], chr(10)) AS short FROM ({fx.MARKDOWN}) x) y",
     "m3_package_json": f"WITH {_MAN}, {_PACKAGE} SELECT repo_id, CAST(len(json_keys(j, '$.dependencies')) AS INT) AS n_dependencies, CAST(len(json_keys(j, '$.devDependencies')) AS INT) AS n_dev_dependencies FROM pk",
@@ -324,6 +325,20 @@ ORACLES: dict[str, str] = {
     "l1_sanitize": "SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents",
     "l2_soft_wrap": r"SELECT doc_id, CASE WHEN text <> '' AND length(text) % 80 = 0 THEN wrapped[:-2] ELSE wrapped END AS text FROM (SELECT doc_id, text, regexp_replace(text, '(?s)(.{80})', '\1 ', 'g') AS wrapped FROM documents) x",
     "l3_line_kinds": f"WITH {_MD_LINES} SELECT doc_id, pos, CASE WHEN line = '' THEN 'blank' WHEN starts_with(line, '# ') THEN 'title' WHEN starts_with(line, '## ') THEN 'section' WHEN starts_with(line, '### ') THEN 'subsection' WHEN starts_with(line, '- ') THEN 'bullet' ELSE 'text' END AS kind, CASE WHEN starts_with(line, '# ') THEN trim(line[3:]) WHEN starts_with(line, '## ') THEN trim(line[4:]) WHEN starts_with(line, '### ') THEN trim(line[5:]) WHEN starts_with(line, '- ') THEN '- ' || trim(line[3:]) ELSE line END AS text FROM mw",
-    "l4_plain_lines": rf"SELECT doc_id, pos, substring(l[pos + 1], 1, 100) AS line FROM (SELECT doc_id, l, CAST(unnest(range(least(300, len(l)))) AS INT) AS pos FROM (SELECT doc_id, {_lines('t')} AS l FROM (SELECT doc_id, regexp_replace(text, '[^\n -~]', ' ', 'g') AS t FROM ({fx.MARKDOWN}) x) y) z) w",
+    "l4_plain_lines": rf"SELECT doc_id, pos, substring(l[pos + 1], 1, 100) AS line FROM (SELECT doc_id, l, CAST(unnest(range(least(300, len(l)))) AS INT) AS pos FROM (SELECT doc_id, {_lines('t')} AS l FROM (SELECT doc_id, regexp_replace(text, '[^\n -~]', ' ', 'g') AS t FROM ({fx.MARKDOWN}) x) y) z) w UNION ALL SELECT doc_id, -1, substring(regexp_replace('Doc ' || doc_id || chr(160) || string_split(text, chr(10))[1], '[^ -~]', ' ', 'g'), 1, 80) FROM ({fx.MARKDOWN}) t",
 }
-ORACLES["s7_stream_ingest"] = ORACLES["s7_extracted_files"]
+
+# Uploads in two folders, three in ten of them twice; a later accepted copy takes the next name.
+ORACLES["s7_ingest"] = f"""WITH {_ARCHIVES},
+copies AS (SELECT doc_id, 0 AS copy FROM d UNION ALL SELECT doc_id, 1 FROM d WHERE doc_id % 10 IN (1, 4, 9)),
+j AS (SELECT doc_id, string_split(path, '/')[-1] AS upload, zip AND length <= {fx.MAX_UPLOAD_BYTES} AS named,
+  'a' || doc_id || CASE WHEN copy = 1 AND zip AND length <= {fx.MAX_UPLOAD_BYTES} THEN '_1' ELSE '' END AS repo_id,
+  CASE WHEN NOT zip THEN {_NOT_ZIP} WHEN length > {fx.MAX_UPLOAD_BYTES} THEN 'Upload too large'
+   WHEN junk THEN 'Invalid ZIP file' ELSE string_split(bad.error, ':')[1] END AS reason
+  FROM copies JOIN d USING (doc_id) JOIN len USING (doc_id) LEFT JOIN bad USING (doc_id)),
+e AS (SELECT repo_id, CASE WHEN ordinal = 7 THEN 'src/sub/late.py' ELSE rtrim(name, '/') END AS path, m.is_dir, ordinal, bytes
+  FROM j JOIN m USING (doc_id) WHERE reason IS NULL)
+SELECT repo_id, upload AS path, CASE WHEN named THEN false END AS is_dir, CAST(0 AS BIGINT) AS bytes, reason FROM j WHERE reason IS NOT NULL
+UNION ALL SELECT repo_id, '', true, 0, '' FROM j WHERE reason IS NULL
+UNION ALL SELECT repo_id, path, is_dir, CAST(arg_max(bytes, ordinal) AS BIGINT), '' FROM e GROUP BY repo_id, path, is_dir"""
+ORACLES["s7_stream_ingest"] = ORACLES["s7_ingest"]

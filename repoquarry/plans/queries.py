@@ -15,6 +15,7 @@ from repoquarry.operators import guards, layout, manifests, report, requests, st
 from repoquarry.operators.records import file_records, symbol_index
 from repoquarry.options import ReportOptions, ScanOptions
 from repoquarry.plans import fixtures as fx
+from repoquarry.plans.analysis import ingest
 from repoquarry.schemas import EXTRACTED
 from repoquarry.sources import archives as ar
 from repoquarry.sources.blobs import write_blobs
@@ -99,15 +100,37 @@ def s7_extracted_files(spark, sf):
     return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
 
 
+def _two_folders(spark, sf):
+    """Every upload in one folder, and three in ten under the same name in a second folder, later."""
+    folder = new_folder(spark, "uploads")
+    archives = fx.archives(spark, sf)
+    write_blobs(archives, f"{folder}/a").agg(F.sum("bytes")).collect()
+    again = archives.where(F.col("path").rlike("[149][.]"))
+    write_blobs(again, f"{folder}/b").agg(F.sum("bytes")).collect()
+    return folder
+
+
+def _entry_rows(entries):
+    size = F.coalesce("bytes", F.lit(0)).alias("bytes")
+    path = F.when(F.col("error").isNull(), F.col("path")).otherwise(paths.basename(F.col("path"))).alias("path")
+    # Reasons carry interpreter texts for broken archives; their beginning tells them apart.
+    reason = F.coalesce(F.substring_index("error", ":", 1), F.lit("")).alias("reason")
+    return entries.select("repo_id", path, "is_dir", size, reason)
+
+
+@query
+def s7_ingest(spark, sf):
+    """Entries and refusals of a whole folder with equal names, as one job."""
+    return _entry_rows(ingest(spark, _two_folders(spark, sf), SCAN))
+
+
 @query
 def s7_stream_ingest(spark, sf):
-    """The same files as a stream picks them up from a folder, in several batches."""
-    source, folder, checkpoint = (new_folder(spark, name) for name in ("uploads", "ingested", "stream"))
-    write_blobs(fx.archives(spark, sf), source).agg(F.sum("bytes")).collect()
-    arriving = archive_stream(spark, source, max_archives_per_batch=4000)
-    ingest_new_archives(arriving, folder, checkpoint, MEMBERS).awaitTermination()
-    entries = spark.read.schema(EXTRACTED).parquet(f"{folder}/entries")
-    return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
+    """The same entries and refusals as a stream finds them, in several batches."""
+    source, folder, checkpoint = _two_folders(spark, sf), *(new_folder(spark, name) for name in ("ingested", "stream"))
+    arriving = archive_stream(spark, source, max_archives_per_batch=5000)
+    ingest_new_archives(arriving, folder, checkpoint, SCAN).awaitTermination()
+    return _entry_rows(spark.read.schema(EXTRACTED).parquet(f"{folder}/entries"))
 
 
 @query
@@ -378,6 +401,16 @@ def a9_import_usage(spark, sf):
     return stats.import_usage(_records(spark, sf))
 
 
+@query
+def a10_added_language(spark, sf):
+    """Counts of an added language from paths and from records."""
+    added = {**symbols.REGEX_EXTRACTORS, "go": symbols.java_symbols}
+    files, languages = fx.files(spark, sf), ["python", *added]
+    read = file_records(files, SCAN, added).groupBy("repo_id", "language").agg(F.count("*").alias("n_records"))
+    totals = stats.total_considered(files, languages)
+    return stats.by_language(files, languages).join(read, ["repo_id", "language"]).join(totals, "repo_id")
+
+
 # Directory listing
 
 
@@ -394,8 +427,8 @@ def t2_tree_cut(spark, sf):
 @query
 def t3_tree_empty(spark, sf):
     files = fx.files(spark, sf)
-    some = files.where(F.startswith("path", F.lit("src/es/")) & (F.col("file_id") % 3 == 0))
-    return tree.tree_lines(some, fx.MAX_ENTRIES, repositories=files.select("repo_id"))
+    every = files.select("repo_id").unionByName(files.select(F.concat("repo_id", F.lit("-empty")).alias("repo_id")))
+    return tree.tree_lines(files, fx.MAX_ENTRIES, repositories=every)
 
 
 # Manifests
@@ -528,9 +561,15 @@ def r9_prompt_preview(spark, sf):
 @query
 def r10_report_files(spark, sf):
     folder = new_folder(spark, "reports")
-    report.write_reports(report.reports(_profiles(spark, sf), GENERATED_AT), folder)
-    stored = spark.read.parquet(folder)
-    return stored.select("repo_id", "file_name", F.length("report").alias("n_chars"), F.md5("report").alias("digest"))
+    report.write_reports(report.reports(_profiles(spark, sf), GENERATED_AT), folder, as_files=True)
+    stored = spark.read.format("binaryFile").load(folder)
+    name, content = paths.basename(F.col("path")), text.decode_utf8(F.col("content"))
+    return stored.select(
+        F.replace(name, F.lit("_ai_documentation.md")).alias("repo_id"),
+        name.alias("file_name"),
+        F.length(content).alias("n_chars"),
+        F.md5(content.cast("binary")).alias("digest"),
+    )
 
 
 # Layout
@@ -553,4 +592,8 @@ def l3_line_kinds(spark, sf):
 
 @query
 def l4_plain_lines(spark, sf):
-    return layout.plain_lines(fx.markdown(spark, sf), ["doc_id"])
+    """Title and lines of the plain form; the title, the first line of the text, is line -1."""
+    texts = fx.markdown(spark, sf)
+    first = F.concat(F.lit("Doc "), "doc_id", F.lit("\u00a0"), F.substring_index("text", "\n", 1))
+    titles = texts.select("doc_id", F.lit(-1).alias("pos"), layout.plain_title(first).alias("line"))
+    return titles.unionByName(layout.plain_lines(texts, ["doc_id"]))

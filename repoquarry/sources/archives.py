@@ -21,7 +21,7 @@ from repoquarry.functions.numbers import mib_text
 from repoquarry.functions.paths import basename, stem
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import EXTRACTED, MEMBER_LISTING
-from repoquarry.sources.directories import read_contents
+from repoquarry.sources.directories import place_of, read_contents, system_of
 
 # Reasons for rejecting an archive.
 NOT_ZIP = "Only .zip files are supported."
@@ -45,7 +45,7 @@ def read_archives(spark: SparkSession, folder: str, max_upload_bytes: int | None
 
     Names are tested by the scan and the size limit is pushed into it, so other files are never read.
     Like every file source of Spark it leaves out empty files and names that start with ``_`` or ``.``;
-    ``read_listed`` finds those too.
+    ``sources.directories`` lists those too.
     """
     found = _binary(spark.read.option("pathGlobFilter", ZIP_GLOB), folder)
     return found if max_upload_bytes is None else found.where(F.col("length") <= max_upload_bytes)
@@ -58,17 +58,36 @@ def _binary(reader: DataFrameReader, folder: str) -> DataFrame:
 def listed_uploads(listed: DataFrame) -> DataFrame:
     """``list_uploads`` of entries that ``sources.directories`` has listed."""
     files = listed.where(~F.col("is_dir"))
-    return files.select("path", F.col("modified").alias("modificationTime"), F.col("bytes").alias("length"))
+    path = F.concat("system", "place").alias("path")
+    return files.select(path, F.col("modified").alias("modificationTime"), F.col("bytes").alias("length"))
 
 
-def read_listed(listed: DataFrame, max_upload_bytes: int | None = None) -> DataFrame:
-    """``read_archives`` of entries that ``sources.directories`` has listed, whatever their names."""
-    wanted = listed.where(F.endswith(F.lower("path"), F.lit(".zip")))
-    if max_upload_bytes is not None:
-        wanted = wanted.where(F.col("bytes") <= max_upload_bytes)
-    return read_contents(wanted).select(
-        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.col("bytes").alias("length"), "content"
-    )
+def read_uploads(named: DataFrame) -> DataFrame:
+    """Archives of ``named`` uploads (repo_id, path, length), opened in tasks: (repo_id, path, length, content).
+
+    Names and verdicts are settled on the listing before; contents go straight from the file system to
+    the task that extracts them.
+    """
+    place = [system_of(F.col("path")).alias("system"), place_of(F.col("path")).alias("place")]
+    files = named.select("repo_id", "path", *place, F.lit(False).alias("is_dir"), F.col("length").alias("bytes"))
+    return read_contents(files).select("repo_id", "path", F.col("bytes").alias("length"), "content")
+
+
+def accepted_uploads(uploads: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Uploads that name and size allow, with the repository ``name`` each asks for."""
+    refused = upload_rejection(F.col("path"), F.col("length"), options)
+    return uploads.where(refused.isNull()).withColumn("name", stem(F.col("path")))
+
+
+def opened_entries(named: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Entries of accepted uploads (unique_name, path, length)."""
+    archives = read_uploads(named.withColumn("repo_id", F.col("unique_name")))
+    return extracted(archives, options, F.col("repo_id"))
+
+
+def refused_entries(uploads: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """One row (repo_id, path, error) per upload refused by name or size."""
+    return refused_uploads(uploads, options).select(stem(F.col("path")).alias("repo_id"), "path", "error")
 
 
 def refused_uploads(uploads: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -177,7 +196,8 @@ def extracted(archives: DataFrame, options: ScanOptions = ScanOptions(), repo_id
     """Entries of all archives: (repo_id, path, is_dir, bytes, content, error).
 
     A refused archive, or one that fails while it is read, yields a single row with its own path and
-    the ``error``. An archive's entries are held until all have been read, which the extraction limit
+    the ``error``. Every accepted one yields its root, a directory with an empty path, so archives without
+    entries stay known. An archive's entries are held until all have been read, which the extraction limit
     bounds.
     """
     repo_id = stem(F.col("path")) if repo_id is None else repo_id
@@ -194,7 +214,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = []
             if reason is None:
                 try:
-                    entries = _entries(content.as_buffer())
+                    entries = [("", True, 0, None), *_entries(content.as_buffer())]
                 except Exception as problem:
                     reason = INVALID_ZIP % problem
             if reason is not None:
@@ -249,4 +269,10 @@ def files_of(entries: DataFrame) -> DataFrame:
 
 
 def directories_of(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("error").isNull() & F.col("is_dir")).select("repo_id", "path")
+    inside = F.col("error").isNull() & F.col("is_dir") & (F.col("path") != "")
+    return entries.where(inside).select("repo_id", "path")
+
+
+def repositories_of(entries: DataFrame) -> DataFrame:
+    """(repo_id) of every accepted archive, empty ones included."""
+    return entries.where(F.col("error").isNull() & F.col("is_dir") & (F.col("path") == "")).select("repo_id")

@@ -40,8 +40,8 @@ def list_directories(roots: DataFrame, directories_per_task: int = 2000, tasks:
     entries = roots.select(
         "repo_id",
         F.lit("").alias("path"),
-        _system(named).alias("system"),
-        _place(named).alias("place"),
+        system_of(named).alias("system"),
+        place_of(named).alias("place"),
         F.lit(True).alias("is_dir"),
         F.lit(0).cast("bigint").alias("bytes"),
         F.lit(None).cast("timestamp").alias("modified"),
@@ -57,12 +57,12 @@ def list_directories(roots: DataFrame, directories_per_task: int = 2000, tasks:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _system(root: Column) -> Column:
+def system_of(root: Column) -> Column:
     """``scheme://authority`` of a qualified root."""
     return F.when(root.rlike("^file:"), F.lit("file://")).otherwise(F.regexp_extract(root, r"^([^:]+://[^/]*)", 1))
 
 
-def _place(root: Column) -> Column:
+def place_of(root: Column) -> Column:
     """The rest of it, which begins with a slash."""
     return F.when(root.rlike("^file:"), F.regexp_replace(root, "^file:/*", "/")).otherwise(
         F.regexp_replace(root, r"^[^:]+://[^/]*", "")

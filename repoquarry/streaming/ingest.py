@@ -1,57 +1,71 @@
-"""Incremental ingest: new archives in a folder become rows of a table.
+"""Incremental ingest: new uploads in a folder become rows of a table.
 
-Every guard decides on one archive alone, so the stream keeps no state and needs no watermark. The
-file source remembers which archives it has seen.
+The stream carries names and sizes only. Each batch refuses uploads by name or size, gives the others
+the names a whole ingest in the same order would give, and opens them in tasks. The file source
+remembers which uploads it has seen, and the table of names that each batch extends is all the state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from repoquarry.functions.paths import stem
+from repoquarry.operators.files import capped
 from repoquarry.operators.records import file_records
+from repoquarry.operators.requests import unique_names
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import ARCHIVES
-from repoquarry.sources.archives import ZIP_GLOB, extracted, files_of
+from repoquarry.sources.archives import accepted_uploads, directories_of, files_of, opened_entries, refused_entries
+
+_NAMES = "name string, arrival struct<batch: bigint, modificationTime: timestamp>, path string, length bigint"
 
 
 def archive_stream(spark: SparkSession, folder: str, max_archives_per_batch: int = 1000) -> DataFrame:
+    """Uploads of any name as they arrive: (path, modificationTime, length); nothing is opened."""
     return (
         spark.readStream.format("binaryFile")
         .schema(ARCHIVES)
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", ZIP_GLOB)
         .option("maxFilesPerTrigger", max_archives_per_batch)
         .load(folder)
+        .select("path", "modificationTime", "length")
     )
 
 
 def ingest_new_archives(
-    archives: DataFrame,
-    folder: str,
-    checkpoint: str,
-    options: ScanOptions = ScanOptions(),
-    repo_id: Column | None = None,
+    uploads: DataFrame, folder: str, checkpoint: str, options: ScanOptions = ScanOptions()
 ) -> StreamingQuery:
-    """Append entries and file records of archives that have arrived, then stop.
+    """Append entries, refusals and file records of uploads that have arrived, then stop.
 
     Each batch goes to a folder of its own, replaced as a whole, so a batch that is run again after a
-    failure leaves no duplicates.
+    failure leaves no duplicates. Names of earlier batches are read again with each batch: one short
+    row per accepted upload.
     """
-    repo_id = stem(F.col("path")) if repo_id is None else repo_id
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        accepted = accepted_uploads(batch, options)
+        arrival = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), "modificationTime")
+        asked = accepted.select("name", arrival.alias("arrival"), "path", "length")
+        asked.write.mode("overwrite").parquet(f"{folder}/names/batch={batch_id}")
+        every = _names(spark, folder).where(F.col("batch") <= batch_id).drop("batch")
+        named = unique_names(every, arrival="arrival", tie="path")
+        new = named.where(F.col("arrival.batch") == batch_id).select("unique_name", "path", "length")
         entries = f"{folder}/entries/batch={batch_id}"
-        extracted(batch, options, repo_id).write.mode("overwrite").parquet(entries)
-        stored = batch.sparkSession.read.parquet(entries)
-        records = file_records(files_of(stored), options)
-        records.write.mode("overwrite").parquet(f"{folder}/file_records/batch={batch_id}")
+        found = opened_entries(new, options).unionByName(refused_entries(batch, options), allowMissingColumns=True)
+        found.write.mode("overwrite").parquet(entries)
+        stored = spark.read.parquet(entries)
+        files = capped(files_of(stored), options.max_files, directories_of(stored))
+        file_records(files, options).write.mode("overwrite").parquet(f"{folder}/file_records/batch={batch_id}")
 
     return (
-        archives.writeStream.foreachBatch(write)
+        uploads.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"{_NAMES}, batch bigint").parquet(f"{folder}/names")

@@ -1,6 +1,7 @@
 """Archives, directory trees, streams and the whole job."""
 
 import io
+import os
 import struct
 import warnings
 import zipfile
@@ -10,8 +11,10 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from repoquarry.functions.symbols import REGEX_EXTRACTORS, java_symbols
 from repoquarry.options import ScanOptions
-from repoquarry.plans.analysis import SESSION_SETTINGS, analyze_archives, ingest
+from repoquarry.plans.analysis import SESSION_SETTINGS, analyze, analyze_archives, ingest
+from repoquarry.schemas import FILES
 from repoquarry.sources import archives as ar
 from repoquarry.sources.blobs import opened, opened_scheme, qualified, write_blobs
 from repoquarry.sources.directories import list_directories, read_contents
@@ -99,6 +102,7 @@ def test_extraction_loses_no_hidden_name_and_the_last_repeat_stays(spark):
     found = {r["path"]: bytes(r["content"]) for r in ar.files_of(entries).collect()}
     assert found == {"pkg/__init__.py": b"class A: pass\n", ".hidden": b"h", "dup.txt": b"second", "a/b.py": b"import os\n"}
     assert rows(ar.directories_of(entries)) == [("good", "empty")]
+    assert rows(ar.repositories_of(entries)) == [("good",)]
 
 
 def test_damaged_members_reject_the_whole_archive(spark):
@@ -131,7 +135,7 @@ def test_absurd_declared_sizes_reject_only_their_archive(spark):
     assert listed.select(ar.declared_bytes(F.col("members"))).head()[0] == 2**65 - 1
     wide = ar.extracted(literal_archives(spark, {"wide.zip": declaring(2**41)}), ScanOptions(max_extract_bytes=2**40))
     assert "2097152.00 MB. Maximum allowed: 1048576.00 MB." in rows(wide, "error")[0][0]
-    assert rows(entries.where("repo_id = 'odd'"), "path", "bytes") == [("f0", 0)]
+    assert rows(entries.where("repo_id = 'odd'"), "path", "bytes") == [("", 0), ("f0", 0)]
 
 
 def test_large_entries_are_sent_in_several_batches(spark, monkeypatch):
@@ -156,7 +160,7 @@ def test_ingest_names_archives_apart(spark, tmp_path):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "x.zip").write_bytes(zipped((f"{folder}.py", b"")))
     (tmp_path / "x.tar").write_bytes(b"?")
-    found = rows(ingest(spark, str(tmp_path)).select("repo_id", F.coalesce("error", F.lit("")).alias("error")))
+    found = rows(ingest(spark, str(tmp_path)).where("path <> ''").select("repo_id", F.coalesce("error", F.lit("")).alias("error")))
     assert found == [("x", ""), ("x", "Only .zip files are supported."), ("x_1", ""), ("x_2", "")]
 
 
@@ -204,8 +208,9 @@ def test_archives_under_every_name_can_be_listed(spark, tmp_path):
     for name, raw in {"_x.zip": GOOD, ".y.ZIP": GOOD, "in/_x.zip": GOOD, "empty.zip": b"", "b.tar": b"", "big.zip": bytes(9000)}.items():
         (tmp_path / name).write_bytes(raw)
     found = ingest(spark, str(tmp_path), ScanOptions(max_upload_bytes=8000), every_name=True)
-    assert rows(found.where("error IS NULL").groupBy("repo_id").count()) == [(".y", 5), ("_x", 5), ("_x_1", 5)]
-    assert rows(found.where("error IS NOT NULL"), "repo_id", "path", "error") == [
+    assert rows(found.where("error IS NULL").groupBy("repo_id").count()) == [(".y", 6), ("_x", 6), ("_x_1", 6)]
+    refused = found.where("error IS NOT NULL").withColumn("path", F.substring_index("path", "/", -1))
+    assert rows(refused, "repo_id", "path", "error") == [
         ("b", "b.tar", "Only .zip files are supported."),
         ("big", "big.zip", "Upload too large: 0.01 MB. Maximum allowed: 0.01 MB."),
         ("empty", "empty.zip", "Invalid ZIP file: File is not a zip file"),
@@ -248,7 +253,7 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
         return rows(spark.read.parquet(f"{out}/entries").where("error IS NULL AND NOT is_dir"), "repo_id", "path")
 
     (source / "one.zip").write_bytes(zipped(("a.py", b"def f(): pass\n")))
-    (source / "skip.tar").write_bytes(b"")
+    (source / "skip.tar").write_bytes(b"?")
     assert run() == [("one", "a.py")]
     (source / "two.zip").write_bytes(zipped(("b.js", b"class B {}")))
     (source / "junk.zip").write_bytes(b"junk")
@@ -256,7 +261,80 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
     assert run() == [("one", "a.py"), ("two", "b.js")]
     records = spark.read.parquet(f"{out}/file_records")
     assert rows(records, "repo_id", "functions", "classes") == [("one", ["f"], []), ("two", [], ["B"])]
-    assert rows(spark.read.parquet(f"{out}/entries").where("error IS NOT NULL"), "repo_id") == [("junk",)]
+    assert rows(spark.read.parquet(f"{out}/entries").where("error IS NOT NULL"), "repo_id") == [("junk",), ("skip",)]
+
+
+def test_stream_equals_a_whole_ingest(spark, tmp_path):
+    source = tmp_path / "in"
+    for folder in ("a", "b", "c"):
+        (source / folder).mkdir(parents=True)
+    options = ScanOptions(max_upload_bytes=2000, max_files=2)
+
+    def run():
+        stream = archive_stream(spark, str(source), max_archives_per_batch=2)
+        ingest_new_archives(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), options).awaitTermination(120)
+
+    at = 1_700_000_000
+
+    def put(name, raw):
+        nonlocal at
+        (source / name).write_bytes(raw)
+        at += 10
+        os.utime(source / name, (at, at))
+
+    put("a/main.zip", zipped(("m.py", b"def a(): pass\n"), ("n.py", b""), ("o.py", b"")))
+    put("b/x.tar", b"?")
+    put("b/main.zip", zipped(("m.py", b"def b(): pass\n")))
+    run()
+    put("c/main_1.zip", zipped())
+    put("c/main.zip", zipped(("m.py", b"def c(): pass\n")))
+    put("a/big.zip", bytes(3000))
+    run()
+    kept = ["repo_id", "path", "is_dir", "bytes", "error"]
+    streamed = spark.read.parquet(f"{tmp_path}/out/entries").fillna(False, ["is_dir"])
+    whole = ingest(spark, str(source), options).fillna(False, ["is_dir"])
+    assert sorted(map(str, rows_unsorted(streamed, kept))) == sorted(map(str, rows_unsorted(whole, kept)))
+    assert {r[0] for r in rows(whole.where("error IS NULL"), "repo_id")} == {"main", "main_1", "main_1_1", "main_2"}
+    records = spark.read.parquet(f"{tmp_path}/out/file_records")
+    assert rows(records, "repo_id", "path") == [("main", "m.py"), ("main", "n.py"), ("main_1", "m.py"), ("main_2", "m.py")]
+
+
+def rows_unsorted(df, columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def test_every_accepted_archive_has_a_result(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "nothing.zip").write_bytes(zipped())
+    (source / "folders.zip").write_bytes(zipped(("d/", b""), ("d/e/", b""), (".git/hooks/", b"")))
+    (source / "large.zip").write_bytes(zipped(("d/", b""), ("f.py", b"x" * 900)))
+    (source / "git.zip").write_bytes(zipped((".git/config", b"c"), ("a.py", b"x = 1\n")))
+    for drop_git in (False, True):
+        options = ScanOptions(drop_git=drop_git)
+        tables = analyze_archives(spark, str(source), str(tmp_path / f"out{drop_git}"), datetime(2026, 1, 2), options)
+        lines = {}
+        for repo, _, line in rows(tables["tree"], "repo_id", "pos", "line"):
+            lines.setdefault(repo, []).append(line)
+        assert lines["nothing"] == ["(empty or invalid repository)"]
+        assert ("- .git/" in lines["folders"], "- .git/" in lines["git"]) == (not drop_git, not drop_git)
+        stats = {r[0]: r[1:] for r in rows(tables["repo_stats"])}
+        assert stats["nothing"] == stats["folders"] == (0, 0, 0, 0) and stats["git"][0] == 1
+        assert {r[0] for r in rows(tables["reports"], "repo_id")} == {"nothing", "folders", "large", "git"}
+    files = spark.createDataFrame([("r", "f.py", 900, bytearray(b"x")), ("s", "g.py", 1, bytearray(b"x"))], FILES)
+    directories = spark.createDataFrame([("r", "d"), ("s", "e")], "repo_id string, path string")
+    tables = analyze(files, str(tmp_path / "t"), datetime(2026, 1, 2), ScanOptions(max_extract_bytes=500), directories=directories)
+    for name in ("tree", "listing", "repo_stats", "reports", "by_language"):
+        assert {r[0] for r in rows(tables[name], "repo_id")} == {"s"}
+
+
+def test_added_languages_reach_every_table(spark, tmp_path):
+    files = spark.createDataFrame([("r", "a.go", 20, bytearray(b"import x.y\nclass A {}")), ("r", "b.py", 1, bytearray(b""))], FILES)
+    added = {**REGEX_EXTRACTORS, "go": java_symbols}
+    tables = analyze(files, str(tmp_path / "t"), datetime(2026, 1, 2), extractors=added)
+    assert rows(tables["by_language"]) == [("r", "go", 1), ("r", "python", 1)]
+    assert rows(tables["repo_stats"], "total_considered") == [(2,)]
+    assert "**Languages:** go, python" in rows(tables["reports"], "report")[0][0]
 
 
 EXPECTED_REPORT = """# Project Documentation
@@ -392,9 +470,8 @@ def test_whole_job(spark, tmp_path):
 
     assert dict(rows(prompts(tables["profiles"], "Explain."))) ["demo"] == EXPECTED_PROMPT
     assert dict(rows(prompt_previews(prompts(tables["profiles"], "Explain."), 10)))["demo"] == "Explain.\n\n..."
-    write_reports(tables["reports"], str(tmp_path / "texts"), one_folder_each=True)
-    [text] = list((tmp_path / "texts").glob("file_name=demo*/*.txt"))
-    assert text.read_text() == EXPECTED_REPORT + "\n"
+    write_reports(tables["reports"], str(tmp_path / "texts"), as_files=True)
+    assert (tmp_path / "texts" / "demo_ai_documentation.md").read_text() == EXPECTED_REPORT
 
 
 def test_scan_cap_limits_the_whole_job(spark, tmp_path):
