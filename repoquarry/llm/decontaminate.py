@@ -18,18 +18,24 @@ from pyspark.sql import functions as F
 
 from repoquarry.llm.sums import summed
 from repoquarry.llm.words import NO_LETTERS, Words, slices
+from repoquarry.sources.shared import materialize
 
-# Hashed terms, latent dimensions, and further random directions that steady them.
+# Hashed terms; singular directions left out at the front, where languages and their commonest words
+# are told apart, those that are kept, and further random directions that steady them.
 TERMS = 1 << 13
+COMMON = 16
 RANK = 96
 EXTRA = 16
+# Rows that the passages of a partition are mixed into, with random signs.
+MIXED = 256
 _SEED = 7
 # Words per block; passages of the matrix are so many blocks, windows as many as an item's length asks for.
 BLOCK = 16
 PASSAGE_BLOCKS = 3
 WIDEST = 4
-# Cosine from which a window is a candidate.
-COSINE = 0.3
+# A window that is an item and otherwise unlike it has a cosine of about the root of the item's share of
+# the window; candidates reach this part of it.
+COSINE = 0.42
 # Share of an item's words that must appear in order; with the answer in place, the lower share is enough.
 SHARE = 0.6
 PARAPHRASE = 0.5
@@ -37,99 +43,125 @@ PARAPHRASE = 0.5
 LEAST_WORDS = 12
 # Items are limited by the driver's memory, not by a number; longer ones are cut into parts of so many words.
 ITEM_WORDS = BLOCK * WIDEST
-_ITEMS = "item_id bigint, text string"
+_CHUNK = 4096
 
 
-def terms_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 13)).astype(np.int64)
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all texts as 16-bit numbers, and per text its bounds among them."""
+    words = Words(texts, NO_LETTERS)
+    return (words.hashes() >> np.uint64(48)).astype(np.int32), words.bounds
 
 
-def _words(texts: list[bytes]) -> tuple[Words, np.ndarray]:
-    words = Words(texts, NO_LETTERS)
-    return words, words.hashes()
+def terms_of(words: np.ndarray) -> np.ndarray:
+    """The hashed term of each word."""
+    return words >> 3
 
 
-def _starts(bounds: np.ndarray, step: int) -> np.ndarray:
-    """First words of consecutive runs of ``step`` words that do not cross texts."""
+def runs(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Consecutive runs of ``step`` words that do not cross texts: (first words, number of words)."""
     sizes = np.diff(bounds)
-    runs = -(-sizes // step)
-    first = np.repeat(bounds[:-1], runs)
-    inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    return first + inside * step
+    count = -(-sizes // step)
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(bounds[:-1], count) + inside * step, np.minimum(np.repeat(sizes, count) - inside * step, step)
+
+
+def in_rows(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int, empty: int) -> np.ndarray:
+    """A row of ``step`` values per run, filled up with ``empty``."""
+    places = starts[:, None] + np.arange(step)
+    missing = np.arange(step) >= sizes[:, None]
+    rows = values[np.minimum(places, len(values) - 1)]
+    rows[missing] = empty
+    return rows
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """Passages that hold each term; the last number is that of passages."""
-    total = np.zeros(TERMS + 1)
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the passages of a partition: in how many each term is, and ``MIXED`` random mixtures of them.
+
+    A passage is added, with a random sign, to one of the mixtures. For mixtures M and the matrix T of
+    the passages' term counts, ``M'M`` is ``T'T`` in expectation, whatever weights the terms get later.
+    """
+    seen = np.zeros(TERMS + 1)
+    mixtures = np.zeros(MIXED * TERMS, dtype=np.float32)
+    draw = np.random.default_rng(_SEED)
+    step = BLOCK * PASSAGE_BLOCKS
     for batch in batches:
         for _, part in slices(batch.column(0)):
-            words, hashes = _words(part)
-            if not len(hashes):
+            words, bounds = words_of(part)
+            if not len(words):
                 continue
-            starts = _starts(words.bounds, BLOCK * PASSAGE_BLOCKS)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
-            seen = np.unique(passage * TERMS + terms_of(hashes))
-            total[:-1] += np.bincount(seen % TERMS, minlength=TERMS)
-            total[-1] += len(starts)
-    return total[:, None]
+            terms = terms_of(words)
+            starts, sizes = runs(bounds, step)
+            rows = np.sort(in_rows(terms, starts, sizes, step, TERMS).astype(np.uint16), axis=1)
+            new = np.ones(rows.shape, dtype=bool)
+            new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+            seen[:-1] += np.bincount(rows[new], minlength=TERMS + 1)[:-1]
+            seen[-1] += len(starts)
+            place = draw.integers(0, MIXED, len(starts)) * TERMS
+            weight = (draw.integers(0, 2, len(starts)) * 2 - 1) / np.sqrt(sizes)
+            np.add.at(mixtures, np.repeat(place, sizes) + terms, np.repeat(weight, sizes).astype(np.float32))
+    if seen[-1]:
+        parts = [seen.tobytes(), *(row.tobytes() for row in mixtures.reshape(MIXED, TERMS) if row.any())]
+        yield pa.RecordBatch.from_arrays([pa.array([i == 0 for i in range(len(parts))]), pa.array(parts)], ["counts", "row"])
 
 
-@dataclass
 class LatentSpace:
     """Term vectors, already weighted by inverse document frequency and divided by the singular values."""
 
-    terms: np.ndarray
+    def __init__(self, terms: np.ndarray):
+        # The last row stands for no word.
+        self.terms = np.vstack([terms, np.zeros((1, terms.shape[1]))]).astype(np.float32)
 
-    def blocks(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Vectors of runs of terms that begin at ``starts``."""
-        return np.add.reduceat(self.terms[terms], starts, axis=0) if len(starts) else np.zeros((0, self.terms.shape[1]))
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
+        """Sums of the vectors of each row's terms."""
+        out = np.zeros((len(rows), self.terms.shape[1]), dtype=np.float32)
+        for a in range(0, len(rows), _CHUNK):
+            part, total = rows[a : a + _CHUNK], out[a : a + _CHUNK]
+            for k in range(rows.shape[1]):
+                total += self.terms.take(part[:, k], axis=0)
+        return out
 
 
 def fit_space(docs: DataFrame) -> LatentSpace:
-    """Document frequencies of all passages, then the randomised SVD of their TF-IDF matrix.
+    """Document frequencies of all passages and the randomised SVD of their TF-IDF matrix.
 
-    For the matrix A with a row per passage and random directions R, partitions sum ``A'AR``; with
-    ``R'A'AR`` that gives the leading right singular vectors and singular values (Nystrom form). The
-    driver holds ``TERMS`` x (``RANK`` + ``EXTRA``) numbers whatever the input.
+    One pass over all texts stores random mixtures of the passages of each partition; with the weights
+    known, ``A'AR`` for random directions R is summed over them, and with ``R'A'AR`` gives the leading
+    right singular vectors and singular values (Nystrom form). The driver holds ``TERMS`` x
+    (``COMMON`` + ``RANK`` + ``EXTRA``) numbers whatever the input.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    counted = summed(texts, _frequencies, 1)
-    counted = counted[:, 0] if len(counted) else np.zeros(TERMS + 1)
-    idf = np.log((1 + counted[-1]) / (1 + counted[:-1])).clip(min=0.0)
-    width = RANK + EXTRA
+    stored = materialize(texts.mapInArrow(_mixed, "counts boolean, row binary"), "mixtures")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        rows = [np.frombuffer(r, "<f8") for batch in batches for r in batch.column(0).to_pylist()]
+        return np.sum([np.zeros(TERMS + 1), *rows], axis=0)[:, None]
+
+    seen = summed(stored.where("counts").select("row"), counted, 1)
+    seen = seen[:, 0] if len(seen) else np.zeros(TERMS + 1)
+    idf = np.log((1 + seen[-1]) / (1 + seen[:-1])).clip(min=0.0)
+    width = COMMON + RANK + EXTRA
     directions = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((TERMS, width)))[0]
-    weighted = (idf[:, None] * directions).astype(np.float32)
 
     def product(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((TERMS, width))
         for batch in batches:
-            for _, part in slices(batch.column(0), 1 << 20):
-                words, hashes = _words(part)
-                if not len(hashes):
-                    continue
-                terms = terms_of(hashes)
-                starts = _starts(words.bounds, BLOCK * PASSAGE_BLOCKS)
-                sizes = np.diff(np.append(starts, len(terms)))
-                # Rows of A have length one; the square of it is needed twice.
-                square = np.maximum(np.add.reduceat(idf[terms] ** 2, starts), 1e-12)
-                rows = np.add.reduceat(weighted[terms], starts, axis=0) / square[:, None]
-                order = np.argsort(terms, kind="stable")
-                passage = np.repeat(np.arange(len(starts)), sizes)[order]
-                names, first = np.unique(terms[order], return_index=True)
-                total[names] += np.add.reduceat(rows[passage].astype(np.float32), first, axis=0)
-        return total * idf[:, None]
-
-    image = summed(texts, product, width)
+            for a in range(0, batch.num_rows, MIXED):
+                part = batch.column(0).slice(a, MIXED).to_pylist()
+                rows = np.frombuffer(b"".join(part), "<f4").reshape(len(part), TERMS) * idf
+                total += rows.T @ (rows @ directions)
+        return total
+
+    image = summed(stored.where("NOT counts").select("row"), product, width)
     if not len(image) or not image.any():
-        return LatentSpace(np.zeros((TERMS, RANK), dtype=np.float32))
+        return LatentSpace(np.zeros((TERMS, RANK)))
     shift = 1e-7 * np.linalg.norm(image)
     image = image + shift * directions
     core = directions.T @ image
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     half = image @ (vectors / np.sqrt(np.maximum(values, shift)))
     left, singular, _ = np.linalg.svd(half, full_matrices=False)
-    kept = np.maximum(singular[:RANK], 1e-9 * singular[0])
-    return LatentSpace((idf[:, None] * left[:, :RANK] / kept).astype(np.float32))
+    used = slice(COMMON, COMMON + RANK)
+    return LatentSpace(idf[:, None] * left[:, used] / np.maximum(singular[used], 1e-9 * singular[0]))
 
 
 @dataclass
@@ -142,12 +174,12 @@ class Item:
 
 
 def items_of(rows: list[tuple[int, bytes]]) -> list[Item]:
-    """Parts of all items; the answer is the last sentence of the part, or its last quarter if that is shorter."""
+    """Parts of all items; the answer is the end of the last sentence of the part, a quarter of it at most."""
     out = []
     for number, text in rows:
-        words, hashes = _words([text])
-        found = [int(h) for h in hashes]
-        ends = [int(np.searchsorted(words.starts, i)) for i, b in enumerate(text.rstrip(b" .!?\n")) if b in b".!?"]
+        starts = Words([text], NO_LETTERS).starts
+        found = words_of([text])[0].tolist()
+        ends = [int(np.searchsorted(starts, i)) for i, b in enumerate(text.rstrip(b" .!?\n")) if b in b".!?"]
         parts = max(1, -(-len(found) // ITEM_WORDS))
         for k in range(parts):
             a, b = k * len(found) // parts, (k + 1) * len(found) // parts
@@ -173,63 +205,83 @@ class Matcher:
 
     def __init__(self, space: LatentSpace, items: list[Item]):
         self.space, self.items = space, items
-        self.places: list[dict[int, int]] = []
-        for item in items:
-            bits: dict[int, int] = {}
-            for i, word in enumerate(item.words):
-                bits[word] = bits.get(word, 0) | 1 << i
-            self.places.append(bits)
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        widths = np.array([min(WIDEST, max(1, round(len(i.words) / BLOCK))) for i in items])
-        for width in set(widths.tolist()):
+        self.bits: list[dict[int, int]] = []
+        # How often an item has each word, for the bound of candidates; one byte a word and item.
+        self.times = np.zeros((len(items), (1 << 16) + 1), dtype=np.uint8)
+        for i, item in enumerate(items):
+            self.bits.append(_bits(item.words))
+            np.add.at(self.times[i], item.words, 1)
+        self.sizes = np.array([len(i.words) for i in items])
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        # Wide enough to hold most of the item wherever it begins.
+        widths = np.array([min(WIDEST, -(-(len(i.words) + BLOCK // 2) // BLOCK)) for i in items])
+        for width in sorted(set(widths.tolist())):
             chosen = np.flatnonzero(widths == width)
-            vectors = [space.blocks(terms_of(np.array(items[i].words, np.uint64)), np.array([0]))[0] for i in chosen]
-            self.by_width[width] = (chosen, _unit(np.array(vectors)).astype(np.float32))
+            vectors = [space.vectors(terms_of(np.array([items[i].words], np.int32)))[0] for i in chosen]
+            level = COSINE * np.sqrt(np.minimum(self.sizes[chosen] / (width * BLOCK), 1.0))
+            self.by_width[width] = (chosen, (_unit(np.array(vectors)) / level[:, None]).astype(np.float32), level)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, float, bool]]:
         """(text, item number, cosine, share in order, answer in place) of every confirmed leak."""
-        words, hashes = _words(texts)
-        if not len(hashes) or not self.items:
+        words, bounds = words_of(texts)
+        if not len(words) or not self.items:
             return []
-        starts = _starts(words.bounds, BLOCK)
-        text_of = np.searchsorted(words.bounds, starts, side="right") - 1
-        blocks = self.space.blocks(terms_of(hashes), starts)
+        starts, sizes = runs(bounds, BLOCK)
+        text_of = np.searchsorted(bounds, starts, side="right") - 1
+        blocks = self.space.vectors(in_rows(terms_of(words), starts, sizes, BLOCK, TERMS))
         out: dict[tuple[int, int], tuple[float, float, bool]] = {}
-        for width, (chosen, vectors) in self.by_width.items():
-            windows = blocks.copy()
-            for k in range(1, width):
+        windows = blocks.copy()
+        for width in range(1, WIDEST + 1):
+            if width > 1:
                 # The next block counts where it is of the same text.
-                same = np.append(text_of[k:] == text_of[: len(text_of) - k], np.zeros(min(k, len(text_of)), bool))
-                windows[: len(same)][same] += blocks[np.flatnonzero(same) + k]
-            for a in range(0, len(windows), 8192):
-                near = _unit(windows[a : a + 8192]) @ vectors.T
-                for w, i in zip(*np.nonzero(near >= COSINE)):
-                    item = chosen[i]
-                    text = int(text_of[a + w])
-                    self._confirm(out, hashes, words.bounds, starts[a + w], text, item, width, float(near[w, i]))
+                k = width - 1
+                same = np.flatnonzero(text_of[k:] == text_of[: len(text_of) - k])
+                windows[same] += blocks[same + k]
+            if width in self.by_width:
+                self._search(out, words, bounds, starts, text_of, windows, width)
         return [(text, number, *best) for (text, number), best in sorted(out.items())]
 
-    def _confirm(self, out, hashes, bounds, start, text: int, item: int, width: int, cosine: float) -> None:
-        known = self.items[item]
-        size = len(known.words)
-        before = out.get((text, known.number))
+    def _search(self, out, words, bounds, starts, text_of, windows, width: int) -> None:
+        chosen, vectors, level = self.by_width[width]
+        lengths = np.sqrt(np.einsum("ij,ij->i", windows, windows)) + np.float32(1e-12)
+        for a in range(0, len(windows), _CHUNK):
+            near = windows[a : a + _CHUNK] @ vectors.T
+            w, i = np.divmod(np.flatnonzero(near >= lengths[a : a + _CHUNK, None]), len(chosen))
+            if not len(w):
+                continue
+            cosine = near[w, i] / lengths[a + w] * level[i]
+            w, i = a + w, chosen[i]
+            first = np.maximum(bounds[text_of[w]], starts[w] - BLOCK)
+            last = np.minimum(bounds[text_of[w] + 1], starts[w] + (width + 1) * BLOCK)
+            # The words of the item that occur at all in the span bound the subsequence from above.
+            spans = in_rows(words, first, last - first, (width + 2) * BLOCK, 1 << 16)
+            spans = np.sort(spans, axis=1)
+            spans[:, 1:][spans[:, 1:] == spans[:, :-1]] = 1 << 16
+            common = self.times[i[:, None], spans].sum(axis=1, dtype=np.int32)
+            for k in np.flatnonzero(common >= PARAPHRASE * self.sizes[i]):
+                span = words[first[k] : last[k]].tolist()
+                self._confirm(out, int(text_of[w[k]]), int(i[k]), span, float(cosine[k]))
+
+    def _confirm(self, out, text: int, number: int, span: list[int], cosine: float) -> None:
+        item = self.items[number]
+        size = len(item.words)
+        before = out.get((text, item.number))
         if before and before[1] >= 1.0:
             return
-        first = max(bounds[text], start - BLOCK)
-        span = hashes[first : min(bounds[text + 1], start + (width + 1) * BLOCK)].tolist()
-        places = self.places[item]
-        # Words that occur at all bound the subsequence from above.
-        if sum(word in places for word in span) < PARAPHRASE * size:
-            return
-        common = common_subsequence(places, size, span)
+        common = common_subsequence(self.bits[number], size, span)
         share = common / size
-        tail = {w: 0 for w in known.answer}
-        for i, w in enumerate(known.answer):
-            tail[w] |= 1 << i
-        answered = common_subsequence(tail, len(known.answer), span) == len(known.answer)
+        answered = common_subsequence(_bits(item.answer), len(item.answer), span) == len(item.answer)
         enough = share >= SHARE or (share >= PARAPHRASE and answered)
         if enough and common >= min(size, LEAST_WORDS) and (before is None or share > before[1]):
-            out[(text, known.number)] = (cosine, share, answered)
+            out[(text, item.number)] = (cosine, share, answered)
+
+
+def _bits(words: list[int]) -> dict[int, int]:
+    """The places of each word as bits."""
+    out: dict[int, int] = {}
+    for i, word in enumerate(words):
+        out[word] = out.get(word, 0) | 1 << i
+    return out
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -254,7 +306,7 @@ def leaks(docs: DataFrame, space: LatentSpace, items: list[Item]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(space, items)
         for batch in batches:
-            for first, part in slices(batch.column(1), 1 << 20):
+            for first, part in slices(batch.column(1), 2 << 20):
                 found = matcher.find(part)
                 ids = batch.column(0).slice(first, len(part)).take(pa.array([f[0] for f in found], pa.int64()))
                 columns = [pa.array([f[i] for f in found], t) for i, t in _FOUND]
@@ -275,7 +327,7 @@ def keep_clean(docs: DataFrame, space: LatentSpace, items: list[Item]) -> DataFr
         matcher = Matcher(space, items)
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)
-            for first, part in slices(batch.column(place), 1 << 20):
+            for first, part in slices(batch.column(place), 2 << 20):
                 for text, *_ in matcher.find(part):
                     clean[first + text] = False
             yield batch.filter(pa.array(clean))
