@@ -56,7 +56,7 @@ def preferred(manifests: DataFrame, names: list[str]) -> DataFrame:
     found = manifests.where(F.col("path").isin(names))
     if len(names) == 1:
         return found
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path")).alias("_place")
+    place = _place(names)
     chosen = found.groupBy("repo_id").agg(F.min(place).alias("_place"))
     return found.withColumn("_place", place).join(chosen, ["repo_id", "_place"], "left_semi").drop("_place")
 
@@ -68,6 +68,43 @@ def readmes(manifests: DataFrame, max_lines: int | None = None) -> DataFrame:
     return preferred(cut, README_NAMES).select("repo_id", "path", "readme")
 
 
+def shown_texts(manifests: DataFrame, readme_lines: int, requirement_lines: int, pom_chars: int) -> DataFrame:
+    """What reports show of README, requirements and pom.xml, one row per repository.
+
+    (repo_id, readme, requirements, n_requirements, pom). Texts and lists are cut in the task that reads
+    the file, so one aggregate moves only what is shown.
+    """
+    path, text = F.col("path"), read_text(F.col("content"))
+    cut = manifests.where(path.isin(README_NAMES + REQUIREMENTS_NAMES + POM_NAMES)).select(
+        "repo_id",
+        F.when(
+            path.isin(README_NAMES),
+            F.struct(_place(README_NAMES).alias("place"), head_lines(text, readme_lines).alias("text")),
+        ).alias("readme"),
+        F.when(path.isin(REQUIREMENTS_NAMES), _requirement_lines()).alias("listed"),
+        F.when(path.isin(REQUIREMENTS_NAMES), _place(REQUIREMENTS_NAMES)).alias("place"),
+        F.when(path.isin(POM_NAMES), F.substring(text, 1, pom_chars)).alias("pom"),
+    )
+    requirement = F.struct(
+        "place", F.slice("listed", 1, requirement_lines).alias("lines"), F.size("listed").alias("total")
+    )
+    parts = cut.select("repo_id", "readme", F.when(F.col("place").isNotNull(), requirement).alias("requirement"), "pom")
+    found = parts.groupBy("repo_id").agg(
+        F.min("readme").alias("readme"), F.min("requirement").alias("requirement"), F.max("pom").alias("pom")
+    )
+    return found.select(
+        "repo_id",
+        F.col("readme.text").alias("readme"),
+        F.col("requirement.lines").alias("requirements"),
+        F.col("requirement.total").alias("n_requirements"),
+        "pom",
+    )
+
+
+def _place(names: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path"))
+
+
 def packages(manifests: DataFrame) -> DataFrame:
     """Contents of package.json: identity, dependencies in file order, engines.
 
@@ -123,10 +160,14 @@ def requirements(manifests: DataFrame) -> DataFrame:
 
     Blank lines and lines that start with ``#`` are dropped; an indented comment is kept.
     """
+    return preferred(manifests, REQUIREMENTS_NAMES).select("repo_id", _requirement_lines().alias("requirements"))
+
+
+def _requirement_lines() -> Column:
     kept = F.filter(
         lines(read_text(F.col("content"))), lambda line: (strip(line) != "") & ~F.startswith(line, F.lit("#"))
     )
-    return preferred(manifests, REQUIREMENTS_NAMES).select("repo_id", F.transform(kept, strip).alias("requirements"))
+    return F.transform(kept, strip)
 
 
 def requirement_rows(requirements: DataFrame, n: int | None = None) -> DataFrame:

@@ -109,17 +109,31 @@ def repo_profiles(
     first = first_per_key(scanned, ["repo_id"], in_walk_order(), options.report_key_files, spread=["path"])
     described = F.struct("rank", "path", "language", "classes", "functions")
     key_files = first.groupBy("repo_id").agg(F.array_sort(F.collect_list(described)).alias("key_files"))
-    package = m.packages(manifests).select("repo_id", F.struct("*").alias("package"))
+    shown = max(options.report_node_dependencies, options.prompt_dependencies)
+    package = F.struct(
+        "name",
+        "version",
+        "description",
+        "engines",
+        *[
+            column
+            for kind, n in (("dependencies", shown), ("dev_dependencies", options.prompt_dev_dependencies))
+            for column in (F.slice(kind, 1, n).alias(kind), F.size(kind).alias(f"n_{kind}"))
+        ],
+    )
     parts = [
         repo_stats(records),
         counts,
         largest,
         key_files,
         bullet_summaries(records, options.prompt_files, options.bullet_names).withColumnRenamed("summary", "bullets"),
-        m.readmes(manifests, max(options.report_readme_lines, options.prompt_readme_lines)).select("repo_id", "readme"),
-        package,
-        m.requirements(manifests),
-        m.poms(manifests, options.pom_chars),
+        m.packages(manifests).select("repo_id", package.alias("package")),
+        m.shown_texts(
+            manifests,
+            max(options.report_readme_lines, options.prompt_readme_lines),
+            max(options.report_requirements, options.prompt_requirements),
+            options.pom_chars,
+        ),
     ]
     every = (files if repositories is None else repositories).select("repo_id").distinct()
     joined = reduce(lambda left, part: left.join(part, "repo_id", "left"), parts, every)
@@ -239,14 +253,14 @@ def prompts(
         "\n",
         F.lit(PROMPT_PACKAGE),
         *[F.concat(F.lit(label), package[field]) for field, label in PACKAGE_LABELS.items()],
-        _versions(DEPENDENCIES_LINE, package["dependencies"], options.prompt_dependencies),
-        _versions(DEV_DEPENDENCIES_LINE, package["dev_dependencies"], options.prompt_dev_dependencies),
+        _versions(DEPENDENCIES_LINE, "dependencies", options.prompt_dependencies),
+        _versions(DEV_DEPENDENCIES_LINE, "dev_dependencies", options.prompt_dev_dependencies),
         F.concat(F.lit(ENGINES_LINE), package["engines"]),
     )
     python = F.concat_ws(
         "\n",
         F.lit(PROMPT_REQUIREMENTS),
-        F.format_string(REQUIREMENTS_LINE, F.size(requirements)),
+        F.format_string(REQUIREMENTS_LINE, F.col("n_requirements")),
         F.array_join(F.slice(requirements, 1, options.prompt_requirements), "\n"),
     )
     text = F.concat_ws(
@@ -265,9 +279,10 @@ def prompts(
     return profiles.select("repo_id", text.alias("prompt"))
 
 
-def _versions(title: str, entries: Column, n: int) -> Column:
+def _versions(title: str, kind: str, n: int) -> Column:
+    entries, total = F.col(f"package.{kind}"), F.col(f"package.n_{kind}")
     rows = F.transform(F.slice(entries, 1, n), lambda e: F.format_string(DEPENDENCY_LINE, e["name"], e["version"]))
-    text = F.concat_ws("\n", F.format_string(title, F.size(entries)), F.array_join(rows, "\n"))
+    text = F.concat_ws("\n", F.format_string(title, total), F.array_join(rows, "\n"))
     return F.when(F.size(entries) > 0, text)
 
 
