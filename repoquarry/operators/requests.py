@@ -30,6 +30,16 @@ def rejected(requests: DataFrame) -> DataFrame:
     return validated(requests).where(~F.col("is_valid")).drop("is_valid")
 
 
+def named_requests(requests: DataFrame, strict: bool = False) -> DataFrame:
+    """The whole way of a table of requests (req_id, url): refused or given a name of its own.
+
+    (req_id, url, name, unique_name, error); refused requests have no name and take none from others.
+    """
+    taken = unique_names(named(accepted(requests), strict)).withColumn("error", F.lit(None).cast("string"))
+    refused = rejected(requests)
+    return taken.unionByName(refused, allowMissingColumns=True)
+
+
 def unique_names(requests: DataFrame, name: str = "name", arrival: str = "req_id", tie: str = "req_id") -> DataFrame:
     """Adds ``unique_name``: the first of ``x``, ``x_1``, ``x_2``, ... no earlier request has taken.
 

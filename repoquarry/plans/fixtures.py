@@ -49,14 +49,18 @@ UNION ALL SELECT repo_id, 'package.json', CASE WHEN id % 5 = 4 THEN '{{bad' ELSE
 UNION ALL SELECT repo_id, 'pom.xml', concat('<project>', repeat('x', 2500), '</project>') FROM {_PER_REPO} WHERE id % 4 = 0
 """
 
-# Eight shapes of URL: plain, upper case with blanks, no repository, ssh, dotted, deep, inner .git, foreign.
+# Eight shapes of URL made of every page's own: plain, upper case with blanks, no repository, ssh, dotted,
+# deep, inner .git, and the page's URL itself. Names repeat, and some ask for the variants of others.
 URL_REQUESTS = """
-SELECT page_id AS req_id, CASE page_id % 8 WHEN 0 THEN concat('https://github.com/o', o, '/r', r)
- WHEN 1 THEN concat(' HTTPS://GitHub.com/o', o, '/r', r, '.git ') WHEN 2 THEN concat('https://github.com/o', o, '/')
- WHEN 3 THEN concat('git@github.com:o', o, '/r', r, '.git') WHEN 4 THEN concat('http://github.com/a-b/c.', r, '/')
- WHEN 5 THEN concat('https://github.com/o', o, '/r', r, '/tree/main') WHEN 6 THEN concat('https://github.com/o', o, '/u.github.io')
- ELSE url END AS url
-FROM (SELECT page_id, url, CAST(page_id % 5 AS STRING) AS o, CAST(page_id % 7 AS STRING) AS r FROM pages) p
+SELECT page_id AS req_id, CASE page_id % 8 WHEN 0 THEN concat('https://github.com/', o, '/', r)
+ WHEN 1 THEN concat(' HTTPS://GitHub.com/', o, '/', r, '.git ') WHEN 2 THEN concat('https://github.com/', o, '/')
+ WHEN 3 THEN concat('git@github.com:', o, '/', r, '.git') WHEN 4 THEN concat('http://github.com/a-b/c.', r, '/')
+ WHEN 5 THEN concat('https://github.com/', o, '/', r, '/tree/main')
+ WHEN 6 THEN concat('https://github.com/', o, '/u.github.io') ELSE url END AS url
+FROM (SELECT page_id, url, replace(split_part(url, '/', 3), '.', '-') AS o,
+ CASE page_id % 3 WHEN 0 THEN split_part(url, '/', 4)
+  WHEN 1 THEN concat(split_part(url, '/', 4), '_', CAST(page_id % 5 + 1 AS STRING))
+  ELSE split_part(split_part(split_part(url, '/', 5), '?', 1), '#', 1) END AS r FROM pages) p
 """
 
 # Every line head in front of each whole text.

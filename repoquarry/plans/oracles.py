@@ -260,7 +260,15 @@ ORACLES: dict[str, str] = {
     "s9_text_decode": "SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN 'A(' || chr(65533) || 'B' ELSE '' END AS t FROM documents) x",
     "s10_repo_size": f"WITH {_F} SELECT repo_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM f GROUP BY repo_id",
     "s11_repo_size_guard": f"WITH {_F}, z AS (SELECT repo_id, sum(bytes) AS n FROM f GROUP BY repo_id) SELECT repo_id, path, '' AS error FROM f JOIN z USING (repo_id) WHERE n <= {fx.MAX_REPO_BYTES} AND file_id % 17 <> 0 UNION ALL SELECT repo_id, '', 'Repository too large: ' || printf('%.2f', n / 1048576.0::DOUBLE) || ' MB. Maximum allowed: {fx.MAX_REPO_BYTES / 1048576:.2f} MB.' FROM z WHERE n > {fx.MAX_REPO_BYTES}",
-    "s12_unique_names": f"WITH {_URLS} SELECT req_id, name, name || CASE WHEN rn > 1 THEN '_' || (rn - 1) ELSE '' END AS unique_name FROM (SELECT req_id, {_NAME} AS name, row_number() OVER (PARTITION BY {_NAME} ORDER BY req_id) AS rn FROM u) x",
+    # Requests take names in turn: the first of x, x_1, x_2, ... that none before has taken.
+    "s12_unique_names": f"""WITH RECURSIVE {_URLS},
+n AS (SELECT req_id, {_NAME} AS name, row_number() OVER (ORDER BY req_id) AS turn FROM u WHERE is_valid),
+t AS (SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS taken, CAST('' AS VARCHAR) AS found
+ UNION ALL SELECT n.turn, list_append(t.taken, x), x FROM t JOIN n ON n.turn = t.turn + 1,
+ LATERAL (SELECT CASE WHEN NOT list_contains(t.taken, n.name) THEN n.name ELSE n.name || '_' ||
+  list_filter(range(1, len(t.taken) + 2), lambda k: NOT list_contains(t.taken, n.name || '_' || k))[1] END AS x) y)
+SELECT req_id, name, found AS unique_name, '' AS error FROM n JOIN t USING (turn)
+UNION ALL SELECT req_id, '', '', {_URL_ERROR} FROM u WHERE NOT is_valid""",
     "u1_url_validation": f"WITH {_URLS} SELECT req_id, is_valid, {_URL_ERROR} AS error FROM u",
     "u2_repo_name": f"WITH {_URLS} SELECT req_id, {_NAME} AS name, {_name(r"regexp_replace(bare, '[.]git$', '')")} AS strict_name FROM u",
     "u3_request_split": f"WITH {_URLS} SELECT req_id, url, CASE WHEN is_valid THEN 'accepted' ELSE 'rejected' END AS outcome, {_URL_ERROR} AS error FROM u",

@@ -172,8 +172,10 @@ def s11_repo_size_guard(spark, sf):
 
 @query
 def s12_unique_names(spark, sf):
-    named = requests.named(fx.url_requests(spark, sf))
-    return requests.unique_names(named).select("req_id", "name", "unique_name")
+    """Every request refused or named, by turns."""
+    found = requests.named_requests(fx.url_requests(spark, sf))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("name", "unique_name", "error")]
+    return found.select("req_id", *texts)
 
 
 # Requests
