@@ -49,6 +49,25 @@ UNION ALL SELECT repo_id, 'package.json', CASE WHEN id % 5 = 4 THEN '{{bad' ELSE
 UNION ALL SELECT repo_id, 'pom.xml', concat('<project>', repeat('x', 2500), '</project>') FROM {_PER_REPO} WHERE id % 4 = 0
 """
 
+# The same for every document as a repository of its own: whole texts as README, pom.xml and, word by word,
+# as requirements, some with carriage returns; no, few, many and broken dependencies.
+_MANY = ", ".join(f'"p{i}":"{i}"' for i in range(60))
+_PER_DOC = "(SELECT concat(source, '-', CAST(doc_id AS STRING)) AS repo_id, doc_id AS id, lang, text AS txt FROM documents) a"
+DOC_MANIFESTS = f"""
+SELECT repo_id, 'README.md' AS path, concat('# ', repo_id, chr(10), txt) AS content FROM {_PER_DOC} WHERE id % 3 <> 2
+UNION ALL SELECT repo_id, 'readme.txt', concat('fallback ', txt) FROM {_PER_DOC}
+UNION ALL SELECT repo_id, CASE WHEN id % 2 = 0 THEN 'requirements.txt' ELSE 'requirements-dev.txt' END,
+ concat('# top', chr(10), chr(10), '  # kept', chr(10), replace(txt, ' ', CASE WHEN id % 3 = 1 THEN concat(chr(13), chr(10)) ELSE chr(10) END))
+ FROM {_PER_DOC}
+UNION ALL SELECT repo_id, 'requirements-dev.txt', 'never==0' FROM {_PER_DOC} WHERE id % 4 = 0
+UNION ALL SELECT repo_id, 'package.json', CASE WHEN id % 5 = 4 THEN concat('{{bad', txt) ELSE concat('{{"name":"', repo_id,
+ '","version":"1.', CAST(id % 9 AS STRING), '"', CASE WHEN id % 2 = 0 THEN concat(',"description":"', lang, '"') ELSE '' END,
+ ',"dependencies":{{', CASE id % 4 WHEN 0 THEN '"z":"1","a":"^2"' WHEN 1 THEN '{_MANY}' WHEN 2 THEN '' ELSE concat('"x":"', CAST(id AS STRING), '"') END,
+ '}},"devDependencies":{{"jest":"29"', CASE WHEN id % 3 = 0 THEN ', {_MANY}' ELSE '' END, '}},"engines":{{"node":">=', CAST(id % 20 AS STRING), '"}}}}') END
+ FROM {_PER_DOC}
+UNION ALL SELECT repo_id, 'pom.xml', concat('<project>', txt, '</project>') FROM {_PER_DOC} WHERE id % 4 = 0
+"""
+
 # Eight shapes of URL made of every page's own: plain, upper case with blanks, no repository, ssh, dotted,
 # deep, inner .git, and the page's URL itself. Names repeat, and some ask for the variants of others.
 URL_REQUESTS = """
@@ -108,6 +127,11 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("repo_id", "path", F.col("content").cast("binary").alias("content"))
 
 
+def doc_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _derived(table(spark, sf_dir, "documents"), "documents", DOC_MANIFESTS)
+    return df.select("repo_id", "path", F.col("content").cast("binary").alias("content"))
+
+
 def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(table(spark, sf_dir, "pages"), "pages", URL_REQUESTS)
 

@@ -111,6 +111,7 @@ def _name(url: str) -> str:
 _NAME = _name("replace(bare, '.git', '')")
 
 _MAN = f"man AS ({fx.MANIFESTS})"
+_DOC_MAN = f"man AS ({fx.DOC_MANIFESTS})"
 _README = """
 rd AS (SELECT repo_id, arg_min(path, o) AS path, arg_min(content, o) AS readme FROM (SELECT *, list_position(
   ['README.md', 'README.MD', 'README.txt', 'README', 'readme.md', 'readme.txt'], path) AS o FROM man) x WHERE o > 0 GROUP BY repo_id)
@@ -121,8 +122,8 @@ pk AS (SELECT repo_id, content::JSON AS j FROM man WHERE path = 'package.json' A
 _REQ = r"""
 rq0 AS (SELECT repo_id, arg_min(content, path = 'requirements-dev.txt') AS content FROM man
   WHERE path IN ('requirements.txt', 'requirements-dev.txt') GROUP BY repo_id),
-rq AS (SELECT repo_id, list_transform(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(x, '#')),
-  lambda x: trim(x)) AS requirements FROM rq0)
+rq AS (SELECT repo_id, list_transform(list_filter(string_split(content, chr(10)), lambda x: trim(x, ' ' || chr(13)) <> '' AND NOT starts_with(x, '#')),
+  lambda x: trim(x, ' ' || chr(13))) AS requirements FROM rq0)
 """
 
 
@@ -131,7 +132,7 @@ def _lines(text: str) -> str:
 
 
 def _dependencies(key: str, n: int) -> str:
-    return f"""WITH {_MAN}, {_PACKAGE}, e AS (SELECT repo_id, json_keys(j, '$.{key}') AS names, j FROM pk)
+    return f"""WITH {_DOC_MAN}, {_PACKAGE}, e AS (SELECT repo_id, json_keys(j, '$.{key}') AS names, j FROM pk)
 SELECT repo_id, i AS pos, names[i + 1] AS name, json_extract_string(j, '$.{key}.' || names[i + 1]) AS version,
  CAST(len(names) AS BIGINT) AS total FROM (SELECT *, CAST(unnest(range(least(len(names), {n}))) AS INT) AS i FROM e) x"""
 
@@ -310,23 +311,23 @@ UNION ALL SELECT req_id, '', '', {_URL_ERROR} FROM u WHERE NOT is_valid""",
     "t1_tree": f"WITH {_F}, {_tree('f', 1000)} SELECT repo_id, pos, line FROM tr",
     "t2_tree_cut": f"WITH {_F}, {_tree('f', fx.MAX_ENTRIES)} SELECT repo_id, pos, line FROM tr",
     "t3_tree_empty": f"WITH {_F}, {_tree('f', fx.MAX_ENTRIES)} SELECT repo_id, coalesce(pos, 1) AS pos, coalesce(line, '(empty or invalid repository)') AS line FROM (SELECT DISTINCT repo_id FROM f UNION SELECT repo_id || '-empty' FROM f) e LEFT JOIN tr USING (repo_id)",
-    "m1_readme_pick": f"WITH {_MAN}, {_README} SELECT repo_id, path, md5(readme) AS digest FROM rd",
+    "m1_readme_pick": f"WITH {_DOC_MAN}, {_README} SELECT repo_id, path, md5(readme) AS digest FROM rd",
     "m2_head_lines": f"SELECT doc_id, CAST(length(head) AS INT) AS n_chars, md5(head) AS digest, short FROM (SELECT doc_id, array_to_string({_lines('text')}[1:50], chr(10)) AS head, array_to_string({_lines('text')}[1:2], chr(10)) AS short FROM ({fx.MARKDOWN}) x) y",
-    "m3_package_json": f"WITH {_MAN}, {_PACKAGE} SELECT repo_id, CAST(len(json_keys(j, '$.dependencies')) AS INT) AS n_dependencies, CAST(len(json_keys(j, '$.devDependencies')) AS INT) AS n_dev_dependencies FROM pk",
-    "m4_package_identity": f"WITH {_MAN}, {_PACKAGE} SELECT repo_id, coalesce(j->>'$.name', 'N/A') AS name, coalesce(j->>'$.version', 'N/A') AS version, coalesce(j->>'$.description', 'N/A') AS description FROM pk",
+    "m3_package_json": f"WITH {_DOC_MAN}, {_PACKAGE} SELECT repo_id, CAST(len(json_keys(j, '$.dependencies')) AS INT) AS n_dependencies, CAST(len(json_keys(j, '$.devDependencies')) AS INT) AS n_dev_dependencies FROM pk",
+    "m4_package_identity": f"WITH {_DOC_MAN}, {_PACKAGE} SELECT repo_id, coalesce(j->>'$.name', 'N/A') AS name, coalesce(j->>'$.version', 'N/A') AS version, coalesce(j->>'$.description', 'N/A') AS description FROM pk",
     "m5_node_dependencies": _dependencies("dependencies", 50),
     "m6_dev_dependencies": _dependencies("devDependencies", 30),
-    "m7_engines": f"WITH {_MAN}, {_PACKAGE} SELECT repo_id, (j->'$.engines')::VARCHAR AS engines FROM pk",
-    "m8_requirements": f"WITH {_MAN}, {_REQ} SELECT repo_id, CAST(i AS INT) AS pos, requirements[i + 1] AS requirement FROM (SELECT *, unnest(range(len(requirements))) AS i FROM rq) x",
-    "m9_requirement_cap": f"WITH {_MAN}, {_REQ} SELECT repo_id, CAST(i AS INT) AS pos, requirements[i + 1] AS requirement, CAST(len(requirements) AS BIGINT) AS total FROM (SELECT *, unnest(range(least(2, len(requirements)))) AS i FROM rq) x",
-    "m10_pom_head": f"WITH {_MAN} SELECT repo_id, substring(content, 1, 2000) AS pom FROM man WHERE path = 'pom.xml'",
+    "m7_engines": f"WITH {_DOC_MAN}, {_PACKAGE} SELECT repo_id, (j->'$.engines')::VARCHAR AS engines FROM pk",
+    "m8_requirements": f"WITH {_DOC_MAN}, {_REQ} SELECT repo_id, CAST(i AS INT) AS pos, requirements[i + 1] AS requirement FROM (SELECT *, unnest(range(len(requirements))) AS i FROM rq) x",
+    "m9_requirement_cap": f"WITH {_DOC_MAN}, {_REQ} SELECT repo_id, CAST(i AS INT) AS pos, requirements[i + 1] AS requirement, CAST(len(requirements) AS BIGINT) AS total FROM (SELECT *, unnest(range(least(2, len(requirements)))) AS i FROM rq) x",
+    "m10_pom_head": f"WITH {_DOC_MAN} SELECT repo_id, substring(content, 1, 2000) AS pom FROM man WHERE path = 'pom.xml'",
     "r1_text_summary": f"WITH {_REC} SELECT repo_id, path, {_SUMMARY} AS summary FROM r",
     "r2_shown_summaries": f"WITH {_REC}, s AS (SELECT repo_id, {_SUMMARY} AS summary, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY walk) AS INT) AS pos, count(*) OVER (PARTITION BY repo_id) AS n FROM r) SELECT repo_id, pos, summary FROM s WHERE pos <= 15 UNION ALL SELECT repo_id, 16, '... and ' || (n - 15) || ' more files' FROM s WHERE pos = 16",
     "r3_bullet_summary": f"WITH {_REC}, {_bullets(20)} SELECT repo_id, summary FROM b",
     "r4_stats_summary": f"WITH {_REC}, {_STATS} SELECT repo_id, summary FROM ss",
     "r5_report_lines": f"{_REPORT} SELECT repo_id, section, CAST(i AS INT) AS line_no, lines[i + 1] AS line FROM (SELECT *, unnest(range(len(lines))) AS i FROM secs) x",
     "r6_key_files": f"WITH {_REC}, {_key_file_lines(8, 3, 1)} SELECT repo_id, CAST(i AS INT) AS line_no, lines[i + 1] AS line FROM (SELECT *, unnest(range(len(lines))) AS i FROM k) x",
-    "r7_overview": f"WITH {_F}, {_MAN}, {_README}, o AS (SELECT repo_id, ['## Project Overview', '', CASE WHEN regexp_matches(repo_id, '[02468]$') THEN '*No README found. Documentation generated from code analysis.*' ELSE string_split(readme, chr(10))[1] END] AS lines FROM rd) SELECT repo_id, CAST(i AS INT) AS line_no, lines[i + 1] AS line FROM (SELECT *, unnest(range(3)) AS i FROM o) x",
+    "r7_overview": f"WITH {_F}, {_MAN}, {_README}, o AS (SELECT repo_id, list_concat(['## Project Overview', ''], {_lines('readme')}[1:50]) AS lines FROM rd UNION ALL SELECT DISTINCT repo_id || '-bare', ['## Project Overview', '', '*No README found. Documentation generated from code analysis.*'] FROM f) SELECT repo_id, CAST(i AS INT) AS line_no, lines[i + 1] AS line FROM (SELECT *, unnest(range(len(lines))) AS i FROM o) x",
     "r8_prompt": f"{_PROMPT} SELECT repo_id, prompt FROM pr",
     "r9_prompt_preview": f"{_PROMPT} SELECT repo_id, CASE WHEN length(prompt) > 500 THEN substring(prompt, 1, 500) || '...' ELSE prompt END AS preview FROM pr",
     "r10_report_files": f"{_REPORT}, t AS (SELECT repo_id, string_agg(array_to_string(lines, chr(10)), chr(10) ORDER BY section) AS report FROM secs GROUP BY repo_id) SELECT repo_id, repo_id || '_ai_documentation.md' AS file_name, CAST(length(report) AS INT) AS n_chars, md5(report) AS digest FROM t",

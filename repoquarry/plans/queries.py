@@ -438,7 +438,7 @@ def t3_tree_empty(spark, sf):
 
 @query
 def m1_readme_pick(spark, sf):
-    return manifests.readmes(fx.manifests(spark, sf)).select("repo_id", "path", F.md5("readme").alias("digest"))
+    return manifests.readmes(fx.doc_manifests(spark, sf)).select("repo_id", "path", F.md5("readme").alias("digest"))
 
 
 @query
@@ -449,7 +449,7 @@ def m2_head_lines(spark, sf):
 
 
 def _packages(spark, sf):
-    return manifests.packages(fx.manifests(spark, sf))
+    return manifests.packages(fx.doc_manifests(spark, sf))
 
 
 @query
@@ -480,17 +480,17 @@ def m7_engines(spark, sf):
 
 @query
 def m8_requirements(spark, sf):
-    return manifests.requirement_rows(manifests.requirements(fx.manifests(spark, sf))).drop("total")
+    return manifests.requirement_rows(manifests.requirements(fx.doc_manifests(spark, sf))).drop("total")
 
 
 @query
 def m9_requirement_cap(spark, sf):
-    return manifests.requirement_rows(manifests.requirements(fx.manifests(spark, sf)), 2)
+    return manifests.requirement_rows(manifests.requirements(fx.doc_manifests(spark, sf)), 2)
 
 
 @query
 def m10_pom_head(spark, sf):
-    return manifests.poms(fx.manifests(spark, sf))
+    return manifests.poms(fx.doc_manifests(spark, sf))
 
 
 # Summaries, reports, prompts
@@ -543,11 +543,13 @@ def r6_key_files(spark, sf):
 
 @query
 def r7_overview(spark, sf):
+    """The overview of every repository, and of as many without a README."""
     listing, records, found = _stored_parts(spark, sf)
-    # Repositories with an even number go without a README.
-    found = found.where(~(F.col("repo_id").rlike("[02468]$") & F.col("path").isin(manifests.README_NAMES)))
-    lines = report.report_lines(report.repo_profiles(listing, records, found), GENERATED_AT)
-    return lines.where((F.col("section") == 1) & (F.col("line_no") < 3)).select("repo_id", "line_no", "line")
+    bare = listing.select(F.concat("repo_id", F.lit("-bare")).alias("repo_id"))
+    every = listing.select("repo_id").unionByName(bare)
+    profiles = report.repo_profiles(listing, records, found, repositories=every)
+    lines = report.report_lines(profiles, GENERATED_AT)
+    return lines.where(F.col("section") == 1).select("repo_id", "line_no", "line")
 
 
 @query
