@@ -73,9 +73,12 @@ def telling(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unl
 
 
 def fit_nnpu(
-    texts: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3
+    texts: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 0.35
 ) -> Scorer:
-    """Fits the scorer by full-batch Adam on the non-negative risk with the logistic loss."""
+    """Fits the scorer by full-batch Adam on the non-negative risk with the logistic loss.
+
+    Weights decay by ``decay`` over the number of positives: the fewer there are, the less is believed.
+    """
     if not positive.any() or positive.all() or not 0 < prior < 1:
         # Nothing to tell texts apart by: every text has the same score.
         return Scorer(np.array([], int), np.array([]), 10.0 if positive.any() and positive.all() else -10.0)
@@ -84,7 +87,10 @@ def fit_nnpu(
     # The last weight is the bias.
     w = np.append(np.zeros(len(names)), np.log(prior / (1 - prior)))
     n_positive, n_unlabelled = positive.sum(), (~positive).sum()
-    mean, square = np.zeros_like(w), np.zeros_like(w)
+    decay = decay / n_positive
+    mean, square, total = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
+    # Steps against the clean risk come and go; the average over the last half is steadier than the end.
+    averaged = steps // 2
     for step in range(1, steps + 1):
         g = np.bincount(rows, w[columns], len(texts)) + w[-1]
         toxic = 1.0 / (1.0 + np.exp(-np.clip(g, -50, 50)))
@@ -97,6 +103,8 @@ def fit_nnpu(
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        total += w if step > steps - averaged else 0.0
+    w = total / averaged
     return Scorer(names, w[:-1], float(w[-1]))
 
 
