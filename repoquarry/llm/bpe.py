@@ -36,8 +36,8 @@ WINDOW = 1 << 16
 _WINDOW_END = re.compile("[\t-\r ]")
 _SHORT = 48
 _NONE = 1 << 40
-# Encoded words kept per task; when full, the oldest are dropped.
-_REMEMBERED = 1 << 18
+# Encoded words kept per process; at twice as many the oldest are dropped.
+_REMEMBERED = 1 << 16
 
 
 def byte_symbols() -> list[str]:

@@ -111,8 +111,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose full sets are similar enough."""
     for batch in batches:
         kept = []
-        for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
+        for left, right in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(side.as_buffer(), "<u8") for side in (left, right))
             if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
                 kept.append(False)
                 continue

@@ -28,6 +28,9 @@ RIDGE = 1.0
 # Scores are calibrated on so many bins at most.
 BINS = 2048
 
+# Statistics need some thirty bytes of memory for each byte of text.
+_SLICE = 1 << 20
+
 # Classes of bytes: 1 upper case, 2 lower case, 3 digits, 4 sentence marks, 5 symbols, 6 beyond ASCII, 7 line ends.
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:], _CLASS[10] = 1, 2, 3, 6, 7
@@ -134,7 +137,7 @@ def isotonic(scores: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[
 
 def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, part in slices(batch.column(1)):
+        for first, part in slices(batch.column(1), _SLICE):
             found = pa.array([row.tobytes() for row in statistics(part)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), found], ["doc_id", "stats"])
 
@@ -219,7 +222,7 @@ def score_quality(docs: DataFrame, model: Quality, folds: int = 4, fold: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column(2)):
+            for first, part in slices(batch.column(2), _SLICE):
                 ids = [batch.column(i).slice(first, len(part)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(model.scores(part))], ["doc_id", "held_out", "score"])
 
@@ -236,7 +239,7 @@ def keep_quality(docs: DataFrame, model: Quality, threshold: float = 0.7) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.scores(part) for _, part in slices(batch.column(place))]
+            parts = [model.scores(part) for _, part in slices(batch.column(place), _SLICE)]
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
 

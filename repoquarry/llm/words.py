@@ -14,7 +14,7 @@ import pyarrow as pa
 
 # Texts are worked on in slices of about this many bytes, which bounds the memory of a task; a longer
 # text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
