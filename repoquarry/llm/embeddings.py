@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.llm.components import components
+from repoquarry.llm.groups import sorted_groups
 from repoquarry.sources.shared import materialize
 
 # Buckets hold about so many vectors of a label, tiles at most about twice as many.
@@ -151,8 +152,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
                 vectors = np.frombuffer(b"".join(part.column(3).to_pylist()), "<f8").reshape(len(part), -1)
                 codes = sign_codes(units(vectors), *tables(size, threshold))
                 columns = [part.column(i) for i in (0, 1, 3, 4, 5)]
-                packed = [row.astype("<i8").tobytes() for row in codes]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64()))], ["label", "width", "v", "id", "n", "codes", "buckets"])
+                packed = pa.array([row.astype("<i8").tobytes() for row in codes], pa.binary())
+                buckets = pa.array(codes.tolist(), pa.list_(pa.int64()))
+                names = ["label", "width", "v", "id", "n", "codes", "buckets"]
+                yield pa.RecordBatch.from_arrays([*columns, packed, buckets], names)
 
     schema = f"label {label}, width int, v binary, id {kind}, n bigint, codes binary, buckets array<bigint>"
     keys = placed.select("label", "width", "size", "v", "id", "n").mapInArrow(keyed, schema)
@@ -196,28 +199,14 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
 
 def _tiles(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(7))))
-            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            for first, last in zip(cuts, cuts[1:]):
-                if at is not None and keys[first] != at:
-                    yield from _tile(held, threshold)
-                    held = []
-                at = keys[first]
-                held.append(batch.slice(first, last - first))
-        if held:
-            yield from _tile(held, threshold)
+        for table in sorted_groups(batches, 7):
+            yield from _tile(table, threshold)
 
     return run
 
 
-def _tile(held: list[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _tile(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     """Counts of links per class and a spanning forest of one tile."""
-    table = pa.Table.from_batches(held)
     ids = table.column("id").to_pylist()
     n = np.array(table.column("n").to_pylist())
     vectors = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(len(ids), -1)

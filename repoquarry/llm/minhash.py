@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.llm.components import components
+from repoquarry.llm.groups import sorted_groups
 from repoquarry.llm.words import Words, constants, mix, shingles, slices
 from repoquarry.sources.shared import materialize
 
@@ -136,41 +137,25 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     they bound the similarity of a pair from above; pairs whose bound is too low are not links.
     """
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(rows)
+    for table in sorted_groups(batches, 4):
         if len(table) < 2:
-            return None
-        ids = table.column("id")
-        component, block = (np.array(table.column(c).to_pylist()) for c in ("component", "block"))
+            continue
+        component, block, own, shared = (
+            np.array(table.column(c).to_pylist()) for c in ("component", "block", "own", "shared")
+        )
         low, high, place = (table.column(c)[0].as_py() for c in ("low", "high", "place"))
         marks = _signatures(table.column("signature"))
         i, j = np.nonzero(component[:, None] != component[None, :])
         use = i < j if low == high else (block[i] == low) & (block[j] == high)
         i, j = i[use], j[use]
-        own, shared = (np.array(table.column(c).to_pylist()) for c in ("own", "shared"))
         most, least = np.minimum(shared[i], shared[j]), own[i] + own[j] + np.maximum(shared[i], shared[j])
         use = 100 * most >= PERCENT * least
         i, j = i[use], j[use]
         far, first = first_place(marks[i], marks[j])
         use = (far <= FARTHEST) & (first == place)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(i[use])).combine_chunks(), ids.take(pa.array(j[use])).combine_chunks()], ["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    at = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-        for first, last in zip(cuts, cuts[1:]):
-            if at is not None and keys[first] != at:
-                if (out := pairs(held)) is not None:
-                    yield out
-                held = []
-            at = keys[first]
-            held.append(batch.slice(first, last - first))
-    if held and (out := pairs(held)) is not None:
-        yield out
+        ids = table.column("id")
+        sides = [ids.take(pa.array(k[use])).combine_chunks() for k in (i, j)]
+        yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
