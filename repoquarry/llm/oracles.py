@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
+# Components of the pairs l(x, y), which hold both directions: everything that can be reached.
+_REACHED = """
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS least FROM r GROUP BY x)"""
+
 ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)),
+  lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),{_REACHED}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id,
+ doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM s LEFT JOIN c ON x = doc_id""",
+    "op8_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),{_REACHED}
+SELECT vec_id, (SELECT count(*) FROM l WHERE x = vec_id) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+ vec_id = least(vec_id, coalesce(least, vec_id)) AS kept FROM v LEFT JOIN c ON x = vec_id""",
     "op6_warc_writer": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS h, CAST(from_hex(sha1(body)) AS BIT)::VARCHAR AS bits FROM p),
