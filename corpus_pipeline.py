@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from repoquarry.llm import bpe, decontaminate, minhash, quality, secrets
+from repoquarry.llm.process import small_batches
 from repoquarry.sources.shared import new_folder
 
 
@@ -38,12 +40,26 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_classifier", keep_quality),
-    ("minhash_near_dedup", keep_first_copies),
-    ("benchmark_decontamination", drop_benchmark_leaks),
-    ("secret_scans", redact_secrets),
-    ("bpe_encoding", encode),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage with small batches between the JVM and Python."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", _bounded(keep_quality)),
+    ("minhash_near_dedup", _bounded(keep_first_copies)),
+    ("benchmark_decontamination", _bounded(drop_benchmark_leaks)),
+    ("secret_scans", _bounded(redact_secrets)),
+    ("bpe_encoding", _bounded(encode)),
 ]
 
 # The classifier, the redaction and the encoder are beyond SQL.

@@ -1,4 +1,4 @@
-"""Values kept by a Python worker process across tasks.
+"""Python workers: values kept across tasks, and the size of their batches.
 
 Functions of this library travel with the job, so their modules' globals are new in every task. Models
 and vocabularies that take long to load are kept under a name in the process instead.
@@ -11,6 +11,8 @@ import types
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
+from pyspark.sql import SparkSession
+
 Value = TypeVar("Value")
 
 
@@ -20,3 +22,12 @@ def kept(key: Hashable, make: Callable[[], Value]) -> Value:
     if key not in shelf:
         shelf[key] = make()
     return shelf[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let tasks exchange batches of at most 1,000 rows or 8 MB with Python from now on in this session.
+
+    Rows here are whole texts; the usual 10,000 of them can take hundreds of megabytes on either side.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from repoquarry.llm.bpe import encode_decode
 from repoquarry.llm.decontaminate import benchmark_items, fit_space, leaks
 from repoquarry.llm.embeddings import near_duplicates
 from repoquarry.llm.html import extract_text
+from repoquarry.llm.process import small_batches
 from repoquarry.llm.quality import fit_quality, score_quality
 from repoquarry.llm.secrets import fit_detector, scan
 from repoquarry.llm.sharding import shard_by_bytes
@@ -23,8 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        small_batches(spark)
+        return function(spark, sf)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
