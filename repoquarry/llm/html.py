@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoquarry.llm.styles import Styles, inline_display, on_screen
+
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -24,9 +26,6 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}@]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-z][a-z0-9-]*)?(?:([.#])([\w-]+))?$", re.I)
-_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(\w+)", re.I)
 
 # Browsers flatten what is nested more deeply, too.
@@ -38,7 +37,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _HEAD = frozenset("title meta link script style base template noscript".split())
 _HIDDEN = frozenset(
-    "head script style template title noscript datalist audio video canvas iframe noembed noframes object svg math".split()
+    "head script style template title noscript datalist audio video canvas iframe noembed noframes object".split()
 )
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu pre blockquote table figure hr xmp fieldset".split())
 _PLAIN = frozenset(
@@ -52,7 +51,19 @@ _LISTS = frozenset("ul ol menu".split())
 _CELLS = frozenset(["td", "th"])
 _TABLE = frozenset(["table"])
 _IN_TABLE = frozenset("table caption tbody thead tfoot tr td th".split())
-_SCOPE = frozenset("td th table caption button object template html".split())
+# HTML within drawings and formulas.
+_INSETS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+_SCOPE = frozenset("td th table caption button object template html".split()) | _INSETS
+# Start tags that end a drawing or formula left open.
+_BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+# Elements whose children a drawing shows; strings only below text.
+_DRAWN = frozenset("svg g a switch text tspan textpath".split())
+_TOKENS = frozenset("mi mo mn ms mtext".split())
+_NO_FORMULA = frozenset("annotation annotation-xml mphantom".split())
+_APART = frozenset("mfrac mtable mtr mlabeledtr".split())
 # Start tags that end others: (what they end, where the search stops).
 _ENDS = {
     "li": (frozenset(["li"]), _LISTS | _SCOPE),
@@ -72,10 +83,12 @@ _ENDS = {
 class Node:
     """An element; children are nodes and strings."""
 
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "display")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
+        # (important, display) that style sheets give it.
+        self.display: tuple[bool, str] | None = None
 
     def get(self, name: str) -> str | None:
         """Value of an attribute, empty if it has none, None if it is absent."""
@@ -87,11 +100,17 @@ class Node:
         return None
 
 
+def _closed(attributes: str) -> bool:
+    """Whether a tag ends itself; a slash that ends a value without quotes does not."""
+    before = attributes[:-1]
+    return attributes.endswith("/") and (before[-1:] in "\"' \t\n\r\f/" or "=" not in before.split()[-1])
+
+
 class Tree:
     """Builds the tree of one page; ``style`` collects style sheets."""
 
     def __init__(self, page: str):
-        self.root = Node("html")
+        self.root, self.body = Node("html"), Node("body")
         self.open = [self.root]
         self.counts: Counter[str] = Counter()
         self.style: list[str] = []
@@ -103,18 +122,31 @@ class Tree:
             at = m.end()
             tag = m[2] or m[5]
             if not tag:
+                if page.startswith("<![CDATA[", m.start()) and self.foreign():
+                    end = page.find("]]>", m.start())
+                    self.open[-1].children.append(page[m.start() + 9 : end if end >= 0 else len(page)])
+                    at = end + 3 if end >= 0 else len(page)
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
                 self.end(tag)
                 continue
             attributes = m[3] if m[2] else m[6]
+            foreign = self.foreign()
+            if foreign and tag in _BREAKS:
+                while self.foreign():
+                    self.pop()
+            elif (foreign or tag in ("svg", "math")) and _closed(attributes):
+                self.open[-1].children.append(Node(tag, attributes))
+                continue
             node = self.start(tag, attributes)
             if tag in _RAW:
                 close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                 raw = page[at : close.start()] if close else page[at:]
-                if tag == "style":
-                    self.style.append(raw)
+                # Browsers that run scripts and apply templates later do not read these sheets.
+                if tag == "style" and not self.counts["noscript"] > 0 and not self.counts["template"] > 0:
+                    if on_screen(node.get("media") or "") and (node.get("type") or "text/css").strip().lower() == "text/css":
+                        self.style.append(raw)
                 node.children.append(raw if tag == "xmp" else html.unescape(raw))
                 at = close.end() if close else len(page)
                 if self.open[-1] is node:
@@ -127,6 +159,17 @@ class Tree:
         self.counts[node.tag] -= 1
         return node
 
+    def foreign(self) -> bool:
+        """Whether the open element belongs to a drawing or formula, not to HTML within."""
+        if not (self.counts["svg"] > 0 or self.counts["math"] > 0):
+            return False
+        for node in reversed(self.open):
+            if node.tag in ("svg", "math"):
+                return True
+            if node.tag in _INSETS:
+                return False
+        return False
+
     def push(self, node: Node) -> None:
         self.open[-1].children.append(node)
         if node.tag not in _VOID and len(self.open) < DEPTH:
@@ -153,6 +196,8 @@ class Tree:
         if tag in ("html", "body"):
             # Their attributes hold for the whole page.
             self.close(frozenset(["head"]), frozenset())
+            kept = self.root if tag == "html" else self.body
+            kept.attributes = kept.attributes or attributes
             return Node(tag)
         if self.counts["head"] > 0 and tag not in _HEAD and self.open[-1].tag == "head":
             self.pop()
@@ -242,43 +287,35 @@ class Flow:
 
 
 class Renderer:
-    def __init__(self, style: list[str]):
+    def __init__(self, tree: Tree):
         self.lists = 0
-        self.none: set[tuple[str, str, str]] = set()
-        for sheet in style:
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-                if _NO_DISPLAY.search(body):
-                    for selector in selectors.split(","):
-                        if (m := _SIMPLE.match(selector.strip())) and (m[1] or m[3]):
-                            self.none.add(((m[1] or "").lower(), m[2] or "", m[3] or ""))
+        Styles(tree.style).decide(tree.root, tree.body, _HEAD | {"head"})
 
     def hidden(self, node: Node) -> bool:
         if node.tag in _HIDDEN:
             return True
-        attributes = node.attributes
-        if attributes:
-            if node.get("hidden") is not None:
-                return True
-            style = node.get("style")
-            if style and _NO_DISPLAY.search(style):
-                return True
-        if node.tag == "dialog" and node.get("open") is None:
+        ruled, attributes = node.display, node.attributes
+        if attributes and (style := node.get("style")) and (own := inline_display(style)):
+            # The element's own style gives way to important rules only.
+            ruled = ruled if ruled and ruled[0] and not own[0] else own
+        if ruled and ruled[1] != "revert":
+            return ruled[1] == "none"
+        if attributes and node.get("hidden") is not None:
             return True
-        if self.none:
-            names = [("", ""), *((".", c) for c in (node.get("class") or "").split()), ("#", node.get("id") or "")]
-            return any((t, *n) in self.none for n in names for t in ("", node.tag) if t or n[1])
-        return False
+        return node.tag == "dialog" and node.get("open") is None
 
     def render(self, node: Node, flow: Flow, shown: bool = True, raw: bool = False) -> None:
         """Add what is visible below ``node`` to ``flow``."""
         tag = node.tag
         if tag != "html" and self.hidden(node):
             return
-        if node.attributes and (style := node.get("style")) and (m := _VISIBILITY.search(style)):
-            shown = m[1].lower() == "visible"
+        shown = self.visible(node, shown)
         if tag == "br":
             flow.newline()
             return
+        if tag in ("svg", "math"):
+            self.drawing(node, flow, shown) if tag == "svg" else self.formula(node, flow, shown)
+            return
         gap = 1 if tag in _SPACED and not (tag in _LISTS and self.lists) else 0
         if tag in _BLOCKS:
             flow.block(gap)
@@ -300,6 +337,52 @@ class Renderer:
         if tag in _BLOCKS:
             flow.block(gap)
 
+    def visible(self, node: Node, shown: bool) -> bool:
+        if node.attributes and (style := node.get("style")) and (m := _VISIBILITY.search(style)):
+            return m[1].lower() == "visible"
+        return shown
+
+    def drawing(self, node: Node, flow: Flow, shown: bool, text: bool = False) -> None:
+        """The words of an SVG drawing, set apart where they are placed apart."""
+        if (node.get("display") or "").strip().lower() == "none" and not node.display:
+            return
+        shown = (node.get("visibility") or "visible").strip().lower() == "visible" if node.get("visibility") else shown
+        for child in node.children:
+            if isinstance(child, str):
+                if text and shown:
+                    flow.text(child)
+                continue
+            if child.tag == "foreignobject":
+                flow.blank = True
+                self.render(child, flow, shown)
+                flow.blank = True
+            elif child.tag in _DRAWN and not self.hidden(child):
+                flow.blank = flow.blank or child.tag == "text"
+                self.drawing(child, flow, self.visible(child, shown), text or child.tag == "text")
+                flow.blank = flow.blank or child.tag == "text"
+            if node.tag == "switch":
+                break
+
+    def formula(self, node: Node, flow: Flow, shown: bool) -> None:
+        """The symbols of a formula in order; parts that stand above or beside each other are set apart."""
+        block = node.tag == "math" and (node.get("display") or "").lower() == "block"
+        if block:
+            flow.block(0)
+        later = False
+        for child in node.children:
+            if isinstance(child, str):
+                if shown and (data := child.strip(" \t\n\r\f")):
+                    flow.text(data)
+            elif child.tag not in _NO_FORMULA and not self.hidden(child):
+                flow.blank = flow.blank or (later and node.tag in _APART)
+                later = True
+                if node.tag in _TOKENS:
+                    self.render(child, flow, shown)
+                else:
+                    self.formula(child, flow, self.visible(child, shown))
+        if block:
+            flow.block(0)
+
     def items(self, node: Node, flow: Flow, shown: bool) -> None:
         number = node.get("start") or "1"
         number = int(number) if re.fullmatch(r"-?\d{1,9}", number) else 1
@@ -377,7 +460,7 @@ def visible_text(page: str) -> str:
     """The text a reader sees, in lines."""
     tree = Tree(page.replace("\x00", ""))
     flow = Flow()
-    Renderer(tree.style).render(tree.root, flow)
+    Renderer(tree).render(tree.root, flow)
     return "\n".join(flow.done())
 
 

@@ -122,3 +122,67 @@ def test_odd_pages_are_rendered(spark):
     assert rows[None].text == "no id"
     for page in ("<div>" * 50000 + "x", "<p>a<b 'x>" * 5000, "<table><tr><td>" * 20000 + "x", "<ul><li>" * 5000, "<a <" * 9000):
         visible_text(page)
+
+
+CLASSES = "<p class=ad>ad<p class=body>body<p class=m>m<p class=x>x"
+
+
+@pytest.mark.parametrize(
+    "sheet, text",
+    [
+        ("@media print{.ad,.body{display:none}} .m{display:none} @media(min-width:9px){.m{display:block}}", "ad body m x"),
+        ("@media print{.ad{display:none}}@media(max-width:600px){.m,.x{display:none}}", "ad body m x"),
+        ("@media screen and (min-width:600px){.ad{display:none}} @media not all and (hover){.m{display:none}}", "body m x"),
+        ("@media (400px<=width<900px){.ad{display:none}} @media (width>=900px){.m{display:none}}", "ad body x"),
+        ("@media print,(orientation:landscape){.ad{display:none}}@media (prefers-color-scheme:dark){.m{display:none}}", "body m x"),
+        ("@media print{@media all{.ad{display:none}} .m{display:none}} .x{display:none}", "ad body m"),
+        (".m{display:none}.m{color:red;display:flex}.x{display:block}.x{display:none}", "ad body m"),
+        (".m{display:none!important}.m{display:block}p.x{display:none}.x{display:block}", "ad body"),
+        ("p{display:none}p.m{display:block}.x,a b{display:inline block}", "m x"),
+        ("p{display:none} body>.m, .ad + .body, .ad ~ .x:not(:hover){display:block}", "body m x"),
+        (".m{display:none}.m:hover{display:block}.ad::before{display:none}.x{display:nonsense}", "ad body x"),
+        (".m{display:none}@supports(display:grid){.m{display:grid}}@supports not (display:grid){.x{display:none}}", "ad body m x"),
+        ("@layer a,b;@layer b{.m{display:block}}@layer a{.m{display:none}}@layer a{.x{display:none}}.x{display:block}", "ad body m x"),
+        (".m{display:none}@media (min-width:48em){.m{&.m{display:block}}} .x{@media print{display:none}}", "ad body m x"),
+        ("/*{*/.m{content:'}';background:url(a;b{);display:none}@keyframes k{from{display:none}}", "ad body x"),
+        ("[class^=a]{display:none} p:nth-child(2n+3){display:none}", "body x"),
+    ],
+)
+def test_style_sheets(sheet, text):
+    assert visible_text(f"<style>{sheet}</style>{CLASSES}").split() == text.split()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<style media=print>p{display:none}</style><p>a", "a"),
+        ("<style media='screen'>p{display:none}</style><p>a", ""),
+        ("<noscript><style>p{display:none}</style></noscript><p>a", "a"),
+        ("<style>.md\\:block{display:block}.hidden{display:none}</style><p class='hidden md:block'>no", ""),
+        ("<style>.hidden{display:none}@media(min-width:768px){.md\\:block{display:block}}</style><p class='hidden md:block'>a", "a"),
+        ("<style>p{display:none}</style><p style='display:block'>a<p style='display:none;display:block'>b<p>c", "a\n\nb"),
+        ("<style>p{display:none!important}</style><p style='display:block'>a", ""),
+        ("<style>.s{display:block}</style><p hidden>no<p hidden class=s>a", "a"),
+        ("<style>.no-js .a{display:none}</style><html class=js><body class=no-js><p class=a>a", ""),
+        ("let <math><mi>x</mi> <mo>=</mo><mn>2</mn></math> be", "let x=2 be"),
+        ("<math><semantics><mfrac><mi>a</mi><mi>b</mi></mfrac><annotation>no</annotation></semantics></math>.", "a b."),
+        ("<math><mspace/><mtext>if</mtext><mphantom><mi>no</mi></mphantom></math> so", "if so"),
+        ("see <svg><title>no</title><path d='M0 0'/><text>one</text><g><text>t<tspan>wo</tspan></text></g></svg> end", "see one two end"),
+        ("<svg><defs><text>no</text></defs><a><text x=1><![CDATA[a<b]]></text></a>no</svg>", "a<b"),
+        ("<svg><switch><foreignObject><p>in</p></foreignObject><text>no</text></switch></svg>out", "in\n\nout"),
+        ("<svg display=none><text>no</text></svg><svg><text style='display:none'>no</text></svg>a", "a"),
+        ("<svg><path><p>broken out", "broken out"),
+    ],
+)
+def test_sheets_of_pages_drawings_and_formulas(page, text):
+    assert visible_text(page) == text
+
+
+def test_odd_style_sheets():
+    for sheet in ("@media all{" * 30000, "a " * 30000 + "{display:none}", ":not(" * 30000 + "{display:none}",
+                  "p{display:none}" * 20000, "a,a{&&{" * 3000 + "display:none", "{" * 9000 + "}" * 9999,
+                  "p{display:" + " " * 50000 + "!}", "@media " + "(" * 30000 + "{p{display:none}}"):
+        visible_text(f"<style>{sheet}</style>" + "<div><p class=a>x" * 200)
+    assert visible_text("<style>p ~ p{display:none}</style>" + "<p>x</p>" * 20000) == "x"
+    for page in ("<svg>" * 20000 + "x", "<math><mi>" * 9000 + "x", "<svg><g>" * 9000 + "<p>", "<svg " + "a=" * 50000 + "/>"):
+        visible_text(page)
