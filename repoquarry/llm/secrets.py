@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a character convolutional network over every further candidate.
 
-The network sees a candidate with the text around it. It is trained in numpy on labelled findings: what
-the patterns accept are positives, candidates that no pattern touches and ordinary words are negatives.
-Its outputs are calibrated on findings kept aside; the threshold excludes nearly all negatives there but
-never goes above the one that still reaches the wanted recall. Findings of the patterns always stay; the network adds spans.
+The network sees a candidate with the text around it. It is trained in numpy on a sample of labelled
+findings: what the patterns accept are positives; addresses, dates and ordinary words are negatives;
+other candidates have no label. All labelled findings that it was not trained on are scored; their
+histogram gives the calibration and the threshold, which excludes nearly all negatives but never goes
+above the one that still reaches the wanted recall. Findings of the patterns always stay; the network adds spans.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repoquarry.llm.sums import summed
+from repoquarry.sources.shared import materialize
+
 KINDS = ("assign", "access", "hex", "network")
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -28,12 +32,24 @@ _LEAST_VALUE, _LEAST_ACCESS = 12, 18
 # Further candidates: runs of such characters with a digit among them.
 _RUN = re.compile(r"[A-Za-z0-9+/_=.@-]{12,}")
 _LONG_WORD = re.compile(r"[^\s\d]{12,}")
-# What the network sees: text before, beginning and end of the candidate, text after.
+# Candidates that are known to be something else: mail and IP addresses, dates, names and pages of hosts in plain words.
+_HOST = r"(?:[a-z]+(?:-[a-z]+)*\d{0,4}\.)+[a-z]{2,}"
+_KNOWN = re.compile(
+    rf"(?:[a-z]+(?:[._-][a-z]+)*[._-]?\d{{0,4}}@{_HOST}|\d{{1,3}}(?:\.\d{{1,3}}){{3}}|\d{{4}}[-/.]\d\d[-/.]\d\d(?:T\d\d)?"
+    rf"|(?://)?{_HOST}(?:/(?:[a-z]+(?:[._-][a-z]+)*(?:[._-]?\d{{1,4}})?|\d{{1,4}}))*/?)[.=-]*",
+    re.A,
+)
+# What the network sees: text before, beginning and end of the candidate, text after. Longer candidates are
+# also seen piece by piece, pieces beginning so many characters apart.
 BEFORE, HEAD, TAIL, AFTER = 24, 32, 16, 24
 WINDOW = BEFORE + HEAD + TAIL + AFTER
+STEP = 24
 _OTHER, _NOTHING, _SYMBOLS = 128, 129, 130
-# Findings the network is trained on at most, of either label; a fifth of them calibrates.
+# Findings the network is trained on at most, of either label; a fifth of all, by hash, is never trained on.
 MOST_FINDINGS = 4000
+HELD_OUT = 5
+# Scores are counted in so many steps a unit, up to this size.
+_FINE, _LARGEST = 64, 64
 RECALL = 0.98
 # Share of held-back negatives that the threshold must exclude where the recall allows it.
 QUIET = 0.999
@@ -84,6 +100,14 @@ def window(text: str, start: int, end: int) -> bytes:
     )
 
 
+def views(text: str, start: int, end: int) -> list[bytes]:
+    """The windows of a candidate: the whole, and pieces that together show each character of a longer one."""
+    wide = HEAD + TAIL
+    # The last piece ends with the candidate: shorter ones would be shown with a gap.
+    pieces = [min(a, end - wide) for a in range(start, end - wide + STEP, STEP)] if end - start > wide else []
+    return [window(text, start, end), *(window(text, a, a + wide) for a in pieces)]
+
+
 class Network:
     """Embedding, one convolution with ReLU, maxima over the parts of the window, logistic output."""
 
@@ -113,6 +137,12 @@ class Network:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)] or [np.zeros(0)])
 
+    def scores(self, seen: list[bytes]) -> np.ndarray:
+        """The highest logit of each candidate's windows, which are joined."""
+        sizes = np.array([len(w) // WINDOW for w in seen])
+        x = np.frombuffer(b"".join(seen), dtype=np.uint8).reshape(-1, WINDOW)
+        return np.maximum.reduceat(self.logits(x), np.cumsum(sizes) - sizes) if len(seen) else np.zeros(0)
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         logit, (columns, best, pooled) = self.forward(x)
         embedding, kernel, _, out, _ = self.weights
@@ -153,10 +183,13 @@ class Detector:
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 1.0
+    # Of the labelled findings that were not trained on: how many, the recall, and the share of negatives excluded.
+    scored: tuple[int, int] = (0, 0)
+    recall: float = 0.0
+    quiet: float = 0.0
 
-    def probabilities(self, windows: list[bytes]) -> np.ndarray:
-        x = np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(-1, WINDOW)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.network.logits(x) + self.shift, -50, 50)))
+    def probabilities(self, seen: list[bytes]) -> np.ndarray:
+        return _logistic(self.slope * self.network.scores(seen) + self.shift)
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """All findings of each text by start, then kind."""
@@ -166,72 +199,118 @@ class Detector:
         more = [(i, a, b) for i, text in enumerate(texts) for a, b in candidates(text, found[i])]
         for k in range(0, len(more), 4096):
             part = more[k : k + 4096]
-            sure = self.probabilities([window(texts[i], a, b) for i, a, b in part]) >= self.threshold
+            sure = self.probabilities([b"".join(views(texts[i], a, b)) for i, a, b in part]) >= self.threshold
             for (i, a, b), yes in zip(part, sure):
                 if yes:
                     found[i].append((a, b, 3))
         return [sorted(spans, key=lambda s: (s[0], s[2])) for spans in found]
 
 
-def calibration(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def calibration(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve through held-back findings, with smoothed targets."""
-    positive = y.sum()
-    target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
+    positive, number = weight[y == 1].sum(), weight.sum()
+    target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (number - positive + 2))
     scale = max(1e-6, np.abs(logits).max())
     x = np.stack([logits / scale, np.ones_like(logits)], axis=1)
     w = np.zeros(2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * w)
+        p = _logistic(x @ w)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        w += np.linalg.solve(curve, x.T @ (weight * (target - p)) - 1e-3 * w)
     return max(1e-6, w[0] / scale), w[1]
 
 
+def labels(text: str) -> list[tuple[int, int, int]]:
+    """(label, start, end) of the patterns' findings, of candidates known to be something else, and of a long word."""
+    base = base_spans(text)
+    # Other candidates are what the network is to judge and have no label, nor have values too short for the
+    # patterns; what follows a colon may be a password before a host.
+    short = {m.span(2) for m in _ASSIGN.finditer(text)}
+    runs = candidates(text, base)
+    plain = ((a, b) for a, b in runs if (a, b) not in short and _KNOWN.fullmatch(text, a, b))
+    known = [(a, b) for a, b in plain if text[a : a + 2] == "//" or text[max(0, a - 1) : a] != ":"]
+    # A word of its own: no part of a finding or candidate.
+    taken = [*((a, b) for a, b, _ in base), *runs]
+    words = (m.span() for m in _LONG_WORD.finditer(text))
+    free = next(((a, b) for a, b in words if all(b <= c or a >= d for c, d in taken)), None)
+    return [*((1, a, b) for a, b, _ in base), *((0, a, b) for a, b in known), *([(0, *free)] if free else [])]
+
+
 def labelled_findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (place in a fixed order, label, window) of the patterns' findings, other runs and some words."""
+    """(text) to (place in a fixed order, label, joined windows) of labelled findings."""
     for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            base = base_spans(text)
-            short = {m.span(2) for m in _ASSIGN.finditer(text)}
-            rows += [(1, window(text, a, b)) for a, b, _ in base]
-            # Values too short for the patterns have no label.
-            rows += [(0, window(text, a, b)) for a, b in candidates(text, base) if (a, b) not in short]
-            words = (m.span() for m in _LONG_WORD.finditer(text))
-            free = next(((a, b) for a, b in words if all(b <= c or a >= d for c, d, _ in base)), None)
-            rows += [(0, window(text, *free))] if free else []
-        order = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for _, w in rows]
+        rows = [(k, views(text, a, b)) for text in batch.column(0).to_pylist() for k, a, b in labels(text)]
+        order = [int.from_bytes(hashlib.blake2b(w[0], digest_size=8).digest(), "little", signed=True) for _, w in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(order, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-            ["place", "label", "window"],
+            [pa.array(order, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([b"".join(r[1]) for r in rows], pa.binary())],
+            ["place", "label", "windows"],
         )
 
 
+def histogram(found: DataFrame, network: Network, last: list[int]) -> np.ndarray:
+    """Numbers of negatives and positives by score, of all findings that are held out or come after the ``last`` trained."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((2 * _FINE * _LARGEST, 2))
+        for batch in batches:
+            place, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            chosen = np.flatnonzero((place % HELD_OUT == 0) | (place > np.array(last)[label]))
+            for k in range(0, len(chosen), 4096):
+                part = chosen[k : k + 4096]
+                scores = network.scores(batch.column(2).take(pa.array(part)).to_pylist())
+                step = np.clip(np.floor((scores + _LARGEST) * _FINE), 0, len(total) - 1).astype(np.int64)
+                np.add.at(total, (step, label[part]), 1)
+        return total
+
+    counts = summed(found, counted, 2)
+    return counts if len(counts) else np.zeros((2 * _FINE * _LARGEST, 2))
+
+
+def detector_of(network: Network, counts: np.ndarray) -> Detector:
+    """Calibration and threshold from the scores of all findings that were not trained on."""
+    edges = np.arange(len(counts) + 1) / _FINE - _LARGEST
+    step, label = np.nonzero(counts)
+    slope, shift = calibration((edges[:-1] + 0.5 / _FINE)[step], label, counts[step, label])
+    other, found = counts.sum(axis=0)
+    # Positives from each edge on, negatives below it.
+    above = np.append(np.cumsum(counts[::-1, 1])[::-1], 0)
+    below = np.append(0, np.cumsum(counts[:, 0]))
+    reached = int(np.flatnonzero(above >= RECALL * found)[-1])
+    quiet = int(np.flatnonzero(below >= QUIET * other)[0])
+    even = int(np.searchsorted(edges, -shift / slope))
+    # As low as nearly no negative allows, never above what the recall asks for.
+    at = min(reached, max(even, quiet))
+    threshold = float(_logistic(slope * edges[at] + shift))
+    return Detector(network, slope, shift, threshold, (int(found), int(other)), above[at] / found, below[at] / other)
+
+
 def fit_detector(docs: DataFrame) -> Detector:
     """Trains on at most ``MOST_FINDINGS`` distinct findings of either label, the first by a hash of the window.
 
-    The findings of all documents compete for these places. Without findings of both labels there is
-    nothing to learn and nothing is added.
+    The findings of all documents compete for these places; one in ``HELD_OUT`` by hash is kept from
+    them. All others, each as often as it occurs, are scored for the calibration and the threshold.
+    Without findings of both labels there is nothing to learn and nothing is added.
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    found = texts.mapInArrow(labelled_findings, "place bigint, label int, window binary")
+    found = materialize(texts.mapInArrow(labelled_findings, "place bigint, label int, windows binary"), "findings")
+    first = found.where(F.col("place") % HELD_OUT != 0).select("place", "label", F.substring("windows", 1, WINDOW).alias("window"))
     # One row per place and label; limits are cut in every task first.
-    kept = [found.where(F.col("label") == k).distinct().orderBy("place", "window").limit(MOST_FINDINGS) for k in (0, 1)]
+    kept = [first.where(F.col("label") == k).distinct().orderBy("place", "window").limit(MOST_FINDINGS) for k in (0, 1)]
     rows = kept[0].unionByName(kept[1]).collect()
     rows.sort(key=lambda r: (r.place, r.label, bytes(r.window)))
-    x = np.frombuffer(b"".join(bytes(r.window) for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
-    y = np.array([r.label for r in rows], dtype=float)
-    aside = np.arange(len(rows)) % 5 == 0
-    if min((y[aside] == k).sum() for k in (0, 1)) < 5 or min((y[~aside] == k).sum() for k in (0, 1)) < 5:
+    places = [[r.place for r in rows if r.label == k] for k in (0, 1)]
+    if min(map(len, places)) < 5:
         return Detector(None)
+    x = np.frombuffer(b"".join(bytes(r.window) for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
     network = Network()
-    network.train(x[~aside], y[~aside])
-    logits = network.logits(x[aside])
-    slope, shift = calibration(logits, y[aside])
-    sure = 1 / (1 + np.exp(-np.clip(slope * logits + shift, -50, 50)))
-    found, other = np.sort(sure[y[aside] == 1]), np.sort(sure[y[aside] == 0])
-    reached = float(found[int((1 - RECALL) * len(found))])
-    # As low as nearly no negative allows, never above what the recall asks for.
-    return Detector(network, slope, shift, min(reached, max(0.5, float(other[int(QUIET * (len(other) - 1))]))))
+    network.train(x, np.array([r.label for r in rows], dtype=float))
+    last = [max(p) if len(p) == MOST_FINDINGS else np.iinfo(np.int64).max for p in places]
+    counts = histogram(found, network, last)
+    return detector_of(network, counts) if counts.sum(axis=0).min() >= 5 else Detector(None)
 
 
 def _joined(spans: list[tuple[int, int, int]], last: int) -> str:
