@@ -39,8 +39,9 @@ COSINE = 0.42
 # Share of an item's words that must appear in order; with the answer in place, the lower share is enough.
 SHARE = 0.6
 PARAPHRASE = 0.5
-# Items need so many words in common, or all they have.
-LEAST_WORDS = 12
+# Short items need more, as a few common words stand in order by chance: so many words and so much of the
+# item's own, or all it has. Beyond 24 words the shares alone decide.
+LEAST_WORDS, LEAST_SHARE = 6, 0.25
 # Items are limited by the driver's memory, not by a number; longer ones are cut into parts of so many words.
 ITEM_WORDS = BLOCK * WIDEST
 _CHUNK = 4096
@@ -200,6 +201,11 @@ def common_subsequence(item: dict[int, int], size: int, span: list[int]) -> int:
     return size - row.bit_count()
 
 
+def least_words(size: int) -> float:
+    """How many words of an item of ``size`` words must appear in order, whatever the shares allow."""
+    return min(size, LEAST_WORDS + LEAST_SHARE * size)
+
+
 class Matcher:
     """Finds items in texts."""
 
@@ -272,7 +278,7 @@ class Matcher:
         share = common / size
         answered = common_subsequence(_bits(item.answer), len(item.answer), span) == len(item.answer)
         enough = share >= SHARE or (share >= PARAPHRASE and answered)
-        if enough and common >= min(size, LEAST_WORDS) and (before is None or share > before[1]):
+        if enough and common >= least_words(size) and (before is None or share > before[1]):
             out[(text, item.number)] = (cosine, share, answered)
 
 
