@@ -7,18 +7,22 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from repoquarry.llm import minhash
 from repoquarry.llm.bpe import encode_decode
 from repoquarry.llm.decontaminate import benchmark_items, fit_space, leaks
 from repoquarry.llm.embeddings import near_duplicates
 from repoquarry.llm.html import extract_text
+from repoquarry.llm.lines import LineIndex
+from repoquarry.llm.merkle import digest_of, manifest
 from repoquarry.llm.process import small_batches
 from repoquarry.llm.quality import fit_quality, score_quality
 from repoquarry.llm.secrets import fit_detector, scan
 from repoquarry.llm.sharding import shard_by_bytes
 from repoquarry.llm.toxicity import fit_toxicity, score_toxicity
 from repoquarry.llm.warc import read_warc, write_warc
+from repoquarry.llm.whitening import whiten
 from repoquarry.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +96,28 @@ def op9_sharding(spark, sf):
 @query
 def op10_html_extraction(spark, sf):
     return extract_text(_table(spark, sf, "pages"))
+
+
+@query
+def op11_line_dedup(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    kept = LineIndex.over(docs).deduplicated_members(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op12_embedding_whitening(spark, sf):
+    return whiten(_table(spark, sf, "embeddings"))
+
+
+_LARGE, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    claimed = F.when(tampered, digest_of(*fields, F.translate("text", _LARGE, _SMALL)))
+    found = manifest(_table(spark, sf, "documents"), digest_of(*fields, F.col("text")), claimed)
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
