@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval and checks on the words themselves.
 
-Passages of all documents are TF-IDF vectors over hashed terms. A randomised SVD of their matrix, one
-pass over the data with sums over partitions, gives a latent space; benchmark items are folded in and
-compared by cosine with windows of every document. Candidates are confirmed by the longest common
-subsequence of words, with an answer check for paraphrases.
+Passages of all documents are TF-IDF vectors over hashed terms. A randomised SVD of their matrix, made of
+sums over all passages, gives a latent space; benchmark items are folded in and compared by cosine with
+windows of every document. Candidates are confirmed by the longest common subsequence of words, with an
+answer check for paraphrases. Word for word copies are candidates whatever their cosine is.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.llm.sums import summed
-from repoquarry.llm.words import NO_LETTERS, Words, slices
-from repoquarry.sources.shared import materialize
+from repoquarry.llm.words import NO_LETTERS, Words, shingles, slices
 
 # Hashed terms; singular directions left out at the front, where languages and their commonest words
 # are told apart, those that are kept, and further random directions that steady them.
@@ -26,8 +25,6 @@ TERMS = 1 << 13
 COMMON = 16
 RANK = 96
 EXTRA = 16
-# Rows that the passages of a partition are mixed into, with random signs.
-MIXED = 256
 _SEED = 7
 # Words per block; passages of the matrix are so many blocks, windows as many as an item's length asks for.
 BLOCK = 16
@@ -44,7 +41,13 @@ PARAPHRASE = 0.5
 LEAST_WORDS, LEAST_SHARE = 6, 0.25
 # Items are limited by the driver's memory, not by a number; longer ones are cut into parts of so many words.
 ITEM_WORDS = BLOCK * WIDEST
+# Words that tell where a whole copy may begin.
+HEAD = 8
 _CHUNK = 4096
+_WORDS_AT_ONCE = 1 << 15
+_NO_WORD = 1 << 16
+# Words are told apart by so many kinds where only a bound is wanted.
+KINDS = 1 << 10
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,34 +78,53 @@ def in_rows(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int
     return rows
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over the passages of a partition: in how many each term is, and ``MIXED`` random mixtures of them.
+def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The term of each word, and the first word and the size of each passage of some texts."""
+    words, bounds = words_of(texts)
+    return terms_of(words), *runs(bounds, BLOCK * PASSAGE_BLOCKS)
 
-    A passage is added, with a random sign, to one of the mixtures. For mixtures M and the matrix T of
-    the passages' term counts, ``M'M`` is ``T'T`` in expectation, whatever weights the terms get later.
-    """
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """In how many passages each term is, and how many passages there are."""
     seen = np.zeros(TERMS + 1)
-    mixtures = np.zeros(MIXED * TERMS, dtype=np.float32)
-    draw = np.random.default_rng(_SEED)
-    step = BLOCK * PASSAGE_BLOCKS
     for batch in batches:
         for _, part in slices(batch.column(0)):
-            words, bounds = words_of(part)
-            if not len(words):
+            terms, starts, sizes = _passages(part)
+            if not len(terms):
                 continue
-            terms = terms_of(words)
-            starts, sizes = runs(bounds, step)
-            rows = np.sort(in_rows(terms, starts, sizes, step, TERMS).astype(np.uint16), axis=1)
+            rows = np.sort(in_rows(terms, starts, sizes, BLOCK * PASSAGE_BLOCKS, TERMS).astype(np.uint16), axis=1)
             new = np.ones(rows.shape, dtype=bool)
             new[:, 1:] = rows[:, 1:] != rows[:, :-1]
             seen[:-1] += np.bincount(rows[new], minlength=TERMS + 1)[:-1]
             seen[-1] += len(starts)
-            place = draw.integers(0, MIXED, len(starts)) * TERMS
-            weight = (draw.integers(0, 2, len(starts)) * 2 - 1) / np.sqrt(sizes)
-            np.add.at(mixtures, np.repeat(place, sizes) + terms, np.repeat(weight, sizes).astype(np.float32))
-    if seen[-1]:
-        parts = [seen.tobytes(), *(row.tobytes() for row in mixtures.reshape(MIXED, TERMS) if row.any())]
-        yield pa.RecordBatch.from_arrays([pa.array([i == 0 for i in range(len(parts))]), pa.array(parts)], ["counts", "row"])
+    return seen[:, None]
+
+
+def _image(directions: np.ndarray):
+    """Sums over passages of c (c' D) / n, for the term counts c of a passage of n words and directions D."""
+    width = directions.shape[1]
+    space = LatentSpace(directions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((TERMS, width))
+        for batch in batches:
+            for _, part in slices(batch.column(0)):
+                terms, starts, sizes = _passages(part)
+                if not len(terms):
+                    continue
+                seen = space.vectors(in_rows(terms, starts, sizes, BLOCK * PASSAGE_BLOCKS, TERMS)) / sizes[:, None]
+                # All words of a term meet in one sum.
+                order = np.argsort(terms, kind="stable")
+                passage = np.repeat(np.arange(len(starts)), sizes)[order]
+                terms = terms[order]
+                for a in range(0, len(terms), _WORDS_AT_ONCE):
+                    found = terms[a : a + _WORDS_AT_ONCE]
+                    firsts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+                    each = seen.take(passage[a : a + _WORDS_AT_ONCE], axis=0)
+                    total[found[firsts]] += np.add.reduceat(each, firsts, axis=0, dtype=np.float64)
+        return total
+
+    return run
 
 
 class LatentSpace:
@@ -122,39 +144,28 @@ class LatentSpace:
         return out
 
 
-def fit_space(docs: DataFrame) -> LatentSpace:
-    """Document frequencies of all passages and the randomised SVD of their TF-IDF matrix.
+def fit_space(docs: DataFrame, benchmark: DataFrame | None = None) -> LatentSpace:
+    """Document frequencies of all passages and the randomised SVD of their TF-IDF matrix A.
 
-    One pass over all texts stores random mixtures of the passages of each partition; with the weights
-    known, ``A'AR`` for random directions R is summed over them, and with ``R'A'AR`` gives the leading
-    right singular vectors and singular values (Nystrom form). The driver holds ``TERMS`` x
-    (``COMMON`` + ``RANK`` + ``EXTRA``) numbers whatever the input.
+    Passages are those of ``docs`` and of the items of ``benchmark``, whose words so are in the space even
+    if few documents are.
+    One pass over all texts counts, a second one sums ``A'AD`` for random directions D over all passages;
+    with ``D'A'AD`` that gives the leading right singular vectors and singular values (Nystrom form). Sums
+    depend on the passages only, and batches and partitions change no more than their rounding. The driver
+    holds ``TERMS`` x (``COMMON`` + ``RANK`` + ``EXTRA``) numbers whatever the input.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    stored = materialize(texts.mapInArrow(_mixed, "counts boolean, row binary"), "mixtures")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        rows = [np.frombuffer(r, "<f8") for batch in batches for r in batch.column(0).to_pylist()]
-        return np.sum([np.zeros(TERMS + 1), *rows], axis=0)[:, None]
-
-    seen = summed(stored.where("counts").select("row"), counted, 1)
+    text = F.col("text").cast("string").alias("text")
+    texts = docs.select(text) if benchmark is None else docs.select(text).unionByName(benchmark.select(text))
+    texts = texts.where("text IS NOT NULL")
+    seen = summed(texts, _frequencies, 1)
     seen = seen[:, 0] if len(seen) else np.zeros(TERMS + 1)
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])).clip(min=0.0)
     width = COMMON + RANK + EXTRA
     directions = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((TERMS, width)))[0]
-
-    def product(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((TERMS, width))
-        for batch in batches:
-            for a in range(0, batch.num_rows, MIXED):
-                part = batch.column(0).slice(a, MIXED).to_pylist()
-                rows = np.frombuffer(b"".join(part), "<f4").reshape(len(part), TERMS) * idf
-                total += rows.T @ (rows @ directions)
-        return total
-
-    image = summed(stored.where("NOT counts").select("row"), product, width)
+    image = summed(texts, _image(idf[:, None] * directions), width)
     if not len(image) or not image.any():
         return LatentSpace(np.zeros((TERMS, RANK)))
+    image = idf[:, None] * image
     shift = 1e-7 * np.linalg.norm(image)
     image = image + shift * directions
     core = directions.T @ image
@@ -211,13 +222,17 @@ class Matcher:
 
     def __init__(self, space: LatentSpace, items: list[Item]):
         self.space, self.items = space, items
-        self.bits: list[dict[int, int]] = []
-        # How often an item has each word, for the bound of candidates; one byte a word and item.
-        self.times = np.zeros((len(items), (1 << 16) + 1), dtype=np.uint8)
-        for i, item in enumerate(items):
-            self.bits.append(_bits(item.words))
-            np.add.at(self.times[i], item.words, 1)
+        self.bits = [_bits(item.words) for item in items]
         self.sizes = np.array([len(i.words) for i in items])
+        # How many words of each kind an item has; no word is of the last kind.
+        self.times = np.zeros((len(items), KINDS + 1), dtype=np.uint8)
+        # Where a whole copy may begin: hashes of the first words, and the items that begin so.
+        self.heads: dict[int, dict[int, list[int]]] = {}
+        for i, item in enumerate(items):
+            np.add.at(self.times[i], np.array(item.words) % KINDS, 1)
+            size = min(HEAD, len(item.words))
+            head = int(shingles(np.array(item.words[:size], dtype=np.uint64), size)[0])
+            self.heads.setdefault(size, {}).setdefault(head, []).append(i)
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         # Wide enough to hold most of the item wherever it begins.
         widths = np.array([min(WIDEST, -(-(len(i.words) + BLOCK // 2) // BLOCK)) for i in items])
@@ -234,7 +249,11 @@ class Matcher:
             return []
         starts, sizes = runs(bounds, BLOCK)
         text_of = np.searchsorted(bounds, starts, side="right") - 1
-        blocks = self.space.vectors(in_rows(terms_of(words), starts, sizes, BLOCK, TERMS))
+        # A word counts once in a block, or a repeated one would outweigh the item beside it.
+        rows = np.sort(in_rows(terms_of(words), starts, sizes, BLOCK, TERMS), axis=1)
+        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = TERMS
+        blocks = self.space.vectors(rows)
+        copied = self._copies(words, bounds, starts)
         out: dict[tuple[int, int], tuple[float, float, bool]] = {}
         windows = blocks.copy()
         for width in range(1, WIDEST + 1):
@@ -244,30 +263,57 @@ class Matcher:
                 same = np.flatnonzero(text_of[k:] == text_of[: len(text_of) - k])
                 windows[same] += blocks[same + k]
             if width in self.by_width:
-                self._search(out, words, bounds, starts, text_of, windows, width)
+                self._search(out, words, bounds, starts, text_of, windows, width, copied)
         return [(text, number, *best) for (text, number), best in sorted(out.items())]
 
-    def _search(self, out, words, bounds, starts, text_of, windows, width: int) -> None:
+    def _copies(self, words: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(block, item) of every word for word copy of an item that begins in the block."""
+        found = []
+        for size, heads in self.heads.items():
+            if len(words) < size:
+                continue
+            hashes = shingles(words.astype(np.uint64), size)
+            for at in np.flatnonzero(np.isin(hashes, np.array(list(heads), dtype=np.uint64))).tolist():
+                end = bounds[np.searchsorted(bounds, at, side="right")]
+                for i in heads[int(hashes[at])]:
+                    item = self.items[i].words
+                    if at + len(item) <= end and words[at : at + len(item)].tolist() == item:
+                        found.append((int(np.searchsorted(starts, at, side="right")) - 1, i))
+        return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+    def _search(self, out, words, bounds, starts, text_of, windows, width: int, copied: np.ndarray) -> None:
         chosen, vectors, level = self.by_width[width]
         lengths = np.sqrt(np.einsum("ij,ij->i", windows, windows)) + np.float32(1e-12)
+        place = np.full(len(self.items), -1)
+        place[chosen] = np.arange(len(chosen))
+        copied = copied[place[copied[:, 1]] >= 0]
         for a in range(0, len(windows), _CHUNK):
             near = windows[a : a + _CHUNK] @ vectors.T
-            w, i = np.divmod(np.flatnonzero(near >= lengths[a : a + _CHUNK, None]), len(chosen))
+            reached = near >= lengths[a : a + _CHUNK, None]
+            whole = copied[(copied[:, 0] >= a) & (copied[:, 0] < a + _CHUNK)]
+            reached[whole[:, 0] - a, place[whole[:, 1]]] = True
+            w, i = np.divmod(np.flatnonzero(reached), len(chosen))
             if not len(w):
                 continue
             cosine = near[w, i] / lengths[a + w] * level[i]
             w, i = a + w, chosen[i]
             first = np.maximum(bounds[text_of[w]], starts[w] - BLOCK)
             last = np.minimum(bounds[text_of[w] + 1], starts[w] + (width + 1) * BLOCK)
-            # The words of the item that occur at all in the span bound the subsequence from above.
-            spans = in_rows(words, first, last - first, (width + 2) * BLOCK, 1 << 16)
-            spans = np.sort(spans, axis=1)
-            spans[:, 1:][spans[:, 1:] == spans[:, :-1]] = 1 << 16
-            common = self.times[i[:, None], spans].sum(axis=1, dtype=np.int32)
+            common = self._common(in_rows(words, first, last - first, (width + 2) * BLOCK, _NO_WORD), i)
             for k in np.flatnonzero(common >= PARAPHRASE * self.sizes[i]):
                 span = words[first[k] : last[k]].tolist()
                 self._confirm(out, int(text_of[w[k]]), int(i[k]), span, float(cosine[k]))
 
+    def _common(self, spans: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """At least as many as the words of each item that occur at all in its span, and so as its subsequence."""
+        out = np.empty(len(items), dtype=np.int32)
+        for a in range(0, len(items), _CHUNK):
+            kinds = np.where(spans[a : a + _CHUNK] == _NO_WORD, KINDS, spans[a : a + _CHUNK] % KINDS)
+            kinds.sort(axis=1)
+            kinds[:, 1:][kinds[:, 1:] == kinds[:, :-1]] = KINDS
+            out[a : a + _CHUNK] = self.times[items[a : a + _CHUNK, None], kinds].sum(axis=1, dtype=np.int32)
+        return out
+
     def _confirm(self, out, text: int, number: int, span: list[int], cosine: float) -> None:
         item = self.items[number]
         size = len(item.words)
@@ -303,8 +349,8 @@ def benchmark_items(benchmark: DataFrame) -> list[Item]:
 def leaks(docs: DataFrame, space: LatentSpace, items: list[Item]) -> DataFrame:
     """(doc_id, item_id, cosine, share, answer) of every document that holds a benchmark item.
 
-    A narrow job over whole texts; every window of every text is compared with every item, in blocks.
-    Null and empty texts, items without words, and rows or items without an id find nothing (rows without
+    A narrow job over whole texts; every window of every text is compared with every item, in blocks. Tasks
+    hold about 1 KB for an item part. Null and empty texts, items without words, and rows or items without an id find nothing (rows without
     an id are reported with a null id); repeated rows are reported each; other columns do not matter.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

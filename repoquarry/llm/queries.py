@@ -79,8 +79,8 @@ def op6_warc_writer(spark, sf):
 
 @query
 def op7_benchmark_decontamination(spark, sf):
-    docs = _table(spark, sf, "documents")
-    return leaks(docs, fit_space(docs), benchmark_items(_table(spark, sf, "benchmark")))
+    docs, benchmark = _table(spark, sf, "documents"), _table(spark, sf, "benchmark")
+    return leaks(docs, fit_space(docs, benchmark), benchmark_items(benchmark))
 
 
 @query
