@@ -26,8 +26,9 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    items = decontaminate.benchmark_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.keep_clean(docs, decontaminate.fit_space(docs), items)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = decontaminate.benchmark_items(benchmark)
+    return decontaminate.keep_clean(docs, decontaminate.fit_space(docs, benchmark), items)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
