@@ -227,8 +227,9 @@ def test_planted_items_are_found_and_others_left(spark, documents, odd_docs, no_
     assert d.leaks(odd_docs, space, items).count() == d.leaks(no_docs, space, items).count() == 0
     kept = d.keep_clean(odd_docs, space, items)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+    # A space of nothing has no candidates but whole copies.
     empty = d.fit_space(no_docs)
-    assert d.leaks(documents, empty, items).count() == 0
+    assert {r.share for r in d.leaks(documents, empty, items).collect()} <= {1.0}
     assert d.leaks(documents, space, d.benchmark_items(benchmark.where("false"))).count() == 0
 
 
