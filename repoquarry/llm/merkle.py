@@ -94,9 +94,11 @@ def manifest(
         leaf.alias("node"),
         claim.alias("claimed"),
     )
+    # Stored, as laying out in ranges reads its input twice and digests take most of the time.
+    leaves = _numbered(materialize(leaves, "merkle-digests"), "id")
     # Digits of a number stay as they are in pandas, whatever else is null.
-    leaves = _numbered(leaves, "id").withColumn("id", F.col("id").cast("string"))
-    inner = _rounds(materialize(leaves, "merkle-leaves"), height)
+    leaves = materialize(leaves.withColumn("id", F.col("id").cast("string")), "merkle-leaves")
+    inner = _rounds(leaves, height)
     subroots = inner[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node")
     outer = _rounds(materialize(_numbered(subroots, "name"), "merkle-subroots"), height)
 
