@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.functions.urls import is_repository_url, repository_name, url_error
+from repoquarry.operators.naming import named_in_turn, root_of
 from repoquarry.operators.ranking import laid_out_in_ranges, rank_in_ranges, rank_within, sum_below
 from repoquarry.sources.shared import materialize
 
@@ -40,9 +41,36 @@ def named_requests(requests: DataFrame, strict: bool = False) -> DataFrame:
     return taken.unionByName(refused, allowMissingColumns=True)
 
 
+# Requests of a root that one task settles in turn; larger roots are cut in ranges.
+IN_TURN = 100_000
+
+
 def unique_names(requests: DataFrame, name: str = "name", arrival: str = "req_id", tie: str = "req_id") -> DataFrame:
     """Adds ``unique_name``: the first of ``x``, ``x_1``, ``x_2``, ... no earlier request has taken.
 
+    Requests meet only where their names agree up to numbers at the end, their root. Roots of up to
+    ``IN_TURN`` requests are settled in one ordered pass each; those of larger ones are ranked in ranges.
+    Rows without a name get none. Other columns stay; a column ``unique_name`` is replaced.
+    """
+    # Stored, as names are often long expressions and sizes are counted first.
+    requests = materialize(requests, "requests")
+    asked = requests.where(F.col(name).isNotNull())
+    sizes = asked.groupBy(root_of(F.col(name)).alias("_root")).agg(F.count("*").alias("_n"))
+    # One row for every IN_TURN requests at most.
+    large = materialize(sizes.where(F.col("_n") > IN_TURN).select("_root"), "large-roots")
+    unnamed = requests.where(F.col(name).isNull()).withColumn("unique_name", F.lit(None).cast("string"))
+    if not large.limit(1).count():
+        return named_in_turn(asked, name, arrival, tie).unionByName(unnamed)
+    rooted = asked.withColumn("_root", root_of(F.col(name)))
+    small = rooted.join(large, "_root", "left_anti").drop("_root")
+    hot = rooted.join(large, "_root", "left_semi").drop("_root")
+    found = named_in_turn(small, name, arrival, tie).unionByName(named_in_ranges(hot, name, arrival, tie))
+    return found.unionByName(unnamed)
+
+
+def named_in_ranges(requests: DataFrame, name: str = "name", arrival: str = "req_id", tie: str = "req_id") -> DataFrame:
+    """``unique_names`` for names that own any share of the rows: no task holds all requests for a name.
+
     Almost always the suffix is the rank of the request among those for the same name. It is larger
     where other requests name ``x_3`` itself: whichever request comes first holds such a contested
     name, and the loser moves one on, as do all later requests for the loser's name. Those shifts

@@ -1,24 +1,31 @@
 """Incremental ingest: new uploads in a folder become rows of a table.
 
-The stream carries names and sizes only. Each batch refuses uploads by name or size, gives the others
-the names a whole ingest in the same order would give, and opens them in tasks. The file source
-remembers which uploads it has seen, and the table of names that each batch extends is all the state.
+The stream carries names and sizes only. Uploads are refused by name or size; the others get the names
+a whole ingest in the same order would give, and each batch opens its own in tasks. The file source
+remembers which uploads it has seen; the names taken are keyed state of the stream, one number for every
+name ever asked for, and a batch touches the state of the names it brings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from repoquarry.functions.paths import stem
 from repoquarry.operators.files import capped
+from repoquarry.operators.naming import Names, root_of
 from repoquarry.operators.records import file_records
-from repoquarry.operators.requests import unique_names
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import ARCHIVES
-from repoquarry.sources.archives import accepted_uploads, directories_of, files_of, opened_entries, refused_entries
+from repoquarry.sources.archives import directories_of, files_of, opened_entries, refused_entries, upload_rejection
 
-_NAMES = "name string, arrival struct<batch: bigint, modificationTime: timestamp>, path string, length bigint"
+_NAMED = "path string, modificationTime timestamp, length bigint, unique_name string"
+_STATE = "names array<string>, following array<bigint>"
 
 
 def archive_stream(spark: SparkSession, folder: str, max_archives_per_batch: int = 1000) -> DataFrame:
@@ -33,39 +40,64 @@ def archive_stream(spark: SparkSession, folder: str, max_archives_per_batch: int
     )
 
 
+def named_uploads(uploads: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """(path, modificationTime, length, unique_name) of a stream of uploads.
+
+    Uploads that name or size refuse take no name. Within a batch names are taken by (modificationTime,
+    path), and batches follow each other.
+    """
+    refused = upload_rejection(F.col("path"), F.col("length"), options)
+    asked = uploads.withColumn("name", F.when(refused.isNull(), stem(F.col("path"))))
+    keyed = asked.withColumn("root", _key(F.col("name"), F.col("path")))
+    return keyed.groupBy("root").applyInPandasWithState(
+        _take_names, _NAMED, _STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def _key(name: Column, path: Column) -> Column:
+    """Names meet by their root; a refused upload meets nothing and leaves no state."""
+    return F.coalesce(F.concat(F.lit("="), root_of(name)), path)
+
+
+def _take_names(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Names for the uploads of one root in one batch, which the source's limit bounds."""
+    rows = pd.concat(list(frames)).sort_values(["modificationTime", "path"])
+    names = Names(dict(zip(*state.get, strict=True)) if state.exists else {})
+    asked = rows["name"].tolist()
+    rows["unique_name"] = [names.take(n) if isinstance(n, str) else None for n in asked]
+    if names.following:
+        state.update((list(names.following), list(names.following.values())))
+    yield rows[["path", "modificationTime", "length", "unique_name"]]
+
+
 def ingest_new_archives(
     uploads: DataFrame, folder: str, checkpoint: str, options: ScanOptions = ScanOptions()
 ) -> StreamingQuery:
     """Append entries, refusals and file records of uploads that have arrived, then stop.
 
     Each batch goes to a folder of its own, replaced as a whole, so a batch that is run again after a
-    failure leaves no duplicates. Names of earlier batches are read again with each batch: one short
-    row per accepted upload.
+    failure leaves no duplicates; its names are the same then, as the state is that of the batch before.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        accepted = accepted_uploads(batch, options)
-        arrival = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), "modificationTime")
-        asked = accepted.select("name", arrival.alias("arrival"), "path", "length")
-        asked.write.mode("overwrite").parquet(f"{folder}/names/batch={batch_id}")
-        every = _names(spark, folder).where(F.col("batch") <= batch_id).drop("batch")
-        named = unique_names(every, arrival="arrival", tie="path")
-        new = named.where(F.col("arrival.batch") == batch_id).select("unique_name", "path", "length")
+        # Written first, as reading a batch again would take its names again.
+        batch.write.mode("overwrite").parquet(f"{folder}/names/batch={batch_id}")
+        arrived = spark.read.schema(_NAMED).parquet(f"{folder}/names/batch={batch_id}")
+        new = arrived.where("unique_name IS NOT NULL").select("unique_name", "path", "length")
+        refused = arrived.where("unique_name IS NULL").drop("unique_name")
         entries = f"{folder}/entries/batch={batch_id}"
-        found = opened_entries(new, options).unionByName(refused_entries(batch, options), allowMissingColumns=True)
+        found = opened_entries(new, options).unionByName(refused_entries(refused, options), allowMissingColumns=True)
         found.write.mode("overwrite").parquet(entries)
         stored = spark.read.parquet(entries)
         files = capped(files_of(stored), options.max_files, directories_of(stored))
         file_records(files, options).write.mode("overwrite").parquet(f"{folder}/file_records/batch={batch_id}")
 
     return (
-        uploads.writeStream.foreachBatch(write)
+        named_uploads(uploads, options)
+        .writeStream.foreachBatch(write)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _names(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(f"{_NAMES}, batch bigint").parquet(f"{folder}/names")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions.symbols import JAVA_CLASSES, REGEX_EXTRACTORS, regex_extractor
 from repoquarry.operators import files as fo
-from repoquarry.operators import guards, layout, manifests, requests, stats, summaries, tree
+from repoquarry.operators import guards, layout, manifests, naming, requests, stats, summaries, tree
 from repoquarry.operators.ranking import first_per_key, rank_within, sum_below
 from repoquarry.operators.records import (
     file_records,
@@ -131,19 +131,51 @@ def unique(spark, names):
         ["x_01", "x_0", "x", "x", "_1", "_1", "", ""],
     ],
 )
-def test_unique_names_by_hand(spark, names):
+def test_unique_names_by_hand(spark, monkeypatch, names):
+    assert unique(spark, names) == names_in_turn(names)
+    monkeypatch.setattr(requests, "IN_TURN", 0)
     assert unique(spark, names) == names_in_turn(names)
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_unique_names_equal_taking_turns(spark, seed):
+def test_unique_names_equal_taking_turns(spark, monkeypatch, seed):
+    """All roots in turn, all in ranges, and some in either way."""
+    monkeypatch.setattr(requests, "IN_TURN", [10**6, 0, 10][seed % 3])
     pick = random.Random(seed)
     pool = ["x", "x", "x", "x_1", "x_2", "x_3", "x_1_1", "x_1_2", "x_2_1", "y", "y_1"]
     names = [pick.choice(pool) for _ in range(40)]
     assert unique(spark, names) == names_in_turn(names)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_names_in_turn_with_state_between_batches(seed):
+    """One number a name is all that has to be kept, wherever the requests are cut."""
+    pick = random.Random(seed)
+    pool = ["x", "x", "x_1", "x_2", "x_3", "x_1_1", "x_1_2", "x_10", "x_2_1", "x_1_1_1"]
+    asked = [pick.choice(pool) for _ in range(300)]
+    kept, found = {}, []
+    for a in range(0, 300, 7):
+        names = naming.Names(dict(kept))
+        found += [names.take(n) for n in asked[a : a + 7]]
+        kept = names.following
+    assert found == names_in_turn(asked) and len(kept) <= len(pool)
+
+
+def test_roots_of_names(spark):
+    asked = ["x", "x_1", "x_1_20", "x_0", "x_1_02", "_3", "a_1b_2", "x_1\n", "y" + "_1" * 5000]
+    df = spark.createDataFrame(list(enumerate(asked)), "i int, name string").select("i", naming.root_of(F.col("name")))
+    assert [r[1] for r in df.orderBy("i").collect()] == ["x", "x", "x", "x_0", "x_1_02", "", "a_1b", "x_1\n", "y"]
+
+
+def test_requests_without_a_name_or_any_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "x")], "req_id int, name string")
+    df = df.withColumn("unique_name", F.lit("old")).withColumn("_n", F.lit(1))
+    assert rows(requests.unique_names(df), "req_id", "unique_name", "_n") == [(1, "x", 1), (2, None, 1), (3, None, 1), (4, "x_1", 1)]
+    assert requests.unique_names(df.where("false")).count() == 0
+
+
 def test_rounds_follow_the_depth_of_names_not_their_number(spark, monkeypatch):
+    monkeypatch.setattr(requests, "IN_TURN", 0)
     tables = []
     kept = requests.materialize
     monkeypatch.setattr(requests, "materialize", lambda df, label: tables.append(label) or kept(df, label))

@@ -264,6 +264,24 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
     assert rows(spark.read.parquet(f"{out}/entries").where("error IS NOT NULL"), "repo_id") == [("junk",), ("skip",)]
 
 
+def test_names_are_state_of_the_stream(spark, tmp_path):
+    """Many small batches, run in turns: names as in one whole ingest, and one row a batch of names written."""
+    source = tmp_path / "in"
+    asked = ["x", "x_1", "x", "y", "x", "x_1", "x_2", "y", "x_1_1", "x", "y_2", "y", "y"]
+    for k, name in enumerate(asked):
+        (source / str(k)).mkdir(parents=True)
+        (source / str(k) / f"{name}.zip").write_bytes(zipped((f"f{k}.py", b"")))
+        os.utime(source / str(k) / f"{name}.zip", (1_700_000_000 + k, 1_700_000_000 + k))
+    for _ in range(2):
+        stream = archive_stream(spark, str(source), max_archives_per_batch=2)
+        ingest_new_archives(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    found = spark.read.parquet(f"{tmp_path}/out/entries").where("NOT is_dir")
+    assert rows(found, "repo_id", "path") == rows(ingest(spark, str(source)).where("NOT is_dir"), "repo_id", "path")
+    names = spark.read.parquet(f"{tmp_path}/out/names")
+    assert names.count() == len(asked) and names.select("unique_name").distinct().count() == len(asked)
+    assert names.groupBy("batch").count().where("count > 2").count() == 0
+
+
 def test_stream_equals_a_whole_ingest(spark, tmp_path):
     source = tmp_path / "in"
     for folder in ("a", "b", "c"):
