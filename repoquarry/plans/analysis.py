@@ -24,11 +24,11 @@ from repoquarry.sources.archives import (
     files_of,
     list_uploads,
     listed_uploads,
-    opened_entries,
     refused_entries,
     repositories_of,
 )
 from repoquarry.sources.directories import list_directories
+from repoquarry.sources.ranges import opened_entries
 
 # Arrow batches for jobs whose rows are whole files or whole archives; Spark also limits their bytes.
 SESSION_SETTINGS = {

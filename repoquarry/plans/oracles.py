@@ -351,3 +351,5 @@ SELECT repo_id, upload AS path, CASE WHEN named THEN false END AS is_dir, CAST(0
 UNION ALL SELECT repo_id, '', true, 0, '' FROM j WHERE reason IS NULL
 UNION ALL SELECT repo_id, path, is_dir, CAST(arg_max(bytes, ordinal) AS BIGINT), '' FROM e GROUP BY repo_id, path, is_dir"""
 ORACLES["s7_stream_ingest"] = ORACLES["s7_ingest"]
+ORACLES["s3_members_by_range"] = ORACLES["s3_archive_members"]
+ORACLES["s7_files_by_range"] = ORACLES["s7_extracted_files"]

@@ -18,6 +18,7 @@ from repoquarry.plans import fixtures as fx
 from repoquarry.plans.analysis import ingest
 from repoquarry.schemas import EXTRACTED
 from repoquarry.sources import archives as ar
+from repoquarry.sources import ranges
 from repoquarry.sources.blobs import write_blobs
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
@@ -100,6 +101,31 @@ def s7_extracted_files(spark, sf):
     return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
 
 
+def _uploaded(spark, sf):
+    """Uploads as files, listed: (repo_id, path, length)."""
+    folder = new_folder(spark, "uploads")
+    write_blobs(fx.archives(spark, sf), folder).agg(F.sum("bytes")).collect()
+    uploads = ar.list_uploads(spark, folder)
+    return uploads.select(paths.stem(F.col("path")).alias("repo_id"), "path", "length")
+
+
+@query
+def s3_members_by_range(spark, sf):
+    """Members of archives of which only the ends are read."""
+    listed = ranges.list_members(_uploaded(spark, sf), MEMBERS)
+    # The fixture's paths begin with the folder of the uploads.
+    archive = F.concat(F.lit("uploads/"), paths.basename(F.col("path"))).alias("archive")
+    members = listed.select(archive, F.inline("members"))
+    return members.select("archive", "ordinal", "path", "is_dir", F.col("bytes").cast("bigint").alias("bytes"))
+
+
+@query
+def s7_files_by_range(spark, sf):
+    """Files of archives that are cut into ranges of a few hundred bytes."""
+    entries = ranges.entries_by_range(_uploaded(spark, sf), MEMBERS, range_bytes=500)
+    return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
+
+
 def _two_folders(spark, sf):
     """Every upload in one folder, and three in ten under the same name in a second folder, later."""
     folder = new_folder(spark, "uploads")

@@ -49,7 +49,7 @@ def list_directories(roots: DataFrame, directories_per_task: int = 2000, tasks:
     )
     rounds = []
     while not rounds or not entries.isEmpty():
-        found = _spread(entries, tasks).mapInArrow(_lister(directories_per_task), LISTED)
+        found = spread(entries, tasks).mapInArrow(_lister(directories_per_task), LISTED)
         rounds.append(materialize(found, "listing"))
         entries = rounds[-1].where(~F.col("listed"))
     # What waited for a round is passed on by it.
@@ -69,7 +69,7 @@ def place_of(root: Column) -> Column:
     )
 
 
-def _spread(entries: DataFrame, tasks: int | None) -> DataFrame:
+def spread(entries: DataFrame, tasks: int | None) -> DataFrame:
     """Rows spread by location over a fixed number of tasks.
 
     Without a number Spark would merge tasks by the size of these short rows, not of what they name.
@@ -78,7 +78,7 @@ def _spread(entries: DataFrame, tasks: int | None) -> DataFrame:
     return entries.repartition(number, "system", "place")
 
 
-class _Systems:
+class Systems:
     """File systems of a task, opened once each."""
 
     def __init__(self) -> None:
@@ -95,7 +95,7 @@ class _Systems:
 
 def _lister(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        systems = _Systems()
+        systems = Systems()
         out = []
         for batch in batches:
             for row in batch.to_pylist():
@@ -120,7 +120,7 @@ def _lister(most: int):
     return run
 
 
-def _inside(row: dict, systems: _Systems) -> Iterator[dict]:
+def _inside(row: dict, systems: Systems) -> Iterator[dict]:
     system, _, folder = systems.at(row["system"], row["place"])
     for info in system.get_file_info(pafs.FileSelector(folder or "/", recursive=False)):
         if info.type in (pafs.FileType.File, pafs.FileType.Directory):
@@ -143,11 +143,11 @@ def read_contents(listed: DataFrame, tasks: int | None = None) -> DataFrame:
     by location before reading, so no task holds all files of a repository.
     """
     files = listed.where(~F.col("is_dir")).select("repo_id", "path", "system", "place", "bytes")
-    return _spread(files, tasks).mapInArrow(_read, FILES)
+    return spread(files, tasks).mapInArrow(_read, FILES)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    systems = _Systems()
+    systems = Systems()
     for batch in batches:
         rows, held = [], 0
         for row in batch.to_pylist():

@@ -22,7 +22,8 @@ from repoquarry.operators.naming import Names, root_of
 from repoquarry.operators.records import file_records
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import ARCHIVES
-from repoquarry.sources.archives import directories_of, files_of, opened_entries, refused_entries, upload_rejection
+from repoquarry.sources.archives import directories_of, files_of, refused_entries, upload_rejection
+from repoquarry.sources.ranges import opened_entries
 
 _NAMED = "path string, modificationTime timestamp, length bigint, unique_name string"
 _STATE = "names array<string>, following array<bigint>"

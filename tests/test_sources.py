@@ -16,6 +16,7 @@ from repoquarry.options import ScanOptions
 from repoquarry.plans.analysis import SESSION_SETTINGS, analyze, analyze_archives, ingest
 from repoquarry.schemas import FILES
 from repoquarry.sources import archives as ar
+from repoquarry.sources import ranges
 from repoquarry.sources.blobs import opened, opened_scheme, qualified, write_blobs
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
@@ -264,6 +265,62 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
     assert rows(spark.read.parquet(f"{out}/entries").where("error IS NOT NULL"), "repo_id") == [("junk",), ("skip",)]
 
 
+class Counting(io.BytesIO):
+    """A file that counts what is read of it."""
+
+    read_bytes = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.read_bytes += len(data)
+        return data
+
+
+def test_listing_reads_the_end_of_an_archive():
+    raw = zipped(*((f"f{i}.bin", os.urandom(200_000)) for i in range(50)))
+    file = Counting(raw)
+    members = ranges.members_of(file, 1_000_000)
+    assert len(raw) > 10_000_000 and file.read_bytes < 100_000
+    assert [m["part"] for m in members] == [i // 5 for i in range(50)]
+    assert {m["target"] for m in members} == {f"f{i}.bin" for i in range(50)} and all(m["kept"] for m in members)
+
+
+@pytest.mark.parametrize("range_bytes", [1, 40, 10**9])
+def test_ranges_give_what_whole_archives_give(spark, tmp_path, range_bytes):
+    many = bytearray(zipped(*((f"d/f{i}.txt", os.urandom(60)) for i in range(40)), ("d/f3.txt", b"last"), ("d/f4.txt/", b"")))
+    late = bytearray(zipped(*((f"f{i}.txt", os.urandom(60)) for i in range(40))))
+    # One damaged byte in the contents of the 30th member, and one in a member that a later one replaces.
+    late[late.index(b"f30.txt") + 20] ^= 0xFF
+    replaced = bytearray(many)
+    replaced[replaced.index(b"d/f3.txt") + 20] ^= 0xFF
+    more = {"many.zip": bytes(many), "late.zip": bytes(late), "replaced.zip": bytes(replaced), "empty.zip": zipped()}
+    for name, raw in [*((n, r) for n, (r, _) in UPLOADS.items()), *more.items()]:
+        (tmp_path / name).write_bytes(raw)
+    options = ScanOptions(max_upload_bytes=10**6, max_extract_bytes=10**5)
+    uploads = ar.list_uploads(spark, str(tmp_path)).withColumn("repo_id", F.regexp_extract("path", "([^/]*)$", 1))
+    uploads = uploads.withColumn("members", F.lit(1)).withColumn("part", F.lit("x"))
+    found = ranges.entries_by_range(uploads, options, range_bytes)
+    expected = ar.extracted(ar.read_archives(spark, str(tmp_path)), options, F.regexp_extract("path", "([^/]*)$", 1))
+    refused = expected.where("error IS NOT NULL")
+    assert {"late.zip", "replaced.zip"} <= {r[0] for r in rows(refused, "repo_id")}
+    tar = found.where("repo_id LIKE '%.tar'")
+    assert {r.error for r in tar.collect()} == {"Only .zip files are supported."}
+    digest = F.coalesce(F.md5("content"), F.lit("")).alias("digest")
+    columns = ["repo_id", "path", "is_dir", F.coalesce("bytes", F.lit(-1)).alias("bytes"), digest, F.coalesce("error", F.lit("")).alias("error")]
+    assert rows(found.where("repo_id NOT LIKE '%.tar'"), *columns) == rows(expected, *columns)
+    assert ranges.entries_by_range(uploads.where("false"), options).count() == 0
+
+
+def test_large_archives_are_the_work_of_many_tasks(spark, tmp_path):
+    (tmp_path / "large.zip").write_bytes(zipped(*((f"f{i}.bin", os.urandom(50_000)) for i in range(64))))
+    (tmp_path / "small.zip").write_bytes(zipped(("a.py", b"x = 1\n")))
+    named = ar.list_uploads(spark, str(tmp_path)).withColumn("unique_name", F.regexp_extract("path", "([^/]*)[.]zip$", 1))
+    entries = ranges.opened_entries(named, range_bytes=100_000)
+    files = ar.files_of(entries)
+    assert {r[0]: r[1] for r in rows(files.groupBy("repo_id").count())} == {"large": 64, "small": 1}
+    assert files.where("repo_id = 'large'").select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_names_are_state_of_the_stream(spark, tmp_path):
     """Many small batches, run in turns: names as in one whole ingest, and one row a batch of names written."""
     source = tmp_path / "in"
