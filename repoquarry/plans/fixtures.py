@@ -35,6 +35,50 @@ SELECT doc_id AS file_id, source AS repo_id, k,
 FROM (SELECT doc_id, text, lang, source, CAST(doc_id % 13 AS INT) AS k FROM documents) d
 """
 
+# Repositories of ten blocks of 24 documents: eight Python, script and Java files each, where every file imports
+# the one before it in its block and the third one the fifth, so that three of them import each other.
+_LINKED = """(SELECT *, CAST(floor(doc_id / 24.0) AS BIGINT) AS b, CAST(doc_id % 3 AS INT) AS k,
+ CAST(floor(CAST(doc_id % 24 AS INT) / 3.0) AS INT) AS i FROM documents) d"""
+
+
+def _linked_path(number: str) -> str:
+    n = f"CAST({number} AS STRING)"
+    return (
+        f"CASE k WHEN 0 THEN concat('app/b', CAST(b AS STRING), '/m', {n}, '.py') "
+        f"WHEN 1 THEN concat('web/b', CAST(b AS STRING), '/c', {n}, '.ts') "
+        f"ELSE concat('src/main/java/com/b', CAST(b AS STRING), '/J', {n}, '.java') END"
+    )
+
+
+def _linked_module(number: str, far: bool) -> str:
+    n, b = f"CAST({number} AS STRING)", "CAST(b AS STRING)"
+    script = f"concat('../b', {b}, '/./c', {n}, '.ts')" if far else f"concat('./c', {n})"
+    return f"CASE k WHEN 0 THEN concat('b', {b}, '.m', {n}) WHEN 1 THEN {script} ELSE concat('com.b', {b}, '.J', {n}) END"
+
+
+def _linked_import(number: str, far: bool) -> str:
+    named = _linked_module(number, far)
+    return (
+        f"CASE k WHEN 0 THEN concat('import ', {named}) WHEN 1 THEN concat('import x from \"', {named}, '\"') "
+        f"ELSE concat('import ', {named}, ';') END"
+    )
+
+
+_MARK = "CASE k WHEN 0 THEN '# ' ELSE '// ' END"
+LINKED_FILES = f"""
+SELECT concat('r', CAST(floor(doc_id / 240.0) AS BIGINT)) AS repo_id, {_linked_path("doc_id")} AS path,
+ concat(CASE WHEN i > 0 THEN concat({_linked_import("doc_id - 3", False)}, chr(10)) ELSE '' END,
+  CASE WHEN i = 2 THEN concat({_linked_import("doc_id + 6", True)}, chr(10)) ELSE '' END,
+  CASE k WHEN 0 THEN 'import os' WHEN 1 THEN 'import y from "react"' ELSE 'import java.util.List;' END,
+  chr(10), {_MARK}, replace(text, chr(10), concat(chr(10), {_MARK}))) AS content FROM {_LINKED}
+"""
+LINKED_EDGES = f"""
+SELECT concat('r', CAST(floor(doc_id / 240.0) AS BIGINT)) AS repo_id, {_linked_path("doc_id")} AS path, module, target FROM (
+ SELECT *, {_linked_module("doc_id - 3", False)} AS module, {_linked_path("doc_id - 3")} AS target FROM {_LINKED} WHERE i > 0
+ UNION ALL SELECT *, {_linked_module("doc_id + 6", True)}, {_linked_path("doc_id + 6")} FROM {_LINKED} WHERE i = 2
+  AND doc_id + 6 IN (SELECT doc_id FROM documents)) d
+"""
+
 # README in two spellings, requirements under both names, valid and invalid package.json, pom.xml.
 _PER_REPO = "(SELECT source AS repo_id, min(doc_id) AS id, max(text) AS txt FROM documents GROUP BY source) a"
 MANIFESTS = f"""
@@ -122,6 +166,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("file_id", "repo_id", "path", size.alias("bytes"), content.alias("content"))
 
 
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(repo_id, path, bytes, content) that import each other."""
+    df = _derived(documents(spark, sf_dir), "documents", LINKED_FILES)
+    return df.select("repo_id", "path", F.octet_length("content").cast("bigint").alias("bytes"), F.col("content").cast("binary").alias("content"))
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _derived(table(spark, sf_dir, "documents"), "documents", MANIFESTS)
     return df.select("repo_id", "path", F.col("content").cast("binary").alias("content"))

@@ -353,3 +353,14 @@ UNION ALL SELECT repo_id, path, is_dir, CAST(arg_max(bytes, ordinal) AS BIGINT),
 ORACLES["s7_stream_ingest"] = ORACLES["s7_ingest"]
 ORACLES["s3_members_by_range"] = ORACLES["s3_archive_members"]
 ORACLES["s7_files_by_range"] = ORACLES["s7_extracted_files"]
+ORACLES["a9_import_edges"] = fx.LINKED_EDGES
+ORACLES["a9_import_levels"] = f"""WITH RECURSIVE e AS (SELECT DISTINCT repo_id, path, target FROM ({fx.LINKED_EDGES}) l),
+r AS (SELECT repo_id, path, target FROM e UNION SELECT r.repo_id, r.path, e.target FROM r JOIN e ON e.repo_id = r.repo_id AND e.path = r.target),
+c AS (SELECT f.repo_id, f.path, least(f.path, coalesce(min(back.path), f.path)) AS cycle FROM ({fx.LINKED_FILES}) f
+ LEFT JOIN r ON r.repo_id = f.repo_id AND r.path = f.path
+ LEFT JOIN r AS back ON back.repo_id = r.repo_id AND back.path = r.target AND back.target = r.path GROUP BY f.repo_id, f.path),
+g AS (SELECT DISTINCT e.repo_id, x.cycle AS a, y.cycle AS b FROM e JOIN c x ON x.repo_id = e.repo_id AND x.path = e.path
+ JOIN c y ON y.repo_id = e.repo_id AND y.path = e.target WHERE x.cycle <> y.cycle),
+p AS (SELECT repo_id, a, b, 1 AS d FROM g UNION SELECT p.repo_id, p.a, g.b, d + 1 FROM p JOIN g ON g.repo_id = p.repo_id AND g.a = p.b)
+SELECT repo_id, path, cycle, count(*) OVER (PARTITION BY repo_id, cycle) AS cycle_files,
+ CAST(coalesce((SELECT max(d) FROM p WHERE p.repo_id = c.repo_id AND p.a = c.cycle), 0) AS INT) AS level FROM c"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from repoquarry.functions import numbers, paths, symbols, text, urls
 from repoquarry.functions.languages import language_of
 from repoquarry.operators import files as fo
-from repoquarry.operators import guards, layout, manifests, report, requests, stats, summaries, tree
+from repoquarry.operators import guards, imports, layout, manifests, report, requests, stats, summaries, tree
 from repoquarry.operators.records import file_records, symbol_index
 from repoquarry.options import ReportOptions, ScanOptions
 from repoquarry.plans import fixtures as fx
@@ -439,6 +439,19 @@ def a10_added_language(spark, sf):
     return stats.by_language(files, languages).join(read, ["repo_id", "language"]).join(totals, "repo_id")
 
 
+@query
+def a9_import_edges(spark, sf):
+    """Imports that name a file of the same repository."""
+    return imports.import_edges(file_records(fx.linked_files(spark, sf)))
+
+
+@query
+def a9_import_levels(spark, sf):
+    """Import cycles and levels of all files."""
+    records = materialize(file_records(fx.linked_files(spark, sf)), "file-records")
+    return imports.import_levels(records, imports.import_edges(records))
+
+
 # Directory listing
 
 
