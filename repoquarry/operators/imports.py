@@ -189,7 +189,7 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 
 def _cycles(edges: DataFrame) -> DataFrame:
-    """(repo_id, path, cycle) of files in cycles of at least two.
+    """(repo_id, path, cycle) of all files in cycles, and of some others that stand alone.
 
     What neither imports nor is imported any more is taken away round by round. Of the rest, every file
     learns the largest path from which it can be reached; the files from which such a path can be reached

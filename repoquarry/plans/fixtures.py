@@ -79,22 +79,9 @@ SELECT concat('r', CAST(floor(doc_id / 240.0) AS BIGINT)) AS repo_id, {_linked_p
   AND doc_id + 6 IN (SELECT doc_id FROM documents)) d
 """
 
-# README in two spellings, requirements under both names, valid and invalid package.json, pom.xml.
-_PER_REPO = "(SELECT source AS repo_id, min(doc_id) AS id, max(text) AS txt FROM documents GROUP BY source) a"
-MANIFESTS = f"""
-SELECT repo_id, 'README.md' AS path, concat('# ', repo_id, chr(10), txt) AS content FROM {_PER_REPO} WHERE id % 3 <> 2
-UNION ALL SELECT repo_id, 'readme.txt', concat('fallback ', repo_id) FROM {_PER_REPO}
-UNION ALL SELECT repo_id, CASE WHEN id % 2 = 0 THEN 'requirements.txt' ELSE 'requirements-dev.txt' END,
- concat('# top', chr(10), 'numpy==1.', CAST(id % 9 AS STRING), chr(10), chr(10), '  # kept', chr(10), ' pandas>=2 ', chr(10))
- FROM {_PER_REPO}
-UNION ALL SELECT repo_id, 'package.json', CASE WHEN id % 5 = 4 THEN '{{bad' ELSE concat('{{"name":"', repo_id,
- '","version":"1.', CAST(id % 9 AS STRING), '","dependencies":{{"z":"1","a":"^2"}},"devDependencies":{{"jest":"29"}},"engines":{{"node":">=18"}}}}') END
- FROM {_PER_REPO}
-UNION ALL SELECT repo_id, 'pom.xml', concat('<project>', repeat('x', 2500), '</project>') FROM {_PER_REPO} WHERE id % 4 = 0
-"""
-
-# The same for every document as a repository of its own: whole texts as README, pom.xml and, word by word,
-# as requirements, some with carriage returns; no, few, many and broken dependencies.
+# README in two spellings, requirements under both names, package.json and pom.xml for every document as a
+# repository of its own: whole texts as README, pom.xml and, word by word, as requirements, some with
+# carriage returns; no, few, many and broken dependencies.
 _MANY = ", ".join(f'"p{i}":"{i}"' for i in range(60))
 _PER_DOC = "(SELECT concat(source, '-', CAST(doc_id AS STRING)) AS repo_id, doc_id AS id, lang, text AS txt FROM documents) a"
 DOC_MANIFESTS = f"""
@@ -112,6 +99,14 @@ UNION ALL SELECT repo_id, 'package.json', CASE WHEN id % 5 = 4 THEN concat('{{ba
 UNION ALL SELECT repo_id, 'pom.xml', concat('<project>', txt, '</project>') FROM {_PER_DOC} WHERE id % 4 = 0
 """
 
+# For reports: eight documents are a repository, and the first of them also makes its manifests.
+_GROUP = "concat('g', CAST(CAST(floor(doc_id / 8.0) AS BIGINT) AS STRING))"
+GROUP_FILES = FILES.replace("source AS repo_id", f"{_GROUP} AS repo_id")
+GROUP_MANIFESTS = DOC_MANIFESTS.replace(
+    _PER_DOC,
+    f"(SELECT {_GROUP} AS repo_id, CAST(floor(doc_id / 8.0) AS BIGINT) AS id, lang, text AS txt FROM documents WHERE doc_id % 8 = 0) a",
+)
+
 # Eight shapes of URL made of every page's own: plain, upper case with blanks, no repository, ssh, dotted,
 # deep, inner .git, and the page's URL itself. Names repeat, and some ask for the variants of others.
 URL_REQUESTS = """
@@ -158,9 +153,9 @@ def _derived(source: DataFrame, name: str, sql: str) -> DataFrame:
     return source.sparkSession.sql(sql)
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, sql: str = FILES) -> DataFrame:
     """files(file_id, repo_id, path, bytes, content)."""
-    df = _derived(documents(spark, sf_dir), "documents", FILES)
+    df = _derived(documents(spark, sf_dir), "documents", sql)
     size = F.octet_length("content").cast("bigint")
     content = F.col("content").cast("binary")
     return df.select("file_id", "repo_id", "path", size.alias("bytes"), content.alias("content"))
@@ -172,13 +167,8 @@ def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("repo_id", "path", F.octet_length("content").cast("bigint").alias("bytes"), F.col("content").cast("binary").alias("content"))
 
 
-def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _derived(table(spark, sf_dir, "documents"), "documents", MANIFESTS)
-    return df.select("repo_id", "path", F.col("content").cast("binary").alias("content"))
-
-
-def doc_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _derived(table(spark, sf_dir, "documents"), "documents", DOC_MANIFESTS)
+def doc_manifests(spark: SparkSession, sf_dir: str, sql: str = DOC_MANIFESTS) -> DataFrame:
+    df = _derived(documents(spark, sf_dir), "documents", sql)
     return df.select("repo_id", "path", F.col("content").cast("binary").alias("content"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from repoquarry.plans import fixtures as fx
 
 _W = r"[\p{L}\p{N}_]"
@@ -110,7 +112,7 @@ def _name(url: str) -> str:
 
 _NAME = _name("replace(bare, '.git', '')")
 
-_MAN = f"man AS ({fx.MANIFESTS})"
+_MAN = f"man AS ({fx.GROUP_MANIFESTS})"
 _DOC_MAN = f"man AS ({fx.DOC_MANIFESTS})"
 _README = """
 rd AS (SELECT repo_id, arg_min(path, o) AS path, arg_min(content, o) AS readme FROM (SELECT *, list_position(
@@ -189,21 +191,31 @@ secs AS (
  UNION ALL SELECT repo_id, 3, ['', '### Language Distribution'] || list('- **' || language || ':** ' || n_files || ' files' ORDER BY language) FROM la GROUP BY repo_id
  UNION ALL SELECT repo_id, 4, ['', '### Largest Files'] || list('- `' || path || '` (' || {_kb()} || ' KB)' ORDER BY rank) FROM lg GROUP BY repo_id
  UNION ALL SELECT repo_id, 5, ['', '## Technology Stack', '**Languages:** ' || string_agg(language, ', ' ORDER BY language)] FROM la GROUP BY repo_id
- UNION ALL SELECT repo_id, 6, ['', '### Node.js Dependencies', array_to_string(json_keys(j, '$.dependencies')[1:20], ', ')] FROM pk
+ UNION ALL SELECT repo_id, 6, ['', '### Node.js Dependencies'] || CASE WHEN len(json_keys(j, '$.dependencies')) > 0 THEN [array_to_string(json_keys(j, '$.dependencies')[1:20], ', ')] ELSE [] END FROM pk
  UNION ALL SELECT repo_id, 7, ['', '### Python Dependencies'] || list_transform(requirements[1:30], lambda x: '- ' || x) FROM rq
  UNION ALL SELECT * FROM k
  UNION ALL SELECT repo_id, 9, ['', '## Setup Instructions', '', '*Setup instructions would be extracted from README or inferred from project structure.*'] FROM repos
  UNION ALL SELECT repo_id, 10, ['', '---', '*This report was automatically generated.*'] FROM repos)
 """
 
+
+
+def _versions(title: str, key: str, shown: int) -> str:
+    """Versions of the first dependencies of a package, if it has any."""
+    names = f"json_keys(j, '$.{key}')"
+    line = f"'  - ' || x || ': ' || json_extract_string(j, '$.{key}.' || x)"
+    return f"""CASE WHEN len({names}) > 0 THEN chr(10) || '{title} with versions (' || len({names}) || ' total):' || chr(10) ||
+   array_to_string(list_transform({names}[1:{shown}], lambda x: {line}), chr(10)) END"""
+
+
 _HEAD = "chr(10) || '---' || chr(10) || '## "
 _PROMPT = f"""WITH {_REC}, {_STATS}, {_MAN}, {_README}, {_PACKAGE}, {_REQ}, {_bullets(50)},
 pr AS (SELECT st.repo_id, concat_ws(chr(10), 'Describe the repository.',
   {_HEAD}Repository Statistics:', ss.summary, {_HEAD}Code Structure Analysis:', b.summary,
   {_HEAD}Existing README Content (Full):' || chr(10) || array_to_string({_lines("readme")}[1:200], chr(10)),
-  {_HEAD}Package.json Information (Full Details):' || chr(10) || 'Name: ' || (j->>'$.name') || chr(10) || 'Version: ' || (j->>'$.version') || chr(10) || 'Description: N/A',
-  CASE WHEN j IS NOT NULL THEN chr(10) || 'Dependencies with versions (2 total):' || chr(10) || '  - z: 1' || chr(10) || '  - a: ^2' END,
-  CASE WHEN j IS NOT NULL THEN chr(10) || 'Dev Dependencies with versions (1 total):' || chr(10) || '  - jest: 29' END,
+  {_HEAD}Package.json Information (Full Details):' || chr(10) || 'Name: ' || (j->>'$.name') || chr(10) || 'Version: ' || (j->>'$.version') || chr(10) || 'Description: ' || coalesce(j->>'$.description', 'N/A'),
+  {_versions("Dependencies", "dependencies", 50)},
+  {_versions("Dev Dependencies", "devDependencies", 30)},
   CASE WHEN j IS NOT NULL THEN chr(10) || 'Required Engine Versions: ' || (j->'$.engines')::VARCHAR END,
   {_HEAD}Python Dependencies (Full List with Versions):' || chr(10) || 'Total dependencies: ' || len(requirements) || chr(10) || array_to_string(requirements[1:50], chr(10)),
   {_HEAD}Maven Configuration (pom.xml - Full Content):' || chr(10) || substring(pom.content, 1, 2000),
@@ -364,3 +376,6 @@ g AS (SELECT DISTINCT e.repo_id, x.cycle AS a, y.cycle AS b FROM e JOIN c x ON x
 p AS (SELECT repo_id, a, b, 1 AS d FROM g UNION SELECT p.repo_id, p.a, g.b, d + 1 FROM p JOIN g ON g.repo_id = p.repo_id AND g.a = p.b)
 SELECT repo_id, path, cycle, count(*) OVER (PARTITION BY repo_id, cycle) AS cycle_files,
  CAST(coalesce((SELECT max(d) FROM p WHERE p.repo_id = c.repo_id AND p.a = c.cycle), 0) AS INT) AS level FROM c"""
+# Reports read other repositories than the queries on single files.
+for _name_of in [q for q in ORACLES if re.match(r"r([4-9]|10)_", q)]:
+    ORACLES[_name_of] = ORACLES[_name_of].replace(fx.FILES, fx.GROUP_FILES)

@@ -541,9 +541,11 @@ def _profiles(spark, sf):
 
 def _stored_parts(spark, sf):
     """Listing, records and manifests. The last two are read by several parts, so they are written first."""
-    listing = fx.files(spark, sf).select("repo_id", "path", "bytes")
-    records = materialize(_records(spark, sf), "file-records")
-    return listing, records, materialize(manifests.root_manifests(fx.manifests(spark, sf)), "manifests")
+    files = fx.files(spark, sf, fx.GROUP_FILES)
+    listing = files.select("repo_id", "path", "bytes")
+    records = materialize(file_records(files, SCAN), "file-records")
+    found = manifests.root_manifests(fx.doc_manifests(spark, sf, fx.GROUP_MANIFESTS))
+    return listing, records, materialize(found, "manifests")
 
 
 @query
