@@ -46,6 +46,13 @@ def repository_name(url: Column, strict: bool = False) -> Column:
     return F.when(F.size(parts) >= 2, F.element_at(parts, -1)).otherwise(FALLBACK_NAME)
 
 
+def repository_key(url: Column) -> Column:
+    """``owner/name`` that all accepted forms of a repository's URL share, in lower case; null for other URLs."""
+    cleaned = F.regexp_replace(F.rtrim(strip(url), F.lit("/")), r"(?i)[.]git\z", "")
+    key = F.lower(F.regexp_extract(cleaned, r"([^/:]+/[^/:]+)\z", 1))
+    return F.when(is_repository_url(url), key)
+
+
 def _url_path(url: Column) -> Column:
     """Path of a URL: what follows scheme and host, up to query, fragment or parameters."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions.urls import is_repository_url, repository_name, url_error
+from repoquarry.functions.urls import is_repository_url, repository_key, repository_name, url_error
 from repoquarry.operators.naming import named_in_turn, root_of
 from repoquarry.operators.ranking import laid_out_in_ranges, rank_in_ranges, rank_within, sum_below
 from repoquarry.sources.shared import materialize
@@ -31,6 +31,30 @@ def rejected(requests: DataFrame) -> DataFrame:
     return validated(requests).where(~F.col("is_valid")).drop("is_valid")
 
 
+def with_first(requests: DataFrame, arrival: str = "req_id", tie: str = "req_id") -> DataFrame:
+    """Adds ``repository``, ``kept`` and ``is_kept`` to requests: the first request for a repository is kept.
+
+    All accepted forms of a URL and all spellings in upper and lower case ask for the same repository.
+    ``kept`` is the ``tie`` of the first by (``arrival``, ``tie``), for every later one the same, and
+    ``is_kept`` says whether it is the request itself. Refused requests ask for none: null, null and
+    false. The first is found by partial aggregates, so a repository may be asked for by any share of the
+    rows; Spark splits its rows in the join that follows. Rows that are equal in both columns are all kept.
+    """
+    # Stored, as the key is a long expression and read twice.
+    keyed = materialize(requests.withColumn("repository", repository_key(F.col("url"))), "requests")
+    first = F.min(F.struct(F.col(arrival).alias("arrival"), F.col(tie).alias("tie"))).alias("_first")
+    firsts = keyed.where(F.col("repository").isNotNull()).groupBy(F.col("repository").alias("_key")).agg(first)
+    found = keyed.join(firsts, F.col("repository") == F.col("_key"), "left")
+    own = F.struct(F.col(arrival).alias("arrival"), F.col(tie).alias("tie"))
+    kept = {"kept": F.col("_first.tie"), "is_kept": F.coalesce(own.eqNullSafe(F.col("_first")), F.lit(False))}
+    return found.withColumns(kept).drop("_key", "_first")
+
+
+def deduplicated(requests: DataFrame, arrival: str = "req_id", tie: str = "req_id") -> DataFrame:
+    """The first accepted request for every repository, with the columns that ``requests`` has."""
+    return with_first(requests, arrival, tie).where("is_kept").select(*requests.columns)
+
+
 def named_requests(requests: DataFrame, strict: bool = False) -> DataFrame:
     """The whole way of a table of requests (req_id, url): refused or given a name of its own.
 

@@ -285,6 +285,10 @@ UNION ALL SELECT req_id, '', '', {_URL_ERROR} FROM u WHERE NOT is_valid""",
     "u1_url_validation": f"WITH {_URLS} SELECT req_id, is_valid, {_URL_ERROR} AS error FROM u",
     "u2_repo_name": f"WITH {_URLS} SELECT req_id, {_NAME} AS name, {_name(r"regexp_replace(bare, '[.]git$', '')")} AS strict_name FROM u",
     "u3_request_split": f"WITH {_URLS} SELECT req_id, url, CASE WHEN is_valid THEN 'accepted' ELSE 'rejected' END AS outcome, {_URL_ERROR} AS error FROM u",
+    "u3_request_dedup": rf"""WITH {_URLS},
+k AS (SELECT req_id, CASE WHEN is_valid THEN lower(regexp_extract(regexp_replace(bare, '(?i)[.]git$', ''), '[^/:]+/[^/:]+$')) END AS repository FROM u)
+SELECT req_id, coalesce(repository, '') AS repository, CASE WHEN repository IS NOT NULL THEN min(req_id) OVER (PARTITION BY repository) END AS kept,
+ repository IS NOT NULL AND req_id = min(req_id) OVER (PARTITION BY repository) AS is_kept FROM k""",
     "f1_suffix": f"WITH {_F} SELECT file_id, suffix FROM f",
     "f2_code_files": f"WITH {_F} SELECT repo_id, path FROM f WHERE language IS NOT NULL",
     "f3_language": f"WITH {_F} SELECT path, coalesce(language, 'unknown') AS language FROM f",

@@ -229,6 +229,13 @@ def u3_request_split(spark, sf):
     return taken.unionByName(refused)
 
 
+@query
+def u3_request_dedup(spark, sf):
+    """Every request with the one that is kept in its place."""
+    found = requests.with_first(fx.url_requests(spark, sf))
+    return found.select("req_id", F.coalesce("repository", F.lit("")).alias("repository"), "kept", "is_kept")
+
+
 # Files
 
 

@@ -147,6 +147,35 @@ def test_unique_names_equal_taking_turns(spark, monkeypatch, seed):
     assert unique(spark, names) == names_in_turn(names)
 
 
+def test_first_request_for_a_repository(spark):
+    asked = [
+        (5, "https://github.com/Ab/C.d"),
+        (3, " HTTP://GitHub.com/ab/c.D.git\n"),
+        (4, "git@github.com:AB/c.d.GIT"),
+        (9, "https://github.com/ab/c.d/"),
+        (1, "https://github.com/ab/c.d/tree/main"),
+        (2, None),
+        (7, "https://github.com/ab/c"),
+        (8, "https://github.com/x/c.d"),
+        (8, "https://github.com/x/c.d"),
+    ]
+    df = spark.createDataFrame([(i, u, "k") for i, u in asked], "req_id int, url string, _key string").repartition(3)
+    found = requests.with_first(df.drop("_key"))
+    assert rows(found.where("repository IS NOT NULL"), "req_id", "repository", "kept", "is_kept") == [
+        (3, "ab/c.d", 3, True),
+        (4, "ab/c.d", 3, False),
+        (5, "ab/c.d", 3, False),
+        (7, "ab/c", 7, True),
+        (8, "x/c.d", 8, True),
+        (8, "x/c.d", 8, True),
+        (9, "ab/c.d", 3, False),
+    ]
+    assert rows(found.where("repository IS NULL"), "req_id", "kept", "is_kept") == [(1, None, False), (2, None, False)]
+    kept = requests.deduplicated(df.drop("_key"))
+    assert kept.columns == ["req_id", "url"] and [r[0] for r in rows(kept)] == [3, 7, 8, 8]
+    assert requests.with_first(df.where("false").drop("_key")).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_names_in_turn_with_state_between_batches(seed):
     """One number a name is all that has to be kept, wherever the requests are cut."""
