@@ -42,7 +42,8 @@ LEAST_WORDS, LEAST_SHARE = 6, 0.25
 # Items are limited by the driver's memory, not by a number; longer ones are cut into parts of so many words.
 ITEM_WORDS = BLOCK * WIDEST
 # Words that tell where a whole copy may begin.
-HEAD = 8
+HEAD = 5
+_HEAD_SHIFT = np.uint64(44)
 _CHUNK = 4096
 _COMMON_TERMS = 256
 _PASSAGES_AT_ONCE = 1 << 10
@@ -253,6 +254,10 @@ class Matcher:
             size = min(HEAD, len(item.words))
             head = int(shingles(np.array(item.words[:size], dtype=np.uint64), size)[0])
             self.heads.setdefault(size, {}).setdefault(head, []).append(i)
+        # Most places are ruled out by the first bits of their hash.
+        self.possible = {size: np.zeros(1 << (64 - int(_HEAD_SHIFT)), dtype=bool) for size in self.heads}
+        for size, heads in self.heads.items():
+            self.possible[size][np.array(list(heads), dtype=np.uint64) >> _HEAD_SHIFT] = True
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         # Wide enough to hold most of the item wherever it begins.
         widths = np.array([min(WIDEST, -(-(len(i.words) + BLOCK // 2) // BLOCK)) for i in items])
@@ -270,7 +275,7 @@ class Matcher:
         starts, sizes = runs(bounds, BLOCK)
         text_of = np.searchsorted(bounds, starts, side="right") - 1
         # A word counts once in a block, or a repeated one would outweigh the item beside it.
-        rows = np.sort(in_rows(terms_of(words), starts, sizes, BLOCK, TERMS), axis=1)
+        rows = np.sort(in_rows(terms_of(words), starts, sizes, BLOCK, TERMS).astype(np.uint16), axis=1)
         rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = TERMS
         blocks = self.space.vectors(rows)
         copied = self._copies(words, bounds, starts)
@@ -293,9 +298,9 @@ class Matcher:
             if len(words) < size:
                 continue
             hashes = shingles(words.astype(np.uint64), size)
-            for at in np.flatnonzero(np.isin(hashes, np.array(list(heads), dtype=np.uint64))).tolist():
+            for at in np.flatnonzero(self.possible[size].take((hashes >> _HEAD_SHIFT).astype(np.int64))).tolist():
                 end = bounds[np.searchsorted(bounds, at, side="right")]
-                for i in heads[int(hashes[at])]:
+                for i in heads.get(int(hashes[at]), ()):
                     item = self.items[i].words
                     if at + len(item) <= end and words[at : at + len(item)].tolist() == item:
                         found.append((int(np.searchsorted(starts, at, side="right")) - 1, i))
