@@ -21,7 +21,7 @@ from repoquarry.operators.ranking import first_per_key
 from repoquarry.operators.stats import by_language, largest_files, repo_stats
 from repoquarry.operators.summaries import NO_FILES, bullet_summaries, in_walk_order
 from repoquarry.options import ReportOptions
-from repoquarry.sources.blobs import write_blobs
+from repoquarry.sources.committed import write_committed
 
 # Headings and wording of the report and of the prompt.
 TITLE = "# Project Documentation"
@@ -296,10 +296,11 @@ def prompt_previews(prompts: DataFrame, chars: int = 2000) -> DataFrame:
 def write_reports(reports: DataFrame, folder: str, as_files: bool = False) -> None:
     """Write reports with their file names as a Parquet table, or each as a Markdown file of that name.
 
-    The table suits any number of repositories; files are for a set small enough to browse.
+    The table suits any number of repositories; files are for a set small enough to browse. Either way
+    ``folder`` must not exist, and shows all reports or none.
     """
     if as_files:
         named = reports.select(F.col("file_name").alias("path"), F.col("report").alias("content"))
-        write_blobs(named, folder).write.format("noop").mode("overwrite").save()
+        write_committed(named, folder)
     else:
         reports.write.parquet(folder)

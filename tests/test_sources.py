@@ -1,6 +1,7 @@
 """Archives, directory trees, streams and the whole job."""
 
 import io
+import json
 import os
 import struct
 import warnings
@@ -18,6 +19,7 @@ from repoquarry.schemas import FILES
 from repoquarry.sources import archives as ar
 from repoquarry.sources import ranges
 from repoquarry.sources.blobs import opened, opened_scheme, qualified, write_blobs
+from repoquarry.sources.committed import write_committed
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
 from repoquarry.streaming.ingest import archive_stream, ingest_new_archives
@@ -265,6 +267,38 @@ def test_stream_takes_each_archive_once(spark, tmp_path):
     assert rows(spark.read.parquet(f"{out}/entries").where("error IS NOT NULL"), "repo_id") == [("junk",), ("skip",)]
 
 
+def test_committed_files_appear_together_or_not_at_all(spark, tmp_path):
+    folder = tmp_path / "out" / "files"
+    odd = ["a.md", "_b", ".c", "d e/é#.txt", "100%.md"]
+    data = [(p, f"content of {p}".encode(), 7) for p in odd] + [("empty", None, 0)]
+    df = spark.createDataFrame(data, "path string, content binary, n int").repartition(3)
+    write_committed(df, str(folder))
+
+    def files():
+        return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file()}
+
+    first = files()
+    manifest = json.loads(first.pop("_manifest.json"))
+    assert first == {p: c or b"" for p, c, _ in data}
+    assert manifest["files"] == 6 and manifest["bytes"] == sum(len(c or b"") for _, c, _ in data)
+    assert [p.name for p in folder.parent.iterdir()] == ["files"]
+    # What is there stays, unless it is to be replaced as a whole.
+    other = spark.createDataFrame([("new.md", b"new")], "path string, content binary")
+    with pytest.raises(Exception, match="is there already"):
+        write_committed(other, str(folder))
+    assert len(files()) == 7
+    # A job that fails after some files were written shows none of them.
+    broken = spark.range(40).select(F.format_string("f%d", "id").alias("path"), F.when(F.col("id") < 39, F.lit(b"x")).otherwise(F.raise_error(F.lit("broken")).cast("binary")).alias("content"))
+    for place, overwrite in ((folder, True), (folder.parent / "second", False)):
+        with pytest.raises(Exception, match="broken"):
+            write_committed(broken.repartition(4), str(place), overwrite)
+    assert len(files()) == 7 and [p.name for p in folder.parent.iterdir()] == ["files"]
+    write_committed(other, str(folder), overwrite=True)
+    assert set(files()) == {"new.md", "_manifest.json"} and [p.name for p in folder.parent.iterdir()] == ["files"]
+    write_committed(other.where("false"), str(folder.parent / "none"))
+    assert json.loads((folder.parent / "none" / "_manifest.json").read_text())["files"] == 0
+
+
 class Counting(io.BytesIO):
     """A file that counts what is read of it."""
 
