@@ -383,3 +383,6 @@ SELECT repo_id, path, cycle, count(*) OVER (PARTITION BY repo_id, cycle) AS cycl
 # Reports read other repositories than the queries on single files.
 for _name_of in [q for q in ORACLES if re.match(r"r([4-9]|10)_", q)]:
     ORACLES[_name_of] = ORACLES[_name_of].replace(fx.FILES, fx.GROUP_FILES)
+ORACLES["a2_maintained_counts"] = ORACLES["a2_scan_counts"]
+ORACLES["a3_maintained_languages"] = ORACLES["a3_by_language"]
+ORACLES["a9_maintained_imports"] = ORACLES["a9_import_usage"]

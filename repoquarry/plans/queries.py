@@ -23,6 +23,12 @@ from repoquarry.sources.blobs import write_blobs
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
 from repoquarry.streaming.ingest import archive_stream, ingest_new_archives
+from repoquarry.streaming.statistics import (
+    add_statistics,
+    maintained_by_language,
+    maintained_import_usage,
+    maintained_repo_stats,
+)
 
 SCAN = ScanOptions(
     max_upload_bytes=fx.MAX_UPLOAD_BYTES, max_extract_bytes=fx.MAX_EXTRACT_BYTES, max_file_bytes=fx.MAX_FILE_BYTES
@@ -459,6 +465,33 @@ def a9_import_levels(spark, sf):
     return imports.import_levels(records, imports.import_edges(records))
 
 
+def _arriving(spark, sf):
+    """Statistics of repositories that arrive in three batches, a third of them twice and at first in part."""
+    folder = new_folder(spark, "statistics")
+    records = materialize(_records(spark, sf), "file-records")
+    turn = F.pmod(F.crc32(F.col("repo_id").cast("binary")), F.lit(3))
+    early = records.where(turn == 0).where(F.col("language") == "python")
+    batches = [early.unionByName(records.where(turn == 1)), records.where(turn == 2), records.where(turn == 0)]
+    for number, batch in enumerate(batches):
+        add_statistics(batch, batch.select("repo_id"), folder, number)
+    return folder
+
+
+@query
+def a2_maintained_counts(spark, sf):
+    return maintained_repo_stats(spark, _arriving(spark, sf))
+
+
+@query
+def a3_maintained_languages(spark, sf):
+    return maintained_by_language(spark, _arriving(spark, sf))
+
+
+@query
+def a9_maintained_imports(spark, sf):
+    return maintained_import_usage(spark, _arriving(spark, sf))
+
+
 # Directory listing
 
 

@@ -22,8 +22,9 @@ from repoquarry.operators.naming import Names, root_of
 from repoquarry.operators.records import file_records
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import ARCHIVES
-from repoquarry.sources.archives import directories_of, files_of, refused_entries, upload_rejection
+from repoquarry.sources.archives import directories_of, files_of, refused_entries, repositories_of, upload_rejection
 from repoquarry.sources.ranges import opened_entries
+from repoquarry.streaming.statistics import add_statistics
 
 _NAMED = "path string, modificationTime timestamp, length bigint, unique_name string"
 _STATE = "names array<string>, following array<bigint>"
@@ -74,7 +75,7 @@ def _take_names(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
 def ingest_new_archives(
     uploads: DataFrame, folder: str, checkpoint: str, options: ScanOptions = ScanOptions()
 ) -> StreamingQuery:
-    """Append entries, refusals and file records of uploads that have arrived, then stop.
+    """Append entries, refusals, file records and statistics of uploads that have arrived, then stop.
 
     Each batch goes to a folder of its own, replaced as a whole, so a batch that is run again after a
     failure leaves no duplicates; its names are the same then, as the state is that of the batch before.
@@ -92,7 +93,9 @@ def ingest_new_archives(
         found.write.mode("overwrite").parquet(entries)
         stored = spark.read.parquet(entries)
         files = capped(files_of(stored), options.max_files, directories_of(stored))
-        file_records(files, options).write.mode("overwrite").parquet(f"{folder}/file_records/batch={batch_id}")
+        records = f"{folder}/file_records/batch={batch_id}"
+        file_records(files, options).write.mode("overwrite").parquet(records)
+        add_statistics(spark.read.parquet(records), repositories_of(stored), f"{folder}/statistics", batch_id)
 
     return (
         named_uploads(uploads, options)

@@ -22,7 +22,14 @@ from repoquarry.sources.blobs import opened, opened_scheme, qualified, write_blo
 from repoquarry.sources.committed import write_committed
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
+from repoquarry.operators.stats import import_usage, repo_stats
 from repoquarry.streaming.ingest import archive_stream, ingest_new_archives
+from repoquarry.streaming.statistics import (
+    add_statistics,
+    maintained_by_language,
+    maintained_import_usage,
+    maintained_repo_stats,
+)
 
 LIMITS = ScanOptions(max_upload_bytes=5000, max_extract_bytes=1000)
 
@@ -406,6 +413,34 @@ def test_stream_equals_a_whole_ingest(spark, tmp_path):
     assert {r[0] for r in rows(whole.where("error IS NULL"), "repo_id")} == {"main", "main_1", "main_1_1", "main_2"}
     records = spark.read.parquet(f"{tmp_path}/out/file_records")
     assert rows(records, "repo_id", "path") == [("main", "m.py"), ("main", "n.py"), ("main_1", "m.py"), ("main_2", "m.py")]
+    # Statistics kept batch by batch are those of all records, the empty repository included.
+    kept_there = f"{tmp_path}/out/statistics"
+    named = spark.createDataFrame([(r,) for r in ("main", "main_1", "main_1_1", "main_2")], "repo_id string")
+    assert rows(maintained_repo_stats(spark, kept_there)) == rows(repo_stats(records, named))
+    assert rows(maintained_by_language(spark, kept_there)) == [("main", "python", 2), ("main_1", "python", 1), ("main_2", "python", 1)]
+
+
+def test_statistics_of_repositories_that_come_again(spark, tmp_path):
+    schema = "repo_id string, path string, language string, status string, imports array<string>"
+    folder = str(tmp_path / "statistics")
+    batches = [
+        [("a", "x.py", "python", "scanned", ["os", "os", "sys"]), ("b", "y.js", "javascript", "error", None)],
+        [("c", "z.py", "python", "skipped", [])],
+        [("a", "w.ts", "typescript", "scanned", ["fs"]), ("a", "v.ts", "typescript", "scanned", ["fs"])],
+    ]
+    for number, found in enumerate(batches):
+        records = spark.createDataFrame(found, schema)
+        names = records.select("repo_id").unionByName(spark.createDataFrame([("empty",), (None,)], "repo_id string"))
+        add_statistics(records, names, folder, number)
+        add_statistics(records, names, folder, number)
+    every = spark.createDataFrame(batches[2] + batches[1] + batches[0][1:], schema)
+    named = spark.createDataFrame([(r,) for r in ("a", "b", "c", "empty")], "repo_id string")
+    assert rows(maintained_repo_stats(spark, folder)) == rows(repo_stats(every, named))
+    assert rows(maintained_import_usage(spark, folder)) == rows(import_usage(every))
+    # A repository that comes again without any file has none.
+    add_statistics(every.where("false"), named.where("repo_id = 'a'"), folder, 3)
+    assert rows(maintained_repo_stats(spark, folder).where("repo_id = 'a'")) == [("a", 0, 0, 0, 0)]
+    assert maintained_import_usage(spark, folder).count() == 0
 
 
 def rows_unsorted(df, columns):
