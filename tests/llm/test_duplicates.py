@@ -177,5 +177,58 @@ def test_estimates_are_unbiased_and_within_bounds():
         code = np.where(x @ turn > 0, 1, -1) / 8
         estimates.append(code @ (y @ turn) / (code @ (x @ turn)))
     assert abs(np.mean(estimates) - x @ y) < 4 * np.std(estimates) / 20
-    i, j = e.close_pairs(np.stack([x, y, x * 3]), None, 0.99)
+    i, j = e.close_pairs(np.stack([x, y, x * 3]), 0.99)
     assert list(zip(i, j)) == [(0, 2)]
+
+
+@pytest.mark.parametrize("d", [2, 16, 64, 300])
+def test_codes_decide_like_all_cosines(d):
+    draw = np.random.default_rng(d)
+    base = e.units(draw.standard_normal((40, d)))
+    near = np.repeat(base, 20, axis=0)
+    noise = draw.standard_normal(near.shape) * draw.uniform(0, 0.8, (len(near), 1)) / math.sqrt(d)
+    vectors = (near + noise) * draw.uniform(0.1, 9, (len(near), 1))
+    unit = e.units(vectors)
+    close = np.triu(unit @ unit.T >= 0.93, 1)
+    codes = e.encode(unit)
+    linked, undecided = (np.triu(m, 1) for m in e.decide(codes, codes, 0.93))
+    assert not (linked & ~close).any() and not (close & ~linked & ~undecided).any()
+    i, j = e.close_pairs(vectors, 0.93)
+    assert np.array_equal(np.argwhere(close), np.stack([i, j], axis=1))
+    if d >= 64:
+        assert undecided.sum() < 0.5 * close.sum() and linked.sum() > 0.5 * close.sum()
+
+
+def test_pairs_at_the_threshold_outlast_the_bound():
+    draw = np.random.default_rng(12)
+    for d in (16, 64, 256):
+        x, z = (e.units(draw.standard_normal((20000, d))) for _ in range(2))
+        z = e.units(z - np.einsum("ij,ij->i", x, z)[:, None] * x)
+        y = 0.9301 * x + math.sqrt(1 - 0.9301**2) * z
+        for first in range(0, len(x), 500):
+            one, other = (e.encode(part[first : first + 500]) for part in (x, y))
+            linked, undecided = e.decide(one, other, 0.93)
+            assert (np.diag(linked) | np.diag(undecided)).all()
+
+
+def test_vectors_of_a_label_above_a_bucket(spark):
+    draw = np.random.default_rng(2)
+    base = draw.standard_normal((1500, 24))
+    vectors = np.concatenate([base, base + 0.2 * draw.standard_normal(base.shape), base[:700] + 0.3 * draw.standard_normal((700, 24))])
+    rows = [(i, x, 1, 0, "c") for i, x in enumerate(vectors.astype("float32").tolist())]
+    unit = e.units(np.array([x for _, x, *_ in rows]))
+    close = unit @ unit.T >= 0.93
+    np.fill_diagonal(close, False)
+    found = {r.vec_id: r for r in e.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(found) == len(rows) > e.BUCKET
+    assert [found[i].n_links for i in range(len(rows))] == close.sum(axis=1).tolist()
+    named = classes(np.argwhere(np.triu(close)).tolist(), range(len(rows)))
+    assert {i: r.component_id for i, r in found.items()} == named
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_lists_with_nulls_between_others(spark, kind):
+    lists = [[1.0, 2.0], None, [], [3.0, None], [2.0, 4.0], [0.0, -0.0], [float("nan"), 1.0], [1.0, 2.0]]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(lists)], f"vec_id long, embedding array<{kind}>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in e.near_duplicates(df.coalesce(1)).collect()}
+    assert found == {0: (2, 0), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (2, 0), 5: (0, 5), 6: (0, 6), 7: (2, 0)}
