@@ -6,13 +6,13 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.llm.sharding import shard_by_bytes
@@ -85,6 +85,12 @@ def _committed(system: pafs.FileSystem, root: str, name: str, parts: list[bytes]
     return total, digest.hexdigest()
 
 
+def _key(page: Column, digest: Column) -> Column:
+    """Binary key that sorts like (page, digest) with nulls last."""
+    number = F.lpad(F.hex(F.coalesce(page, F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.unhex(F.concat(F.when(page.isNull(), F.lit("01")).otherwise(F.lit("00")), number)), digest)
+
+
 def write_warc(
     pages: DataFrame,
     folder: str,
@@ -96,9 +102,11 @@ def write_warc(
     """Archives of ``pages`` (page_id, url, html) below ``folder``; returns the stored manifest.
 
     Pages are sorted by (page_id, payload digest), nulls last, and cut into contiguous shards of about
-    ``shard_bytes``; the cuts are page ids at equal parts of the global prefix sum of payload bytes, so
-    they depend on the data only. A shard begins a new file once the compressed records reach
-    ``roll_bytes``. Equal input gives equal file names and bytes.
+    ``shard_bytes``; the cuts are (page_id, digest) keys at equal parts of the global prefix sum of payload
+    bytes, so they depend on the data only, and the payloads of one id, or of none, span as many shards as
+    they fill. Rows that agree in both stay together, as one of them is written whole and the others are
+    headers. A shard begins a new file once the compressed records reach ``roll_bytes``. Equal input gives
+    equal file names and bytes.
 
     Of records with equal payloads of at least ``least`` bytes the one with the smallest page id is the
     response and the others are revisits of it (repeated rows too); smaller payloads are all responses.
@@ -108,7 +116,7 @@ def write_warc(
 
     Tasks write files under names of their attempt and rename them; the manifest is committed by Spark
     and lists the files of successful tasks only, so readers never see what a lost executor left.
-    The driver holds one page id per shard: total bytes / ``shard_bytes`` numbers.
+    The driver holds one key of 29 bytes per shard: total bytes / ``shard_bytes`` keys.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
@@ -120,17 +128,16 @@ def write_warc(
 
     total = rows.agg(F.sum(F.length("payload") + 1)).head()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    cuts = shard_by_bytes(pages, shards, "page_id", "html").groupBy("shard").agg(F.min("page_id").alias("id"))
-    bounds = np.array(sorted(r.id for r in cuts.where("shard > 0 AND id IS NOT NULL").collect()), dtype=np.int64)
+    keyed = pages.select(_key(F.col("page_id").cast("bigint"), F.unhex(F.sha1(payload))).alias("key"), "html")
+    cuts = shard_by_bytes(keyed, shards, "key", "html").groupBy("shard").agg(F.min("key").alias("key"))
+    bounds = sorted({bytes(r.key) for r in cuts.where("shard > 0").collect()})
 
     @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        found = np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right")
-        return pd.Series(np.where(known, found, len(bounds)))
+    def shard(keys: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, bytes(key)) for key in keys], dtype="int32")
 
     held = digested.select("page_id", "digest", F.lit(False).alias("note"), F.lit(None).cast("bigint").alias("first"), "url", "payload")
-    both = held.unionByName(notes, allowMissingColumns=True).withColumn("shard", shard("page_id"))
+    both = held.unionByName(notes, allowMissingColumns=True).withColumn("shard", shard(_key(F.col("page_id"), F.col("digest"))))
     # Notes come before the records they speak of.
     dealt = both.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(
         "shard", F.col("page_id").asc_nulls_last(), "digest", F.col("note").desc()

@@ -91,6 +91,21 @@ def test_damage_is_an_error(spark, tmp_path):
         w.read_warc(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize("hot", [None, 7, -(2**62) - 1])
+def test_pages_of_one_id_span_shards(spark, tmp_path, hot):
+    rows = [(hot, f"http://a/{i}", f"<p>{i % 250}</p>" * 20) for i in range(300)] + [(i + 100, None, f"{i}") for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = w.write_warc(pages, str(tmp_path), shard_bytes=4000).collect()
+    assert sum(r.records for r in manifest) == len(rows)
+    shards = {}
+    for r in manifest:
+        shards[r.shard] = shards.get(r.shard, 0) + r.records
+    assert len(shards) > 10 and max(shards.values()) <= 150 + 25
+    found = w.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.url for r in found if r.page_id == hot) == sorted(u for i, u, _ in rows if i == hot)
+    assert sum(r.record_type == "revisit" for r in found) == 50
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
