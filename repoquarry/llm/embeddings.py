@@ -27,9 +27,11 @@ from repoquarry.llm.groups import sorted_groups
 from repoquarry.llm.process import kept
 from repoquarry.sources.shared import materialize
 
-# Buckets hold about so many vectors of a label, tiles at most about twice as many.
+# Buckets hold about so many vectors of a label, blocks at most about so many, and a tile is two blocks.
 BUCKET = 2048
-TILE = 512
+TILE = 2048
+# Rows of a tile estimated at a time.
+SLICE = 128
 # Chance that a pair exactly at the threshold shares no bucket. Closer pairs are missed more rarely.
 MISS = 1e-5
 # Width of the confidence bound in standard deviations of the estimate of a pair at the threshold: about
@@ -172,23 +174,20 @@ def _prepared(item: str):
     return run
 
 
-def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that already connect what all pairs connect."""
-    parent: dict[int, int] = {}
-    kept = []
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist()):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[y] = x
-            kept.append((a, b))
-    return kept
+def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that already connect what all pairs connect: every node and the smallest one it reaches."""
+    nodes, places = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = places[: len(i)], places[len(i) :]
+    low = np.arange(len(nodes))
+    while len(a):
+        x, y = low[a], low[b]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+        apart = low[a] != low[b]
+        a, b = a[apart], b[apart]
+    joined = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[joined]], nodes[joined]
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -330,13 +329,15 @@ def _tile(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     rows, columns = np.flatnonzero(block == low), np.flatnonzero(block == high)
     if not len(rows) or not len(columns):
         return
-    decided = decide(held.of(rows), held.of(columns), threshold)
-    found = []
-    for pairs in decided:
-        i, j = np.nonzero(np.triu(pairs, 1) if low == high else pairs)
-        i, j = rows[i], columns[j]
-        new = ~(codes[i, :t] == codes[j, :t]).any(axis=1) if t else np.ones(len(i), dtype=bool)
-        found.append((i[new], j[new]))
+    right, found = held.of(columns), ([], [])
+    for first in range(0, len(rows), SLICE):
+        part = rows[first : first + SLICE]
+        for pairs, list_of in zip(decide(held.of(part), right, threshold), found):
+            i, j = np.nonzero(np.triu(pairs, first + 1) if low == high else pairs)
+            i, j = part[i], columns[j]
+            new = ~(codes[i, :t] == codes[j, :t]).any(axis=1) if t else np.ones(len(i), dtype=bool)
+            list_of.append(np.stack([i[new], j[new]]))
+    found = [np.concatenate(pairs, axis=1) for pairs in found]
     kind = table.schema.field("id").type
     if len(found[0][0]):
         batch = _links(table.column("id").to_pylist(), table.column("n").to_numpy(), *found[0], kind)
@@ -376,8 +377,8 @@ def _links(ids: list, n: np.ndarray, i: np.ndarray, j: np.ndarray, kind: pa.Data
     """Counts of links and a spanning forest of linked pairs."""
     links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
     some = np.flatnonzero(links)
-    forest = _forest(i, j)
-    a = [ids[k] for k in some] + [ids[x] for x, _ in forest]
-    b = [None] * len(some) + [ids[y] for _, y in forest]
-    counted = links[some].astype(int).tolist() + [None] * len(forest)
+    low, node = _forest(i, j)
+    a = [ids[k] for k in some] + [ids[k] for k in low]
+    b = [None] * len(some) + [ids[k] for k in node]
+    counted = links[some].astype(int).tolist() + [None] * len(node)
     return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(counted, pa.int64())], ["a", "b", "links"])
