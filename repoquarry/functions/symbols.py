@@ -36,7 +36,9 @@ _OPENS_WITH_WORD = {JS_FUNCTIONS[2], JAVA_FUNCTIONS[0]}
 
 
 def _captures(source: Column, patterns: list[str]) -> Column:
-    """Distinct captured names in sorted order."""
+    """Distinct captured names in sorted order; a language may have no pattern for a kind."""
+    if not patterns:
+        return F.array().cast("array<string>")
     found = [
         F.regexp_extract_all(source, F.lit(java_pattern(_WORD_HEAD + p if p in _OPENS_WITH_WORD else p)), F.lit(1))
         for p in patterns

@@ -10,7 +10,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions.languages import PARSEABLE_LANGUAGES, ends_like_code, is_code, is_parseable, language_of
+from repoquarry.functions.languages import (
+    LANGUAGE_BY_EXTENSION,
+    PARSEABLE_LANGUAGES,
+    Extensions,
+    ends_like_code,
+    is_code,
+    is_parseable,
+    language_of,
+)
 from repoquarry.functions.numbers import kib_text
 from repoquarry.functions.paths import ancestors, raw_suffix, walk_key
 from repoquarry.functions.text import decode_utf8, universal_newlines
@@ -20,18 +28,22 @@ from repoquarry.operators.ranking import first_per_key
 OVERSIZE = "file too large (>1MB)"
 
 
-def code_files(files: DataFrame) -> DataFrame:
+def code_files(files: DataFrame, extensions: Extensions = LANGUAGE_BY_EXTENSION) -> DataFrame:
     """Files with one of the supported extensions, in any case."""
-    return files.where(is_code(F.col("path")))
+    return files.where(is_code(F.col("path"), extensions))
 
 
-def parseable_files(files: DataFrame, languages: Iterable[str] = PARSEABLE_LANGUAGES) -> DataFrame:
+def parseable_files(
+    files: DataFrame, languages: Iterable[str] = PARSEABLE_LANGUAGES, extensions: Extensions = LANGUAGE_BY_EXTENSION
+) -> DataFrame:
     """Files in a language that symbols are extracted from."""
-    return files.where(is_parseable(F.col("path"), languages))
+    return files.where(is_parseable(F.col("path"), languages, extensions))
 
 
-def with_language(files: DataFrame, default: str = "unknown") -> DataFrame:
-    return files.withColumn("language", language_of(F.col("path"), default))
+def with_language(
+    files: DataFrame, default: str = "unknown", extensions: Extensions = LANGUAGE_BY_EXTENSION
+) -> DataFrame:
+    return files.withColumn("language", language_of(F.col("path"), default, extensions))
 
 
 def oversize_mark(size: Column, max_file_bytes: int) -> Column:
@@ -80,14 +92,14 @@ def capped(files: DataFrame, max_files: int | None, directories: DataFrame | Non
     return files if max_files is None else before_end(files, cap_ends(files, max_files, directories))
 
 
-def viewer_files(files: DataFrame) -> DataFrame:
+def viewer_files(files: DataFrame, extensions: Extensions = LANGUAGE_BY_EXTENSION) -> DataFrame:
     """Code files of the viewer: extensions are compared with case, and nothing is capped."""
-    return files.where(ends_like_code(F.col("path")))
+    return files.where(ends_like_code(F.col("path"), extensions))
 
 
-def file_metrics(files: DataFrame) -> DataFrame:
+def file_metrics(files: DataFrame, extensions: Extensions = LANGUAGE_BY_EXTENSION) -> DataFrame:
     """Size, extension and number of code files shown beside each code file."""
-    shown = viewer_files(files).select("repo_id", "path", "bytes")
+    shown = viewer_files(files, extensions).select("repo_id", "path", "bytes")
     totals = shown.groupBy("repo_id").agg(F.count("*").alias("total_files"))
     extension = raw_suffix(F.col("path"))
     return shown.join(totals, "repo_id").select(
@@ -99,9 +111,11 @@ def file_metrics(files: DataFrame) -> DataFrame:
     )
 
 
-def previews(files: DataFrame, preview_chars: int = 500 * 1024) -> DataFrame:
+def previews(
+    files: DataFrame, preview_chars: int = 500 * 1024, extensions: Extensions = LANGUAGE_BY_EXTENSION
+) -> DataFrame:
     """Text of every code file; of files above the limit in bytes, that many leading characters."""
     text = universal_newlines(decode_utf8(F.col("content")))
     head = F.when(F.col("bytes") > preview_chars, F.substring(text, 1, preview_chars)).otherwise(text)
-    language = language_of(F.col("path"), "text")
-    return viewer_files(files).select("repo_id", "path", language.alias("language"), head.alias("preview"))
+    language = language_of(F.col("path"), "text", extensions)
+    return viewer_files(files, extensions).select("repo_id", "path", language.alias("language"), head.alias("preview"))

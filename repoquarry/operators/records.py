@@ -20,10 +20,11 @@ def file_records(
 ) -> DataFrame:
     """Symbols of every file in Python or a language of ``extractors``, in one pass and without a shuffle.
 
-    Content above the size limit is dropped by its size before it is decoded. Python files go to the
+    Extensions of a language are those of ``options``; a language without one is an error, as no file
+    could be in it. Content above the size limit is dropped by its size before it is decoded. Python files go to the
     Arrow job as bytes, all others to regular expressions as text.
     """
-    return _extracted(files.where(_is_read(extractors)), options, extractors).drop("manifest")
+    return _extracted(files.where(_is_read(options, extractors)), options, extractors).drop("manifest")
 
 
 def records_and_manifests(
@@ -34,7 +35,7 @@ def records_and_manifests(
     For a job that needs both, this reads all contents once instead of twice. Store the result, then
     split it with ``records_of`` and ``manifests_of``.
     """
-    wanted = _is_read(extractors) | is_manifest(F.col("path"), options.strip_top_level)
+    wanted = _is_read(options, extractors) | is_manifest(F.col("path"), options.strip_top_level)
     return _extracted(files.where(wanted), options, extractors)
 
 
@@ -47,19 +48,24 @@ def manifests_of(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("manifest").isNotNull()).select("repo_id", "path", F.col("manifest").alias("content"))
 
 
-def _is_read(extractors: dict[str, Extractor]) -> Column:
-    return is_parseable(F.col("path"), ["python", *extractors])
+def _is_read(options: ScanOptions, extractors: dict[str, Extractor]) -> Column:
+    languages = ["python", *extractors]
+    if unreached := set(languages) - set(options.extensions.values()):
+        raise ValueError(f"no extension names {', '.join(sorted(unreached))}")
+    return is_parseable(F.col("path"), languages, options.extensions)
 
 
 def _extracted(files: DataFrame, options: ScanOptions, extractors: dict[str, Extractor]) -> DataFrame:
     language = F.col("language")
     skipped = oversize_mark(F.col("bytes"), options.max_file_bytes)
     manifest = F.when(is_manifest(F.col("path"), options.strip_top_level), F.col("content"))
+    # A manifest may have the extension of a language that is not read.
+    named = F.when(_is_read(options, extractors), language_of(F.col("path"), extensions=options.extensions))
     routed = files.select(
         "repo_id",
         "path",
         "bytes",
-        language_of(F.col("path")).alias("language"),
+        F.coalesce(named, F.lit(UNKNOWN)).alias("language"),
         skipped.alias("skipped"),
         F.when(skipped.isNull(), F.col("content")).alias("kept"),
         manifest.alias("manifest"),

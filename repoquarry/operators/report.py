@@ -6,20 +6,19 @@ repository, and each section is an array expression over that row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.functions.languages import PARSEABLE_LANGUAGES
+from repoquarry.functions.languages import LANGUAGE_BY_EXTENSION, Extensions
 from repoquarry.functions.numbers import kib_text
 from repoquarry.functions.text import head_lines, lines
 from repoquarry.operators import manifests as m
 from repoquarry.operators.ranking import first_per_key
-from repoquarry.operators.stats import by_language, largest_files, repo_stats
-from repoquarry.operators.summaries import NO_FILES, bullet_summaries, in_walk_order
+from repoquarry.operators.stats import largest_files, repo_counts
+from repoquarry.operators.summaries import NO_FILES, bullet_lines, in_walk_order, more_line
 from repoquarry.options import ReportOptions
 from repoquarry.sources.committed import write_committed
 
@@ -83,7 +82,7 @@ def repo_profiles(
     options: ReportOptions = ReportOptions(),
     considered: DataFrame | None = None,
     repositories: DataFrame | None = None,
-    languages: Iterable[str] = PARSEABLE_LANGUAGES,
+    extensions: Extensions = LANGUAGE_BY_EXTENSION,
 ) -> DataFrame:
     """One row per repository with everything a report or prompt needs.
 
@@ -94,21 +93,11 @@ def repo_profiles(
     callers pass it from a table rather than from the extraction itself.
     """
     considered = files if considered is None else considered
-    counts = by_language(considered, languages).groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("language", "n_files"))).alias("languages")
-    )
-    largest = largest_files(considered, options.largest_files).groupBy("repo_id").agg(
+    counts = repo_counts(records)
+    largest = largest_files(considered, options.largest_files, extensions).groupBy("repo_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "path", "bytes"))).alias("largest")
     )
-    scanned = records.where(F.col("status") == "scanned").select(
-        "repo_id",
-        "path",
-        "language",
-        *[F.slice(F.col(kind), 1, options.report_names).alias(kind) for kind in ("classes", "functions")],
-    )
-    first = first_per_key(scanned, ["repo_id"], in_walk_order(), options.report_key_files, spread=["path"])
-    described = F.struct("rank", "path", "language", "classes", "functions")
-    key_files = first.groupBy("repo_id").agg(F.array_sort(F.collect_list(described)).alias("key_files"))
+    files_shown = _shown_files(records, options)
     shown = max(options.report_node_dependencies, options.prompt_dependencies)
     package = F.struct(
         "name",
@@ -122,11 +111,9 @@ def repo_profiles(
         ],
     )
     parts = [
-        repo_stats(records),
         counts,
         largest,
-        key_files,
-        bullet_summaries(records, options.prompt_files, options.bullet_names).withColumnRenamed("summary", "bullets"),
+        files_shown,
         m.packages(manifests).select("repo_id", package.alias("package")),
         m.shown_texts(
             manifests,
@@ -137,9 +124,38 @@ def repo_profiles(
     ]
     every = (files if repositories is None else repositories).select("repo_id").distinct()
     joined = reduce(lambda left, part: left.join(part, "repo_id", "left"), parts, every)
+    more = F.col("total_considered") - options.prompt_files
+    more = F.when(more > 0, more_line(more))
+    joined = joined.withColumn("bullets", F.when(F.col("bullets").isNotNull(), F.concat_ws("\n", "bullets", more)))
     return joined.fillna(0, list(STATISTIC_LABELS)).fillna(NO_FILES, ["bullets"])
 
 
+def _shown_files(records: DataFrame, options: ReportOptions) -> DataFrame:
+    """(repo_id, key_files, bullets): the first scanned files, and bullets of the first files of any status.
+
+    Scanned files and others are cut apart to the longer of both lists, so one pass serves either.
+    """
+    shown = records.select(
+        "repo_id",
+        "path",
+        "language",
+        (F.col("status") == "scanned").alias("is_scanned"),
+        *[F.slice(F.col(kind), 1, options.report_names).alias(kind) for kind in ("classes", "functions")],
+        F.array_join(bullet_lines(options.bullet_names), "\n").alias("bullet"),
+    )
+    longest = max(options.report_key_files, options.prompt_files)
+    first = first_per_key(shown, ["repo_id", "is_scanned"], in_walk_order(), longest, spread=["path"])
+    row = F.struct(*[c.alias(f"key{i}") for i, c in enumerate(in_walk_order())], *shown.columns[1:])
+    listed = first.groupBy("repo_id").agg(F.array_sort(F.collect_list(row)).alias("files"))
+    scanned = F.slice(F.filter("files", lambda f: f["is_scanned"]), 1, options.report_key_files)
+    described = F.transform(
+        scanned,
+        lambda f, i: F.struct((i + 1).alias("rank"), *[f[c].alias(c) for c in ("path", "language", "classes", "functions")]),
+    )
+    bullets = F.transform(F.slice("files", 1, options.prompt_files), lambda f: f["bullet"])
+    return listed.select("repo_id", described.alias("key_files"), F.array_join(bullets, "\n").alias("bullets"))
+
+
 def stats_summary() -> Column:
     """Statistics of a profile row as lines of text; errors are not part of it."""
     counts = [F.format_string(f"{c}: %d", F.col(c)) for c in SUMMARY_COUNTS]

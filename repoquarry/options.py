@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
+from repoquarry.functions.languages import LANGUAGE_BY_EXTENSION
 
 MIB = 1024 * 1024
 
@@ -16,6 +19,7 @@ class ScanOptions:
     the whole repository is scanned. ``drop_git`` leaves out what lies in ``.git``, as for clones. ``extended_python`` also reports async functions, ``from`` imports
     and every alias; ``strict_names`` strips ``.git`` only at the end of a URL; ``strip_top_level``
     removes the single wrapping folder many archives have before root-level manifests are looked up.
+    ``extensions`` names the language of each file extension; ``extension_table`` reads it from a table.
     """
 
     max_upload_bytes: int = 100 * MIB
@@ -26,14 +30,15 @@ class ScanOptions:
     extended_python: bool = False
     strict_names: bool = False
     strip_top_level: bool = False
+    extensions: Mapping[str, str] = field(default_factory=lambda: dict(LANGUAGE_BY_EXTENSION), hash=False)
 
     @classmethod
     def from_env(cls, **overrides) -> ScanOptions:
         """Defaults overridden by MAX_UPLOAD_BYTES, MAX_EXTRACT_BYTES and MAX_FILE_BYTES."""
         found = {
-            field: int(os.environ[field.upper()])
-            for field in ("max_upload_bytes", "max_extract_bytes", "max_file_bytes")
-            if field.upper() in os.environ
+            name: int(os.environ[name.upper()])
+            for name in ("max_upload_bytes", "max_extract_bytes", "max_file_bytes")
+            if name.upper() in os.environ
         }
         return cls(**{**found, **overrides})
 

@@ -75,7 +75,7 @@ def analyze(
     everything else works on names, sizes and the tables written before. ``repositories`` names all
     repositories, so those without a file get a listing, statistics and a report too; by default
     ``files`` and ``directories`` give them. ``extractors`` name the languages read beside Python, in records
-    and in statistics alike.
+    and in statistics alike, and ``options.extensions`` the files that are in them.
     """
     spark, languages = files.sparkSession, ["python", *extractors]
 
@@ -103,7 +103,7 @@ def analyze(
     scanned = stored("scanned", records_and_manifests(kept, options, extractors))
     manifests = root_manifests(manifests_of(scanned), listing if options.strip_top_level else None)
     records = stored("file_records", records_of(scanned))
-    profiles = stored("profiles", repo_profiles(listing, records, manifests, report, considered, every, languages))
+    profiles = stored("profiles", repo_profiles(listing, records, manifests, report, considered, every, options.extensions))
     return {
         "repositories": every,
         "refused_repositories": too_large,
@@ -114,8 +114,8 @@ def analyze(
         "symbol_index": stored("symbol_index", symbol_index(records)),
         "import_usage": stored("import_usage", import_usage(records)),
         "repo_stats": stored("repo_stats", repo_stats(records, every)),
-        "by_language": stored("by_language", by_language(considered, languages)),
-        "largest_files": stored("largest_files", largest_files(considered, report.largest_files)),
+        "by_language": stored("by_language", by_language(considered, languages, options.extensions)),
+        "largest_files": stored("largest_files", largest_files(considered, report.largest_files, options.extensions)),
         "tree": stored("tree", tree_lines(listing, report.tree_entries, directories, every)),
         "reports": stored("reports", reports(profiles, generated_at, report)),
         "prompts": stored("prompts", prompts(profiles, instructions, report)),

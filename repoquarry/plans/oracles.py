@@ -61,6 +61,10 @@ r AS (SELECT repo_id, path, walk, language, {_kind("functions")}, {_kind("classe
 """
 
 
+def _joined(pattern: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(regexp_extract_all(t, '{pattern}', 1))), ',')"
+
+
 def _unnest(cte: str, kind: str, columns: str, where: str) -> str:
     return f"WITH {cte} SELECT {columns}, unnest({kind}) AS name FROM p WHERE {where}"
 
@@ -324,6 +328,8 @@ SELECT req_id, coalesce(repository, '') AS repository, CASE WHEN repository IS N
     "a8_language_list": f"WITH {_F} SELECT repo_id, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages FROM p GROUP BY repo_id",
     "a9_import_usage": f"WITH {_REC} SELECT module, count(*) AS n_files, count(DISTINCT repo_id) AS n_repos FROM (SELECT repo_id, path, unnest(imports) AS module FROM r) x GROUP BY module",
     "a10_added_language": f"WITH {_F}, g AS (SELECT repo_id, language, count(*) AS n_files FROM f WHERE language IN ('python', 'javascript', 'typescript', 'java', 'go') GROUP BY ALL) SELECT repo_id, language, n_files, n_files AS n_records, CAST(sum(n_files) OVER (PARTITION BY repo_id) AS BIGINT) AS total_considered FROM g",
+    "a10_open_languages": f"WITH {_F}, o AS (SELECT repo_id, path, CASE suffix WHEN '.md' THEN 'prose' ELSE 'golang' END AS language, CASE WHEN bytes > {fx.MAX_FILE_BYTES} THEN '' ELSE content END AS t, CASE WHEN bytes > {fx.MAX_FILE_BYTES} THEN 'skipped' ELSE 'scanned' END AS status FROM f WHERE suffix IN ('.md', '.go')) SELECT repo_id, path, language, {_joined('([0-9]+)')} AS functions, {_joined('([A-Z])[a-z]')} AS classes, {_joined('([a-z]+)[.]')} AS imports, status FROM o",
+    "a1_count_totals": f"WITH {_REC} SELECT repo_id, language, status, CAST(grouping(repo_id, language, status) AS INT) AS level, count(*) AS n_files FROM r GROUP BY GROUPING SETS ((repo_id, language, status), (repo_id, language), (repo_id), (language, status), ())",
     "t1_tree": f"WITH {_F}, {_tree('f', 1000)} SELECT repo_id, pos, line FROM tr",
     "t2_tree_cut": f"WITH {_F}, {_tree('f', fx.MAX_ENTRIES)} SELECT repo_id, pos, line FROM tr",
     "t3_tree_empty": f"WITH {_F}, {_tree('f', fx.MAX_ENTRIES)} SELECT repo_id, coalesce(pos, 1) AS pos, coalesce(line, '(empty or invalid repository)') AS line FROM (SELECT DISTINCT repo_id FROM f UNION SELECT repo_id || '-empty' FROM f) e LEFT JOIN tr USING (repo_id)",

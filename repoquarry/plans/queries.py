@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.functions import numbers, paths, symbols, text, urls
-from repoquarry.functions.languages import language_of
+from repoquarry.functions.languages import extension_table, language_of
 from repoquarry.operators import files as fo
 from repoquarry.operators import guards, imports, layout, manifests, report, requests, stats, summaries, tree
 from repoquarry.operators.records import file_records, symbol_index
@@ -452,6 +453,24 @@ def a10_added_language(spark, sf):
     return stats.by_language(files, languages).join(read, ["repo_id", "language"]).join(totals, "repo_id")
 
 
+@query
+def a10_open_languages(spark, sf):
+    """Languages of a table of extensions, one of them new and one renamed, read by extractors of their own."""
+    table = spark.createDataFrame([("MD", "prose"), (".go", "golang"), ("md", "prose")], "extension string, language string")
+    prose = symbols.regex_extractor([r"([0-9]+)"], [r"([A-Z])[a-z]"], [r"([a-z]+)[.]"])
+    options = replace(SCAN, extensions=extension_table(table))
+    added = {"prose": prose, "golang": prose}
+    read = file_records(fx.files(spark, sf), options, added).where(F.col("language").isin(list(added)))
+    names = [F.array_join(kind, ",").alias(kind) for kind in ("functions", "classes", "imports")]
+    return read.select("repo_id", "path", "language", *names, "status")
+
+
+@query
+def a1_count_totals(spark, sf):
+    """Counts by repository, language and status, and all their totals up to the corpus."""
+    return stats.count_totals(_records(spark, sf))
+
+
 @query
 def a9_import_edges(spark, sf):
     """Imports that name a file of the same repository."""

@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from repoquarry.functions import languages
 from repoquarry.functions.symbols import JAVA_CLASSES, REGEX_EXTRACTORS, regex_extractor
 from repoquarry.operators import files as fo
 from repoquarry.operators import guards, layout, manifests, naming, requests, stats, summaries, tree
@@ -263,6 +264,66 @@ def test_filters_differ_in_case(spark):
     assert rows(fo.viewer_files(files), "path") == [(".py",), ("a.py",), ("b.go",)]
 
 
+def extension_rows(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "extension string, language string")
+
+
+def test_extension_table_adds_and_renames(spark):
+    found = languages.extension_table(extension_rows(spark, ("KT", "kotlin"), (".kt", " kotlin "), ("go", "golang")))
+    assert found == {**languages.LANGUAGE_BY_EXTENSION, ".kt": "kotlin", ".go": "golang"}
+    assert languages.extension_table(extension_rows(spark), {}) == {}
+    files = paths_table(spark, {"r": ["a.KT", "b.kt", "c.go", "d.py", "kt", "e.md"]})
+    assert rows(fo.code_files(files, found), "path") == [("a.KT",), ("b.kt",), ("c.go",), ("d.py",)]
+    assert rows(fo.viewer_files(files, found), "path") == [("b.kt",), ("c.go",), ("d.py",)]
+    assert rows(fo.parseable_files(files, ["golang"], found), "path") == [("c.go",)]
+    named = fo.with_language(files, extensions=found)
+    assert [r[1] for r in rows(named, "path", "language")] == ["kotlin", "kotlin", "golang", "python", "unknown", "unknown"]
+    assert rows(stats.by_language(files, ["python", "kotlin"], found), "language", "n_files") == [("kotlin", 2), ("python", 1)]
+    assert stats.file_counts(files, ["kotlin"], found).collect()[0][1:] == (3, 2)
+
+
+@pytest.mark.parametrize("wrong", [("d.ts", "x"), ("a/b", "x"), ("", "x"), (None, "x"), ("q", None), ("q", " "), ("q", "unknown")])
+def test_extension_table_refuses_what_no_file_can_have(spark, wrong):
+    with pytest.raises(ValueError, match="not an extension"):
+        languages.extension_table(extension_rows(spark, ("kt", "kotlin"), wrong))
+
+
+def test_extension_table_is_bounded_and_unambiguous(spark, monkeypatch):
+    with pytest.raises(ValueError, match="two languages: .kt"):
+        languages.extension_table(extension_rows(spark, ("kt", "kotlin"), ("KT", "other"), ("a", "b")))
+    monkeypatch.setattr(languages, "MOST_EXTENSIONS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        languages.extension_table(extension_rows(spark, ("a", "x"), ("b", "x"), ("c", "x")))
+
+
+def test_records_of_an_added_language(spark):
+    files = files_table(spark, {("r", "a.kt"): b"fun one() {}", ("r", "package.json"): b"{}", ("r", "b.py"): b"import os"})
+    kotlin = {"kotlin": regex_extractor([r"fun\s+(\w+)"], [], [])}
+    with pytest.raises(ValueError, match="no extension names kotlin"):
+        file_records(files, extractors=kotlin)
+    options = ScanOptions(extensions={".kt": "kotlin", ".py": "python", ".json": "json"})
+    found = records_and_manifests(files, options, kotlin)
+    assert rows(records_of(found), "path", "language", "functions") == [("a.kt", "kotlin", ["one"]), ("b.py", "python", [])]
+    assert rows(manifests_of(found), "path") == [("package.json",)]
+    assert ScanOptions() == ScanOptions() and hash(ScanOptions())
+
+
+def test_count_totals_and_repo_counts(spark):
+    data = [("r", "java", "scanned"), ("r", "java", "error"), ("r", "c", "skipped"), ("s", "c", "scanned")]
+    records = spark.createDataFrame(data, "repo_id string, language string, status string")
+    expected = Counter()
+    for repo, language, status in data:
+        keys = [(repo, language, status, 0), (repo, language, None, 1), (repo, None, None, 3)]
+        expected.update([*keys, (None, language, status, 4), (None, None, None, 7)])
+    found = {tuple(r)[:4]: r.n_files for r in stats.count_totals(records).collect()}
+    assert found == expected
+    assert stats.count_totals(records.where("false")).count() == 0
+    assert rows(stats.repo_counts(records)) == [
+        ("r", 3, 1, 1, 1, [("c", 1), ("java", 2)]),
+        ("s", 1, 1, 0, 0, [("c", 1)]),
+    ]
+
+
 def test_file_metrics(spark):
     files = files_table(spark, {("r", "a.tsx"): b"x" * 128, ("r", ".py"): b"", ("r", "X.PY"): b""})
     assert rows(fo.file_metrics(files)) == [("r", ".py", "0.00 KB", "Unknown", 2), ("r", "a.tsx", "0.12 KB", "TSX", 2)]
