@@ -35,14 +35,16 @@ _WORD_HEAD = r"(?:\G|(?<!\w)(?=\w))"
 _OPENS_WITH_WORD = {JS_FUNCTIONS[2], JAVA_FUNCTIONS[0]}
 
 
+def pattern_of(pattern: str) -> str:
+    """``pattern`` as Spark runs it."""
+    return java_pattern(_WORD_HEAD + pattern if pattern in _OPENS_WITH_WORD else pattern)
+
+
 def _captures(source: Column, patterns: list[str]) -> Column:
     """Distinct captured names in sorted order; a language may have no pattern for a kind."""
     if not patterns:
         return F.array().cast("array<string>")
-    found = [
-        F.regexp_extract_all(source, F.lit(java_pattern(_WORD_HEAD + p if p in _OPENS_WITH_WORD else p)), F.lit(1))
-        for p in patterns
-    ]
+    found = [F.regexp_extract_all(source, F.lit(pattern_of(p)), F.lit(1)) for p in patterns]
     return F.array_sort(F.array_distinct(reduce(lambda a, b: F.concat(a, b), found)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # The line boundaries of str.splitlines(): those of Unicode and three information separators.
-_LINE_END = r"\R|[\x1C-\x1E]"
+LINE_END = r"\R|[\x1C-\x1E]"
 
 _REPLACEMENT = "\ufffd"
 _ESCAPE = "\uf8ff"
@@ -50,7 +50,7 @@ def lines(text: Column, limit: int | None = None) -> Column:
         count = F.when(F.element_at(parts, -1) == "", F.size(parts) - 1).otherwise(F.size(parts))
         return F.slice(parts, F.lit(1), count if limit is None else F.least(count, F.lit(limit)))
 
-    return computed_once(F.split(text, _LINE_END, -1 if limit is None else limit + 1), without_empty_end)
+    return computed_once(F.split(text, LINE_END, -1 if limit is None else limit + 1), without_empty_end)
 
 
 def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:

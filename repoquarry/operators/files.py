@@ -19,14 +19,11 @@ from repoquarry.functions.languages import (
     is_parseable,
     language_of,
 )
-from repoquarry.functions.numbers import kib_text
+from repoquarry.functions.numbers import OVERSIZE, kib_text
 from repoquarry.functions.paths import ancestors, raw_suffix, walk_key
 from repoquarry.functions.text import decode_utf8, universal_newlines
 from repoquarry.operators.ranking import first_per_key
 
-# Fixed value: the mark of a file above the size limit.
-OVERSIZE = "file too large (>1MB)"
-
 
 def code_files(files: DataFrame, extensions: Extensions = LANGUAGE_BY_EXTENSION) -> DataFrame:
     """Files with one of the supported extensions, in any case."""

@@ -318,6 +318,7 @@ SELECT req_id, coalesce(repository, '') AS repository, CASE WHEN repository IS N
     "x13_file_record": f"WITH {_REC} SELECT repo_id, path, language, array_to_string(functions, ',') AS functions, array_to_string(classes, ',') AS classes, array_to_string(imports, ',') AS imports, '' AS error, coalesce(skipped, '') AS skipped, bytes FROM r",
     "x14_status": f"WITH {_REC} SELECT path, status FROM r",
     "x15_symbol_index": _symbols("repo_id, path, language, 'KIND' AS kind, CAST(i AS INT) AS pos, names[i + 1] AS name"),
+    "x15_sql_symbols": _symbols("repo_id, path, language, 'KIND' AS kind, CAST(i AS INT) AS pos, names[i + 1] AS name"),
     "a1_total_considered": f"WITH {_F} SELECT repo_id, count(*) AS total_considered FROM p GROUP BY repo_id",
     "a2_scan_counts": f"WITH {_REC} SELECT repo_id, count(*) AS total_considered, CAST(sum(CASE WHEN status = 'scanned' THEN 1 ELSE 0 END) AS BIGINT) AS scanned, CAST(sum(CASE WHEN status = 'skipped' THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors FROM r GROUP BY repo_id",
     "a3_by_language": f"WITH {_F} SELECT repo_id, language, count(*) AS n_files FROM p GROUP BY repo_id, language",
@@ -335,6 +336,7 @@ SELECT req_id, coalesce(repository, '') AS repository, CASE WHEN repository IS N
     "t3_tree_empty": f"WITH {_F}, {_tree('f', fx.MAX_ENTRIES)} SELECT repo_id, coalesce(pos, 1) AS pos, coalesce(line, '(empty or invalid repository)') AS line FROM (SELECT DISTINCT repo_id FROM f UNION SELECT repo_id || '-empty' FROM f) e LEFT JOIN tr USING (repo_id)",
     "m1_readme_pick": f"WITH {_DOC_MAN}, {_README} SELECT repo_id, path, md5(readme) AS digest FROM rd",
     "m2_head_lines": f"SELECT doc_id, CAST(length(head) AS INT) AS n_chars, md5(head) AS digest, short FROM (SELECT doc_id, array_to_string({_lines('text')}[1:50], chr(10)) AS head, array_to_string({_lines('text')}[1:2], chr(10)) AS short FROM ({fx.MARKDOWN}) x) y",
+    "m2_sql_head_lines": f"SELECT doc_id, CAST(i AS INT) AS pos, md5(found[i + 1]) AS digest FROM (SELECT doc_id, found, unnest(range(least(50, len(found)))) AS i FROM (SELECT doc_id, {_lines('text')} AS found FROM ({fx.MARKDOWN}) x) y) z",
     "m3_package_json": f"WITH {_DOC_MAN}, {_PACKAGE} SELECT repo_id, CAST(len(json_keys(j, '$.dependencies')) AS INT) AS n_dependencies, CAST(len(json_keys(j, '$.devDependencies')) AS INT) AS n_dev_dependencies FROM pk",
     "m4_package_identity": f"WITH {_DOC_MAN}, {_PACKAGE} SELECT repo_id, coalesce(j->>'$.name', 'N/A') AS name, coalesce(j->>'$.version', 'N/A') AS version, coalesce(j->>'$.description', 'N/A') AS description FROM pk",
     "m5_node_dependencies": _dependencies("dependencies", 50),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions import numbers, paths, symbols, text, urls
 from repoquarry.functions.languages import extension_table, language_of
+from repoquarry.functions.tables import register
 from repoquarry.operators import files as fo
 from repoquarry.operators import guards, imports, layout, manifests, report, requests, stats, summaries, tree
 from repoquarry.operators.records import file_records, symbol_index
@@ -395,6 +396,31 @@ def x15_symbol_index(spark, sf):
     return symbol_index(_records(spark, sf))
 
 
+@query
+def x15_sql_symbols(spark, sf):
+    """The symbol index in SQL text alone, by table functions."""
+    register(spark)
+    return spark.sql(
+        """
+        SELECT repo_id, path, s.* FROM {files}, LATERAL file_verdict(path, bytes, {most}) v,
+          LATERAL code_symbols(path, CAST(content AS STRING)) s WHERE v.skipped IS NULL
+        UNION ALL
+        SELECT repo_id, path, v.language, s.* FROM {files}, LATERAL file_verdict(path, bytes, {most}) v,
+          LATERAL python_symbols(content) s WHERE v.skipped IS NULL AND v.language = 'python'
+        """,
+        files=fx.files(spark, sf),
+        most=fx.MAX_FILE_BYTES,
+    )
+
+
+@query
+def m2_sql_head_lines(spark, sf):
+    """First lines of every text in SQL text alone."""
+    register(spark)
+    text = "SELECT doc_id, pos, md5(line) AS digest FROM {docs}, LATERAL head_lines(text, 50)"
+    return spark.sql(text, docs=fx.markdown(spark, sf))
+
+
 # Statistics
 
 

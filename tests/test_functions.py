@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from repoquarry.functions import languages, numbers, paths, symbols, text, urls
+from repoquarry.functions import languages, numbers, paths, symbols, tables, text, urls
 
 RANDOM = random.Random(7)
 
@@ -239,3 +239,36 @@ def test_python_in_spark_equals_direct_calls(spark):
 
 def test_rows_helper(spark):
     assert rows(column(spark, ["b", "a"]), "v") == [("a",), ("b",)]
+
+
+def called(spark, function, *arguments):
+    """Rows of a table function for every argument ``c``, after the argument's number."""
+    given = spark.createDataFrame(list(enumerate(arguments)), "i int, c string")
+    return sorted(tuple(r) for r in spark.sql(f"SELECT i, t.* FROM {{given}}, LATERAL {function} t", given=given).collect())
+
+
+def test_table_functions_on_odd_values(spark):
+    tables.register(spark)
+    heads = called(spark, "head_lines(c, 2)", None, "", "a", "a\r\nb\n", "\n\nx", "a\x1eb c")
+    assert heads == [(2, 0, "a"), (3, 0, "a"), (3, 1, "b"), (4, 0, ""), (4, 1, ""), (5, 0, "a"), (5, 1, "b")]
+    verdicts = called(spark, "file_verdict(c, length(c), 4)", "a.PY", "b.go", "c", None)
+    assert verdicts == [(0, "python", True, None), (1, "go", False, None), (2, "unknown", False, None), (3, "unknown", False, None)]
+    assert called(spark, "file_verdict(c, 5, 4)", "a.ts") == [(0, "typescript", True, "file too large (>1MB)")]
+    text = "class B {} class A {} class A {} import x from 'it'"
+    found = [(0, "javascript", "class", 0, "A"), (0, "javascript", "class", 1, "B"), (0, "javascript", "import", 0, "it")]
+    assert called(spark, "code_symbols('a.js', c)", text, None, "") == found
+    assert called(spark, "code_symbols('a.py', c)", text) == called(spark, "code_symbols('a', c)", text) == []
+    parsed = called(spark, "python_symbols(CAST(c AS BINARY))", "import os\ndef f(): pass", "def (", None, "")
+    assert parsed == [(0, "function", 0, "f"), (0, "import", 0, "os")]
+
+
+def test_table_functions_of_added_languages(spark):
+    tables.register(spark, {".it's": "o'hara", ".py": "python"}, {"o'hara": {"word": [r"\b(\w+)'s"]}})
+    try:
+        words = called(spark, r"code_symbols('x.it\'s', c)", "b's a's b's")
+        assert words == [(0, "o'hara", "word", 0, "a"), (0, "o'hara", "word", 1, "b")]
+        verdicts = called(spark, "file_verdict(c, 1, 2)", "x.it's", "a.js")
+        assert verdicts == [(0, "o'hara", True, None), (1, "unknown", False, None)]
+    finally:
+        tables.register(spark)
+    assert called(spark, "file_verdict(c, 1, 2)", "a.js") == [(0, "javascript", True, None)]

@@ -7,6 +7,7 @@ import pytest
 from conftest import plan
 from pyspark.sql import functions as F
 
+from repoquarry.functions.tables import register
 from repoquarry.operators import files as fo
 from repoquarry.operators import guards, manifests, stats, tree
 from repoquarry.operators.records import file_records, records_and_manifests, symbol_index
@@ -133,3 +134,12 @@ def test_no_pattern_of_the_library_gathers_all_rows(files):
         text = plan(build(files))
         assert "SinglePartition" not in text
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_table_functions_are_native_generators(spark):
+    register(spark)
+    files = spark.createDataFrame([("a.js", "class A {}")], "path string, content string")
+    text = "SELECT path, s.*, l.* FROM {files}, LATERAL code_symbols(path, content) s, LATERAL head_lines(content, 3) l"
+    shown = plan(spark.sql(text, files=files))
+    assert "Generate inline" in shown and "Generate posexplode" in shown
+    assert "Python" not in shown and "Join" not in shown
