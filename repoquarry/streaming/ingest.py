@@ -28,12 +28,20 @@ from repoquarry.streaming.statistics import add_statistics
 
 _NAMED = "path string, modificationTime timestamp, length bigint, unique_name string"
 _STATE = "names array<string>, following array<bigint>"
+# Refused uploads of a batch are dealt to so many groups.
+_REFUSED_GROUPS = 64
+# Only names and sizes of files are read, so many of them make a task.
+_OPEN_COST = 64 * 1024
 
 
 def archive_stream(spark: SparkSession, folder: str, max_archives_per_batch: int = 1000) -> DataFrame:
-    """Uploads of any name as they arrive: (path, modificationTime, length); nothing is opened."""
+    """Uploads of any name as they arrive: (path, modificationTime, length); nothing is opened.
+
+    The stream has a session of its own, with the settings of ``spark`` but for those of listing.
+    """
     return (
-        spark.readStream.format("binaryFile")
+        _listing_session(spark)
+        .readStream.format("binaryFile")
         .schema(ARCHIVES)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_archives_per_batch)
@@ -42,6 +50,21 @@ def archive_stream(spark: SparkSession, folder: str, max_archives_per_batch: int
     )
 
 
+def _listing_session(spark: SparkSession) -> SparkSession:
+    """A session in which the files of a batch are listed and scanned by few tasks.
+
+    Spark looks up every file of a batch again, in a task each up to the limit that is set here.
+    """
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if session.conf.isModifiable(name):
+            session.conf.set(name, value)
+    tasks = max(16, 2 * spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", tasks)
+    session.conf.set("spark.sql.files.openCostInBytes", _OPEN_COST)
+    return session
+
+
 def named_uploads(uploads: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """(path, modificationTime, length, unique_name) of a stream of uploads.
 
@@ -57,19 +80,25 @@ def named_uploads(uploads: DataFrame, options: ScanOptions = ScanOptions()) -> D
 
 
 def _key(name: Column, path: Column) -> Column:
-    """Names meet by their root; a refused upload meets nothing and leaves no state."""
-    return F.coalesce(F.concat(F.lit("="), root_of(name)), path)
+    """Names meet by their root; refused uploads share a few groups and leave no state."""
+    dealt = F.pmod(F.xxhash64(path), F.lit(_REFUSED_GROUPS)).cast("string")
+    return F.coalesce(F.concat(F.lit("="), root_of(name)), dealt)
 
 
 def _take_names(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Names for the uploads of one root in one batch, which the source's limit bounds."""
-    rows = pd.concat(list(frames)).sort_values(["modificationTime", "path"])
+    """Names for the uploads of one root in one batch, which the source's limit bounds.
+
+    Most groups are a row or two, for which plain lists take less time than frames.
+    """
+    columns = ("modificationTime", "path", "length", "name")
+    rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in columns), strict=True)]
+    rows.sort(key=lambda row: row[:2])
+    times, paths, lengths, asked = zip(*rows, strict=True)
     names = Names(dict(zip(*state.get, strict=True)) if state.exists else {})
-    asked = rows["name"].tolist()
-    rows["unique_name"] = [names.take(n) if isinstance(n, str) else None for n in asked]
+    taken = [names.take(n) if isinstance(n, str) else None for n in asked]
     if names.following:
         state.update((list(names.following), list(names.following.values())))
-    yield rows[["path", "modificationTime", "length", "unique_name"]]
+    yield pd.DataFrame({"path": paths, "modificationTime": times, "length": lengths, "unique_name": taken})
 
 
 def ingest_new_archives(

@@ -634,3 +634,23 @@ def test_options_from_environment(monkeypatch):
     options = ScanOptions.from_env(max_files=7)
     assert (options.max_file_bytes, options.max_files, options.max_upload_bytes) == (10, 7, 100 * 1024 * 1024)
     assert SESSION_SETTINGS["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_a_batch_of_the_stream_is_listed_by_few_tasks(spark, tmp_path):
+    """Spark looks up the files of a batch again, by default in a task each."""
+    for k in range(80):
+        (tmp_path / "in" / str(k)).mkdir(parents=True)
+        (tmp_path / "in" / str(k) / f"x{k % 3}.zip").write_bytes(zipped((f"f{k}.py", b"")))
+        (tmp_path / "in" / str(k) / "y.tar").write_bytes(b"?")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    uploads = archive_stream(spark, str(tmp_path / "in"))
+    assert uploads.sparkSession.conf.get("spark.sql.shuffle.partitions") == partitions
+    stream = ingest_new_archives(uploads, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    stream.awaitTermination(120)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(stream.runId))]
+    stages = [tracker.getStageInfo(s) for job in jobs if job for s in job.stageIds]
+    assert jobs and max(s.numTasks for s in stages if s) <= 16
+    found = spark.read.parquet(f"{tmp_path}/out/entries")
+    assert rows(found.where("NOT is_dir"), "repo_id", "path") == rows(ingest(spark, str(tmp_path / "in")).where("NOT is_dir"), "repo_id", "path")
+    assert found.where("error IS NOT NULL").count() == 80
