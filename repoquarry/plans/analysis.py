@@ -22,10 +22,10 @@ from repoquarry.sources.archives import (
     accepted_uploads,
     directories_of,
     files_of,
-    list_uploads,
     listed_uploads,
     refused_entries,
     repositories_of,
+    shown_uploads,
 )
 from repoquarry.sources.directories import list_directories
 from repoquarry.sources.ranges import opened_entries
@@ -38,6 +38,9 @@ SESSION_SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
+# Folders of uploads may hold any number of files, so a task takes few of them.
+DIRECTORIES_PER_TASK = 16
+
 
 def ingest(
     spark: SparkSession, folder: str, options: ScanOptions = ScanOptions(), every_name: bool = False
@@ -46,14 +49,12 @@ def ingest(
 
     Names and refusals by name or size come from the listing alone; a refused upload takes no name.
     Names are joined to the listing, and only then are archives opened, so no join moves contents.
-    ``every_name`` lists the folder in tasks instead of by Spark's file source, which leaves out empty
-    files and names that start with ``_`` or ``.``.
+    The folder is listed once, in tasks. ``every_name`` also takes what Spark's file sources leave out:
+    empty files and names that start with ``_`` or ``.``.
     """
-    if every_name:
-        roots = spark.createDataFrame([("uploads", folder)], "repo_id string, root string")
-        uploads = listed_uploads(list_directories(roots))
-    else:
-        uploads = list_uploads(spark, folder)
+    roots = spark.createDataFrame([("uploads", folder)], "repo_id string, root string")
+    listed = list_directories(roots, DIRECTORIES_PER_TASK)
+    uploads = listed_uploads(listed) if every_name else shown_uploads(listed)
     named = unique_names(accepted_uploads(uploads, options), arrival="modificationTime", tie="path")
     return opened_entries(named, options).unionByName(refused_entries(uploads, options), allowMissingColumns=True)
 

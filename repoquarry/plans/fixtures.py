@@ -210,13 +210,18 @@ def _zip_of(doc_id: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(int(i), body) for i, body in zip(doc_id, text, strict=True)])
 
 
-def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One uploaded file per document, shaped as the binary source reads it."""
+def archives(spark: SparkSession, sf_dir: str, chosen: str = "true") -> DataFrame:
+    """One uploaded file per document, shaped as the binary source reads it.
+
+    ``chosen`` is a condition on ``path``; archives that it leaves out are not made.
+    """
     ending = F.when(F.col("doc_id") % 10 == 9, ".tar").when(F.col("doc_id") % 10 == 8, ".ZIP").otherwise(".zip")
     content = _zip_of.asNondeterministic()("doc_id", "text")
     return (
         documents(spark, sf_dir)
-        .select(F.concat(F.lit("uploads/a"), F.col("doc_id"), ending).alias("path"), content.alias("content"))
+        .select(F.concat(F.lit("uploads/a"), F.col("doc_id"), ending).alias("path"), "doc_id", "text")
+        .where(chosen)
+        .select("path", content.alias("content"))
         .select(
             "path",
             F.lit(0).cast("timestamp").alias("modificationTime"),

@@ -134,13 +134,17 @@ def s7_files_by_range(spark, sf):
     return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
 
 
+# Subfolders that uploads are spread over, as one task lists a folder.
+SUBFOLDERS = 256
+
+
 def _two_folders(spark, sf):
     """Every upload in one folder, and three in ten under the same name in a second folder, later."""
     folder = new_folder(spark, "uploads")
-    archives = fx.archives(spark, sf)
-    write_blobs(archives, f"{folder}/a").agg(F.sum("bytes")).collect()
-    again = archives.where(F.col("path").rlike("[149][.]"))
-    write_blobs(again, f"{folder}/b").agg(F.sum("bytes")).collect()
+    inside = F.concat_ws("/", F.pmod(F.xxhash64("path"), F.lit(SUBFOLDERS)), "path")
+    for name, chosen in (("a", "true"), ("b", "path RLIKE '[149][.]'")):
+        archives = fx.archives(spark, sf, chosen).withColumn("path", inside)
+        write_blobs(archives, f"{folder}/{name}").agg(F.sum("bytes")).collect()
     return folder
 
 

@@ -62,6 +62,25 @@ def listed_uploads(listed: DataFrame) -> DataFrame:
     return files.select(path, F.col("modified").alias("modificationTime"), F.col("bytes").alias("length"))
 
 
+# Directories and files whose names Spark's file sources pass over.
+_HIDDEN_DIRECTORY = r"(?s)^(?!_common_metadata|_metadata)(\.|_(?!.*=)|.*\._COPYING_\z)"
+_HIDDEN_FILE = r"(?s)^(\.|_(?!.*=)|.*\._COPYING_\z)"
+
+
+def shown_uploads(listed: DataFrame) -> DataFrame:
+    """What ``list_uploads`` gives, of entries that ``sources.directories`` has listed in tasks.
+
+    Files that Spark's file sources leave out, empty or by their names, are left out; paths and
+    times, whole milliseconds, are written as those write them.
+    """
+    above, name = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), basename(F.col("path"))
+    hidden = F.exists(above, lambda part: part.rlike(_HIDDEN_DIRECTORY)) | name.rlike(_HIDDEN_FILE)
+    files = listed.where(~F.col("is_dir") & (F.col("bytes") > 0) & ~hidden)
+    system = F.regexp_replace("system", "^file://$", "file:")
+    modified = F.timestamp_millis(F.unix_millis("modified"))
+    return files.select(F.concat(system, "place").alias("path"), modified.alias("modificationTime"), F.col("bytes").alias("length"))
+
+
 def read_uploads(named: DataFrame) -> DataFrame:
     """Archives of ``named`` uploads (repo_id, path, length), opened in tasks: (repo_id, path, length, content).
 

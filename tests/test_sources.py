@@ -9,7 +9,7 @@ import zipfile
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from repoquarry.functions.symbols import REGEX_EXTRACTORS, java_symbols
@@ -654,3 +654,30 @@ def test_a_batch_of_the_stream_is_listed_by_few_tasks(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/out/entries")
     assert rows(found.where("NOT is_dir"), "repo_id", "path") == rows(ingest(spark, str(tmp_path / "in")).where("NOT is_dir"), "repo_id", "path")
     assert found.where("error IS NOT NULL").count() == 80
+
+
+def test_listing_in_tasks_shows_what_spark_shows(spark, tmp_path):
+    names = ["a.zip", "b c%20#.ZIP", "é.zip", "_hidden.zip", ".hidden.zip", "_k=v.zip", "x._COPYING_", "_metadata", "_metadata.zip", "n.tar"]
+    folders = ["", "d", "_d", ".d", "_k=v", "_metadata", "_common_metadata2", "e._COPYING_", "d/_in", "d/deep", "_temporary/0"]
+    for folder in folders:
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+    for folder in folders:
+        for k, name in enumerate(names):
+            if not (tmp_path / folder / name).is_dir():
+                (tmp_path / folder / name).write_bytes(b"x" * (k + 1))
+                os.utime(tmp_path / folder / name, ns=(0, 1_700_000_000_123_456_789 + k))
+        (tmp_path / folder / "empty.zip").write_bytes(b"")
+    roots = spark.createDataFrame([("uploads", str(tmp_path))], "repo_id string, root string")
+    shown = ar.shown_uploads(list_directories(roots, 2))
+    expected = rows(ar.list_uploads(spark, str(tmp_path)))
+    assert rows(shown) == expected and len(expected) > 20
+
+
+def test_ingest_lists_its_folder_once_and_in_tasks(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(zipped(("f.py", b"")))
+    (tmp_path / "b.tar").write_bytes(b"?")
+    entries = ingest(spark, str(tmp_path))
+    assert "binaryFile" not in plan(entries) and "BinaryFile" not in plan(entries)
+    assert rows(entries, "repo_id", "is_dir")[:2] == [("a", False), ("a", True)]
+    refused = rows(entries.where("error IS NOT NULL"), "path")
+    assert refused == [(f"file:{tmp_path}/b.tar",)]
