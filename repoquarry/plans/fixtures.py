@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,34 +179,31 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(documents(spark, sf_dir), "documents", MARKDOWN)
 
 
-@F.pandas_udf(T.BinaryType())
-def _zip_of(doc_id: pd.Series, text: pd.Series) -> pd.Series:
+# Row by row: Spark passes some 100 rows at a time, so a worker holds few archives whatever the rows of a task.
+@F.udf(T.BinaryType(), useArrow=False)
+def _zip_of(i: int, body: str) -> bytes:
     """A small archive around each text: hidden names, a repeated name, empty and unsafe members."""
-
-    def one(i: int, body: str) -> bytes:
-        if i % 7 == 3:
-            return b"junk:" + body.encode()
-        members = [
-            ("src/", ""),
-            ("src/__init__.py", f"class A{i}: pass\n"),
-            (".hidden", "x"),
-            ("docs/text.md", body),
-            ("dup.txt", "first"),
-            ("dup.txt", "second"),
-            ("empty/", ""),
-        ]
-        extra = {3: f"../a{i}_x/evil.py", 5: "/abs.py", 7: "./src//sub/../late.py"}.get(i % 11)
-        members += [(extra, "pass\n")] if extra else []
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as archive:
-            archive.infolist()
-            for name, content in members:
-                # A repeated name is intended, so the header is written directly instead of being looked up.
-                archive.NameToInfo.pop(name, None)
-                archive.writestr(zipfile.ZipInfo(name), content)
-        return out.getvalue()
-
-    return pd.Series([one(int(i), body) for i, body in zip(doc_id, text, strict=True)])
+    if i % 7 == 3:
+        return b"junk:" + body.encode()
+    members = [
+        ("src/", ""),
+        ("src/__init__.py", f"class A{i}: pass\n"),
+        (".hidden", "x"),
+        ("docs/text.md", body),
+        ("dup.txt", "first"),
+        ("dup.txt", "second"),
+        ("empty/", ""),
+    ]
+    extra = {3: f"../a{i}_x/evil.py", 5: "/abs.py", 7: "./src//sub/../late.py"}.get(i % 11)
+    members += [(extra, "pass\n")] if extra else []
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.infolist()
+        for name, content in members:
+            # A repeated name is intended, so the header is written directly instead of being looked up.
+            archive.NameToInfo.pop(name, None)
+            archive.writestr(zipfile.ZipInfo(name), content)
+    return out.getvalue()
 
 
 def archives(spark: SparkSession, sf_dir: str, chosen: str = "true") -> DataFrame:

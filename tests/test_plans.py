@@ -4,7 +4,7 @@ import re
 from pathlib import Path
 
 import pytest
-from conftest import plan
+from conftest import SF_DIR, plan, rows
 from pyspark.sql import functions as F
 
 from repoquarry.functions.tables import register
@@ -12,6 +12,7 @@ from repoquarry.operators import files as fo
 from repoquarry.operators import guards, manifests, stats, tree
 from repoquarry.operators.records import file_records, records_and_manifests, symbol_index
 from repoquarry.operators.summaries import bullet_summaries
+from repoquarry.plans import fixtures as fx
 from repoquarry.sources import archives as ar
 from repoquarry.sources.directories import list_directories, read_contents
 
@@ -143,3 +144,13 @@ def test_table_functions_are_native_generators(spark):
     shown = plan(spark.sql(text, files=files))
     assert "Generate inline" in shown and "Generate posexplode" in shown
     assert "Python" not in shown and "Join" not in shown
+
+
+def test_uploads_are_made_few_rows_at_a_time(spark):
+    """Arrow batches would hold up to 10,000 texts and their archives in a worker."""
+    made = plan(fx.archives(spark, SF_DIR))
+    assert "BatchEvalPython" in made and "ArrowEvalPython" not in made
+    chosen = fx.archives(spark, SF_DIR, "path RLIKE '[149][.]'")
+    assert plan(chosen).index("BatchEvalPython") < plan(chosen).index("RLIKE")
+    expected = fx.archives(spark, SF_DIR).where("path RLIKE '[149][.]'")
+    assert chosen.count() > 0 and rows(chosen, "path", "length") == rows(expected, "path", "length")
