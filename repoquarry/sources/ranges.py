@@ -30,6 +30,7 @@ RANGE_BYTES = 16 * 1024 * 1024
 
 _BATCH_BYTES = 16 * 1024 * 1024
 _BUFFER = 64 * 1024
+_ROWS = 64
 _MEMBERS = "array<struct<ordinal: int, path: string, is_dir: boolean, bytes: decimal(20,0), target: string, kept: boolean, part: int>>"
 _LISTED = f"repo_id string, path string, length bigint, system string, place string, members {_MEMBERS}, error string"
 _READ = "repo_id string, archive string, path string, ordinal int, bytes bigint, content binary, error string"
@@ -186,11 +187,17 @@ def opened_entries(
 def _read_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     systems = Systems()
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _few_at_a_time(batch):
             with _opened(systems, row) as file:
                 yield from _range_of(file, row)
 
 
+def _few_at_a_time(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as ``to_pylist`` gives them; only ``_ROWS`` of a batch are Python objects at a time."""
+    for start in range(0, batch.num_rows, _ROWS):
+        yield from batch.slice(start, _ROWS).to_pylist()
+
+
 def _range_of(file: BinaryIO, row: dict) -> Iterator[pa.RecordBatch]:
     """What the members of a range hold; the first damaged one ends it with its reason."""
     out, held = [], 0

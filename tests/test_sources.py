@@ -8,6 +8,7 @@ import warnings
 import zipfile
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
@@ -681,3 +682,26 @@ def test_ingest_lists_its_folder_once_and_in_tasks(spark, tmp_path):
     assert rows(entries, "repo_id", "is_dir")[:2] == [("a", False), ("a", True)]
     refused = rows(entries.where("error IS NOT NULL"), "path")
     assert refused == [(f"file:{tmp_path}/b.tar",)]
+
+
+class FewRows:
+    """An Arrow batch of which more than a hundred rows must not become Python objects at once."""
+
+    def __init__(self, batch):
+        self.batch, self.num_rows = batch, batch.num_rows
+
+    def slice(self, start, length):
+        return FewRows(self.batch.slice(start, length))
+
+    def to_pylist(self):
+        assert self.num_rows <= 100
+        return self.batch.to_pylist()
+
+
+def test_ranges_are_read_few_rows_at_a_time(tmp_path):
+    (tmp_path / "x.zip").write_bytes(zipped(("a.py", b"x"), ("b.py", b"yy")))
+    row = {"repo_id": "x", "path": "p", "system": "file://", "place": str(tmp_path / "x.zip")}
+    members = [{"ordinal": k, "target": t, "kept": True} for k, t in enumerate(("a.py", "b.py"))]
+    batch = FewRows(pa.RecordBatch.from_pylist([{**row, "part": k, "members": members} for k in range(333)]))
+    found = [r for b in ranges._read_range(iter([batch])) for r in b.to_pylist()]
+    assert [(r["path"], r["content"]) for r in found] == 333 * [("a.py", b"x"), ("b.py", b"yy")]
