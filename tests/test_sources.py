@@ -705,3 +705,18 @@ def test_ranges_are_read_few_rows_at_a_time(tmp_path):
     batch = FewRows(pa.RecordBatch.from_pylist([{**row, "part": k, "members": members} for k in range(333)]))
     found = [r for b in ranges._read_range(iter([batch])) for r in b.to_pylist()]
     assert [(r["path"], r["content"]) for r in found] == 333 * [("a.py", b"x"), ("b.py", b"yy")]
+
+
+def test_members_are_listed_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.zip").write_bytes(zipped(("a.py", b"x"), ("b.py", b"yy")))
+    row = {"repo_id": "x", "path": "p", "length": 9, "system": "file://", "place": str(tmp_path / "x.zip")}
+    batch = FewRows(pa.RecordBatch.from_pylist([{**row, "refused": "no" if k % 3 == 0 else None} for k in range(333)]))
+
+    class Spread:
+        def mapInArrow(self, function, schema):
+            return function
+
+    monkeypatch.setattr(ranges, "spread", lambda rows, tasks: Spread())
+    run = ranges.list_members(spark.createDataFrame([("x", "p", 9)], "repo_id string, path string, length bigint"))
+    found = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert [(len(r["members"] or []), r["error"]) for r in found] == 111 * [(0, "no"), (2, None), (2, None)]
