@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import struct
 import warnings
 import zipfile
@@ -23,7 +24,9 @@ from repoquarry.sources.blobs import opened, opened_scheme, qualified, write_blo
 from repoquarry.sources.committed import write_committed
 from repoquarry.sources.directories import list_directories, read_contents
 from repoquarry.sources.shared import materialize, new_folder
+from repoquarry.operators.naming import Names
 from repoquarry.operators.stats import import_usage, repo_stats
+from repoquarry.streaming import ingest as stream_ingest
 from repoquarry.streaming.ingest import archive_stream, ingest_new_archives
 from repoquarry.streaming.statistics import (
     add_statistics,
@@ -720,3 +723,69 @@ def test_members_are_listed_few_rows_at_a_time(spark, tmp_path, monkeypatch):
     run = ranges.list_members(spark.createDataFrame([("x", "p", 9)], "repo_id string, path string, length bigint"))
     found = [r for b in run(iter([batch])) for r in b.to_pylist()]
     assert [(len(r["members"] or []), r["error"]) for r in found] == 111 * [(0, "no"), (2, None), (2, None)]
+
+
+def test_batches_are_opened_together_and_once(spark, tmp_path, monkeypatch):
+    """Jobs that open uploads are those of many batches, and a failure between names and contents loses nothing."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for k in range(7):
+        (source / f"r{k}.zip").write_bytes(zipped((f"f{k}.py", b"import os\n")))
+
+    def run():
+        stream = archive_stream(spark, str(source), max_archives_per_batch=2)
+        ingest_new_archives(stream, str(out), str(tmp_path / "checkpoint")).awaitTermination(120)
+
+    def failing(*_):
+        raise RuntimeError("no store")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(stream_ingest, "opened_entries", failing)
+        with pytest.raises(Exception, match="no store"):
+            run()
+    assert not (out / "entries").exists() and len(list((out / "names").glob("batch=*"))) == 4
+    # An attempt that had opened two of the batches, and has not said so.
+    for table in ("entries", "file_records", "statistics/files"):
+        spark.createDataFrame([("stale",)], "repo_id string").write.parquet(f"{out}/{table}/batch=1")
+    run()
+    every = [f"r{k}" for k in range(7)]
+    for table in ("entries", "file_records", "statistics/repositories"):
+        assert [p.name for p in (out / table).glob("batch=*")] == ["batch=3"]
+    (source / "r7.zip").write_bytes(zipped(("f7.py", b"")))
+    run()
+    run()
+    entries = spark.read.parquet(f"{out}/entries")
+    assert rows(entries.where("NOT is_dir"), "repo_id", "path", "batch") == [(f"r{k}", f"f{k}.py", 3 if k < 7 else 4) for k in range(8)]
+    assert rows(maintained_repo_stats(spark, f"{out}/statistics"), "repo_id") == [(r,) for r in [*every, "r7"]]
+    assert rows(maintained_import_usage(spark, f"{out}/statistics")) == [("os", 7, 7)]
+
+
+def test_names_of_a_batch_read_their_own_state_only():
+    class Stored(dict):
+        def getValue(self, key):
+            asked.add(key[0])
+            return self.get(key[0])
+
+        def updateValue(self, key, value):
+            self[key[0]] = value
+
+    chosen = random.Random(7)
+    stored, whole = Stored(), Names()
+    for _ in range(300):
+        asked = set()
+        following = stream_ingest._Following(stored)
+        names = Names(following)
+        for _ in range(chosen.randrange(1, 4)):
+            name = "".join(["x", *chosen.choices(["_1", "_2", ""], k=3)])
+            assert names.take(name) == whole.take(name)
+        following.store()
+        assert asked == set(following) and all(type(v) is tuple for v in stored.values())
+    assert {name: k for name, (k,) in stored.items()} == whole.following
+
+
+def test_a_stream_has_no_more_tasks_than_run_at_a_time(spark, tmp_path):
+    many = spark.newSession()
+    many.conf.set("spark.sql.shuffle.partitions", 500)
+    session = archive_stream(many, str(tmp_path)).sparkSession
+    assert int(session.conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
+    assert many.conf.get("spark.sql.shuffle.partitions") == "500"
