@@ -22,12 +22,12 @@ from repoquarry.sources.archives import (
     accepted_uploads,
     directories_of,
     files_of,
+    list_folder,
     listed_uploads,
     refused_entries,
     repositories_of,
     shown_uploads,
 )
-from repoquarry.sources.directories import list_directories
 from repoquarry.sources.ranges import opened_entries
 
 # Arrow batches for jobs whose rows are whole files or whole archives; Spark also limits their bytes.
@@ -38,9 +38,6 @@ SESSION_SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
-# Folders of uploads may hold any number of files, so a task takes few of them.
-DIRECTORIES_PER_TASK = 16
-
 
 def ingest(
     spark: SparkSession, folder: str, options: ScanOptions = ScanOptions(), every_name: bool = False
@@ -52,8 +49,7 @@ def ingest(
     The folder is listed once, in tasks. ``every_name`` also takes what Spark's file sources leave out:
     empty files and names that start with ``_`` or ``.``.
     """
-    roots = spark.createDataFrame([("uploads", folder)], "repo_id string, root string")
-    listed = list_directories(roots, DIRECTORIES_PER_TASK)
+    listed = list_folder(spark, folder)
     uploads = listed_uploads(listed) if every_name else shown_uploads(listed)
     named = unique_names(accepted_uploads(uploads, options), arrival="modificationTime", tie="path")
     return opened_entries(named, options).unionByName(refused_entries(uploads, options), allowMissingColumns=True)

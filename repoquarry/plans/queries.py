@@ -58,10 +58,19 @@ def _joined(names):
 # Sources and guards
 
 
+# Subfolders that uploads are spread over, as one task lists a folder.
+SUBFOLDERS = 256
+
+
+def _write_uploads(archives, folder):
+    inside = F.concat_ws("/", F.pmod(F.xxhash64("path"), F.lit(SUBFOLDERS)), "path")
+    write_blobs(archives.withColumn("path", inside), folder).agg(F.sum("bytes")).collect()
+
+
 @query
 def s1_archive_scan(spark, sf):
     folder = new_folder(spark, "uploads")
-    write_blobs(fx.archives(spark, sf), folder).agg(F.sum("bytes")).collect()
+    _write_uploads(fx.archives(spark, sf), folder)
     name = paths.basename(F.col("path")).alias("archive")
     whole = F.octet_length("content") == F.col("length")
     read = ar.read_archives(spark, folder).select(name, "length", whole.alias("whole"), F.lit("").alias("error"))
@@ -134,17 +143,11 @@ def s7_files_by_range(spark, sf):
     return ar.files_of(entries).select("repo_id", "path", "bytes", F.md5("content").alias("digest"))
 
 
-# Subfolders that uploads are spread over, as one task lists a folder.
-SUBFOLDERS = 256
-
-
 def _two_folders(spark, sf):
     """Every upload in one folder, and three in ten under the same name in a second folder, later."""
     folder = new_folder(spark, "uploads")
-    inside = F.concat_ws("/", F.pmod(F.xxhash64("path"), F.lit(SUBFOLDERS)), "path")
     for name, chosen in (("a", "true"), ("b", "path RLIKE '[149][.]'")):
-        archives = fx.archives(spark, sf, chosen).withColumn("path", inside)
-        write_blobs(archives, f"{folder}/{name}").agg(F.sum("bytes")).collect()
+        _write_uploads(fx.archives(spark, sf, chosen), f"{folder}/{name}")
     return folder
 
 

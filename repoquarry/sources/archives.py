@@ -14,14 +14,15 @@ from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoquarry.functions.numbers import mib_text
 from repoquarry.functions.paths import basename, stem
 from repoquarry.options import ScanOptions
 from repoquarry.schemas import EXTRACTED, MEMBER_LISTING
-from repoquarry.sources.directories import place_of, read_contents, system_of
+from repoquarry.sources.directories import list_directories, place_of, read_contents, system_of
+from repoquarry.sources.shared import materialize
 
 # Reasons for rejecting an archive.
 NOT_ZIP = "Only .zip files are supported."
@@ -30,29 +31,41 @@ INVALID_PATH = "Invalid path in ZIP file: %s"
 EXTRACT_TOO_LARGE = "Zip too large after extraction: %s MB. Maximum allowed: %s MB."
 INVALID_ZIP = "Invalid ZIP file: %s"
 
-ZIP_GLOB = "*.[zZ][iI][pP]"
+# Folders of uploads may hold any number of files, so a task takes few of them.
+DIRECTORIES_PER_TASK = 16
 
 _BATCH_BYTES = 16 * 1024 * 1024
 
 
-def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below ``folder`` as (path, modificationTime, length); nothing is opened."""
-    return _binary(spark.read, folder).select("path", "modificationTime", "length")
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries below a folder, as ``sources.directories`` lists them: in tasks, so the driver holds no names."""
+    roots = spark.createDataFrame([("uploads", folder)], "repo_id string, root string")
+    return list_directories(roots, DIRECTORIES_PER_TASK)
 
 
-def read_archives(spark: SparkSession, folder: str, max_upload_bytes: int | None = None) -> DataFrame:
-    """ZIP files below ``folder`` as (path, modificationTime, length, content).
+def list_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below ``folder`` as (path, modificationTime, length); nothing is opened.
 
-    Names are tested by the scan and the size limit is pushed into it, so other files are never read.
-    Like every file source of Spark it leaves out empty files and names that start with ``_`` or ``.``;
-    ``sources.directories`` lists those too.
+    The folder is a path, not a pattern. What Spark's file sources leave out is left out, empty files and
+    names that start with ``_`` or ``.``; ``sources.directories`` lists those too.
     """
-    found = _binary(spark.read.option("pathGlobFilter", ZIP_GLOB), folder)
-    return found if max_upload_bytes is None else found.where(F.col("length") <= max_upload_bytes)
+    return shown_uploads(list_folder(spark, folder))
 
 
-def _binary(reader: DataFrameReader, folder: str) -> DataFrame:
-    return reader.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def read_archives(spark: SparkSession, folder: str, max_upload_bytes: int | None = None) -> DataFrame:
+    """ZIP files among ``list_uploads`` as (path, modificationTime, length, content), opened in tasks.
+
+    Names are tested on the listing, which is stored, and the size limit is pushed into its scan, so other
+    files are never read.
+    """
+    found = list_uploads(spark, folder).where(F.endswith(F.lower(basename(F.col("path"))), F.lit(".zip")))
+    found = materialize(found, "archives")
+    if max_upload_bytes is not None:
+        found = found.where(F.col("length") <= max_upload_bytes)
+    # Contents are read by rows of (repo_id, path, length); the time passes through them as the first.
+    micros = F.unix_micros("modificationTime").cast("string").alias("repo_id")
+    modified = F.timestamp_micros(F.col("repo_id").cast("bigint")).alias("modificationTime")
+    return read_uploads(found.select(micros, "path", "length")).select("path", modified, "length", "content")
 
 
 def listed_uploads(listed: DataFrame) -> DataFrame:
@@ -68,7 +81,7 @@ _HIDDEN_FILE = r"(?s)^(\.|_(?!.*=)|.*\._COPYING_\z)"
 
 
 def shown_uploads(listed: DataFrame) -> DataFrame:
-    """What ``list_uploads`` gives, of entries that ``sources.directories`` has listed in tasks.
+    """(path, modificationTime, length) of entries that ``sources.directories`` has listed in tasks.
 
     Files that Spark's file sources leave out, empty or by their names, are left out; paths and
     times, whole milliseconds, are written as those write them.

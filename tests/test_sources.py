@@ -11,11 +11,12 @@ from datetime import datetime
 
 import pyarrow as pa
 import pytest
-from conftest import plan, rows
+from conftest import SF_DIR, plan, rows
 from pyspark.sql import functions as F
 
 from repoquarry.functions.symbols import REGEX_EXTRACTORS, java_symbols
 from repoquarry.options import ScanOptions
+from repoquarry.plans import queries
 from repoquarry.plans.analysis import SESSION_SETTINGS, analyze, analyze_archives, ingest
 from repoquarry.schemas import FILES
 from repoquarry.sources import archives as ar
@@ -789,3 +790,33 @@ def test_a_stream_has_no_more_tasks_than_run_at_a_time(spark, tmp_path):
     session = archive_stream(many, str(tmp_path)).sparkSession
     assert int(session.conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
     assert many.conf.get("spark.sql.shuffle.partitions") == "500"
+
+
+def test_uploads_are_listed_and_read_as_spark_does_but_in_tasks(spark, tmp_path):
+    names = ["a.zip", "b c%20#.ZIP", "é.ziP", "_hidden.zip", ".hidden.zip", "x.zip.tar", "[n]?.zip", ".zip", "empty.zip"]
+    for folder in ("", "d", "d/deep", "_d", ".d", "d/zip.zip"):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        for k, name in enumerate(names):
+            (tmp_path / folder / name).write_bytes(b"x" * (k + 1) if name != "empty.zip" else b"")
+            os.utime(tmp_path / folder / name, ns=(0, 1_700_000_000_123_456_789 + k * 10**6))
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    columns = ["path", "modificationTime", "length"]
+    listed, read = ar.list_uploads(spark, str(tmp_path)), ar.read_archives(spark, str(tmp_path), 7)
+    assert rows(listed) == rows(source.load(str(tmp_path)), *columns) and listed.count() == 20
+    expected = source.option("pathGlobFilter", "*.[zZ][iI][pP]").load(str(tmp_path)).where("length <= 7")
+    assert rows(read) == rows(expected, *columns, "content") and read.count() == 16
+    assert read.schema == expected.schema
+    # Spark's source would keep an entry for every file on the driver.
+    for df in (listed, read):
+        assert "binaryFile" not in plan(df) and "BinaryFile" not in plan(df)
+
+
+def test_uploads_of_the_archive_scan_are_listed_by_many_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.ar, "list_folder", lambda s, folder, real=ar.list_folder: seen.append(real(s, folder)) or seen[-1])
+    scanned = queries.s1_archive_scan(spark, SF_DIR)
+    assert "binaryFile" not in plan(scanned) and "BinaryFile" not in plan(scanned) and len(seen) == 2
+    for listed in seen:
+        files = listed.where("NOT is_dir")
+        largest = files.groupBy(F.regexp_replace("path", "/[^/]*$", "")).count().agg(F.max("count")).head()[0]
+        assert largest < files.count() / 10
