@@ -811,11 +811,12 @@ def test_uploads_are_listed_and_read_as_spark_does_but_in_tasks(spark, tmp_path)
         assert "binaryFile" not in plan(df) and "BinaryFile" not in plan(df)
 
 
-def test_uploads_of_the_archive_scan_are_listed_by_many_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("name, listings", [("s1_archive_scan", 2), ("s7_files_by_range", 1)])
+def test_uploads_of_a_query_are_listed_by_many_tasks(spark, monkeypatch, name, listings):
     seen = []
     monkeypatch.setattr(queries.ar, "list_folder", lambda s, folder, real=ar.list_folder: seen.append(real(s, folder)) or seen[-1])
-    scanned = queries.s1_archive_scan(spark, SF_DIR)
-    assert "binaryFile" not in plan(scanned) and "BinaryFile" not in plan(scanned) and len(seen) == 2
+    found = queries.QUERIES[name](spark, SF_DIR)
+    assert "binaryFile" not in plan(found) and "BinaryFile" not in plan(found) and len(seen) == listings
     for listed in seen:
         files = listed.where("NOT is_dir")
         largest = files.groupBy(F.regexp_replace("path", "/[^/]*$", "")).count().agg(F.max("count")).head()[0]
