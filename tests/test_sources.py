@@ -811,7 +811,7 @@ def test_uploads_are_listed_and_read_as_spark_does_but_in_tasks(spark, tmp_path)
         assert "binaryFile" not in plan(df) and "BinaryFile" not in plan(df)
 
 
-@pytest.mark.parametrize("name, listings", [("s1_archive_scan", 2), ("s7_files_by_range", 1)])
+@pytest.mark.parametrize("name, listings", [("s1_archive_scan", 2), ("s7_files_by_range", 1), ("s3_members_by_range", 1)])
 def test_uploads_of_a_query_are_listed_by_many_tasks(spark, monkeypatch, name, listings):
     seen = []
     monkeypatch.setattr(queries.ar, "list_folder", lambda s, folder, real=ar.list_folder: seen.append(real(s, folder)) or seen[-1])
